@@ -134,8 +134,9 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
 def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int) -> Iterator[tuple[list[int], int, int]]:
     """Maximal repeats in one part of the array: the contexts that have it, and how far it goes left and right of the anchor.
 
-    contexts: distinct pairs of what stands left of the anchor, reversed, and what stands from it on. A repeat is left out if each of
-    its contexts has a repeat that already reaches as far to both sides.
+    contexts: distinct pairs of what stands left of the anchor, reversed, and what stands from it on; counts: how often each occurs.
+    Longer common prefixes come first. A context is put out with a repeat only if the repeat reaches further left than those before
+    it: else the context's occurrence lies within one that is known, and its node is above that one's in the tree.
     """
     reach = [-1] * len(contexts)
     for j, (left, right) in enumerate(contexts):
@@ -148,10 +149,10 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
         rows = sorted(order[first : last + 1], key=lambda j: contexts[j][0])
         behind = [common_prefix(contexts[a][0], contexts[b][0]) for a, b in zip(rows, rows[1:], strict=False)]
         for a, b, left in intervals(behind):
-            if left + right >= min_len and any(reach[j] < left for j in rows[a : b + 1]):
-                for j in rows[a : b + 1]:
-                    reach[j] = max(reach[j], left)
-                yield rows[a : b + 1], left, right
+            if left + right >= min_len and (further := [j for j in rows[a : b + 1] if reach[j] < left]):
+                for j in further:
+                    reach[j] = left
+                yield further, left, right
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -198,44 +199,49 @@ class Repeats:
         return self.rows.join(self.places.hint("shuffle_hash"), _KEY)
 
     def parts(self) -> DataFrame:
-        """repeat_id, length, row_id, row_hash, start: a row for each occurrence of each maximal repeat."""
+        """repeat_id, length, row_id, row_hash, starts: a row for each maximal repeat in each document, with all its starts there."""
         min_len, gram = self.min_len, self.gram
 
         def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[list] = [[] for _ in range(6)]
                 for row_id, row_hash, text, places in zip(*(batch.column(c).to_pylist() for c in _KEY), _utf8(batch), batch.column("places").to_pylist(), strict=True):
+                    own: dict[tuple, list[int]] = {}
                     for p in places:
                         if not p["hot"]:
                             at = p["place"]
-                            for o, x in zip(out, (p["h"], row_id, row_hash, at, text[max(0, at - min_len + gram) : at][::-1], text[at : at + min_len]), strict=True):
-                                o.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["h", *_KEY, "place", "before", "after"])
+                            own.setdefault((p["h"], text[max(0, at - min_len + gram) : at][::-1], text[at : at + min_len]), []).append(at)
+                    for (h, before, after), at in own.items():
+                        for o, x in zip(out, (h, row_id, row_hash, at, before, after), strict=True):
+                            o.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()), strict=True)], ["h", *_KEY, "at", "before", "after"])
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for table in common.by_key(batches, "h"):
                 groups: dict[tuple[bytes, bytes], list[tuple]] = {}
-                for before, after, *where in zip(*(table.column(c).to_pylist() for c in ("before", "after", *_KEY, "place")), strict=True):
+                for before, after, *where in zip(*(table.column(c).to_pylist() for c in ("before", "after", *_KEY, "at")), strict=True):
                     groups.setdefault((before, after), []).append(where)
                 contexts = list(groups)
                 where = list(groups.values())
-                for found, left, right in repeats_of(contexts, [len(w) for w in where], min_len):
+                for found, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len):
                     before, after = contexts[found[0]]
                     name = xxhash.xxh64_intdigest(before[:left][::-1] + after[:right]) - (1 << 63)
-                    out += [(name, left + right, row_id, row_hash, at - left) for j in found for row_id, row_hash, at in where[j]]
-                if len(out) >= 8192:
-                    yield _batch(out)
-                    out = []
+                    for j in found:
+                        out += [(name, left + right, row_id, row_hash, [x - left for x in at]) for row_id, row_hash, at in where[j]]
+                        if len(out) >= 8192:
+                            yield _batch(out)
+                            out = []
             yield _batch(out)
 
         def _batch(out: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["repeat_id", "length", *_KEY, "start"])
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["repeat_id", "length", *_KEY, "starts"])
 
         n = common.partitions(self.rows.sparkSession)
-        suffixes = self._with_text().mapInArrow(contexts, "h long, row_id long, row_hash long, place int, before binary, after binary")
-        return suffixes.repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, row_id long, row_hash long, start long")
+        suffixes = self._with_text().mapInArrow(contexts, "h long, row_id long, row_hash long, at array<int>, before binary, after binary")
+        return suffixes.repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, row_id long, row_hash long, starts array<int>")
 
     def _hot(self) -> DataFrame:
         """Of anchors that no one task takes: their windows' first and last starts, and as kind 2 the windows that occur once."""
@@ -254,17 +260,17 @@ class Repeats:
                                 m = len(w[0])
                                 yield pa.RecordBatch.from_arrays([*w, pa.array(np.full(m, row_id)), pa.array(np.full(m, row_hash)), pa.array(np.arange(lo, hi + 1))], ["w1", "w2", *_KEY, "start"])
 
-        own = self.places.select(*_KEY, F.explode("places").alias("p")).where("p.hot").select(*_KEY, F.lit(1).alias("kind"), F.col("p.first").cast("long").alias("a"), F.col("p.last").cast("long").alias("b"))
+        own = self.places.select(*_KEY, F.explode("places").alias("p")).where("p.hot").select(*_KEY, F.lit(1).alias("kind"), (F.col("p.last") - F.col("p.first") + 1).cast("long").alias("length"), F.array(F.col("p.first")).alias("starts"))
         counted = self._with_text().where(F.exists("places", lambda p: p["hot"])).mapInArrow(windows, "w1 long, w2 long, row_id long, row_hash long, start long").groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start")).alias("at"))
-        once = counted.where("n = 1").select("at.row_id", "at.row_hash", F.lit(2).alias("kind"), F.col("at.start").alias("a"), F.col("at.start").alias("b"))
+        once = counted.where("n = 1").select("at.row_id", "at.row_hash", F.lit(2).alias("kind"), F.lit(1).cast("long").alias("length"), F.array(F.col("at.start").cast("int")).alias("starts"))
         return own.unionByName(once)
 
     def apply(self, fields: str, digest) -> DataFrame:
         """digest(text, spans) of each row, as fields after doc_id. spans: the covered bytes' maximal runs, as an array of starts and ends."""
-        found = self.parts().select(*_KEY, F.lit(0).alias("kind"), F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b")).distinct()
+        found = self.parts().select(*_KEY, F.lit(0).alias("kind"), "length", "starts")
         if self.hot:
             found = found.unionByName(self._hot())
-        per_row = found.groupBy(*_KEY).agg(F.collect_list(F.struct("kind", "a", "b")).alias("found"))  # a document's own
+        per_row = found.groupBy(*_KEY).agg(F.collect_list(F.struct("kind", "length", "starts")).alias("found"))  # a document's own
         min_len = self.min_len
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,14 +288,15 @@ def runs(size: int, found: list[dict], min_len: int) -> np.ndarray:
     edge = np.zeros(size + 1, np.int64)
     starts = np.zeros(size + 1, np.int64)
     for x in found:
+        at = np.array(x["starts"])
         if x["kind"] == 0:
-            edge[x["a"]] += 1
-            edge[x["b"]] -= 1
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + x["length"], -1)
         elif x["kind"] == 1:
-            starts[x["a"] : x["b"] + 1] |= 1
+            starts[at[0] : at[0] + x["length"]] = 1
     for x in found:
         if x["kind"] == 2:
-            starts[x["a"]] = 0
+            starts[x["starts"]] = 0
     at = np.flatnonzero(starts)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + min_len, -1)

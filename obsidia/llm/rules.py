@@ -48,7 +48,7 @@ def _repeated(windows: Column, width: int) -> Column:
     return let(windows, of)
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8) -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, keep: list[str] | None = None) -> DataFrame:
     """doc_id and what the rules look at; the fields in words and lines are structs, so that each text is split once.
 
     Words are runs of characters other than ASCII white space. A null text has none. n_upper: words of capitals. n_twice: words that
@@ -73,8 +73,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def without(chars: str) -> Column:
         return (F.length("text") - F.length(F.translate("text", chars, ""))).cast("long")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *(keep or [])).select(
         "doc_id",
+        *(keep or []),
         let(words, of_words).alias("words"),
         let(lines, of_lines).alias("lines"),
         F.length(F.regexp_replace("text", space, "")).cast("long").alias("word_chars"),
@@ -124,6 +125,22 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], fl
     return good
 
 
+def _measured(df: DataFrame) -> DataFrame:
+    """df's measures with each rule's vote beside them."""
+    table = df.select("*", "words.*", "lines.*").drop("words", "lines")
+    return table.withColumn("votes", F.array(*[v.cast("int") for v in votes().values()]))
+
+
+def _scored(table: DataFrame) -> DataFrame:
+    """votes and posterior: a row for each pattern of votes that occurs, at most 3 to the power of the number of rules."""
+    posterior = fit([(tuple(r["votes"]), r["count"]) for r in table.groupBy("votes").count().collect()])
+    return table.sparkSession.createDataFrame([(list(p), v) for p, v in posterior.items()], "votes array<int>, posterior double")
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, the measures, base_failed, the votes, posterior and kept for each row.
 
@@ -131,15 +148,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     posterior is at least the threshold. A null text counts as empty, and fails; rows with equal or null ids each give a row; an
     empty table gives none. Other columns of docs are ignored.
     """
-    rules = votes()
-    table = common.written(measures(docs, id_col, text_col), "rules").select("doc_id", "words.*", "lines.*", "word_chars", "n_symbols", "n_shouts")
-    table = table.withColumn("votes", F.array(*[v.cast("int") for v in rules.values()]))
-    counted = table.groupBy("votes").count().collect()  # at most 3 to the power of the number of rules
-    posterior = fit([(tuple(r["votes"]), r["count"]) for r in counted])
-    spark = docs.sparkSession
-    scored = spark.createDataFrame([(list(p), v) for p, v in posterior.items()], "votes array<int>, posterior double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = table.join(F.broadcast(scored), "votes").withColumn("base_failed", failed)
-    names = [F.get("votes", F.lit(i)).alias(f"vote_{k}") for i, k in enumerate(rules)]
+    table = _measured(common.written(measures(docs, id_col, text_col), "rules"))
+    out = table.join(F.broadcast(_scored(table)), "votes").withColumn("base_failed", _failed())
+    names = [F.get("votes", F.lit(i)).alias(f"vote_{k}") for i, k in enumerate(votes())]
     kept = ~F.col("base_failed") & (F.col("posterior") >= threshold)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "posterior", *names)
+
+
+def filtered(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps. The measures are written beside the rows, so nothing is joined back."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    table = _measured(common.written(measures(row, keep=["row"]), "rules"))
+    out = table.join(F.broadcast(_scored(table)), "votes").where(~_failed() & (F.col("posterior") >= threshold))
+    return out.select("row.*")

@@ -44,16 +44,7 @@ def shingle_hashes(text: str, width: int) -> list[int]:
 
 def fingerprints_of(texts: list[str], width: int) -> np.ndarray:
     """A bit is 1 if it is set in over half of the text's hashes; all are 0 for a text without words."""
-    hashes = [shingle_hashes(t, width) for t in texts]
-    n = np.array([len(h) for h in hashes], np.int64)
-    flat = np.array([x for h in hashes for x in h], np.uint64).view(np.uint8).reshape(-1, 8)
-    owner = np.repeat(np.arange(len(texts)) * 256, n)
-    out = np.zeros(len(texts), np.uint64)
-    for k in range(8):
-        counts = np.bincount(owner + flat[:, k], minlength=256 * len(texts)).reshape(-1, 256) @ _TABLE
-        for bit in range(8):
-            out |= (2 * counts[:, bit] > n).astype(np.uint64) << np.uint64(8 * k + bit)
-    return out
+    return _bits([np.array(shingle_hashes(t, width), np.uint64) for t in texts])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,21 +104,25 @@ def _meeting(low: np.ndarray, left: np.ndarray, bits: int, flips: dict[int, list
     yield row[1:][same], first[1:][same]
 
 
-def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links of one prefix, as each row and the first row of its class. Only classes leave: never all pairs of a group."""
-    label = np.arange(len(prints))
-    low = prints & np.uint64((1 << bits) - 1)
-    for a, b in _meeting(low, left, bits, flips):
+def _pairs(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict) -> Iterator[np.ndarray]:
+    """Verified links of one prefix, two rows of row numbers: of each run its first row with each other, never all with all."""
+    for a, b in _meeting(prints & np.uint64((1 << bits) - 1), left, bits, flips):
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         near = np.bitwise_count(prints[pairs[0]] ^ prints[pairs[1]]) <= radius
-        if not near.all():  # some met falsely: within each such run, check all against each other by what is left of it
+        if not near.all():  # some met falsely: within each such run, check all against each other
             for x in np.unique(pairs[0][~near]):
                 run = np.unique(np.concatenate([[x], pairs[1][pairs[0] == x]]))
                 for i in run:
                     close = run[(np.bitwise_count(prints[run] ^ prints[i]) <= radius) & (run > i)]
                     pairs = np.concatenate([pairs, np.stack([np.full(len(close), i), close])], axis=1)
             near = np.bitwise_count(prints[pairs[0]] ^ prints[pairs[1]]) <= radius
-        pairs = pairs[:, near]
+        yield pairs[:, near]
+
+
+def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict) -> np.ndarray:
+    """Each linked row of one prefix with the first row of its class: only classes leave."""
+    label = np.arange(len(prints))
+    for pairs in _pairs(prints, left, bits, radius, flips):
         while True:
             least = np.minimum(label[pairs[0]], label[pairs[1]])
             before = label.copy()
@@ -138,23 +133,27 @@ def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips:
             if (label == before).all():
                 break
     linked = np.flatnonzero(label != np.arange(len(prints)))
-    return linked, label[linked]
+    return np.stack([label[linked], linked])
 
 
-def links(prints: DataFrame, radius: int = 4, distinct: int | None = None) -> DataFrame:
-    """Links a < b between distinct fingerprints, enough to connect all that are within radius of each other directly or by others.
+def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame:
+    """Links a < b between distinct fingerprints, of each family by itself.
 
-    prints: a column fingerprint of distinct longs. distinct: about how many there are; it only decides how finely prefixes part them.
+    prints: columns family (int) and fingerprint (long), distinct. With classes, links are enough to connect all that are within
+    radius of each other, directly or by others, and may join ends of a chain. Without, each link is itself within radius: of those
+    that share a variant, the first with each other.
     """
     half = radius // 2
     if radius % 2:
         raise ValueError("radius must be even: both meet in the middle")
-    n = prints.count() if distinct is None else distinct
-    top = min(20, max(6, ceil(log2(max(2, n) / 256))))
+    top = min(20, max(6, ceil(log2(max(2, prints.count()) / 256))))  # how finely prefixes part them; the result does not depend on it
     bits = BITS - top
     masks = np.concatenate(_flips(top, half)).tolist()
-    spread = prints.select("fingerprint", F.explode(F.array(*[F.lit(int(m)) for m in masks])).alias("mask")).select(F.shiftrightunsigned("fingerprint", bits).bitwiseXOR(F.col("mask")).alias("prefix"), "fingerprint")
+    spread = prints.select("family", "fingerprint", F.explode(F.array(*[F.lit(int(m)) for m in masks])).alias("mask"))
+    prefix = F.shiftrightunsigned("fingerprint", bits).bitwiseXOR(F.col("mask")).bitwiseOR(F.shiftleft(F.col("family").cast("long"), top))
+    spread = spread.select(prefix.alias("prefix"), "fingerprint")
     common.small_batches(prints.sparkSession, 20_000)
+    found_in = _forest if classes else _all_pairs
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = {bits: _flips(bits, half)}
@@ -162,14 +161,21 @@ def links(prints: DataFrame, radius: int = 4, distinct: int | None = None) -> Da
             if table.num_rows < 2:
                 continue
             found = table.column("fingerprint").to_numpy().view(np.uint64)
-            used = np.bitwise_count(found >> np.uint64(bits) ^ np.uint64(table.column("prefix")[0].as_py())).astype(np.int64)
-            row, first = _forest(found, half - used, bits, radius, flips)
-            if len(row):
-                x, y = found[row].view(np.int64), found[first].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            key = table.column("prefix")[0].as_py()
+            used = np.bitwise_count(found >> np.uint64(bits) ^ np.uint64(key & ((1 << top) - 1))).astype(np.int64)
+            pairs = found_in(found, half - used, bits, radius, flips)
+            if pairs.shape[1]:
+                x, y = found[pairs[0]].view(np.int64), found[pairs[1]].view(np.int64)
+                family = np.full(len(x), key >> top, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(family), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["family", "a", "b"])
 
     dealt = spread.repartition(common.partitions(prints.sparkSession), "prefix").sortWithinPartitions("prefix")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(meet, "family int, a long, b long").distinct()
+
+
+def _all_pairs(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict) -> np.ndarray:
+    found = list(_pairs(prints, left, bits, radius, flips))
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,9 +187,98 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     """
     all_prints = common.written(fingerprints(docs, width, id_col, text_col), "simhash")
     found = common.written(all_prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "prints")
-    edges = common.written(links(found.select("fingerprint"), radius), "links")
+    edges = common.written(links(found.select(F.lit(0).alias("family"), "fingerprint"), radius).select("a", "b"), "links")
     root = components(edges)
     named = found.join(root, found.fingerprint == root.node, "left").select("fingerprint", "doc_id", F.coalesce("root", "fingerprint").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(least, "root").select("fingerprint", "component_id")
     return all_prints.join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fingerprints a text for near_texts, and the smallest shingle hashes that its sketch holds.
+FAMILIES, SKETCH = 4, 256
+
+
+def _bits(hashes: list[np.ndarray]) -> np.ndarray:
+    """The majority bits of each text's hashes."""
+    n = np.array([len(h) for h in hashes], np.int64)
+    flat = np.concatenate(hashes).view(np.uint8).reshape(-1, 8) if len(hashes) else np.zeros((0, 8), np.uint8)
+    owner = np.repeat(np.arange(len(hashes)) * 256, n)
+    out = np.zeros(len(hashes), np.uint64)
+    for k in range(8):
+        counts = np.bincount(owner + flat[:, k], minlength=256 * len(hashes)).reshape(-1, 256) @ _TABLE
+        for bit in range(8):
+            out |= (2 * counts[:, bit] > n).astype(np.uint64) << np.uint64(8 * k + bit)
+    return out
+
+
+def _mixed(x: np.ndarray, family: int) -> np.ndarray:
+    x = (x ^ np.uint64(family * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(32)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Jaccard similarity from two sketches: exact if both hold their whole sets, else from the smallest hashes of both together."""
+    both = np.union1d(a, b)
+    if len(a) >= size or len(b) >= size:
+        both = both[:size]
+    return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / len(both) if len(both) else 1.0
+
+
+def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4, text_col: str = "text") -> DataFrame:
+    """node and root, the smallest node of its class, for each distinct text that is similar to another. A node is xxhash64 of a text.
+
+    Similar: the Jaccard similarity of the sets of shingles of `width` words is `least` or more; estimated from the SKETCH smallest
+    hashes for longer texts. One changed word changes `width` shingles, so a fingerprint of shingles is far off at this similarity.
+    The fingerprints here are of the sets of words instead, in FAMILIES families with hashes of their own: similar texts differ in a
+    few bits in one family or another, and each pair that meets is verified on its shingles.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = common.texts_of(batch)
+            words = [np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(t.encode().lower().split())), np.uint64) for t in texts]
+            prints = np.stack([_bits([_mixed(w, f) for w in words]) for f in range(FAMILIES)], axis=1).view(np.int64)
+            sketch = [np.unique(np.array(shingle_hashes(t, width), np.uint64) >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(prints), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["node", "prints", "sketch"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    made = common.written(docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, prints array<long>, sketch binary"), "sketches")
+    prints = common.written(made.select("node", F.posexplode("prints").alias("family", "fingerprint")).groupBy("family", "fingerprint").agg(F.min("node").alias("first")), "prints")
+    close = links(prints.select("family", "fingerprint"), radius, classes=False)
+    first = prints.select("family", "fingerprint", "first")
+    linked = close.join(first.withColumnsRenamed({"fingerprint": "a", "first": "x"}), ["family", "a"]).join(first.withColumnsRenamed({"fingerprint": "b", "first": "y"}), ["family", "b"]).select("x", "y")
+    alike = made.select("node", F.posexplode("prints").alias("family", "fingerprint")).distinct().join(first, ["family", "fingerprint"]).select(F.col("first").alias("x"), F.col("node").alias("y"))
+    pairs = common.written(linked.unionByName(alike).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    sketches = common.written(made.join(named, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
+    joined = pairs.join(sketches.withColumnsRenamed({"node": "x", "sketch": "sx"}), "x").join(sketches.withColumnsRenamed({"node": "y", "sketch": "sy"}), "y")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(v, "<u4") for v in batch.column(c).to_pylist()] for c in ("sx", "sy")]
+            ok = pa.array([similarity(a, b) >= least for a, b in zip(*sides, strict=True)], pa.bool_())
+            yield batch.select(["x", "y"]).filter(ok)
+
+    common.small_batches(spark, 2000)
+    return components(joined.select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long"), "x", "y")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, with one row of each class of equal or similar texts: that with the smallest id.
+
+    A null id counts as larger than all others; of equal ids that with the smaller text hash stays, and of rows equal in both any one.
+    A null text is an empty one.
+    """
+    row_id = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    keys = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), row_id.alias("row_id"))
+    per_text = keys.groupBy("node").agg(F.min("row_id").alias("row_id"))
+    root = near_texts(docs, width, least, text_col=text_col)
+    best = per_text.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("row_id", "node")).alias("best")).select("best.*")
+    best = common.written(best, "best")
+    wide = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), row_id.alias("row_id"), F.struct(*docs.columns).alias("row"))
+    kept = wide.join(best.hint("shuffle_hash"), ["row_id", "node"], "left_semi")
+    return kept.groupBy("row_id", "node").agg(F.first("row").alias("row")).select("row.*")

@@ -258,5 +258,20 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, settings: Settings,
     return score(docs, model, settings, id_col, text_col).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def filtered(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that classify() predicts as 1."""
+    rows = training_rows(docs, labels, label, settings, id_col, text_col)
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    shared = spark.sparkContext.broadcast(train([t for t, _ in rows], [y for _, y in rows], settings))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value, settings)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.score(common.texts_of(batch, text_col)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 TOXICITY = Settings(lower=True, window=6, epochs=10, rate=1.0, whole=3)
 QUALITY = Settings(lower=False, words=True, epochs=6)

@@ -131,8 +131,8 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((first, p))
 
 
-def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int) -> Iterator[tuple[list[int], int, int]]:
-    """Maximal repeats in one part of the array: the contexts that have it, and how far it goes left and right of the anchor.
+def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int) -> Iterator[tuple[list[int], list[int], int, int]]:
+    """Maximal repeats in one part of the array: contexts to put out, all that have it, and how far it goes left and right of the anchor.
 
     contexts: distinct pairs of what stands left of the anchor, reversed, and what stands from it on; counts: how often each occurs.
     Longer common prefixes come first. A context is put out with a repeat only if the repeat reaches further left than those before
@@ -142,7 +142,7 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
     for j, (left, right) in enumerate(contexts):
         if counts[j] > 1 and len(left) + len(right) >= min_len:
             reach[j] = len(left)
-            yield [j], len(left), len(right)
+            yield [j], [j], len(left), len(right)
     order = sorted(range(len(contexts)), key=lambda j: contexts[j][1])
     ahead = [common_prefix(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:], strict=False)]
     for first, last, right in intervals(ahead):
@@ -152,13 +152,14 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
             if left + right >= min_len and (further := [j for j in rows[a : b + 1] if reach[j] < left]):
                 for j in further:
                     reach[j] = left
-                yield further, left, right
+                yield further, rows[a : b + 1], left, right
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     """A row's key is its id and its text's hash. Rows that are equal in both share a key and are still two occurrences."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    row = F.struct(*[F.col(c) for c in docs.columns if whole and c != text_col] or [F.lit(0).alias("none")])
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
 
 
 def _utf8(batch: pa.RecordBatch) -> list[bytes]:
@@ -166,16 +167,16 @@ def _utf8(batch: pa.RecordBatch) -> list[bytes]:
 
 
 class Repeats:
-    """The repeated passages of a table. parts: the maximal repeats of the anchors that one task can hold; spans: all covered bytes."""
+    """The repeated passages of a table. With keep_first, the first occurrence of each, by row id, text hash and place, is not one of its spans."""
 
-    def __init__(self, docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, keep_first: bool = False):
         if min_len < 8:
             raise ValueError("min_len must be 8 or more")
         spark = docs.sparkSession
-        self.min_len, self.gram = min_len, min_len // 4
+        self.min_len, self.gram, self.keep_first = min_len, min_len // 4, keep_first
         n = common.partitions(spark)
         common.small_batches(spark)
-        rows = _rows(docs, id_col, text_col)
+        rows = _rows(docs, id_col, text_col, whole)
         self.rows = rows.repartition(n, *_KEY)  # both joins with the texts use this one exchange
         gram = self.gram
 
@@ -185,7 +186,7 @@ class Repeats:
                 for text, h, place, first, last in anchors_of(_utf8(batch), min_len, gram):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[0][text]), pa.array(key[1][text]), *(pa.array(x, pa.int32()) for x in (place, first, last))], ["h", *_KEY, "place", "first", "last"])
 
-        anchors = common.written(rows.mapInArrow(anchors_in, "h long, row_id long, row_hash long, place int, first int, last int"), "anchors")
+        anchors = common.written(rows.select(*_KEY, "text").mapInArrow(anchors_in, "h long, row_id long, row_hash long, place int, first int, last int"), "anchors")
         found = common.written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
         total = found.agg(F.sum("n")).first()[0] or 0
         fair = max(256, -(-total // n))
@@ -196,11 +197,11 @@ class Repeats:
         common.small_batches(spark)
 
     def _with_text(self) -> DataFrame:
-        return self.rows.join(self.places.hint("shuffle_hash"), _KEY)
+        return self.rows.join(self.places.hint("shuffle_hash"), _KEY).drop("row", "doc_id")
 
     def parts(self) -> DataFrame:
         """repeat_id, length, row_id, row_hash, starts: a row for each maximal repeat in each document, with all its starts there."""
-        min_len, gram = self.min_len, self.gram
+        min_len, gram, keep_first = self.min_len, self.gram, self.keep_first
 
         def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -224,11 +225,13 @@ class Repeats:
                     groups.setdefault((before, after), []).append(where)
                 contexts = list(groups)
                 where = list(groups.values())
-                for found, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len):
+                first = [min((row_id, row_hash, min(at)) for row_id, row_hash, at in w) for w in where]
+                for found, alike, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len):
                     before, after = contexts[found[0]]
                     name = xxhash.xxh64_intdigest(before[:left][::-1] + after[:right]) - (1 << 63)
+                    kept = min(first[j] for j in alike) if keep_first else None
                     for j in found:
-                        out += [(name, left + right, row_id, row_hash, [x - left for x in at]) for row_id, row_hash, at in where[j]]
+                        out += [(name, left + right, row_id, row_hash, [x - left for x in at if (row_id, row_hash, x) != kept]) for row_id, row_hash, at in where[j]]
                         if len(out) >= 8192:
                             yield _batch(out)
                             out = []
@@ -244,7 +247,7 @@ class Repeats:
         return suffixes.repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, row_id long, row_hash long, starts array<int>")
 
     def _hot(self) -> DataFrame:
-        """Of anchors that no one task takes: their windows' first and last starts, and as kind 2 the windows that occur once."""
+        """Of anchors that no one task takes: their windows' first and last starts, and as kind 2 the windows that stay: that occur once, or first."""
         min_len = self.min_len
 
         def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,7 @@ class Repeats:
 
         own = self.places.select(*_KEY, F.explode("places").alias("p")).where("p.hot").select(*_KEY, F.lit(1).alias("kind"), (F.col("p.last") - F.col("p.first") + 1).cast("long").alias("length"), F.array(F.col("p.first")).alias("starts"))
         counted = self._with_text().where(F.exists("places", lambda p: p["hot"])).mapInArrow(windows, "w1 long, w2 long, row_id long, row_hash long, start long").groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start")).alias("at"))
-        once = counted.where("n = 1").select("at.row_id", "at.row_hash", F.lit(2).alias("kind"), F.lit(1).cast("long").alias("length"), F.array(F.col("at.start").cast("int")).alias("starts"))
+        once = counted.where(F.lit(True) if self.keep_first else F.col("n") == 1).select("at.row_id", "at.row_hash", F.lit(2).alias("kind"), F.lit(1).cast("long").alias("length"), F.array(F.col("at.start").cast("int")).alias("starts"))
         return own.unionByName(once)
 
     def apply(self, fields: str, digest) -> DataFrame:
@@ -278,9 +281,12 @@ class Repeats:
                 rows = [digest(text, runs(len(text), found or [], min_len)) for text, found in zip(_utf8(batch), batch.column("found").to_pylist(), strict=True)]
                 columns = {k: [r[k] for r in rows] for k in rows[0]} if rows else {}
                 if rows:
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns})
+                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns, **({"row": batch.column("row")} if whole else {})})
 
-        return self.rows.join(per_row.hint("shuffle_hash"), _KEY, "left").select("doc_id", "text", "found").mapInArrow(run, f"doc_id long, {fields}")
+        whole = dict(self.rows.dtypes)["row"] != "struct<none:int>"
+        kind = f", row {self.rows.schema['row'].dataType.simpleString()}" if whole else ""
+        joined = self.rows.join(per_row.hint("shuffle_hash"), _KEY, "left").select("doc_id", "text", "found", *["row"] * whole)
+        return joined.mapInArrow(run, f"doc_id long, {fields}{kind}")
 
 
 def runs(size: int, found: list[dict], min_len: int) -> np.ndarray:
@@ -333,3 +339,20 @@ def digests(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_co
         return {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
     return Repeats(docs, min_len, id_col, text_col).apply("n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
+
+
+def cleaned(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", keep_first: bool = True) -> DataFrame:
+    """docs with all their columns, the texts without repeats of min_len bytes or more, and length_col, if there, with the new length.
+
+    With keep_first, of each repeat the occurrence in the row with the smallest id stays, as far as no other repeat takes it.
+
+    Of a character that lost some of its bytes the rest goes too. Otherwise as dedup; a null text comes back empty.
+    """
+
+    def digest(text: bytes, spans: np.ndarray) -> dict:
+        return {"kept": (without(text, spans) if len(spans) else text).decode("utf-8", "ignore")}
+
+    found = Repeats(docs, min_len, id_col, text_col, whole=True, keep_first=keep_first).apply("kept string", digest)
+    kinds = dict(docs.dtypes)
+    new = {text_col: F.col("kept"), length_col: F.length("kept").cast(kinds.get(length_col, "long"))}
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -294,7 +294,7 @@ def runs(size: int, found: list[dict], min_len: int) -> np.ndarray:
     edge = np.zeros(size + 1, np.int64)
     starts = np.zeros(size + 1, np.int64)
     for x in found:
-        at = np.array(x["starts"])
+        at = np.array(x["starts"], np.int64)
         if x["kind"] == 0:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + x["length"], -1)

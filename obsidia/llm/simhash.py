@@ -119,7 +119,7 @@ def _pairs(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips:
         yield pairs[:, near]
 
 
-def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict) -> np.ndarray:
+def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict, prefix: np.uint64) -> np.ndarray:
     """Each linked row of one prefix with the first row of its class: only classes leave."""
     label = np.arange(len(prints))
     for pairs in _pairs(prints, left, bits, radius, flips):
@@ -140,8 +140,8 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
     """Links a < b between distinct fingerprints, of each family by itself.
 
     prints: columns family (int) and fingerprint (long), distinct. With classes, links are enough to connect all that are within
-    radius of each other, directly or by others, and may join ends of a chain. Without, each link is itself within radius: of those
-    that share a variant, the first with each other.
+    radius of each other, directly or by others, and may join ends of a chain. Without, each link is itself within radius, and links
+    are few: what they span, closest first, is what all pairs within radius would.
     """
     half = radius // 2
     if radius % 2:
@@ -153,7 +153,7 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
     prefix = F.shiftrightunsigned("fingerprint", bits).bitwiseXOR(F.col("mask")).bitwiseOR(F.shiftleft(F.col("family").cast("long"), top))
     spread = spread.select(prefix.alias("prefix"), "fingerprint")
     common.small_batches(prints.sparkSession, 20_000)
-    found_in = _forest if classes else _all_pairs
+    found_in = _forest if classes else _tree
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = {bits: _flips(bits, half)}
@@ -162,8 +162,9 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
                 continue
             found = table.column("fingerprint").to_numpy().view(np.uint64)
             key = table.column("prefix")[0].as_py()
-            used = np.bitwise_count(found >> np.uint64(bits) ^ np.uint64(key & ((1 << top) - 1))).astype(np.int64)
-            pairs = found_in(found, half - used, bits, radius, flips)
+            prefix = np.uint64(key & ((1 << top) - 1))
+            used = np.bitwise_count(found >> np.uint64(bits) ^ prefix).astype(np.int64)
+            pairs = found_in(found, half - used, bits, radius, flips, prefix)
             if pairs.shape[1]:
                 x, y = found[pairs[0]].view(np.int64), found[pairs[1]].view(np.int64)
                 family = np.full(len(x), key >> top, np.int32)
@@ -173,9 +174,40 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
     return dealt.mapInArrow(meet, "family int, a long, b long").distinct()
 
 
-def _all_pairs(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict) -> np.ndarray:
-    found = list(_pairs(prints, left, bits, radius, flips))
-    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+def _tree(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict, prefix: np.uint64) -> np.ndarray:
+    """Links within radius that span each class of one prefix, closest first.
+
+    A link is put out under one prefix alone: that of the variant half way between its ends, which both ends reach.
+    """
+    order = np.argsort(prints)
+    found = list(_pairs(prints[order], left[order], bits, radius, flips))
+    if not found:
+        return np.zeros((2, 0), np.int64)
+    pairs = order[np.unique(np.concatenate(found, axis=1), axis=1)]
+    apart = prints[pairs[0]] ^ prints[pairs[1]]
+    distance = np.bitwise_count(apart).astype(np.int64)
+    middle, rest = prints[pairs[0]].copy(), apart.copy()
+    for k in range(radius // 2):
+        lowest = np.where(2 * k < distance, rest & (~rest + np.uint64(1)), np.uint64(0))
+        middle ^= lowest
+        rest ^= lowest
+    pairs = pairs[:, (middle >> np.uint64(bits)) == prefix]
+    near = np.argsort(np.bitwise_count(prints[pairs[0]] ^ prints[pairs[1]]), kind="stable")
+    up = list(range(len(prints)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    kept = []
+    for n in near.tolist():
+        x, y = top(int(pairs[0, n])), top(int(pairs[1, n]))
+        if x != y:
+            up[y] = x
+            kept.append(n)
+    return pairs[:, kept]
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

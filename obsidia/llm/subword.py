@@ -41,7 +41,7 @@ class Settings:
     epochs: int = 6
     rate: float = 0.5
     batch: int = 64
-    sample: int = 2000
+    sample: int = 1500
     longest: int = 20_000
     balance: float = 0.5
     whole: int = 1
@@ -114,7 +114,10 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
     number = {w: i for i, w in enumerate(sorted(set().union(*lists)))}
     ids = [np.fromiter(map(number.__getitem__, ws), np.int32, len(ws)) for ws in lists]
     del lists
-    whole, flat, counts = vocabulary.grams(list(number)) if number else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    names = list(number)
+    parts = [vocabulary.grams(names[i : i + 20_000]) for i in range(0, len(names), 20_000)]  # bounds what is held besides the result
+    whole, flat, counts = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    del names, number
     begins = np.cumsum(counts) - counts
     target = np.array(labels)
     share = target.mean()
@@ -133,6 +136,7 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
         i = int(mean.argmax())
         return words[at[i] : end[i]]
 
+    del parts
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)
         picked = [(i, w) for i, w in enumerate(ids) if len(w)]

@@ -1,15 +1,458 @@
-"""Named queries over the driver's tables, and their SQL."""
+"""Named queries over the driver's tables, and their SQL.
+
+The driver's events span a month, so windows are a day here where an agent's are minutes; the functions take either.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from obsidia import views
+from obsidia.functions import redact
+from obsidia.operators import anomaly, context, health, incidents, tiering, topology
+from obsidia.plans import catalog
+
+Query = Callable[[SparkSession, str], DataFrame]
+DAY = 86400
+AS_OF = datetime(2024, 1, 30)
+FAILED = "coalesce(upper(status), '') = 'ERROR'"
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None, *names: str):
+    """Registers a function of views by their names, with its SQL over the same views."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _queries[f.__name__] = lambda spark, sf_dir: f(*[views.load(spark, sf_dir, n) for n in names])
+        if sql:
+            _sql[f.__name__] = f"{views.oracle(*names)} {sql}"
+        return f
+
+    return add
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles of divisions and interpolations, to six places: engines differ in the last bits."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _sql_p(p: int) -> str:
+    return f"round(quantile_cont(duration_us, {p / 100}) / 1000, 6) AS p{p}_ms"
+
+
+_HEALTH = f"count(*) AS total, CAST(count(*) FILTER ({FAILED}) AS BIGINT) AS errors, round(count(*) FILTER ({FAILED}) / count(*), 6) AS error_rate"
+
+
+@query(f"SELECT service, {_HEALTH}, {_sql_p(50)}, {_sql_p(99)}, round(count(*) / 43200.0, 6) AS per_minute FROM spans_events GROUP BY service", "spans_events")
+def service_health(spans: DataFrame) -> DataFrame:
+    return _r(health.service_health(spans, None, 30 * DAY), "error_rate", "p50_ms", "p99_ms", "per_minute")
+
+
+@query(f"SELECT service, {_HEALTH}, {_sql_p(50)}, {_sql_p(99)}, round(count(*) / 1440.0, 6) AS per_minute FROM spans_events WHERE timestamp > TIMESTAMP '2024-01-29' AND timestamp <= TIMESTAMP '2024-01-30' GROUP BY service", "spans_events")
+def service_health_recent(spans: DataFrame) -> DataFrame:
+    return _r(health.service_health(spans, AS_OF, DAY), "error_rate", "p50_ms", "p99_ms", "per_minute")
+
+
+@query(f"SELECT service, {_sql_p(50)}, {_sql_p(95)}, {_sql_p(99)} FROM spans_events GROUP BY service", "spans_events")
+def latency_percentiles(spans: DataFrame) -> DataFrame:
+    return _r(spans.groupBy("service").agg(*health.percentiles(50, 95, 99)), "p50_ms", "p95_ms", "p99_ms")
+
+
+@query(f"SELECT service, round(100.0 * count(*) FILTER ({FAILED}) / count(*), 2) AS error_percent FROM spans_events GROUP BY service", "spans_events")
+def error_rate_by_service(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("service").agg(F.round(health.errors() * 100.0 / F.count("*"), 2).alias("error_percent"))
+
+
+@query(f"SELECT service, count(*) AS errors FROM spans_events WHERE {FAILED} GROUP BY service", "spans_events")
+def errors_by_service(spans: DataFrame) -> DataFrame:
+    return spans.where(health.failed()).groupBy("service").agg(F.count("*").alias("errors"))
+
+
+@query("SELECT level, count(*) AS total FROM logs_events GROUP BY level", "logs_events")
+def log_volume_by_level(logs: DataFrame) -> DataFrame:
+    return logs.groupBy("level").agg(F.count("*").alias("total"))
+
+
+@query("SELECT timestamp, service, level, message FROM logs_events WHERE upper(level) IN ('ERROR', 'WARN', 'FATAL') ORDER BY timestamp DESC, service, message LIMIT 20", "logs_events")
+def recent_errors(logs: DataFrame) -> DataFrame:
+    return health.recent_errors(logs)
+
+
+@query("SELECT service, operation, round(avg(duration_us) / 1000, 6) AS avg_ms, count(*) AS total FROM spans_events GROUP BY service, operation ORDER BY avg(duration_us) DESC, service, operation LIMIT 10", "spans_events")
+def slow_operations(spans: DataFrame) -> DataFrame:
+    return _r(health.slow_operations(spans), "avg_ms")
+
+
+@query("SELECT caller, callee, count(*) AS calls FROM (SELECT p.service AS caller, c.service AS callee FROM spans_orders p JOIN spans_orders c ON p.span_id = c.parent_span_id) WHERE caller <> callee GROUP BY caller, callee", "spans_orders")
+def service_edges(spans: DataFrame) -> DataFrame:
+    return topology.edges(spans)
+
+
+@query("SELECT DISTINCT c.service AS dependency FROM spans_orders p JOIN spans_orders c ON p.span_id = c.parent_span_id WHERE p.service = 'cust-1' AND c.service <> 'cust-1'", "spans_orders")
+def dependencies_of(spans: DataFrame) -> DataFrame:
+    return topology.dependencies(spans, "cust-1")
+
+
+def _correlated_sql(direction: str) -> str:
+    own, other, status = ("p", "c", "c") if direction == "downstream" else ("c", "p", "p")
+    service = "cust-1" if direction == "downstream" else "supp-1"
+    failed = f"upper({status}.status) = 'ERROR'"
+    return f"""SELECT service, '{direction}' AS direction, total, errors, round(errors / total, 6) AS error_rate, round(avg_ms, 6) AS avg_ms FROM (
+      SELECT {other}.service AS service, count(*) AS total, count(*) FILTER ({failed}) AS errors, avg(c.duration_us) / 1000 AS avg_ms
+      FROM spans_orders p JOIN spans_orders c ON p.span_id = c.parent_span_id WHERE {own}.service = '{service}' AND {other}.service <> '{service}' GROUP BY ALL
+      HAVING count(*) FILTER ({failed}) > 0 ORDER BY count(*) FILTER ({failed}) / count(*) DESC, service LIMIT 5) WHERE errors / total > 0.05"""
+
+
+@query(_correlated_sql("downstream"), "spans_orders")
+def downstream_correlation(spans: DataFrame) -> DataFrame:
+    return _r(topology.downstream(spans, "cust-1"), "error_rate", "avg_ms")
+
+
+@query(_correlated_sql("upstream"), "spans_orders")
+def upstream_correlation(spans: DataFrame) -> DataFrame:
+    return _r(topology.upstream(spans, "supp-1"), "error_rate", "avg_ms")
+
+
+@query(
+    """SELECT service, round(error_rate, 6) AS error_rate FROM (SELECT DISTINCT service, error_rate FROM (
+      SELECT c.service, count(*) FILTER (upper(c.status) = 'ERROR') / nullif(count(*), 0) AS error_rate FROM s p JOIN s c ON p.span_id = c.parent_span_id WHERE p.service = 'cust-1' AND c.service <> 'cust-1' GROUP BY c.service
+      UNION ALL SELECT p.service, count(*) FILTER (upper(p.status) = 'ERROR') / nullif(count(*), 0) FROM s p JOIN s c ON p.span_id = c.parent_span_id WHERE c.service = 'cust-1' AND p.service <> 'cust-1' GROUP BY p.service)
+      WHERE error_rate < 0.01 OR error_rate IS NULL) ORDER BY service LIMIT 10""".replace("FROM s p JOIN s c", "FROM (SELECT *, 'OK' AS x FROM spans_orders) p JOIN (SELECT * REPLACE (CASE WHEN service < 'supp-4' THEN 'OK' ELSE status END AS status) FROM spans_orders) c"),
+    "spans_orders",
+)
+def healthy_neighbours(spans: DataFrame) -> DataFrame:
+    """All suppliers fail in the driver's tables, so the first four are taken as healthy."""
+    mended = spans.withColumn("status", F.when(F.col("service").startswith("supp-") & (F.col("service") < "supp-4"), "OK").otherwise(F.col("status")))
+    return _r(topology.healthy_neighbours(mended, "cust-1"), "error_rate")
+
+
+_NOW, _BASE = "timestamp > TIMESTAMP '2024-01-29'", "timestamp > TIMESTAMP '2024-01-20' AND timestamp < TIMESTAMP '2024-01-27'"
+
+
+def _interval_sql(name: str, part: str, minutes: int) -> str:
+    n, bad = f"count(*) FILTER ({part})", f"count(*) FILTER ({part} AND {FAILED})"
+    return f"{n} AS {name}_total, round(coalesce({bad} / nullif({n}, 0), 0), 6) AS {name}_error_rate, round(coalesce(quantile_cont(duration_us, 0.99) FILTER ({part}) / 1000, 0), 6) AS {name}_p99_ms, round({n} / {minutes}, 6) AS {name}_per_minute"
+
+
+@query(f"SELECT service, {_interval_sql('current', _NOW, 1440)}, {_interval_sql('baseline', _BASE, 10080)} FROM spans_events WHERE timestamp > TIMESTAMP '2024-01-20' AND timestamp <= TIMESTAMP '2024-01-30' GROUP BY service", "spans_events")
+def current_vs_baseline(spans: DataFrame) -> DataFrame:
+    found = health.current_and_baseline(spans, AS_OF, DAY, 10 * DAY, 3 * DAY)
+    return _r(found, *[c for c in found.columns if c.endswith(("rate", "ms", "minute"))])
+
+
+@query(
+    f"""SELECT service, round(r1, 6) AS recent_rate, round(r0, 6) AS earlier_rate, round(greatest(r1, r0), 6) AS peak_rate,
+      CASE WHEN n1 = 0 OR n0 = 0 THEN 'unknown' WHEN r1 - r0 > 0.01 THEN 'worsening' WHEN r1 - r0 < -0.01 THEN 'improving' ELSE 'stable' END AS trend FROM (
+      SELECT service, n1, n0, CASE WHEN n1 > 0 THEN e1 / n1 ELSE 0 END AS r1, CASE WHEN n0 > 0 THEN e0 / n0 ELSE 0 END AS r0 FROM (SELECT service,
+      count(*) FILTER (timestamp > TIMESTAMP '2024-01-25') AS n1, count(*) FILTER (timestamp > TIMESTAMP '2024-01-25' AND {FAILED}) AS e1,
+      count(*) FILTER (timestamp <= TIMESTAMP '2024-01-25') AS n0, count(*) FILTER (timestamp <= TIMESTAMP '2024-01-25' AND {FAILED}) AS e0
+      FROM spans_events WHERE timestamp > TIMESTAMP '2024-01-15' AND timestamp <= TIMESTAMP '2024-01-30' GROUP BY service))""",
+    "spans_events",
+)
+def error_trend(spans: DataFrame) -> DataFrame:
+    return _r(health.error_trend(spans, AS_OF, 5 * DAY, 15 * DAY), "recent_rate", "earlier_rate", "peak_rate")
+
+
+@query(f"SELECT operation, {_HEALTH}, {_sql_p(99)} FROM spans_orders WHERE service LIKE 'cust-%' GROUP BY operation HAVING count(*) FILTER ({FAILED}) > 0 ORDER BY count(*) FILTER ({FAILED}) / count(*) DESC, operation LIMIT 10", "spans_orders")
+def affected_endpoints(spans: DataFrame) -> DataFrame:
+    return _r(health.affected_endpoints(spans.where("service LIKE 'cust-%'")), "error_rate", "p99_ms")
+
+
+@query(
+    f"""SELECT service, operation, max(duration_us) / 1000 AS max_ms, arg_min(status, place) AS status, '' AS error_type, count(*) AS count, row_number() OVER (PARTITION BY service ORDER BY min(place)) AS place FROM (
+      SELECT *, row_number() OVER (PARTITION BY service ORDER BY timestamp DESC NULLS LAST, operation, duration_us DESC, span_id) AS place FROM spans_orders WHERE {FAILED}) WHERE place <= 60 GROUP BY service, operation""",
+    "spans_orders",
+)
+def failing_traces(spans: DataFrame) -> DataFrame:
+    return context.failing_traces(spans).withColumn("place", F.col("place").cast("long"))
+
+
+def _types_sql(text: str) -> str:
+    cases = " ".join(f"WHEN {' OR '.join(f"contains(lower({text}), '{p}')" for p in phrases)} THEN '{name}'" for name, phrases in redact.ERROR_TYPES)
+    return f"CASE {cases} ELSE 'unknown' END"
+
+
+@query(f"SELECT {_types_sql('message')} AS error_type, count(*) AS total FROM logs_docs GROUP BY 1", "logs_docs")
+def error_type_class(logs: DataFrame) -> DataFrame:
+    return logs.groupBy(redact.error_type(F.col("message")).alias("error_type")).agg(F.count("*").alias("total"))
+
+
+_DATED = "SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * doc_id AS timestamp FROM logs_docs"
+
+
+def _dated(logs: DataFrame) -> DataFrame:
+    return logs.withColumn("timestamp", F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)"))
+
+
+@query(
+    f"""SELECT service, count(*) AS messages, {', '.join(f"round(100.0 * count(*) FILTER (kind = '{k}') / count(*), 6) AS {n}" for n, k in (("timeout", "timeout"), ("connection_error", "connection_error"), ("server_error_5xx", "server_error"), ("client_error_4xx", "validation_error")))},
+      round(100.0 * count(*) FILTER (kind NOT IN ('timeout', 'connection_error', 'server_error', 'validation_error')) / count(*), 6) AS other FROM (SELECT service, {_types_sql('message')} AS kind FROM (
+      SELECT *, row_number() OVER (PARTITION BY service ORDER BY timestamp DESC, message) AS place FROM ({_DATED}) WHERE upper(level) IN ('ERROR', 'WARN', 'FATAL')) WHERE place <= 100) GROUP BY service""",
+    "logs_docs",
+)
+def error_breakdown(logs: DataFrame) -> DataFrame:
+    return _r(context.error_breakdown(_dated(logs)), "timeout", "connection_error", "server_error_5xx", "client_error_4xx", "other")
+
+
+def _re2(rules: list[tuple[str, str]], text: str) -> str:
+    for pattern, to in rules:
+        quoted = pattern.replace("'", "''")
+        text = f"regexp_replace({text}, '{quoted}', '{to.replace('$', chr(92))}', 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, sha256({_re2(redact.PATTERNS, 'message')}) AS redacted_sha256 FROM logs_docs", "logs_docs")
+def redact_text(logs: DataFrame) -> DataFrame:
+    return logs.select("doc_id", F.sha2(redact.redact(F.col("message")), 256).alias("redacted_sha256"))
+
+
+@query(
+    f"""SELECT service, CAST(row_number() OVER (PARTITION BY service ORDER BY min(place)) AS INTEGER) AS place, substr(sha256(template), 1, 16) AS hash, arg_min(level, place) AS level, max(timestamp) AS timestamp, count(*) AS count FROM (
+      SELECT *, {_re2([*redact.PATTERNS, redact.UUID, redact.NUMERIC_ID], 'message')} AS template FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY timestamp DESC, message) AS place FROM ({_DATED}) WHERE upper(level) IN ('ERROR', 'WARN', 'FATAL')) WHERE place <= 40)
+      GROUP BY service, template QUALIFY row_number() OVER (PARTITION BY service ORDER BY min(place)) <= 20""",
+    "logs_docs",
+)
+def log_templates(logs: DataFrame) -> DataFrame:
+    return context.log_templates(_dated(logs)).drop("template")
+
+
+def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", redact.redact_path(F.col("url")).alias("path"))
+
+
+_queries["redact_paths"] = redact_paths
+_sql["redact_paths"] = f"SELECT page_id, {_re2(redact.PATH, 'url')} AS path FROM pages"
+
+
+@query(
+    f"""SELECT window_start, service, {_HEALTH}, {_sql_p(50)}, {_sql_p(99)} FROM (SELECT *, unnest(range(0, 2)) AS k FROM spans_events) s,
+      LATERAL (SELECT date_trunc('day', timestamp) - INTERVAL 1 DAY * k AS window_start) GROUP BY window_start, service""",
+    "spans_events",
+)
+def window_health(spans: DataFrame) -> DataFrame:
+    return _r(health.sliding_health(spans, "2 days", "1 day"), "error_rate", "p50_ms", "p99_ms")
+
+
+def _cycles(spans: DataFrame) -> DataFrame:
+    return anomaly.cycles(spans, "1 day", 1440)
+
+
+_CYCLES = f"""c AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY t) AS n FROM (SELECT service, date_trunc('day', timestamp) AS t, count(*) FILTER ({FAILED}) / count(*) AS e,
+  quantile_cont(duration_us, 0.99) / 1000 AS p, count(*) / 1440.0::DOUBLE AS r FROM spans_events GROUP BY 1, 2)),
+f AS (SELECT service, t, n, e, p, r, e AS ae, p AS ap, r AS ar FROM c WHERE n = 1
+  UNION ALL SELECT c.service, c.t, c.n, c.e, c.p, c.r, f.ae * 0.9 + f.e * 0.1, f.ap * 0.9 + f.p * 0.1, f.ar * 0.9 + f.r * 0.1 FROM f JOIN c ON c.service = f.service AND c.n = f.n + 1)"""
+
+
+def _with_cycles(select: str) -> str:
+    return f"{views.oracle('spans_events').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_CYCLES} {select}"
+
+
+def ema_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(anomaly.baselines(_cycles(views.load(spark, sf_dir, "spans_events"))), "avg_error_rate", "avg_p99_ms", "avg_per_minute")
+
+
+_queries["ema_baseline"] = ema_baseline
+_sql["ema_baseline"] = _with_cycles("SELECT service, t, CAST(n AS INTEGER) AS count, round(ae, 6) AS avg_error_rate, round(ap, 6) AS avg_p99_ms, round(ar, 6) AS avg_per_minute FROM f")
+
+
+def _uneven(spans: DataFrame) -> DataFrame:
+    """The driver's days are alike, so every ninth day of a service loses most of its spans and gets slow and failing ones."""
+    odd = F.pmod(F.dayofmonth("timestamp") + F.substring("service", 5, 1).cast("int"), F.lit(9)) == 0
+    kept = spans.where(~odd | (F.col("span_id").cast("long") % 4 == 0))
+    return kept.withColumns({"status": F.when(odd & (F.col("operation") != "click"), "ERROR").otherwise(F.col("status")), "duration_us": F.when(odd, F.col("duration_us") * 40).otherwise(F.col("duration_us"))})
+
+
+_ODD = "((day(timestamp) + CAST(substr(service, 5, 1) AS INTEGER)) % 9 = 0)"
+_UNEVEN = f"""(SELECT * REPLACE (CASE WHEN {_ODD} AND operation <> 'click' THEN 'ERROR' ELSE status END AS status, CASE WHEN {_ODD} THEN duration_us * 40 ELSE duration_us END AS duration_us)
+  FROM spans_events WHERE NOT {_ODD} OR CAST(span_id AS BIGINT) % 4 = 0)"""
+_ANOMALIES = """SELECT service, anomaly_type, CASE WHEN anomaly_type = 'traffic_drop' THEN 'medium' WHEN value / threshold > 5 THEN 'critical' WHEN value / threshold > 3 THEN 'high' WHEN value / threshold > 2 THEN 'medium' ELSE 'low' END AS severity,
+  round(value, 6) AS value, round(threshold, 6) AS threshold, t AS detected_at FROM (
+  SELECT service, t, 'error_spike' AS anomaly_type, e AS value, greatest(3 * ae, 0.01) AS threshold FROM f WHERE n >= 5 AND ae > 0 AND e > greatest(3 * ae, 0.01)
+  UNION ALL SELECT service, t, 'latency_spike', p, greatest(3 * ap, 100) FROM f WHERE n >= 5 AND ap > 0 AND p > greatest(3 * ap, 100)
+  UNION ALL SELECT service, t, 'traffic_drop', r / ar, 0.5 FROM f WHERE n >= 5 AND ar > 0 AND r / ar < 0.5)"""
+
+
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(anomaly.anomalies(_cycles(_uneven(views.load(spark, sf_dir, "spans_events")))), "value", "threshold")
+
+
+_queries["anomalies"] = anomalies
+_sql["anomalies"] = _with_cycles(_ANOMALIES).replace("FROM spans_events GROUP BY 1, 2", f"FROM {_UNEVEN} GROUP BY 1, 2")
+
+
+def active_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.active(anomalies(spark, sf_dir), AS_OF, 7 * DAY)
+
+
+_queries["active_anomalies"] = active_anomalies
+_sql["active_anomalies"] = f"SELECT * FROM ({_sql['anomalies']}) WHERE detected_at > TIMESTAMP '2024-01-23' AND detected_at <= TIMESTAMP '2024-01-30'"
+
+
+def _correlated(spans: DataFrame) -> DataFrame:
+    """A row a supplier: what calls it and fails."""
+    services = spans.select("service").distinct()
+    c = topology.correlations(spans, services).select(F.col("of").alias("service"), F.struct("service", "direction", "error_rate").alias("c"))
+    grouped = c.groupBy("service").agg(F.sort_array(F.collect_list("c")).alias("correlations"))
+    return services.join(grouped, "service", "left").withColumn("anomaly_type", F.lit("error_spike"))
+
+
+_CORRELATIONS = """, k AS (SELECT p.service AS a, c.service AS b, upper(p.status) = 'ERROR' AS pe, upper(c.status) = 'ERROR' AS ce FROM spans_orders p JOIN spans_orders c ON p.span_id = c.parent_span_id WHERE p.service <> c.service),
+x AS (SELECT a AS service, b AS other, 'downstream' AS direction, count(*) FILTER (ce) / count(*) AS rate FROM k GROUP BY a, b UNION ALL SELECT b, a, 'upstream', count(*) FILTER (pe) / count(*) FROM k GROUP BY a, b),
+y AS (SELECT *, row_number() OVER (PARTITION BY service, direction ORDER BY rate DESC, other) AS place FROM x WHERE rate > 0),
+z AS (SELECT s.service, coalesce(string_agg(other, ',' ORDER BY other), '') AS names, count(other) FILTER (direction = 'upstream') AS up, count(other) FILTER (direction = 'downstream') AS down
+  FROM (SELECT DISTINCT service FROM spans_orders) s LEFT JOIN (SELECT * FROM y WHERE place <= 5 AND rate > 0.05) y ON y.service = s.service GROUP BY s.service)"""
+
+
+@query(None, "spans_orders")
+def scope_class(spans: DataFrame) -> DataFrame:
+    return incidents.scope(_correlated(spans)).select("service", "scope", F.size("failing_deps").alias("failing"))
+
+
+@query(None, "spans_orders")
+def fingerprint(spans: DataFrame) -> DataFrame:
+    c = F.coalesce("correlations", F.array().cast("array<struct<service:string,direction:string,error_rate:double>>"))
+    return _correlated(spans).select("service", incidents.fingerprint(F.col("service"), F.col("anomaly_type"), c).alias("fingerprint"))
+
+
+_sql["scope_class"] = f"{views.oracle('spans_orders')}{_CORRELATIONS} SELECT service, CASE WHEN up > 0 AND down > 0 THEN 'cascading' WHEN up > 0 THEN 'upstream' WHEN down > 0 THEN 'downstream' ELSE 'isolated' END AS scope, CAST(up + down AS INTEGER) AS failing FROM z"
+_sql["fingerprint"] = f"{views.oracle('spans_orders')}{_CORRELATIONS} SELECT service, substr(sha256(service || '|error_spike|' || names), 1, 16) AS fingerprint FROM z"
+
+_INCIDENTS = "SELECT CAST(o_orderkey AS {s}) AS id, concat('f', CAST(o_custkey % 50 AS {s})) AS fingerprint, o_orderdate AS timestamp, concat('fix-', o_orderpriority) AS applied_fix, o_orderstatus <> 'F' AS fix_succeeded, CAST(floor(o_totalprice) AS INTEGER) AS time_to_resolve_seconds FROM {t}"
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_INCIDENTS.format(s="STRING", t="{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+_WITH_INCIDENTS = f"WITH i AS ({_INCIDENTS.format(s='VARCHAR', t='orders')})"
+
+
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(incidents.confidence(_history(spark, sf_dir)), "confidence")
+
+
+def fix_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.successful_fixes(_history(spark, sf_dir))
+
+
+def time_to_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.time_to_resolve(_history(spark, sf_dir))
+
+
+def incident_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.history(_history(spark, sf_dir)).select("fingerprint", F.col("place").cast("long").alias("place"), "id", "timestamp", "fix_succeeded")
+
+
+for _f in (confidence, fix_history, time_to_resolve, incident_lookup):
+    _queries[_f.__name__] = _f
+_PLACED = "SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY timestamp DESC, id) AS place FROM i QUALIFY place <= 10"
+_sql["confidence"] = f"{_WITH_INCIDENTS} SELECT fingerprint, count(*) AS matches, round(least(1.0, count(*) FILTER (fix_succeeded) / count(*) + least(count(*) / 10, 0.2) + CASE WHEN max(CASE WHEN place = 1 THEN fix_succeeded END) THEN 0.1 ELSE 0 END), 6) AS confidence FROM ({_PLACED}) GROUP BY fingerprint"
+_sql["fix_history"] = f"{_WITH_INCIDENTS} SELECT applied_fix, max(timestamp) AS last_worked FROM i WHERE fix_succeeded AND applied_fix <> '' GROUP BY applied_fix ORDER BY last_worked DESC, applied_fix LIMIT 5"
+_sql["time_to_resolve"] = f"{_WITH_INCIDENTS} SELECT fingerprint, CAST(floor(coalesce(avg(time_to_resolve_seconds) FILTER (fix_succeeded), 0)) AS BIGINT) AS seconds FROM i GROUP BY fingerprint"
+_sql["incident_lookup"] = f"{_WITH_INCIDENTS} SELECT fingerprint, place, id, timestamp, fix_succeeded FROM ({_PLACED})"
+
+
+@query("SELECT service, name, count(*) AS points, string_agg(CAST(round(value, 2) AS VARCHAR), ',' ORDER BY timestamp, value) AS series FROM (SELECT service, name, timestamp, value FROM metrics_events WHERE timestamp < TIMESTAMP '2024-01-02') GROUP BY service, name", "metrics_events")
+def series_points(metrics: DataFrame) -> DataFrame:
+    """A day's points of each series, in order of time."""
+    day = metrics.where("timestamp < TIMESTAMP_NTZ '2024-01-02 00:00:00'")
+    points = F.sort_array(F.collect_list(F.struct("timestamp", "value")))
+    listed = F.array_join(F.transform(points, lambda p: F.round(p["value"], 2).cast("string")), ",")
+    return day.groupBy("service", "name").agg(F.count("*").alias("points"), listed.alias("series"))
+
+
+@query("SELECT tier, count(*) AS rows, min(timestamp) AS oldest, max(timestamp) AS newest FROM (SELECT timestamp, CASE WHEN timestamp < TIMESTAMP '2024-01-23' THEN 'cold' WHEN timestamp < TIMESTAMP '2024-01-29 23:00:00' THEN 'warm' ELSE 'hot' END AS tier FROM spans_events) GROUP BY tier", "spans_events")
+def tier_assign(spans: DataFrame) -> DataFrame:
+    return tiering.assigned(spans, AS_OF).groupBy("tier").agg(F.count("*").alias("rows"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
+
+
+_TIER = "CASE WHEN timestamp < TIMESTAMP '2024-01-23' THEN 'cold' WHEN timestamp < TIMESTAMP '2024-01-29 23:00:00' THEN 'warm' ELSE 'hot' END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table, {_TIER} AS tier, count(*) AS rows FROM {t}_events GROUP BY 2" for t in ("spans", "logs", "metrics")), "spans_events", "logs_events", "metrics_events")
+def tier_stats(spans: DataFrame, logs: DataFrame, metrics: DataFrame) -> DataFrame:
+    return tiering.tier_stats({k: tiering.assigned(v, AS_OF) for k, v in (("spans", spans), ("logs", logs), ("metrics", metrics))})
+
+
+@query("SELECT data_type, count(*) AS blocks, CAST(sum(b) AS BIGINT) AS original, CAST(sum(a) AS BIGINT) AS compressed, round(avg(b / a), 6) AS avg_ratio, round((1 - sum(a) / sum(b)) * 100, 6) AS saved_percent FROM (SELECT operation AS data_type, duration_us + 10 AS b, 5 + duration_us // 4 AS a FROM spans_events) GROUP BY ROLLUP (data_type)", "spans_events")
+def block_stats(spans: DataFrame) -> DataFrame:
+    """Blocks of known sizes, made from spans."""
+    a, b = F.expr("5 + duration_us DIV 4"), F.col("duration_us") + 10
+    blocks = spans.select(F.col("operation").alias("data_type"), b.alias("original_size"), a.alias("compressed_size"), (b / a).alias("compression_ratio"))
+    return _r(tiering.block_stats(blocks), "avg_ratio", "saved_percent")
+
+
+@query("SELECT min(timestamp) AS oldest, max(timestamp) AS newest FROM spans_events", "spans_events")
+def time_bounds(spans: DataFrame) -> DataFrame:
+    return spans.agg(F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
+
+
+@query("SELECT timestamp, trace_id, span_id, parent_span_id, service, operation, duration_us, status, tags FROM spans_events WHERE timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-11'", "spans_events")
+def hot_extract(spans: DataFrame) -> DataFrame:
+    return spans.where("timestamp >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND timestamp < TIMESTAMP_NTZ '2024-01-11 00:00:00'")
+
+
+@query("SELECT date_trunc('day', timestamp) AS day, count(*) AS rows FROM spans_events WHERE timestamp >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY GROUP BY 1", "spans_events")
+def retention_filter(spans: DataFrame) -> DataFrame:
+    kept = tiering.retained(spans, datetime(2024, 2, 15), "FREE")
+    return kept.groupBy(F.to_date("timestamp").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("rows"))
+
+
+@query("SELECT DISTINCT service AS value FROM spans_events WHERE service IS NOT NULL ORDER BY 1 LIMIT 20", "spans_events")
+def distinct_values(spans: DataFrame) -> DataFrame:
+    return catalog.distinct_values(spans, "service")
+
+
+@query("SELECT 'spans' AS table, count(*) AS rows FROM spans_events UNION ALL SELECT 'logs', count(*) FROM logs_events", "spans_events", "logs_events")
+def table_counts(spans: DataFrame, logs: DataFrame) -> DataFrame:
+    return catalog.table_counts({"spans": spans, "logs": logs})
+
+
+@query("SELECT service AS service_id, count(*) AS calls, round(avg(duration_us / 1000), 6) AS latency, count(*) FILTER (upper(status) = 'ERROR') AS bad FROM spans_events GROUP BY service", "spans_events")
+def compat_sql(spans: DataFrame) -> DataFrame:
+    """SQL by other names of the columns."""
+    catalog.register({"spans": spans})
+    return catalog.run_sql(spans.sparkSession, "SELECT service_id, count(*) AS calls, round(avg(latency_ms), 6) AS latency, count_if(has_error) AS bad FROM spans GROUP BY service_id")
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health summary as one JSON payload."""
+    spans = views.load(spark, sf_dir, "spans_events")
+    return health.summary(health.service_health(spans, AS_OF, DAY), active_anomalies(spark, sf_dir))
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence for each active anomaly, as JSON."""
+    spans = _uneven(views.load(spark, sf_dir, "spans_events"))
+    history = _history(spark, sf_dir)
+    made = context.bundles(active_anomalies(spark, sf_dir), spans, views.load(spark, sf_dir, "logs_events"), history, AS_OF, 7 * DAY)
+    return context.payloads(made).select("service", "payload", "bytes")
+
+
+def parse_generic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as payloads of generic JSON, through the router, back as metrics."""
+    from obsidia.sources import router
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    body = F.to_json(F.struct(F.col("event_type").alias("name"), "value", F.concat(F.lit("svc-"), F.col("user_id") % 8).alias("service")))
+    raw = events.select(body.alias("body"), F.lit("/ingest").alias("path"), F.lit("").alias("user_agent"), F.lit("application/json").alias("content_type"), F.col("ts").cast("timestamp_ntz").alias("received_at"))
+    return router.core(raw, "metrics").groupBy("service", "name").agg(F.count("*").alias("points"), F.round(F.sum("value"), 4).alias("total"))
+
+
+for _f in (summary, bundles, parse_generic_json):
+    _queries[_f.__name__] = _f
+_sql["parse_generic_json"] = "SELECT 'svc-' || (user_id % 8) AS service, event_type AS name, count(*) AS points, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)

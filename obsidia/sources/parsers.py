@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from obsidia import schemas
 
+
 def NOW() -> Column:
     """When the payload came."""
     return F.col("received_at")
@@ -57,7 +58,7 @@ def tags(**of: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
 
 
-NO_TAGS = F.lit(None)
+NO_TAGS = None
 
 
 def parsed(raw: DataFrame, schema: str) -> DataFrame:
@@ -76,14 +77,15 @@ def lines(raw: DataFrame) -> DataFrame:
 
 def _core(df: DataFrame, table: str, **of: Column) -> DataFrame:
     schema = schemas.TABLES[table]
-    return df.select(*[of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    nothing = F.lit(None)
+    return df.select(*[(nothing if of.get(f.name) is None else of[f.name]).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def metrics(df: DataFrame, timestamp: Column, service: Column, name: Column, value: Column, tags: Column = NO_TAGS) -> DataFrame:
+def metrics(df: DataFrame, timestamp: Column, service: Column, name: Column, value: Column, tags: Column | None = NO_TAGS) -> DataFrame:
     return _core(df, "metrics", timestamp=timestamp, service=service, name=name, value=value, tags=tags)
 
 
-def logs(df: DataFrame, timestamp: Column, service: Column, level: Column, message: Column, tags: Column = NO_TAGS) -> DataFrame:
+def logs(df: DataFrame, timestamp: Column, service: Column, level: Column, message: Column, tags: Column | None = NO_TAGS) -> DataFrame:
     return _core(df, "logs", timestamp=timestamp, service=service, level=level, message=message, tags=tags)
 
 

@@ -151,14 +151,18 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
             rows = [picked[j] for j in order[first : first + s.batch]]
             owner = [i for i, _ in rows]
             bags = [features(w) for _, w in rows]
+            rows, owner, bags = zip(*[(r, o, x) for r, o, x in zip(rows, owner, bags, strict=True) if len(x)], strict=True) if any(map(len, bags)) else ((), (), ())
+            if not bags:
+                continue
             n = np.array([len(x) for x in bags])
             bag = np.concatenate(bags)
             mean = np.add.reduceat(vectors[bag], np.cumsum(n) - n, axis=0) / n[:, None]
             z = mean @ linear + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), target[owner]] -= 1
-            p *= weight[owner][:, None] * rate
+            own = list(owner)
+            p[np.arange(len(rows)), target[own]] -= 1
+            p *= weight[own][:, None] * rate
             back = p @ linear.T
             linear -= mean.T @ p / len(rows)
             bias -= p.mean(axis=0)

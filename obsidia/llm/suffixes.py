@@ -158,8 +158,8 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
 def _rows(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     """A row's key is its id and its text's hash. Rows that are equal in both share a key and are still two occurrences."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = F.struct(*[F.col(c) for c in docs.columns if whole and c != text_col] or [F.lit(0).alias("none")])
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
+    row = [F.struct(*[F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]).alias("row")] if whole else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"), *row)
 
 
 def _utf8(batch: pa.RecordBatch) -> list[bytes]:
@@ -197,7 +197,8 @@ class Repeats:
         common.small_batches(spark)
 
     def _with_text(self) -> DataFrame:
-        return self.rows.join(self.places.hint("shuffle_hash"), _KEY).drop("row", "doc_id")
+        """The same columns of rows as in apply: else Spark would not use one exchange for both."""
+        return self.rows.join(self.places.hint("shuffle_hash"), _KEY)
 
     def parts(self) -> DataFrame:
         """repeat_id, length, row_id, row_hash, starts: a row for each maximal repeat in each document, with all its starts there."""
@@ -283,9 +284,10 @@ class Repeats:
                 if rows:
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns, **({"row": batch.column("row")} if whole else {})})
 
-        whole = dict(self.rows.dtypes)["row"] != "struct<none:int>"
+        whole = "row" in self.rows.columns
         kind = f", row {self.rows.schema['row'].dataType.simpleString()}" if whole else ""
-        joined = self.rows.join(per_row.hint("shuffle_hash"), _KEY, "left").select("doc_id", "text", "found", *["row"] * whole)
+        doc_id = F.nullif(F.col("row_id"), F.lit(_NO_ID)).alias("doc_id")
+        joined = self.rows.join(per_row.hint("shuffle_hash"), _KEY, "left").select(doc_id, "text", "found", *["row"] * whole)
         return joined.mapInArrow(run, f"doc_id long, {fields}{kind}")
 
 

@@ -193,7 +193,7 @@ class Repeats:
         self.hot = total > 0 and found.where(F.col("n") > fair).limit(1).count() > 0
         there = anchors.join(found.select("h", (F.col("n") > fair).alias("hot")), "h")
         place = F.struct("place", "first", "last", "h", "hot")
-        self.places = common.written(there.groupBy(*_KEY).agg(F.collect_list(place).alias("places")), "places")  # a document's own, bounded by its length
+        self.places = common.written(there.groupBy(*_KEY).agg(F.collect_set(place).alias("places")), "places")  # a document's own, bounded by its length: once for all rows that share its key
         common.small_batches(spark)
 
     def _with_text(self) -> DataFrame:
@@ -274,7 +274,7 @@ class Repeats:
         found = self.parts().select(*_KEY, F.lit(0).alias("kind"), "length", "starts")
         if self.hot:
             found = found.unionByName(self._hot())
-        per_row = found.groupBy(*_KEY).agg(F.collect_list(F.struct("kind", "length", "starts")).alias("found"))  # a document's own
+        per_row = found.groupBy(*_KEY).agg(F.collect_set(F.struct("kind", "length", "starts")).alias("found"))  # a document's own, once for all rows that share its key
         min_len = self.min_len
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

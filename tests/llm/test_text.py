@@ -155,6 +155,17 @@ def test_repeat_groups(spark):
     assert max(e - s for i, s, e in spans if i == 2) <= 60
 
 
+def test_repeated_rows_share_their_places(spark):
+    """Rows that are equal in id and text hold their places once, not once a row, and are still copies of each other."""
+    text = "".join(R.choices("abcdefgh ", k=300))
+    df = spark.createDataFrame([(None, text)] * 30 + [(1, "x" * 20)], "doc_id long, text string")
+    places = suffixes.Repeats(df, 40).places.collect()
+    once = suffixes.Repeats(df.limit(2), 40).places.collect()
+    assert [len(r.places) for r in places] == [len(r.places) for r in once]
+    got = suffixes.digests(df, 40).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == [(20, 0)] + [(300, 300)] * 30
+
+
 def test_cleaned_keeps_first(spark):
     passage = "".join(R.choices("abcdefgh ", k=300))
     rows = [(2, "two " + passage, 0), (1, "one " + passage, 0), (3, "three", 0), (None, None, None)]

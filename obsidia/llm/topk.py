@@ -119,7 +119,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                     i, least = b["i"], b["least"]
                     take = c_ids != q_ids[i]
                     if b["reach"] is not None:
-                        cut = (b["reach"] - sum(least)) / LISTS
+                        cut = -((sum(least) - b["reach"]) // LISTS)  # rounded up, in integers: no score is too large to compare
                         above = [x[i] - m >= cut for x, m in zip(lists, least, strict=True)]
                         take &= np.logical_or.reduce(above)
                         # Phase 3: what is below the cut in some list adds less than the cut there; what can still reach is resolved.

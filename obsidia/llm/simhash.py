@@ -22,8 +22,10 @@ from obsidia.llm import common
 from obsidia.llm.components import components
 
 BITS, SEED = 64, 42
-#: Variants that a task holds at once.
-VARIANTS = 4_000_000
+#: Variants, and apart from them links, that a task holds at once.
+VARIANTS, LINKS = 4_000_000, 1_000_000
+#: Fingerprints to a prefix, before those that reach it by flips: bounds what a task holds of one prefix to some 211 times as many.
+PREFIX_ROWS = 16_384
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -119,10 +121,23 @@ def _pairs(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips:
         yield pairs[:, near]
 
 
+def _gathered(pairs: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same links in fewer arrays, of some LINKS each."""
+    held, size = [], 0
+    for p in pairs:
+        held.append(p)
+        size += p.shape[1]
+        if size >= LINKS:
+            yield np.concatenate(held, axis=1)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held, axis=1)
+
+
 def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict, prefix: np.uint64) -> np.ndarray:
     """Each linked row of one prefix with the first row of its class: only classes leave."""
     label = np.arange(len(prints))
-    for pairs in _pairs(prints, left, bits, radius, flips):
+    for pairs in _gathered(_pairs(prints, left, bits, radius, flips)):
         while True:
             least = np.minimum(label[pairs[0]], label[pairs[1]])
             before = label.copy()
@@ -146,7 +161,9 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
     half = radius // 2
     if radius % 2:
         raise ValueError("radius must be even: both meet in the middle")
-    top = min(20, max(6, ceil(log2(max(2, prints.count()) / 256))))  # how finely prefixes part them; the result does not depend on it
+    n = common.partitions(prints.sparkSession)
+    # How finely prefixes part them: enough for each task and for bounded tasks, as each more bit moves more rows. The result does not depend on it.
+    top = min(20, max(6, ceil(log2(max(1, n))), ceil(log2(max(1, prints.count() / PREFIX_ROWS)))))
     bits = BITS - top
     masks = np.concatenate(_flips(top, half)).tolist()
     spread = prints.select("family", "fingerprint", F.explode(F.array(*[F.lit(int(m)) for m in masks])).alias("mask"))
@@ -170,7 +187,7 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
                 family = np.full(len(x), key >> top, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(family), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["family", "a", "b"])
 
-    dealt = spread.repartition(common.partitions(prints.sparkSession), "prefix").sortWithinPartitions("prefix")
+    dealt = spread.repartition(n, "prefix").sortWithinPartitions("prefix")
     return dealt.mapInArrow(meet, "family int, a long, b long").distinct()
 
 

@@ -162,7 +162,7 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
     if radius % 2:
         raise ValueError("radius must be even: both meet in the middle")
     n = common.partitions(prints.sparkSession)
-    # How finely prefixes part them: enough for each task and for bounded tasks, as each more bit moves more rows. The result does not depend on it.
+    # How finely prefixes part them: enough for each task and for bounded tasks, as each more bit moves more rows. Classes do not depend on it; which links span them does.
     top = min(20, max(6, ceil(log2(max(1, n))), ceil(log2(max(1, prints.count() / PREFIX_ROWS)))))
     bits = BITS - top
     masks = np.concatenate(_flips(top, half)).tolist()

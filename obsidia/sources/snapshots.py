@@ -7,23 +7,30 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsidia.functions.redact import redact_env
+
 # Reasons of normal events that still matter, and how many events and minutes are looked at.
 REASONS = ("Unhealthy", "BackOff", "Failed", "OOMKilling", "Evicted")
 EVENTS, MINUTES = 10, 15
 
 
+def _as_map(pairs: Column) -> Column:
+    """Keys and values as a map; of a key that comes again the last counts."""
+    text = F.array().cast("array<string>")
+    one = lambda p: F.map_from_arrays(F.array(p["key"]), F.array(p["value"]))
+    return F.aggregate(pairs, F.map_from_arrays(text, text), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), one(p)))
+
+
 def properties(text: Column, between: str = "=") -> Column:
     """Lines of key and value as a map; of a key that comes again the last counts, other lines are skipped."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.contains(between))
-    pair = lambda x: F.struct(F.substring_index(x, between, 1).alias("key"), F.substr(x, F.length(F.substring_index(x, between, 1)) + 2).alias("value"))
-    merged = F.aggregate(F.transform(lines, pair), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.map_from_arrays(F.array(p["key"]), F.array(p["value"]))))
-    return merged
+    return _as_map(F.transform(lines, lambda x: F.struct(F.substring_index(x, between, 1).alias("key"), F.substr(x, F.length(F.substring_index(x, between, 1)) + 2).alias("value"))))
 
 
 def stats(text: Column) -> Column:
-    """Lines "STAT key value" as a map."""
+    """Lines "STAT key value" as a map; of a key that comes again the last counts."""
     found = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), r"\s+", 3)), lambda p: (F.size(p) == 3) & (p[0] == "STAT"))
-    return F.map_from_entries(F.transform(found, lambda p: F.struct(p[1].alias("key"), p[2].alias("value"))))
+    return _as_map(F.transform(found, lambda p: F.struct(p[1].alias("key"), p[2].alias("value"))))
 
 
 def _long(m: Column, key: str) -> Column:
@@ -58,15 +65,107 @@ def units(df: DataFrame, text: str = "text") -> DataFrame:
     return made.select(*df.columns, i["ActiveState"].alias("state"), i["SubState"].alias("sub_state"), duration_text(F.floor(_long(i, "CPUUsageNSec") / 1_000_000_000)).alias("cpu"))
 
 
-_POD = "struct<metadata:struct<name:string,namespace:string>,status:struct<phase:string,conditions:array<struct<type:string,status:string>>,containerStatuses:array<struct<name:string,ready:boolean,restartCount:bigint>>>>"
+def connections(df: DataFrame, kind: str, text: str = "text") -> DataFrame:
+    """Adds active, idle, most and waiting connections of a database's report; what it does not tell is 0.
+
+    kind: postgres, "active | idle | most | waiting"; mysql, the first three of these between white space; mongodb, a status text
+    with its current connections.
+    """
+    names = ["active", "idle", "most", "waiting"]
+    if kind == "mongodb":
+        told = F.array(F.regexp_extract(text, r"\bcurrent\b[\"']?\s*:\s*(\d+)", 1))
+        least = 1
+    elif kind in ("postgres", "mysql"):
+        told = F.split(F.trim(F.col(text)), r"\s*\|\s*" if kind == "postgres" else r"\s+")
+        least = 4 if kind == "postgres" else 3
+    else:
+        raise ValueError(f"no report of {kind} is known")
+    given = {"mongodb": 1, "mysql": 3, "postgres": 4}[kind]
+    number = lambda i: F.when(F.size(told) >= least, F.get(told, F.lit(i)).try_cast("long")) if i < given else F.lit(None)
+    return df.select("*", *[F.coalesce(number(i), F.lit(0).cast("long")).alias(n) for i, n in enumerate(names)])
+
+
+def _items(df: DataFrame, kind: str, text: str) -> DataFrame:
+    """A row for each named object of a JSON listing, or for the one object that the text is; other texts give none."""
+    one = F.from_json(text, kind)
+    found = F.coalesce(F.from_json(text, f"struct<items:array<{kind}>>")["items"], F.array(one))
+    return df.select(F.explode(found).alias("x")).where("x.metadata.name IS NOT NULL")
+
+
+_AMOUNTS = "struct<cpu:string,memory:string>"
+_WORKLOAD = (
+    "struct<kind:string,metadata:struct<name:string,namespace:string,creationTimestamp:string>,spec:struct<replicas:int,"
+    "strategy:struct<type:string,rollingUpdate:struct<maxSurge:string,maxUnavailable:string>>,template:struct<spec:struct<containers:array<"
+    f"struct<image:string,imagePullPolicy:string,resources:struct<requests:{_AMOUNTS},limits:{_AMOUNTS}>,env:array<struct<name:string,value:string>>>>>>>,"
+    "status:struct<readyReplicas:int,availableReplicas:int,updatedReplicas:int>>"
+)
+
+
+def workloads(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row a deployment or stateful set: replicas, rollout, and of its first container image, resources and redacted environment.
+
+    Counts that are not stated are 0, other fields null; variables without a name are left out.
+    """
+    c = F.get("x.spec.template.spec.containers", F.lit(0))
+    named = F.filter(c["env"], lambda e: F.coalesce(e["name"], F.lit("")) != "")
+    env = _as_map(F.transform(named, lambda e: F.struct(e["name"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))
+    count = lambda path: F.coalesce(path, F.lit(0))
+    return _items(df, _WORKLOAD, text).select(
+        "x.kind", "x.metadata.name", "x.metadata.namespace", count("x.spec.replicas").alias("replicas"),
+        *[count(f"x.status.{k}Replicas").alias(k) for k in ("ready", "available", "updated")],
+        F.col("x.spec.strategy.type").alias("strategy"), F.col("x.spec.strategy.rollingUpdate.maxSurge").alias("max_surge"), F.col("x.spec.strategy.rollingUpdate.maxUnavailable").alias("max_unavailable"),
+        c["image"].alias("image"), c["imagePullPolicy"].alias("pull_policy"),
+        *[c["resources"][side + "s"][k].alias(f"{k}_{side}") for side in ("request", "limit") for k in ("cpu", "memory")],
+        redact_env(env).alias("env"), F.try_to_timestamp("x.metadata.creationTimestamp").cast("timestamp_ntz").alias("created"),
+    )
+
+
+def _load(value: str) -> str:
+    return f"array<struct<resource:struct<name:string,{value}:struct<averageUtilization:int>>>>"
+
+
+_SCALER = f"struct<metadata:struct<name:string,namespace:string>,spec:struct<minReplicas:int,maxReplicas:int,metrics:{_load('target')}>,status:struct<currentReplicas:int,desiredReplicas:int,currentMetrics:{_load('current')}>>"
+
+
+def autoscalers(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row an autoscaler: bounds, current and desired replicas, target and current load in per cent; what is not stated is null."""
+
+    def load(metrics: str, value: str, resource: str) -> Column:
+        own = F.filter(F.col(metrics), lambda m: m["resource"]["name"] == resource)
+        return F.try_element_at(own, F.lit(-1))["resource"][value]["averageUtilization"]
+
+    return _items(df, _SCALER, text).select(
+        "x.metadata.name", "x.metadata.namespace",
+        *[F.col(f"x.{part}.{k}Replicas").alias(f"{k}_replicas") for part, k in (("spec", "min"), ("spec", "max"), ("status", "current"), ("status", "desired"))],
+        *[load("x.spec.metrics", "target", k).alias(f"target_{k}") for k in ("cpu", "memory")],
+        *[load("x.status.currentMetrics", "current", k).alias(f"current_{k}") for k in ("cpu", "memory")],
+    )
+
+
+_SERVICE = "struct<metadata:struct<name:string,namespace:string>,spec:struct<type:string,clusterIP:string,ports:array<struct<name:string,port:int,protocol:string>>>>"
+
+
+def services(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row a service: type, cluster_ip and ports, each as name:port/protocol or port/protocol."""
+    shown = lambda p: F.concat(F.when(p["name"] != "", F.concat(p["name"], F.lit(":"))).otherwise(""), F.coalesce(p["port"], F.lit(0)).cast("string"), F.lit("/"), F.coalesce(p["protocol"], F.lit("")))
+    return _items(df, _SERVICE, text).select("x.metadata.name", "x.metadata.namespace", F.col("x.spec.type").alias("type"), F.col("x.spec.clusterIP").alias("cluster_ip"), F.transform("x.spec.ports", shown).alias("ports"))
+
+
+_STATES = "map<string,struct<reason:string>>"
+_CONTAINER = f"struct<name:string,ready:boolean,restartCount:bigint,state:{_STATES},lastState:{_STATES}>"
+_POD = f"struct<metadata:struct<name:string,namespace:string,creationTimestamp:string>,spec:struct<nodeName:string>,status:struct<phase:string,conditions:array<struct<type:string,status:string>>,containerStatuses:array<{_CONTAINER}>>>"
 
 
-def pods(df: DataFrame, text: str = "text") -> DataFrame:
-    """A row a pod of a JSON list: name, namespace, phase, ready and restarts."""
-    p = df.select(F.explode(F.from_json(text, f"struct<items:array<{_POD}>>")["items"]).alias("p"))
-    ready = F.coalesce(F.exists("p.status.conditions", lambda c: (c["type"] == "Ready") & (c["status"] == "True")), F.lit(False))
-    restarts = F.aggregate(F.coalesce("p.status.containerStatuses", F.array().cast("array<struct<name:string,ready:boolean,restartCount:bigint>>")), F.lit(0).cast("long"), lambda a, c: a + F.coalesce(c["restartCount"], F.lit(0)))
-    return p.select("p.metadata.name", "p.metadata.namespace", "p.status.phase", ready.alias("ready"), restarts.alias("restarts"))
+def pods(df: DataFrame, as_of: datetime | None = None, text: str = "text") -> DataFrame:
+    """A row a pod: name, namespace, phase, ready, restarts, node, age at as_of, and containers with their state and why they last ended."""
+    listed = F.coalesce("x.status.containerStatuses", F.array().cast(f"array<{_CONTAINER}>"))
+    ready = F.coalesce(F.exists("x.status.conditions", lambda c: (c["type"] == "Ready") & (c["status"] == "True")), F.lit(False))
+    restarts = F.aggregate(listed, F.lit(0).cast("long"), lambda a, c: a + F.coalesce(c["restartCount"], F.lit(0)))
+    state = lambda c: (F.get(F.map_keys(c["state"]), F.lit(0)).alias("state"), F.get(F.map_values(c["state"]), F.lit(0))["reason"].alias("reason"), c["lastState"]["terminated"]["reason"].alias("last_end"))
+    containers_ = F.transform(listed, lambda c: F.struct(c["name"].alias("name"), F.coalesce(c["ready"], F.lit(False)).alias("ready"), F.coalesce(c["restartCount"], F.lit(0)).alias("restarts"), *state(c)))
+    made = F.try_to_timestamp("x.metadata.creationTimestamp").cast("timestamp_ntz")
+    age = duration_text(F.timestamp_diff("SECOND", made, F.lit(as_of).cast("timestamp_ntz"))) if as_of else F.lit(None).cast("string")
+    return _items(df, _POD, text).select("x.metadata.name", "x.metadata.namespace", F.col("x.status.phase").alias("phase"), ready.alias("ready"), restarts.alias("restarts"), F.col("x.spec.nodeName").alias("node"), age.alias("age"), containers_.alias("containers"))
 
 
 _EVENT = "struct<type:string,reason:string,message:string,count:int,lastTimestamp:string,involvedObject:struct<name:string>>"

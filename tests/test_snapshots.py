@@ -31,6 +31,7 @@ def test_redis(spark):
 def test_memcached(spark):
     row = snapshots.memcached(captured(spark, "STAT bytes 2048\nSTAT limit_maxbytes 67108864\nSTAT get_hits 1\nSTAT get_misses 3\nEND")).first()
     assert (row.used, row.limit, row.hit_rate) == ("2.0Ki", "64.0Mi", 25.0)
+    assert snapshots.memcached(captured(spark, "STAT evictions 1\nSTAT evictions 2")).first().evicted == 2
 
 
 def test_units(spark):
@@ -52,6 +53,50 @@ def test_pods_and_events(spark):
     assert [r.reason for r in found[:2]] == ["BackOff", "X"] and len(found) == 10
 
 
+def test_pod_containers(spark):
+    waiting = {"name": "c", "restartCount": 4, "state": {"waiting": {"reason": "CrashLoopBackOff"}}, "lastState": {"terminated": {"reason": "OOMKilled"}}}
+    pod = {"metadata": {"name": "web-1", "creationTimestamp": "2024-01-01T00:00:00Z"}, "spec": {"nodeName": "n1"}, "status": {"containerStatuses": [waiting, {"name": "d", "ready": True, "state": {"running": {}}}]}}
+    row = snapshots.pods(captured(spark, json.dumps({"items": [pod]})), datetime(2024, 1, 1, 3)).first()
+    assert (row.node, row.age, row.restarts) == ("n1", "3h", 4)
+    assert [tuple(c) for c in row.containers] == [("c", False, 4, "waiting", "CrashLoopBackOff", "OOMKilled"), ("d", True, 0, "running", None, None)]
+
+
+def test_workloads(spark):
+    env = [{"name": "DB_PASSWORD", "value": "x"}, {"name": "MODE", "value": "a"}, {"name": "MODE", "value": "b"}, {"name": "", "value": "n"}, {"name": "FROM"}]
+    container = {"image": "i:1", "imagePullPolicy": "Always", "resources": {"requests": {"cpu": "100m"}, "limits": {"memory": "1Gi"}}, "env": env}
+    deployment = {
+        "kind": "Deployment", "metadata": {"name": "web", "creationTimestamp": "2024-01-01T00:00:00Z"},
+        "spec": {"replicas": 3, "strategy": {"type": "RollingUpdate", "rollingUpdate": {"maxSurge": 1, "maxUnavailable": "25%"}}, "template": {"spec": {"containers": [container, {"image": "side"}]}}},
+        "status": {"readyReplicas": 2},
+    }
+    texts = json.dumps(deployment), json.dumps({"items": [{"kind": "StatefulSet", "metadata": {"name": "db"}}]}), "bad", "", None
+    web, db = sorted(snapshots.workloads(captured(spark, *texts)).collect(), key=lambda r: r.name, reverse=True)
+    assert (web.replicas, web.ready, web.available, web.strategy, web.max_surge, web.max_unavailable) == (3, 2, 0, "RollingUpdate", "1", "25%")
+    assert (web.image, web.pull_policy, web.cpu_request, web.memory_request, web.cpu_limit, web.memory_limit) == ("i:1", "Always", "100m", None, None, "1Gi")
+    assert web.env == {"DB_PASSWORD": "[REDACTED]", "MODE": "b", "FROM": ""} and web.created == datetime(2024, 1, 1)
+    assert (db.kind, db.replicas, db.image, db.env) == ("StatefulSet", 0, None, None)
+
+
+def test_autoscalers_and_services(spark):
+    def load(key, **resources):
+        return [{"resource": {"name": k, key: {"averageUtilization": v}}} for k, v in resources.items()]
+
+    scaler = {"metadata": {"name": "web"}, "spec": {"minReplicas": 1, "maxReplicas": 9, "metrics": load("target", cpu=70, memory=80)}, "status": {"currentReplicas": 2, "desiredReplicas": 4, "currentMetrics": load("current", cpu=95)}}
+    row = snapshots.autoscalers(captured(spark, json.dumps(scaler), "bad")).first()
+    assert tuple(row)[2:] == (1, 9, 2, 4, 70, 80, 95, None)
+    service = {"metadata": {"name": "web"}, "spec": {"type": "ClusterIP", "clusterIP": "10.0.0.1", "ports": [{"name": "http", "port": 80, "protocol": "TCP"}, {"port": 53, "protocol": "UDP"}]}}
+    row = snapshots.services(captured(spark, json.dumps(service))).first()
+    assert (row.type, row.cluster_ip, row.ports) == ("ClusterIP", "10.0.0.1", ["http:80/TCP", "53/UDP"])
+
+
+@pytest.mark.parametrize("kind,text,want", [
+    ("postgres", "  5 | 10 | 100 | 2\n", (5, 10, 100, 2)), ("postgres", "5 | 10", (0, 0, 0, 0)), ("mysql", "3\t4\t151\n", (3, 4, 151, 0)),
+    ("mongodb", "{ current: 7, available: 800 }", (7, 0, 0, 0)), ("mongodb", "none", (0, 0, 0, 0)), ("postgres", None, (0, 0, 0, 0)),
+])
+def test_connections(spark, kind, text, want):
+    assert tuple(snapshots.connections(spark.createDataFrame([(text,)], "text string"), kind).first())[1:] == want
+
+
 def test_containers(spark):
     rows = snapshots.containers(captured(spark, '{"Names":"a","Image":"i","State":"running"}\nbad\n{"Name":"b","CPUPerc":"1.50%","MemPerc":"20%"}')).collect()
     assert [(r.name, r.image, r.cpu_percent, r.memory_percent) for r in rows] == [("a", "i", None, None), ("b", None, 1.5, 20.0)]

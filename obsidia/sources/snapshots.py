@@ -179,11 +179,32 @@ def events(df: DataFrame, service: str, as_of: datetime, text: str = "text") ->
     return found.select("type", "reason", "message", "count", "last_seen").orderBy(F.desc_nulls_last("last_seen"), "reason", "message").limit(EVENTS)
 
 
+_LISTED = "struct<ID:string,Names:string,Name:string,Image:string,State:string,Status:string,Ports:string,CPUPerc:string,MemPerc:string,MemUsage:string>"
+
+
 def containers(df: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each JSON line of a container report: name, image, state, cpu_percent and memory_percent."""
-    x = df.select(F.explode(F.split(text, "\n")).alias("l")).withColumn("c", F.from_json("l", "struct<Names:string,Name:string,Image:string,State:string,CPUPerc:string,MemPerc:string>")).where("c.Names IS NOT NULL OR c.Name IS NOT NULL")
+    """A row for each named JSON line of a container listing or usage report; what a report does not tell is null."""
+    x = df.select(F.explode(F.split(text, "\n")).alias("l")).withColumn("c", F.from_json("l", _LISTED)).where("c.Names IS NOT NULL OR c.Name IS NOT NULL")
     number = lambda c: F.regexp_replace(c, "%", "").try_cast("double")
-    return x.select(F.coalesce("c.Names", "c.Name").alias("name"), F.col("c.Image").alias("image"), F.col("c.State").alias("state"), number(F.col("c.CPUPerc")).alias("cpu_percent"), number(F.col("c.MemPerc")).alias("memory_percent"))
+    used = F.split("c.MemUsage", r"\s*/\s*")
+    return x.select(
+        F.coalesce("c.Names", "c.Name").alias("name"), F.col("c.Image").alias("image"), F.col("c.State").alias("state"), number(F.col("c.CPUPerc")).alias("cpu_percent"), number(F.col("c.MemPerc")).alias("memory_percent"),
+        F.substring("c.ID", 1, 12).alias("id"), F.col("c.Status").alias("status"), F.split(F.nullif(F.col("c.Ports"), F.lit("")), ",\\s*").alias("ports"), F.get(used, F.lit(0)).alias("memory_used"), F.get(used, F.lit(1)).alias("memory_limit"),
+    )
+
+
+_INSPECTED = "struct<Id:string,Name:string,RestartCount:int,State:struct<Status:string,RestartCount:int,StartedAt:string,Health:struct<Status:string>>,HostConfig:struct<Memory:bigint>,Config:struct<Env:array<string>>>"
+
+
+def inspected(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row a container of a JSON array of details: restarts, health, started, memory_limit (null: none) and redacted environment."""
+    x = df.select(F.explode(F.from_json(text, f"array<{_INSPECTED}>")).alias("x")).where("x.Id IS NOT NULL")
+    pairs = F.transform(F.filter("x.Config.Env", lambda e: e.contains("=")), lambda e: F.struct(F.substring_index(e, "=", 1).alias("key"), F.substr(e, F.length(F.substring_index(e, "=", 1)) + 2).alias("value")))
+    limit = F.col("x.HostConfig.Memory")
+    return x.select(
+        F.substring("x.Id", 1, 12).alias("id"), F.ltrim(F.col("x.Name"), F.lit("/")).alias("name"), F.coalesce("x.State.RestartCount", "x.RestartCount", F.lit(0)).alias("restarts"), F.col("x.State.Health.Status").alias("health"),
+        F.try_to_timestamp("x.State.StartedAt").cast("timestamp_ntz").alias("started"), F.when(limit > 0, bytes_text(limit)).alias("memory_limit"), redact_env(_as_map(pairs)).alias("env"),
+    )
 
 
 def bytes_text(n: Column) -> Column:

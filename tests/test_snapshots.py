@@ -102,6 +102,15 @@ def test_containers(spark):
     assert [(r.name, r.image, r.cpu_percent, r.memory_percent) for r in rows] == [("a", "i", None, None), ("b", None, 1.5, 20.0)]
 
 
+def test_container_usage(spark):
+    row = snapshots.containers(captured(spark, '{"ID":"0123456789abcdef","Names":"a","Status":"Up 2 hours","Ports":"80/tcp, 443/tcp","MemUsage":"10MiB / 1GiB"}')).first()
+    assert (row.id, row.status, row.ports, row.memory_used, row.memory_limit) == ("0123456789ab", "Up 2 hours", ["80/tcp", "443/tcp"], "10MiB", "1GiB")
+    details = [{"Id": "f" * 64, "Name": "/web", "RestartCount": 3, "State": {"StartedAt": "2024-01-01T00:00:00Z", "Health": {"Status": "healthy"}}, "HostConfig": {"Memory": 1 << 29}, "Config": {"Env": ["A=b=c", "API_KEY=1", "bad", "A=d"]}}, {"Id": "0" * 64}]
+    web, bare = snapshots.inspected(captured(spark, json.dumps(details), "bad", "", None)).collect()
+    assert (web.id, web.name, web.restarts, web.health, web.started, web.memory_limit, web.env) == ("f" * 12, "web", 3, "healthy", datetime(2024, 1, 1), "512.0Mi", {"A": "d", "API_KEY": "[REDACTED]"})
+    assert tuple(bare)[1:] == (None, 0, None, None, None, None)
+
+
 @pytest.mark.parametrize("text,want", [("2Gi", 2 << 30), (" 64Mi ", 64 << 20), ("8Ki", 8192), ("500m", 500), ("3", 3), ("x", None), ("", None), (None, None)])
 def test_quantity(spark, text, want):
     assert value(spark, snapshots.quantity, text) == want

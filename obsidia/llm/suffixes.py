@@ -131,17 +131,21 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((first, p))
 
 
-def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int) -> Iterator[tuple[list[int], list[int], int, int]]:
+def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int, starts: list[tuple] | None = None) -> Iterator[tuple[list[int], list[int], int, int]]:
     """Maximal repeats in one part of the array: contexts to put out, all that have it, and how far it goes left and right of the anchor.
 
     contexts: distinct pairs of what stands left of the anchor, reversed, and what stands from it on; counts: how often each occurs.
     Longer common prefixes come first. A context is put out with a repeat only if the repeat reaches further left than those before
     it: else the context's occurrence lies within one that is known, and its node is above that one's in the tree.
+
+    starts, if given, orders the contexts by their first occurrence. Then that of a repeat's contexts which comes first is not put out
+    with it, and only what was put out counts as known. A context that is alone in a repeat is put out all the same, for its others.
     """
     reach = [-1] * len(contexts)
     for j, (left, right) in enumerate(contexts):
         if counts[j] > 1 and len(left) + len(right) >= min_len:
-            reach[j] = len(left)
+            if starts is None:
+                reach[j] = len(left)
             yield [j], [j], len(left), len(right)
     order = sorted(range(len(contexts)), key=lambda j: contexts[j][1])
     ahead = [common_prefix(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:], strict=False)]
@@ -149,7 +153,10 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
         rows = sorted(order[first : last + 1], key=lambda j: contexts[j][0])
         behind = [common_prefix(contexts[a][0], contexts[b][0]) for a, b in zip(rows, rows[1:], strict=False)]
         for a, b, left in intervals(behind):
-            if left + right >= min_len and (further := [j for j in rows[a : b + 1] if reach[j] < left]):
+            if left + right < min_len:
+                continue
+            spared = None if starts is None else min(rows[a : b + 1], key=starts.__getitem__)
+            if further := [j for j in rows[a : b + 1] if reach[j] < left and j != spared]:
                 for j in further:
                     reach[j] = left
                 yield further, rows[a : b + 1], left, right
@@ -227,7 +234,7 @@ class Repeats:
                 contexts = list(groups)
                 where = list(groups.values())
                 first = [min((row_id, row_hash, min(at)) for row_id, row_hash, at in w) for w in where]
-                for found, alike, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len):
+                for found, alike, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len, first if keep_first else None):
                     before, after = contexts[found[0]]
                     name = xxhash.xxh64_intdigest(before[:left][::-1] + after[:right]) - (1 << 63)
                     kept = min(first[j] for j in alike) if keep_first else None
@@ -346,7 +353,8 @@ def digests(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_co
 def cleaned(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", keep_first: bool = True) -> DataFrame:
     """docs with all their columns, the texts without repeats of min_len bytes or more, and length_col, if there, with the new length.
 
-    With keep_first, of each repeat the occurrence in the row with the smallest id stays, as far as no other repeat takes it.
+    With keep_first, of each repeat the occurrence in the row with the smallest id stays, as far as no other repeat takes it: a byte
+    goes if a string of min_len bytes that covers it starts before as well, by row id, text hash and place.
 
     Of a character that lost some of its bytes the rest goes too. Otherwise as dedup; a null text comes back empty.
     """

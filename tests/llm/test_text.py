@@ -174,6 +174,37 @@ def test_cleaned_keeps_first(spark):
     assert out[2].n_chars == len(out[2].text) and out[None].text == ""
 
 
+def brute_first(rows, size):
+    """What stays if each window but the first of its kind goes, by row and place."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        gone = [False] * len(t)
+        for a in range(len(t) - size + 1):
+            if t[a : a + size] in seen:
+                gone[a : a + size] = [True] * size
+            seen.add(t[a : a + size])
+        out[i] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_cleaned_keeps_first_alone(spark, monkeypatch, hot):
+    """One occurrence of a passage stays, also if some of its rows share more of it or a longer one, or one row has it twice."""
+    if hot:
+        import builtins
+
+        monkeypatch.setattr(suffixes, "max", lambda *a, **k: 2 if a and a[0] == 256 else builtins.max(*a, **k), raising=False)
+    r = random.Random(3)
+    some = lambda n: "".join(r.choices("abcdefgh", k=n))
+    core, long = some(90), some(70)
+    rows = [(i, some(r.randint(5, 60)) + core + some(r.randint(0, 3)) + some(30)) for i in range(24)]
+    rows += [(30, "0" + core + "x1"), (31, "2" + core + "x3"), (32, "2" + core + "x4")]
+    rows += [(40, some(9) + long + core + some(9)), (41, some(9) + long + core + some(9) + core), (42, long + some(20)), (43, long + core)]
+    r.shuffle(rows)
+    got = {x.doc_id: x.text for x in suffixes.cleaned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40).collect()}
+    assert got == brute_first(rows, 40)
+
+
 def by_hand_fingerprint(text, width):
     words = [w.encode() for w in __import__("re").findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))]
     shingles = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([b" ".join(words)] if words else [])

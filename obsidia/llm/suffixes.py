@@ -86,8 +86,12 @@ def _segments(texts: list[bytes], min_len: int) -> Iterator[tuple[bytes, list[tu
 
 
 def anchors_of(texts: list[bytes], min_len: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """text number, anchor hash, anchor place, first and last start of the windows that it is the anchor of; a text has each window once."""
+    """text number, anchor hash, anchor place, first and last start of the windows that it is the anchor of; a text has each window once.
+
+    The last window of a long text's piece and the first of its next one may have one and the same anchor: it comes once, for both.
+    """
     roll = rolling(1)
+    held: tuple[np.ndarray, ...] | None = None
     for data, pieces in _segments(texts, min_len):
         grams = roll.of(roll.prefix(np.frombuffer(data, np.uint8)), gram)
         keyed = grams >> _PLACE << _PLACE | np.arange(len(grams), dtype=np.uint64)
@@ -102,7 +106,15 @@ def anchors_of(texts: list[bytes], min_len: int, gram: int) -> Iterator[tuple[np
         place = picked[first]
         piece = np.searchsorted(ends, place, side="right")
         shift = np.array([p[1] for p in pieces])[piece] - begins[piece]
-        yield np.array([p[0] for p in pieces])[piece], grams[place], place + shift, whole[first] + shift, whole[last] + shift
+        found = np.array([p[0] for p in pieces])[piece], grams[place], place + shift, whole[first] + shift, whole[last] + shift
+        if held:
+            if held[0][-1] == found[0][0] and held[2][-1] == found[2][0]:
+                found[3][0] = held[3][-1]
+                held = tuple(x[:-1] for x in held)
+            yield held
+        held = found
+    if held:
+        yield held
 
 
 def common_prefix(a: bytes, b: bytes) -> int:

@@ -166,6 +166,22 @@ def test_repeated_rows_share_their_places(spark):
     assert sorted((r.n_bytes, r.n_removed) for r in got) == [(20, 0)] + [(300, 300)] * 30
 
 
+def test_long_texts_have_each_anchor_once(monkeypatch):
+    """Pieces of a long text give the same anchors and windows as the text in one go."""
+    texts = [bytes(R.choices(b"abcdefgh", k=n)) for n in (5000, 30, 700, 256)] + [b"ab" * 600]
+    whole = [x for part in suffixes.anchors_of(texts, 40, 10) for x in zip(*(c.tolist() for c in part), strict=True)]
+    monkeypatch.setattr(suffixes, "SEGMENT", 256)
+    cut = [x for part in suffixes.anchors_of(texts, 40, 10) for x in zip(*(c.tolist() for c in part), strict=True)]
+    assert cut == whole
+    assert len({(t, place) for t, _, place, _, _ in cut}) == len(cut)
+
+
+def test_long_text_without_repeats_stays(spark):
+    text = random.Random(11).randbytes(1_400_000).hex()
+    (row,) = suffixes.digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), 400).collect()
+    assert (row.n_bytes, row.n_removed, row.n_spans) == (2_800_000, 0, 0)
+
+
 def test_cleaned_keeps_first(spark):
     passage = "".join(R.choices("abcdefgh ", k=300))
     rows = [(2, "two " + passage, 0), (1, "one " + passage, 0), (3, "three", 0), (None, None, None)]

@@ -7,8 +7,11 @@ common prefixes of neighbours for intervals, the nodes of the tree. In each node
 the left, and a second scan parts them where the left extension is diverse: each of its intervals that ends at a diverse right
 side is a maximal repeat within the part's reach, and all its occurrences are put out, not just neighbours.
 
+What to cut needs less: an occurrence within a longer one that is known adds nothing, so it is left out there.
+
 An anchor with more occurrences than a fair share of a partition is not put into one task: its windows are counted by a 128-bit
-hash with partial sums before the shuffle, and only windows that occur once go back to their documents.
+hash with partial sums before the shuffle, and only windows that occur once go back to their documents. Its maximal repeats are
+told by the same hashes: the windows of one anchor that occur at exactly the same of its places are one repeat.
 """
 
 from __future__ import annotations
@@ -143,7 +146,7 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((first, p))
 
 
-def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int, starts: list[tuple] | None = None) -> Iterator[tuple[list[int], list[int], int, int]]:
+def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int, starts: list[tuple] | None = None, whole: bool = False) -> Iterator[tuple[list[int], list[int], int, int]]:
     """Maximal repeats in one part of the array: contexts to put out, all that have it, and how far it goes left and right of the anchor.
 
     contexts: distinct pairs of what stands left of the anchor, reversed, and what stands from it on; counts: how often each occurs.
@@ -152,6 +155,8 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
 
     starts, if given, orders the contexts by their first occurrence. Then that of a repeat's contexts which comes first is not put out
     with it, and only what was put out counts as known. A context that is alone in a repeat is put out all the same, for its others.
+
+    whole: each maximal repeat is put out with all contexts that have it, whatever longer ones hold them.
     """
     reach = [-1] * len(contexts)
     for j, (left, right) in enumerate(contexts):
@@ -161,12 +166,18 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
             yield [j], [j], len(left), len(right)
     order = sorted(range(len(contexts)), key=lambda j: contexts[j][1])
     ahead = [common_prefix(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:], strict=False)]
+    rank = {j: i for i, j in enumerate(order)}
     for first, last, right in intervals(ahead):
         rows = sorted(order[first : last + 1], key=lambda j: contexts[j][0])
         behind = [common_prefix(contexts[a][0], contexts[b][0]) for a, b in zip(rows, rows[1:], strict=False)]
         for a, b, left in intervals(behind):
             if left + right < min_len:
                 continue
+            if whole:
+                ends = min(rows[a : b + 1], key=rank.__getitem__), max(rows[a : b + 1], key=rank.__getitem__)
+                if common_prefix(*(contexts[j][1] for j in ends)) == right:  # else a node below has the same contexts and reaches further
+                    yield rows[a : b + 1], rows[a : b + 1], left, right
+                continue
             spared = None if starts is None else min(rows[a : b + 1], key=starts.__getitem__)
             if further := [j for j in rows[a : b + 1] if reach[j] < left and j != spared]:
                 for j in further:
@@ -220,7 +231,15 @@ class Repeats:
         return self.rows.join(self.places.hint("shuffle_hash"), _KEY)
 
     def parts(self) -> DataFrame:
-        """repeat_id, length, row_id, row_hash, starts: a row for each maximal repeat in each document, with all its starts there."""
+        """repeat_id, length, row_id, row_hash, starts: a row for each maximal repeat in each document, with all its starts there.
+
+        All occurrences of each, also within longer repeats and of anchors that no one task takes. Maximal within the anchor's reach.
+        """
+        found = self._scanned(True)
+        return found.unionByName(self._hot_parts()) if self.hot else found
+
+    def _scanned(self, everything: bool) -> DataFrame:
+        """The repeats of anchors that one task takes: with everything all occurrences, else those that decide what to cut."""
         min_len, gram, keep_first = self.min_len, self.gram, self.keep_first
 
         def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +265,10 @@ class Repeats:
                 contexts = list(groups)
                 where = list(groups.values())
                 first = [min((row_id, row_hash, min(at)) for row_id, row_hash, at in w) for w in where]
-                for found, alike, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len, first if keep_first else None):
+                for found, alike, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len, first if keep_first and not everything else None, everything):
                     before, after = contexts[found[0]]
                     name = xxhash.xxh64_intdigest(before[:left][::-1] + after[:right]) - (1 << 63)
-                    kept = min(first[j] for j in alike) if keep_first else None
+                    kept = min(first[j] for j in alike) if keep_first and not everything else None
                     for j in found:
                         out += [(name, left + right, row_id, row_hash, [x - left for x in at if (row_id, row_hash, x) != kept]) for row_id, row_hash, at in where[j]]
                         if len(out) >= 8192:
@@ -266,8 +285,8 @@ class Repeats:
         suffixes = self._with_text().mapInArrow(contexts, "h long, row_id long, row_hash long, at array<int>, before binary, after binary")
         return suffixes.repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, row_id long, row_hash long, starts array<int>")
 
-    def _hot(self) -> DataFrame:
-        """Of anchors that no one task takes: their windows' first and last starts, and as kind 2 the windows that stay: that occur once, or first."""
+    def _hot_windows(self) -> DataFrame:
+        """h, w1, w2, row_id, row_hash, place, start: the windows of anchors that no one task takes, by their two hashes."""
         min_len = self.min_len
 
         def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,16 +300,31 @@ class Repeats:
                                 data = np.frombuffer(text, np.uint8, hi - lo + min_len, lo)
                                 w = [pa.array(r.of(r.prefix(data), min_len).view(np.int64)) for r in rolls]
                                 m = len(w[0])
-                                yield pa.RecordBatch.from_arrays([*w, pa.array(np.full(m, row_id)), pa.array(np.full(m, row_hash)), pa.array(np.arange(lo, hi + 1))], ["w1", "w2", *_KEY, "start"])
+                                same = (pa.array(np.full(m, x)) for x in (p["h"], row_id, row_hash, p["place"]))
+                                yield pa.RecordBatch.from_arrays([*w, *same, pa.array(np.arange(lo, hi + 1))], ["w1", "w2", "h", *_KEY, "place", "start"])
+
+        return self._with_text().where(F.exists("places", lambda p: p["hot"])).mapInArrow(windows, "w1 long, w2 long, h long, row_id long, row_hash long, place long, start long")
+
+    def _hot_parts(self) -> DataFrame:
+        """parts of anchors that no one task takes: windows of one anchor with the same set of places, told by its size and sum of hashes, are one repeat."""
+        where = F.xxhash64(*_KEY, "place").cast("decimal(20,0)")
+        windows = common.written(self._hot_windows(), "windows")
+        counted = windows.groupBy("h", "w1", "w2").agg(F.count("*").alias("n"), F.sum(where).alias("places"), F.sum(F.hash(*_KEY, "place").cast("long")).alias("more"), F.min(F.col("start") - F.col("place")).alias("offset")).where("n > 1")
+        repeats = counted.groupBy("h", "n", "places", "more").agg(F.min("offset").alias("offset"), F.max("offset").alias("last"), F.min_by(F.struct("w1", "w2"), "offset").alias("w"))
+        size = (F.col("last") - F.col("offset") + self.min_len).alias("length")
+        repeats = repeats.select("h", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"), F.xxhash64("w.w1", "w.w2", size).alias("repeat_id"), size)
+        return windows.join(repeats, ["h", "w1", "w2"]).groupBy("repeat_id", "length", *_KEY).agg(F.sort_array(F.collect_set(F.col("start").cast("int"))).alias("starts"))
 
+    def _hot(self) -> DataFrame:
+        """Of anchors that no one task takes: their windows' first and last starts, and as kind 2 the windows that stay: that occur once, or first."""
         own = self.places.select(*_KEY, F.explode("places").alias("p")).where("p.hot").select(*_KEY, F.lit(1).alias("kind"), (F.col("p.last") - F.col("p.first") + 1).cast("long").alias("length"), F.array(F.col("p.first")).alias("starts"))
-        counted = self._with_text().where(F.exists("places", lambda p: p["hot"])).mapInArrow(windows, "w1 long, w2 long, row_id long, row_hash long, start long").groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start")).alias("at"))
+        counted = self._hot_windows().groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start")).alias("at"))
         once = counted.where(F.lit(True) if self.keep_first else F.col("n") == 1).select("at.row_id", "at.row_hash", F.lit(2).alias("kind"), F.lit(1).cast("long").alias("length"), F.array(F.col("at.start").cast("int")).alias("starts"))
         return own.unionByName(once)
 
     def apply(self, fields: str, digest) -> DataFrame:
         """digest(text, spans) of each row, as fields after doc_id. spans: the covered bytes' maximal runs, as an array of starts and ends."""
-        found = self.parts().select(*_KEY, F.lit(0).alias("kind"), "length", "starts")
+        found = self._scanned(False).select(*_KEY, F.lit(0).alias("kind"), "length", "starts")
         if self.hot:
             found = found.unionByName(self._hot())
         per_row = found.groupBy(*_KEY).agg(F.collect_set(F.struct("kind", "length", "starts")).alias("found"))  # a document's own, once for all rows that share its key

@@ -155,6 +155,38 @@ def test_repeat_groups(spark):
     assert max(e - s for i, s, e in spans if i == 2) <= 60
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeat_groups_are_whole(spark, monkeypatch, hot):
+    """Each group of equal strings that can't be longer, with all of its occurrences, also within longer repeats and of frequent anchors."""
+    import builtins
+
+    if hot:
+        monkeypatch.setattr(suffixes, "max", lambda *a, **k: 1 if a and a[0] == 256 else builtins.max(*a, **k), raising=False)
+    r = random.Random(4)
+    some = lambda n: "".join(r.choices("abcdefgh", k=n))
+    core, more, twice = some(60), some(30), some(50)
+    rows = [(0, some(20) + core + more + some(9)), (1, some(9) + core + more + some(20)), (2, some(15) + core + some(9)), (3, some(9) + twice + "x" + twice), (4, core[20:] + some(30))]
+    found = suffixes.Repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40)
+    assert found.hot == hot
+    text = dict(rows)
+    groups = {}
+    for p in found.parts().collect():
+        for s in p.starts:
+            groups.setdefault((p.repeat_id, p.length), set()).add((p.row_id, s))
+    want = {}
+    for i, t in rows:
+        for s in range(len(t) - 39):
+            want.setdefault(t[s : s + 40], set()).add((i, s))
+    want = {w: at for w, at in want.items() if len(at) > 1}
+    covered = {}
+    for (_, n), at in groups.items():
+        ((string),) = {text[i][s : s + n] for i, s in at}
+        assert at == {(i, s) for i, t in rows for s in range(len(t)) if t.startswith(string, s)}
+        for k in range(n - 39):
+            covered.setdefault(string[k : k + 40], set()).update((i, s + k) for i, s in at)
+    assert covered == want
+
+
 def test_repeated_rows_share_their_places(spark):
     """Rows that are equal in id and text hold their places once, not once a row, and are still copies of each other."""
     text = "".join(R.choices("abcdefgh ", k=300))

@@ -246,6 +246,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
 
 #: Fingerprints a text for near_texts, and the smallest shingle hashes that its sketch holds.
 FAMILIES, SKETCH = 4, 256
+#: A similarity estimated from sketches decides if it is so far from the limit, four standard errors at 0.8; else whole sets do.
+UNSURE = 0.1
 
 
 def _bits(hashes: list[np.ndarray]) -> np.ndarray:
@@ -275,11 +277,50 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / len(both) if len(both) else 1.0
 
 
+def exact_similarity(a: str, b: str, width: int) -> float:
+    """Jaccard similarity of the whole sets of shingles."""
+    x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _verified(pairs: DataFrame, made: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs x < y of nodes whose texts are similar: by their sketches, and by the texts themselves where those are too close to tell."""
+    spark = pairs.sparkSession
+    pairs = common.written(pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+
+    def beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        named = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        values = common.written(values.join(named, "node", "left_semi").groupBy("node").agg(F.first("value").alias("value")), name)
+        x, y = (values.withColumnsRenamed({"node": k, "value": f"v{k}"}) for k in "xy")
+        return pairs.join(x, "x").join(y, "y").select("x", "y", "vx", "vy")
+
+    def estimate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(v, "<u4") for v in batch.column(c).to_pylist()] for c in ("vx", "vy")]
+            found = np.array([similarity(a, b) for a, b in zip(*sides, strict=True)], float)
+            whole = np.array([len(a) < SKETCH and len(b) < SKETCH for a, b in zip(*sides, strict=True)], bool)
+            sure = whole | (abs(found - least) > UNSURE)
+            out = pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(sure)], ["x", "y", "sure"])
+            yield out.filter(pa.array(~sure | (found >= least)))
+
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [exact_similarity(a, b, width) >= least for a, b in zip(common.texts_of(batch, "vx"), common.texts_of(batch, "vy"), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    common.small_batches(spark, 2000)
+    told = common.written(beside(pairs, made.select("node", F.col("sketch").alias("value")), "sketches").mapInArrow(estimate, "x long, y long, sure boolean"), "told")
+    common.small_batches(spark, 64)
+    near = common.written(beside(told.where("not sure").select("x", "y"), texts.select("node", F.col("text").alias("value")), "texts").mapInArrow(exact, "x long, y long"), "exact")
+    common.small_batches(spark)
+    return told.where("sure").select("x", "y").unionByName(near)
+
+
 def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4, text_col: str = "text") -> DataFrame:
     """node and root, the smallest node of its class, for each distinct text that is similar to another. A node is xxhash64 of a text.
 
-    Similar: the Jaccard similarity of the sets of shingles of `width` words is `least` or more; estimated from the SKETCH smallest
-    hashes for longer texts. One changed word changes `width` shingles, so a fingerprint of shingles is far off at this similarity.
+    Similar: the Jaccard similarity of the sets of shingles of `width` words is `least` or more; for longer texts estimated
+    from the SKETCH smallest hashes, and taken from the whole sets where the estimate is within UNSURE of the limit. One changed word changes `width` shingles, so a fingerprint of shingles is far off at this similarity.
     The fingerprints here are of the sets of words instead, in FAMILIES families with hashes of their own: similar texts differ in a
     few bits in one family or another, and each pair that meets is verified on its shingles.
     """
@@ -295,25 +336,14 @@ def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(prints), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["node", "prints", "sketch"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    made = common.written(docs.select(F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, "node long, prints array<long>, sketch binary"), "sketches")
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    made = common.written(texts.mapInArrow(run, "node long, prints array<long>, sketch binary"), "sketches")
     prints = common.written(made.select("node", F.posexplode("prints").alias("family", "fingerprint")).groupBy("family", "fingerprint").agg(F.min("node").alias("first")), "prints")
     close = links(prints.select("family", "fingerprint"), radius, classes=False)
     first = prints.select("family", "fingerprint", "first")
     linked = close.join(first.withColumnsRenamed({"fingerprint": "a", "first": "x"}), ["family", "a"]).join(first.withColumnsRenamed({"fingerprint": "b", "first": "y"}), ["family", "b"]).select("x", "y")
     alike = made.select("node", F.posexplode("prints").alias("family", "fingerprint")).distinct().join(first, ["family", "fingerprint"]).select(F.col("first").alias("x"), F.col("node").alias("y"))
-    pairs = common.written(linked.unionByName(alike).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    sketches = common.written(made.join(named, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
-    joined = pairs.join(sketches.withColumnsRenamed({"node": "x", "sketch": "sx"}), "x").join(sketches.withColumnsRenamed({"node": "y", "sketch": "sy"}), "y")
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[np.frombuffer(v, "<u4") for v in batch.column(c).to_pylist()] for c in ("sx", "sy")]
-            ok = pa.array([similarity(a, b) >= least for a, b in zip(*sides, strict=True)], pa.bool_())
-            yield batch.select(["x", "y"]).filter(ok)
-
-    common.small_batches(spark, 2000)
-    return components(joined.select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long"), "x", "y")
+    return components(_verified(linked.unionByName(alike), made, texts, width, least), "x", "y")
 
 
 def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

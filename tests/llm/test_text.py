@@ -315,6 +315,36 @@ def test_first_of_each(spark):
     assert kept[0].__fields__ == ["doc_id", "text", "node"]
 
 
+def by_hand_jaccard(a, b, width=5):
+    x, y = ({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def together(spark, texts, pairs):
+    """Which of the pairs of texts near_texts puts in one class."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    node = {r.doc_id: r.node for r in df.selectExpr("doc_id", "xxhash64(text) node").collect()}
+    root = {r.node: r.root for r in simhash.near_texts(df).collect()}
+    return [root.get(node[a], node[a]) == root.get(node[b], node[b]) for a, b in pairs]
+
+
+def test_long_texts_by_whole_sets(spark):
+    """Near the limit the shingles of long texts decide, not a sample of them."""
+    r = random.Random(6)
+    texts = []
+    for k in range(40):
+        words = [f"v{r.randrange(10**6)}" for _ in range(1500)]
+        texts += [" ".join(words), " ".join(words[: 1178 + 2 * k - 16])]
+    pairs = [(i, i + 1) for i in range(0, 80, 2)]
+    similar = [by_hand_jaccard(texts[a], texts[b]) >= 0.8 for a, b in pairs]
+    assert 10 < sum(similar) < 30
+    sketch = [np.unique(np.array(simhash.shingle_hashes(t, 5), np.uint64) >> np.uint64(32)).astype("<u4")[:256] for t in texts]
+    assert [simhash.similarity(sketch[a], sketch[b]) >= 0.8 for a, b in pairs] != similar
+    df = spark.createDataFrame([(i, t, sketch[i].tobytes()) for i, t in enumerate(texts)], "node long, text string, sketch binary")
+    found = simhash._verified(spark.createDataFrame(pairs, "x long, y long"), df, df, 5, 0.8).collect()
+    assert sorted((p.x, p.y) for p in found) == [p for p, ok in zip(pairs, similar, strict=True) if ok]
+
+
 def test_components_edges(spark):
     rows = [(1, 2), (2, 3), (3, 1), (5, 5), (None, 1), (7, 6), (1, 2)] + [(i, i + 1) for i in range(100, 160)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}

@@ -248,6 +248,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
 FAMILIES, SKETCH = 4, 256
 #: A similarity estimated from sketches decides if it is so far from the limit, four standard errors at 0.8; else whole sets do.
 UNSURE = 0.1
+#: Keys a text and smallest hashes a key: of pairs at 0.8, 1 - (1 - 0.8**6)**20 = 0.998 share a key, whatever the copy lacks or adds.
+BANDS, ROWS = 20, 6
+#: Texts of one key that are all compared with each other; more are first compared with one of them.
+GROUP = 32
 
 
 def _bits(hashes: list[np.ndarray]) -> np.ndarray:
@@ -277,6 +281,20 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / len(both) if len(both) else 1.0
 
 
+_seeds = np.array([[xxhash.xxh64_intdigest(f"{k} {x}".encode(), SEED) for k in range(BANDS * ROWS)] for x in ("flip", "odd")], np.uint64)
+
+
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """BANDS keys of a set of shingle hashes, each of its smallest under ROWS orders; none of an empty set."""
+    if not len(shingles):
+        return []
+    flip, odd = _seeds[0], _seeds[1] | np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[at : at + 2048] ^ flip[:, None]) * odd[:, None]).min(axis=1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
 def exact_similarity(a: str, b: str, width: int) -> float:
     """Jaccard similarity of the whole sets of shingles."""
     x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
@@ -322,7 +340,8 @@ def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     Similar: the Jaccard similarity of the sets of shingles of `width` words is `least` or more; for longer texts estimated
     from the SKETCH smallest hashes, and taken from the whole sets where the estimate is within UNSURE of the limit. One changed word changes `width` shingles, so a fingerprint of shingles is far off at this similarity.
     The fingerprints here are of the sets of words instead, in FAMILIES families with hashes of their own: similar texts differ in a
-    few bits in one family or another, and each pair that meets is verified on its shingles.
+    few bits in one family or another. A copy that is cut or extended has other words, so texts meet as well by BANDS keys of their
+    shingles, which depend on the similarity alone. Each pair that meets is verified on its shingles.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -332,18 +351,26 @@ def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
             texts = common.texts_of(batch)
             words = [np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(t.encode().lower().split())), np.uint64) for t in texts]
             prints = np.stack([_bits([_mixed(w, f) for w in words]) for f in range(FAMILIES)], axis=1).view(np.int64)
-            sketch = [np.unique(np.array(shingle_hashes(t, width), np.uint64) >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(prints), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["node", "prints", "sketch"])
+            shingles = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in texts]
+            sketch = [np.unique(s >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes() for s in shingles]
+            bands = [bands_of(s) for s in shingles]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(prints), pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["node", "prints", "sketch", "bands"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    made = common.written(texts.mapInArrow(run, "node long, prints array<long>, sketch binary"), "sketches")
+    made = common.written(texts.mapInArrow(run, "node long, prints array<long>, sketch binary, bands array<long>"), "sketches")
     prints = common.written(made.select("node", F.posexplode("prints").alias("family", "fingerprint")).groupBy("family", "fingerprint").agg(F.min("node").alias("first")), "prints")
     close = links(prints.select("family", "fingerprint"), radius, classes=False)
     first = prints.select("family", "fingerprint", "first")
     linked = close.join(first.withColumnsRenamed({"fingerprint": "a", "first": "x"}), ["family", "a"]).join(first.withColumnsRenamed({"fingerprint": "b", "first": "y"}), ["family", "b"]).select("x", "y")
     alike = made.select("node", F.posexplode("prints").alias("family", "fingerprint")).distinct().join(first, ["family", "fingerprint"]).select(F.col("first").alias("x"), F.col("node").alias("y"))
-    return components(_verified(linked.unionByName(alike), made, texts, width, least), "x", "y")
+    members = made.select("node", F.explode("bands").alias("band")).distinct()
+    sized = members.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "band")).alias("first")).where("n > 1")
+    groups = common.written(members.join(sized, "band"), "bands")
+    few = groups.where(F.col("n") <= GROUP).select("band", "node")
+    met = few.withColumnRenamed("node", "x").join(few.withColumnRenamed("node", "y"), "band").where("x < y").select("x", "y").distinct()
+    star = groups.where(F.col("n") > GROUP).select(F.col("first").alias("x"), F.col("node").alias("y"))
+    return components(_verified(linked.unionByName(alike).unionByName(met).unionByName(star), made, texts, width, least), "x", "y")
 
 
 def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -345,6 +345,22 @@ def test_long_texts_by_whole_sets(spark):
     assert sorted((p.x, p.y) for p in found) == [p for p, ok in zip(pairs, similar, strict=True) if ok]
 
 
+def test_cut_and_extended_copies_meet(spark):
+    """Copies at 0.8 to 0.9 are found whether they lack the end, go on, or have other words."""
+    r = random.Random(9)
+    texts = []
+    for k in range(90):
+        words = [f"v{r.randrange(3000)}" for _ in range(r.randint(60, 400))]
+        n = len(words)
+        cut = words[: n - n // 8]
+        more = words + [f"v{r.randrange(3000)}" for _ in range(n // 7)]
+        other = [f"u{i}" if i % 70 == 35 else w for i, w in enumerate(words)]
+        texts += [" ".join(words), " ".join((cut, more, other)[k % 3])]
+    pairs = [(i, i + 1) for i in range(0, 180, 2)]
+    assert all(0.8 <= by_hand_jaccard(texts[a], texts[b]) < 0.96 for a, b in pairs)
+    assert all(together(spark, texts, pairs))
+
+
 def test_components_edges(spark):
     rows = [(1, 2), (2, 3), (3, 1), (5, 5), (None, 1), (7, 6), (1, 2)] + [(i, i + 1) for i in range(100, 160)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}

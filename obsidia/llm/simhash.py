@@ -342,6 +342,7 @@ def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     The fingerprints here are of the sets of words instead, in FAMILIES families with hashes of their own: similar texts differ in a
     few bits in one family or another. A copy that is cut or extended has other words, so texts meet as well by BANDS keys of their
     shingles, which depend on the similarity alone. Each pair that meets is verified on its shingles.
+    Texts that share a key are compared pair by pair, but for pairs that verified links already join.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -370,7 +371,16 @@ def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     few = groups.where(F.col("n") <= GROUP).select("band", "node")
     met = few.withColumnRenamed("node", "x").join(few.withColumnRenamed("node", "y"), "band").where("x < y").select("x", "y").distinct()
     star = groups.where(F.col("n") > GROUP).select(F.col("first").alias("x"), F.col("node").alias("y"))
-    return components(_verified(linked.unionByName(alike).unionByName(met).unionByName(star), made, texts, width, least), "x", "y")
+    near = common.written(_verified(linked.unionByName(alike).unionByName(met).unionByName(star), made, texts, width, least), "near")
+    root = common.written(components(near, "x", "y"), "roots")
+    # Larger groups: all pairs that are not in one class yet. One end at least is not in the class of the group's first text.
+    named = groups.where(F.col("n") > GROUP).join(root, "node", "left").select("band", "node", "first", F.coalesce("root", "node").alias("root"))
+    named = common.written(named.join(root.withColumnsRenamed({"node": "first", "root": "most"}), "first", "left").select("band", "node", "root", F.coalesce("most", "first").alias("most")), "groups")
+    out = named.where("root <> most").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
+    apart = common.written(out.join(named.select("band", F.col("node").alias("y"), F.col("root").alias("ry")), "band").where("rx <> ry").select("x", "y").distinct(), "apart")
+    if apart.isEmpty():
+        return root
+    return components(near.unionByName(_verified(apart, made, texts, width, least)), "x", "y")
 
 
 def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

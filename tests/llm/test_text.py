@@ -361,6 +361,22 @@ def test_cut_and_extended_copies_meet(spark):
     assert all(together(spark, texts, pairs))
 
 
+@pytest.mark.parametrize("group", [32, 2])
+def test_similar_texts_beside_one_that_is_not(spark, monkeypatch, group):
+    """Texts of the same words are compared with each other too, not just with the first of them."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    r = random.Random(12)
+    words = [f"v{i}" for i in range(120)]
+    swapped = [*words[:60], words[61], words[60], *words[62:]]
+    texts = [" ".join(words), " ".join(swapped)] + [" ".join(r.sample(words, 120)) for _ in range(20)]
+    # A chain: each shares 0.8 or more with the next, its ends do not.
+    base = [f"c{i}" for i in range(400)]
+    texts += [" ".join(base[12 * k : 12 * k + 200]) for k in range(8)]
+    got = together(spark, texts, [(0, 1), (0, 2), (22, 29), *((k, k + 1) for k in range(22, 29))])
+    assert by_hand_jaccard(texts[0], texts[1]) >= 0.8 > by_hand_jaccard(texts[22], texts[29])
+    assert got == [True, False, True] + [True] * 7
+
+
 def test_components_edges(spark):
     rows = [(1, 2), (2, 3), (3, 1), (5, 5), (None, 1), (7, 6), (1, 2)] + [(i, i + 1) for i in range(100, 160)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}

@@ -286,6 +286,15 @@ _queries["anomalies"] = anomalies
 _sql["anomalies"] = _with_cycles(_ANOMALIES).replace("FROM spans_events GROUP BY 1, 2", f"FROM {_UNEVEN} GROUP BY 1, 2")
 
 
+def anomalies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector over all spans as they are."""
+    return _r(anomaly.anomalies(_cycles(views.load(spark, sf_dir, "spans_events"))), "value", "threshold")
+
+
+_queries["anomalies_whole"] = anomalies_whole
+_sql["anomalies_whole"] = _with_cycles(_ANOMALIES)
+
+
 def active_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.active(anomalies(spark, sf_dir), AS_OF, 7 * DAY)
 
@@ -367,6 +376,14 @@ def series_points(metrics: DataFrame) -> DataFrame:
     return day.groupBy("service", "name").agg(F.count("*").alias("points"), listed.alias("series"))
 
 
+@query("SELECT service, name, date_trunc('day', timestamp) AS day, count(*) AS points, string_agg(CAST(round(value, 2) AS VARCHAR), ',' ORDER BY timestamp, value) AS series FROM metrics_events GROUP BY 1, 2, 3", "metrics_events")
+def series_points_by_day(metrics: DataFrame) -> DataFrame:
+    """All points of each series, in order of time: a row a day, so no group holds more than a day."""
+    points = F.sort_array(F.collect_list(F.struct("timestamp", "value")))
+    listed = F.array_join(F.transform(points, lambda p: F.round(p["value"], 2).cast("string")), ",")
+    return metrics.groupBy("service", "name", F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("points"), listed.alias("series"))
+
+
 @query("SELECT tier, count(*) AS rows, min(timestamp) AS oldest, max(timestamp) AS newest FROM (SELECT timestamp, CASE WHEN timestamp < TIMESTAMP '2024-01-23' THEN 'cold' WHEN timestamp < TIMESTAMP '2024-01-29 23:00:00' THEN 'warm' ELSE 'hot' END AS tier FROM spans_events) GROUP BY tier", "spans_events")
 def tier_assign(spans: DataFrame) -> DataFrame:
     return tiering.assigned(spans, AS_OF).groupBy("tier").agg(F.count("*").alias("rows"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))

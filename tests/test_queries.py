@@ -35,3 +35,11 @@ def test_entry_imports_and_runs(spark, sf_dir):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.queries()["service_health"](spark, sf_dir).count() > 0
+
+
+def test_series_and_detector_take_the_whole_table(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    days = registry.queries()["series_points_by_day"](spark, sf_dir).collect()
+    assert sum(r.points for r in days) == events
+    assert all(len(r.series.split(",")) == r.points for r in days)
+    assert "anomalies_whole" in SQL

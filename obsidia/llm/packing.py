@@ -3,64 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from obsidia.llm import common
-from obsidia.llm.tokens import crc_of_ids, encoder_of, ordered
+from obsidia.llm.tokens import crc_of_ids, files_of, records_in, write_records
+
+#: Pieces that a task holds before it puts them out.
+PIECES = 1024
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids, ids.
 
     All documents' ids, in ascending order of doc_id, form one line that is cut every `length` ids; only the last sequence can be
-    short. First pass: each partition, a range of ids, is encoded, and each document's place within its partition kept. The
-    partitions' totals, one number each, are summed up on the driver. Second pass: each document's place in the line is its
-    partition's start and its place there; pieces end where windows do, so a document across a boundary has a record on both sides.
+    short. First pass: each partition, a range of ids, is encoded into a record file. The partitions' totals, one number each, are
+    summed up on the driver. Second pass: each document's place in the line is its file's start and its place there; pieces end
+    where windows do, so a document across a boundary has a record on both sides.
 
     A null text is an empty one and gives end_id alone. Rows with equal or null ids are documents of their own. An empty table
     gives no piece. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
-
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, at = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            encoder = encoder or encoder_of(tokenizer)
-            ids = encoder.encode(common.texts_of(batch), end_id)
-            n = [len(x) // encoder.dtype.itemsize for x in ids]
-            places = [at, *accumulate(n, initial=at)][1:]
-            at = places[-1]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "part": pa.array([part] * len(n), pa.int32()), "place": pa.array(places[:-1], pa.int64()), "n": pa.array(n, pa.int64()), "width": pa.array([encoder.dtype.itemsize] * len(n), pa.int32()), "ids": pa.array(ids, pa.binary())})
-
-    coded = common.written(ordered(docs, id_col, text_col).mapInArrow(encode, "doc_id long, part int, place long, n long, width int, ids binary"), "pack")
-    totals = sorted((r.part, r.n) for r in coded.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
-    starts = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0), strict=False))
-    common.small_batches(spark)
+    manifest = write_records(docs, common.scratch(spark, "pack"), tokenizer, end_id, id_col, text_col)
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in [*fields, "ids"]}
-            for doc_id, part, place, n, width, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "place", "n", "width", "ids")), strict=True):
-                first = starts[part] + place
-                at = 0
-                while at < n:
-                    sequence, offset = divmod(first + at, length)
-                    size = min(n - at, length - offset)
-                    piece = ids[at * width : (at + size) * width]
-                    dtype = np.dtype(f"<u{width}")
-                    for k, v in zip(fields, (doc_id, at, size, crc_of_ids(piece, dtype), n, sequence, offset), strict=True):
-                        out[k].append(v)
-                    if with_ids:
-                        out["ids"].append(np.frombuffer(piece, dtype).astype("<i4"))
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.int64()) for k in fields] + [pa.array(out["ids"], pa.list_(pa.int32()))] * with_ids, fields + ["ids"] * with_ids)
-
-    return coded.mapInArrow(cut, ", ".join(f"{k} long" for k in fields) + ", ids array<int>" * with_ids)
+        out: dict[str, list] = {k: [] for k in [*fields, "ids"]}
+        for first, doc_id, ids in records_in(batches):
+            at = 0
+            while at < len(ids):
+                sequence, offset = divmod(first + at, length)
+                size = min(len(ids) - at, length - offset)
+                piece = ids[at : at + size]
+                for k, v in zip(fields, (doc_id, at, size, crc_of_ids(piece), len(ids), sequence, offset), strict=True):
+                    out[k].append(v)
+                if with_ids:
+                    out["ids"].append(piece.astype("<i4"))
+                at += size
+                if len(out["doc_id"]) >= PIECES:
+                    yield table(out)
+                    out = {k: [] for k in out}
+        yield table(out)
+
+    def table(out: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out[k], pa.int64()) for k in fields] + [pa.array(out["ids"], pa.list_(pa.int32()))] * with_ids, fields + ["ids"] * with_ids)
+
+    return files_of(manifest).mapInArrow(cut, ", ".join(f"{k} long" for k in fields) + ", ids array<int>" * with_ids)

@@ -24,7 +24,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = common.written(tokens.write_records(common.documents(spark, sf_dir), common.scratch(spark, "records"), tokenizer_path("word_bpe_49k.json"), END_ID), "manifest")
+    manifest = tokens.write_records(common.documents(spark, sf_dir), common.scratch(spark, "records"), tokenizer_path("word_bpe_49k.json"), END_ID)
     return tokens.read_records(manifest, with_ids=False)
 
 

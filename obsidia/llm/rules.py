@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from obsidia.llm import common
 
 #: Prior of a good document, votes' pseudo-counts, rounds of expectation maximisation.
-PRIOR, SMOOTH, ROUNDS = 0.9, 2.0, 50
+PRIOR, SMOOTH, ROUNDS = 0.9, 0.5, 50
 
 
 def let(value: Column, body) -> Column:
@@ -52,7 +52,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """doc_id and what the rules look at; the fields in words and lines are structs, so that each text is split once.
 
     Words are runs of characters other than ASCII white space. A null text has none. n_upper: words of capitals. n_twice: words that
-    equal the word before. n_lines and n_dup_lines: lines with a word, and those that equal an earlier one.
+    equal the word before. n_marked: words that hold a symbol or "!". n_distinct: different words. n_lines and n_dup_lines: lines with
+    a word, and those that equal an earlier one.
     """
     space = r"[\x20\x09-\x0D]+"
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -65,6 +66,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             _repeated(_windows(w, width), width).alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: (F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) > 1))).cast("long").alias("n_upper"),
             F.size(F.filter(w, lambda x, i: F.get(w, i - 1) == x)).cast("long").alias("n_twice"),
+            F.size(F.filter(w, lambda x: F.translate(x, "#*$%&|<>!", "") != x)).cast("long").alias("n_marked"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         )
 
     def of_lines(x: Column) -> Column:
@@ -92,25 +95,40 @@ def votes() -> dict[str, Column]:
         return F.when(n == 0, F.lit(0)).when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
     return {
-        "length": vote(n < 20, n >= 50),
         "mean_word": vote((chars > 14 * n) | (chars < 2 * n), (chars >= 3 * n) & (chars <= 10 * n)),
         "symbols": vote(10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
+        "marked": vote(5 * F.col("n_marked") > n, 50 * F.col("n_marked") <= n),
         "lines": vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), F.col("n_dup_lines") == 0),
-        "repeats": vote(100 * F.col("n_repeat_words") > 30 * n, 100 * F.col("n_repeat_words") <= 5 * n),
+        "repeats": vote(100 * F.col("n_repeat_words") > 10 * n, 100 * F.col("n_repeat_words") <= 2 * n),
         "shouting": vote((2 * F.col("n_upper") > n) | (2 * F.col("n_shouts") > n), (10 * F.col("n_upper") <= n) & (20 * F.col("n_shouts") <= n)),
         "stutter": vote(5 * F.col("n_twice") > n, 20 * F.col("n_twice") <= n),
+        "variety": vote((4 * F.col("n_distinct") < n) & (n <= 1000), 2 * F.col("n_distinct") >= n),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], float]:
+Pattern = tuple[int, ...]
+
+
+def fit(patterns: list[tuple[Pattern, int]], asked: list[Pattern] | None = None) -> dict[Pattern, float]:
     """The posterior probability of a good document for each pattern of votes, from how often each pattern occurs.
 
     Each rule has a chance of each vote given a good and given a bad document. Starts from the majority of votes; a rule's chances
-    are smoothed by pseudo-counts. With no pattern the result is empty; a pattern of abstentions alone gets the prior's odds.
+    are smoothed by pseudo-counts. A rule is taken to be no worse than chance: a vote for a document never counts against it, nor
+    the other way round, and abstaining says nothing. With no pattern the result is empty; a pattern of abstentions alone gets the
+    prior's odds. asked: the patterns to judge, if they are others than those that are learned from.
     """
     patterns = sorted(patterns)
-    rules = len(patterns[0][0]) if patterns else 0
+    asked = [p for p, _ in patterns] if asked is None else asked
+    rules = len((asked or [()])[0])
     good = {p: 0.5 + 0.45 * (sum(p) / max(1, sum(map(abs, p)))) for p, _ in patterns}
+
+    def judged(of: list[Pattern], odds: float, chance: list[dict]) -> dict[Pattern, float]:
+        def sign(j: int, v: int) -> float:
+            ratio = log(chance[j][True, v] / chance[j][False, v])
+            return max(0.0, ratio) if v > 0 else min(0.0, ratio)
+
+        return {p: 1 / (1 + exp(-max(-60.0, min(60.0, odds + sum(sign(j, v) for j, v in enumerate(p) if v))))) for p in of}
+
     for _ in range(ROUNDS):
         weight = {True: SMOOTH * PRIOR, False: SMOOTH * (1 - PRIOR)}
         seen = [{(c, v): SMOOTH * (2 if v == (1 if c else -1) else 1) for c in (True, False) for v in (-1, 0, 1)} for _ in range(rules)]
@@ -121,8 +139,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], fl
                     seen[j][c, v] += w
         chance = [{(c, v): s[c, v] / sum(s[c, x] for x in (-1, 0, 1)) for c, v in s} for s in seen]
         odds = log(weight[True] / weight[False])
-        good = {p: 1 / (1 + exp(-max(-60.0, min(60.0, odds + sum(log(chance[j][True, v] / chance[j][False, v]) for j, v in enumerate(p) if v))))) for p, _ in patterns}
-    return good
+        good = judged([p for p, _ in patterns], odds, chance)
+    return judged(asked, odds, chance) if patterns else {p: PRIOR for p in asked}
 
 
 def _measured(df: DataFrame) -> DataFrame:
@@ -132,8 +150,12 @@ def _measured(df: DataFrame) -> DataFrame:
 
 
 def _scored(table: DataFrame) -> DataFrame:
-    """votes and posterior: a row for each pattern of votes that occurs, at most 3 to the power of the number of rules."""
-    posterior = fit([(tuple(r["votes"]), r["count"]) for r in table.groupBy("votes").count().collect()])
+    """votes and posterior: a row for each pattern of votes that occurs, at most 3 to the power of the number of rules.
+
+    Learned from rows that pass the base: what it has settled would else be all that the rules agree on.
+    """
+    found = table.groupBy("votes").agg(F.count(F.when(~_failed(), 1)).alias("n")).collect()
+    posterior = fit([(tuple(r["votes"]), r["n"]) for r in found if r["n"]], [tuple(r["votes"]) for r in found])
     return table.sparkSession.createDataFrame([(list(p), v) for p, v in posterior.items()], "votes array<int>, posterior double")
 
 
@@ -145,8 +167,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """doc_id, the measures, base_failed, the votes, posterior and kept for each row.
 
     base_failed: fewer than 20 words, or over 30 in 100 words within repeated windows of eight words. kept: not base_failed, and the
-    posterior is at least the threshold. A null text counts as empty, and fails; rows with equal or null ids each give a row; an
-    empty table gives none. Other columns of docs are ignored.
+    posterior is at least the threshold; the rules are weighed on the rows that pass the base. A null text counts as empty, and
+    fails; rows with equal or null ids each give a row; an empty table gives none. Other columns of docs are ignored.
     """
     table = _measured(common.written(measures(docs, id_col, text_col), "rules"))
     out = table.join(F.broadcast(_scored(table)), "votes").withColumn("base_failed", _failed())
@@ -157,7 +179,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 def filtered(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps. The measures are written beside the rows, so nothing is joined back."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     table = _measured(common.written(measures(row, keep=["row"]), "rules"))
     out = table.join(F.broadcast(_scored(table)), "votes").where(~_failed() & (F.col("posterior") >= threshold))
     return out.select("row.*")

@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.score(common.texts_of(batch)))], ["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
 
 
@@ -276,9 +276,12 @@ def filtered(docs: DataFrame, labels: DataFrame, label: str, settings: Settings,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value, settings)
         for batch in batches:
-            yield batch.filter(pa.array(scorer.score(common.texts_of(batch, text_col)) >= threshold))
+            rows = batch.column("row")
+            texts = [t or "" for t in rows.field(rows.type.get_field_index(text_col)).to_pylist()]
+            yield batch.filter(pa.array(scorer.score(texts) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.mapInArrow(run, whole.schema).select("row.*")
 
 
 TOXICITY = Settings(lower=True, window=6, epochs=10, rate=1.0, whole=3)

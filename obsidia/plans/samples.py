@@ -1,0 +1,199 @@
+"""A payload of each format with the rows that it holds, for queries that parse them and the SQL that these are compared with.
+
+Payloads are written by hand from the formats' public descriptions, and the rows from the payloads.
+"""
+
+from __future__ import annotations
+
+import json
+from datetime import datetime
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from obsidia import schemas
+from obsidia.functions import redact
+from obsidia.operators import context, incidents, tiering
+from obsidia.sources import router
+
+#: When the payloads came, and the time that stands in them, in the units that formats use.
+CAME, TIME = "2024-05-01 12:00:00", "2024-01-01 00:00:00"
+S, MS, US, NS = 1704067200, 1704067200000, 1704067200000000, "1704067200000000000"
+
+
+def _attr(key: str, value: str) -> dict:
+    return {"key": key, "value": {"stringValue": value}}
+
+
+def _resource(service: str) -> dict:
+    return {"attributes": [_attr("service.name", service)]}
+
+
+def span(service: str | None, operation: str | None, us: int | None, status: str = "OK", at: str = TIME, trace: str | None = "t", id: str | None = "s", parent: str | None = None, tags: str | None = None) -> tuple:
+    return at, trace, id, parent, service, operation, us, status, tags
+
+
+#: By name: path, sender, content type, payload, table and the table's rows with tags as text. Names that begin with a format's are of it.
+SAMPLES: dict[str, tuple[str, str, str, Any, str, list[tuple]]] = {
+    "otlp": ("/v1/traces", "", "", {"resourceSpans": [{"resource": _resource("api"), "scopeSpans": [{"spans": [
+        {"traceId": "t", "spanId": "s", "parentSpanId": "", "name": "GET", "startTimeUnixNano": NS, "endTimeUnixNano": "1704067200050000000", "status": {"code": "STATUS_CODE_ERROR"}, "attributes": [_attr("k", "first"), _attr("k", "last")]},
+        {"traceId": "t", "spanId": "u", "parentSpanId": "s", "name": "SET"}]}]}]}, "spans",
+        [span("api", "GET", 50000, "ERROR", tags="k=last"), span("api", "SET", 0, at=CAME, id="u", parent="s")]),
+    "otlp_logs": ("/v1/logs", "", "", {"resourceLogs": [{"resource": _resource("api"), "scopeLogs": [{"logRecords": [{"timeUnixNano": NS, "severityText": "WARN", "body": {"stringValue": "hi"}}, {"body": {"stringValue": "ho"}}]}]}]}, "logs",
+        [(TIME, "api", "WARN", "hi", None), (CAME, "api", "info", "ho", None)]),
+    "otlp_metrics": ("/v1/metrics", "", "", {"resourceMetrics": [{"resource": {"attributes": []}, "scopeMetrics": [{"metrics": [{"name": "m", "gauge": {"dataPoints": [{"timeUnixNano": NS, "asDouble": 1.5}]}}, {"name": "n", "sum": {"dataPoints": [{"timeUnixNano": NS, "asInt": "7"}]}},
+        {"name": "h", "histogram": {"dataPoints": [{"timeUnixNano": NS, "count": "3", "sum": 4.5}]}}, {"name": "y", "summary": {"dataPoints": [{"timeUnixNano": NS, "count": "2", "sum": 3.0, "quantileValues": [{"quantile": 0.5, "value": 1.25}]}]}}]}]}]}, "metrics",
+        [(TIME, "unknown", "m", 1.5, None), (TIME, "unknown", "n", 7.0, None), (TIME, "unknown", "h_count", 3.0, None), (TIME, "unknown", "h_sum", 4.5, None), (TIME, "unknown", "y_count", 2.0, None), (TIME, "unknown", "y_sum", 3.0, None), (TIME, "unknown", "y", 1.25, "quantile=0.5")]),
+    "prometheus": ("/api/v1/write", "", "", 'a{job="api",code="200",code="201"} 12 1704067200000\n# HELP x\nbare 3.5\nlate 1 9223372036854775807\nbad\n', "metrics",
+        [(TIME, "api", "a", 12.0, "code=201,job=api"), (CAME, "unknown", "bare", 3.5, ""), (CAME, "unknown", "late", 1.0, "")]),
+    "datadog": ("/api/v2/series", "", "", {"series": [{"metric": "cpu", "points": [[S, 1.5], [S], [1e300, 2.5]], "host": "h1", "tags": ["env:a", "env:b", "x", "url:http://a"]}]}, "metrics",
+        [(TIME, "h1", "cpu", 1.5, "env=b,url=http://a"), (CAME, "h1", "cpu", 2.5, "env=b,url=http://a")]),
+    "datadog_logs": ("/api/v2/logs", "", "", [{"message": "m", "ddsource": "nginx", "hostname": "h", "service": "web"}], "logs", [(CAME, "web", "info", "m", "hostname=h,source=nginx")]),
+    "jaeger": ("/api/traces", "", "", {"data": [{"traceID": "t", "spans": [
+        {"traceID": "t", "spanID": "s", "operationName": "op", "processID": "p2", "references": [{"refType": "FOLLOWS_FROM", "spanID": "z"}, {"refType": "CHILD_OF", "spanID": "p"}], "startTime": US, "duration": 42, "tags": [{"key": "error", "type": "bool", "value": True}]},
+        {"traceID": "t", "spanID": "v", "operationName": "ok", "startTime": 9223372036854775807, "duration": 1}], "processes": {"p1": {"serviceName": "one"}, "p2": {"serviceName": "two"}}}]}, "spans",
+        [span("two", "op", 42, "ERROR", parent="p"), span("one", "ok", 1, at=CAME, id="v")]),
+    "zipkin": ("/api/v2/spans", "", "", [{"traceId": "t", "id": "s", "parentId": "p", "name": "n", "timestamp": US, "duration": 9, "localEndpoint": {"serviceName": "z"}, "tags": {"error": "boom"}}, {"traceId": "t", "id": "u", "name": "m", "timestamp": US}], "spans",
+        [span("z", "n", 9, "ERROR", parent="p", tags="error=boom"), span("unknown", "m", 0, id="u")]),
+    "loki": ("/loki/api/v1/push", "", "", {"streams": [{"stream": {"job": "j", "severity": "error"}, "values": [[NS, "line"], ["only"], ["soon", "now"]]}]}, "logs", [(TIME, "j", "error", "line", "job=j,severity=error"), (CAME, "j", "error", "now", "job=j,severity=error")]),
+    "splunk_hec": ("/services/collector", "", "", [{"time": S, "host": "h", "source": "s", "sourcetype": "st", "event": "text"}, {"source": "s2", "event": {"message": "inner"}}, {"source": "s3", "event": {"a": 1}}, {"time": 1e300, "source": "s4", "event": "far"}], "logs",
+        [(TIME, "s", "info", "text", "host=h,sourcetype=st"), (CAME, "s2", "info", "inner", "host=,sourcetype="), (CAME, "s3", "info", '{"a":1}', "host=,sourcetype="), (CAME, "s4", "info", "far", "host=,sourcetype=")]),
+    "elasticsearch": ("/_bulk", "", "", '{"index":{}}\n{"message":"a","service":"s"}\n{"delete":{"_id":"1"}}\n{"create":{"_id":"2"}}\n{"log":"b","level":"warn"}\n{"index":{}}\nbad\n', "logs", [(CAME, "s", "info", "a", None), (CAME, "elasticsearch", "warn", "b", None)]),
+    "influx": ("/write", "", "", '# c\ncpu,host=h0,host=h1,dc=x usage=1.5,n=3i,s="t" 1704067200000000000\n\nmem free=2\n', "metrics", [(TIME, "h1", "cpu_usage", 1.5, "dc=x,host=h1"), (TIME, "h1", "cpu_n", 3.0, "dc=x,host=h1"), (CAME, "influxdb", "mem_free", 2.0, "")]),
+    "graphite": ("/graphite/metrics", "", "", f"a.b 1.5 {S}\nbad x\nc 2\n", "metrics", [(TIME, "graphite", "a.b", 1.5, None), (CAME, "graphite", "c", 2.0, None)]),
+    "statsd": ("/statsd", "", "", "hits:2|c|@0.5|#service:old,service:web,env:p\nload:1.5|g\nbad\n", "metrics", [(CAME, "web", "hits", 4.0, "env=p,service=web"), (CAME, "statsd", "load", 1.5, None)]),
+    "fluentd": ("/fluentd", "", "", [{"message": "m", "tag": "t"}, {"log": "l"}], "logs", [(CAME, "t", "info", "m", None), (CAME, "fluentd", "info", "l", None)]),
+    "syslog": ("/syslog", "", "", '{"severity":"err","message":"m","hostname":"h"}\n<13>plain line\n', "logs", [(CAME, "h", "err", "m", None), (CAME, "syslog", "info", "<13>plain line", None)]),
+    "newrelic_logs": ("/log/v1", "", "", [{"message": "m", "timestamp": MS}, {"message": "n", "timestamp": 9223372036854775807}], "logs", [(TIME, "newrelic", "info", "m", None), (CAME, "newrelic", "info", "n", None)]),
+    "newrelic_metrics": ("/metric/v1", "", "", [{"metrics": [{"name": "x", "value": 2.5, "timestamp": MS, "attributes": {"a": "b"}}]}], "metrics", [(TIME, "newrelic", "x", 2.5, "a=b")]),
+    "newrelic_traces": ("/trace/v1", "", "", [{"spans": [{"trace.id": "t", "id": "s", "name": "n", "timestamp": MS, "duration.ms": 12.9}, {"trace.id": "t", "id": "u", "name": "o", "timestamp": MS, "duration.ms": 1e300}]}], "spans", [span("newrelic", "n", 12000), span("newrelic", "o", None, id="u")]),
+    "honeycomb": ("/1/batch/x", "", "", [{"trace.trace_id": "t", "trace.span_id": "s", "name": "n"}], "spans", [span("honeycomb", "n", 0, at=CAME)]),
+    "honeycomb_logs": ("/1/events/x", "", "", [{"message": "m", "service.name": "w"}, {"trace.trace_id": "t"}], "logs", [(CAME, "w", "info", "m", None)]),
+    "xray": ("/xray", "", "", {"TraceSegmentDocuments": [json.dumps({"trace_id": "t", "id": "s", "name": "svc", "start_time": S + 0.5, "end_time": S + 0.75, "fault": True}), "bad", json.dumps({"trace_id": "t", "id": "u", "name": "svc", "start_time": 1e300, "end_time": 2e300})]}, "spans",
+        [span("svc", "svc", 250000, "ERROR"), span("svc", "svc", None, at=CAME, id="u")]),
+    "cloudwatch": ("/cloudwatch", "", "", {"logGroupName": "g", "logStreamName": "st", "logEvents": [{"timestamp": MS, "message": "m"}]}, "logs", [(TIME, "g", "info", "m", "logStream=st")]),
+    "gcp_trace": ("/v2/traces", "", "", {"spans": [{"spanId": "s", "displayName": {"value": "d"}, "startTime": "2024-01-01T00:00:00Z", "endTime": "2024-01-01T00:00:00.250Z"}]}, "spans", [span("gcp", "d", 250000, trace="")]),
+    "gcp_logging": ("/google/logging", "", "", {"entries": [{"logName": "l", "severity": "ERROR", "timestamp": "2024-01-01T00:00:00Z", "textPayload": "t"}, {"logName": "l2", "severity": "INFO", "timestamp": "bad", "jsonPayload": {"a": 1}}]}, "logs", [(TIME, "l", "error", "t", None), (CAME, "l2", "info", '{"a":1}', None)]),
+    "azure": ("/azure/logs", "", "", {"records": [{"time": "2024-01-01T00:00:00Z", "category": "c", "level": "Warning", "properties": {"k": "v"}}]}, "logs", [(TIME, "c", "warning", '{"k":"v"}', None)]),
+    "dynatrace_metrics": ("/api/v2/metrics/ingest", "", "", "cpu.load,host=a 2.5\nbad\n", "metrics", [(CAME, "dynatrace", "cpu.load", 2.5, None)]),
+    "dynatrace_logs": ("/api/v2/logs/ingest", "", "", [{"content": "c", "severity": "WARN", "timestamp": "2024-01-01T00:00:00Z"}], "logs", [(TIME, "dynatrace", "warn", "c", None)]),
+    "appdynamics": ("/appdynamics/events", "", "", [{"eventType": "E", "eventTime": MS, "summary": "s"}], "logs", [(TIME, "appdynamics", "info", "s", "eventType=E")]),
+    "signalfx": ("/v2/datapoint", "", "", {"gauge": [{"metric": "g", "value": 1.0, "timestamp": MS, "dimensions": {"d": "e"}}], "counter": [{"metric": "k", "value": 2.0, "timestamp": MS}]}, "metrics", [(TIME, "signalfx", "g", 1.0, "d=e"), (TIME, "signalfx", "k", 2.0, None)]),
+    "logstash": ("/logstash", "", "", {"host": "h", "message": "m", "level": "warn"}, "logs", [(CAME, "h", "warn", "m", None)]),
+    "sumologic": ("/receiver/v1/http/x", "", "", [{"_source": "s", "message": "m"}], "logs", [(CAME, "s", "info", "m", None)]),
+    "json_logs": ("/", "", "", {"message": "m", "service": "s", "level": "warn", "value": 3}, "logs", [(CAME, "s", "warn", "m", None)]),
+    "json_metrics": ("/", "", "", {"value": 3, "name": "n"}, "metrics", [(CAME, "unknown", "n", 3.0, None)]),
+}
+
+#: Payloads that no route names, and the format that their path, sender, content type or body tells.
+UNNAMED: list[tuple[str | None, str | None, str | None, str, str]] = [
+    ("/x/otlp", "", "", "{}", "otlp"), ("/x/metrics", "", "", "{}", "prometheus"), ("/x/datadog", "", "", "{}", "datadog"), ("/", "datadog-agent/7", "", "{}", "datadog"), ("/x/jaeger", "", "", "{}", "jaeger"),
+    ("/", "jaeger", "", "{}", "jaeger"), ("/x/zipkin", "", "", "{}", "zipkin"), ("/x/loki", "", "", "{}", "loki"), ("/", "", "application/x-protobuf", "", "otlp"), (None, None, None, '{"resourceSpans":[]}', "otlp"),
+    ("/", "", "", '{"series":[]}', "datadog"), ("/", "", "", '{"data":[]}', "jaeger"), ("/", "", "", '{"streams":[]}', "loki"), ("/", "", "", '[{"localEndpoint":{}}]', "zipkin"), ("/", "", "", '{"data":1,"series":2}', "datadog"),
+    ("/", "", "", '{"a":1}', "json"), ("/", "", "", "{bad", "json"), ("/metrics", "datadog", "", '{"streams":[]}', "prometheus"),
+]
+
+COLUMNS = {table: [f.name for f in schema] for table, schema in schemas.TABLES.items()}
+
+
+def _raw(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    came = datetime.fromisoformat(CAME)
+    return spark.createDataFrame([(b, p, s, c, came) for p, s, c, b in rows], schemas.RAW)
+
+
+def _text(body: Any) -> str:
+    return body if isinstance(body, str) else json.dumps(body, separators=(",", ":"))
+
+
+def parsed(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of one sample, through the router, with tags as text."""
+    path, sender, kind, body, table, _ = SAMPLES[name]
+    rows = router.core(_raw(spark, [(path, sender, kind, _text(body))]), table)
+    return shown(rows)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    pairs = F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return rows.withColumn("tags", F.array_join(pairs, ","))
+
+
+def detected(spark: SparkSession) -> DataFrame:
+    """The payloads that no route names, each with its format."""
+    return router.routed(_raw(spark, [(p, s, c, b) for p, s, c, b, _ in UNNAMED])).select("path", "sender", "content_type", "body", "format")
+
+
+def _quoted(value: Any) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+_KINDS = {"timestamp": "TIMESTAMP", "value": "DOUBLE", "duration_us": "BIGINT"}
+
+
+def rows_sql(name: str) -> str:
+    *_, table, rows = SAMPLES[name]
+    columns = COLUMNS[table]
+    values = ", ".join(f"({', '.join(map(_quoted, r))})" for r in rows)
+    cast = ", ".join(f"CAST({c} AS {_KINDS.get(c, 'VARCHAR')}) AS {c}" for c in columns)
+    return f"SELECT {cast} FROM (VALUES {values}) v({', '.join(columns)})"
+
+
+def detected_sql() -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({', '.join(map(_quoted, (p, s, c, b, f)))})' for p, s, c, b, f in UNNAMED)}) v(path, sender, content_type, body, format)"
+
+
+#: Messages and the type of error that each tells.
+MESSAGES = [
+    ("upstream Timed Out after 3 s", "timeout"), ("context deadline exceeded", "timeout"), ("dial: connection refused", "connection_error"), ("read: Connection reset by peer", "connection_error"), ("lookup x: no such host", "dns_error"),
+    ("bad certificate", "tls_error"), ("container OOM killed", "memory_error"), ("SQL state 42P01", "database_error"), ("403 Forbidden", "auth_error"), ("too many requests", "rate_limit"), ("HTTP 500", "server_error"), ("malformed body", "validation_error"),
+    ("it broke", "unknown"), ("timeout while the database was locked", "timeout"),
+]
+#: Services with what is correlated with them, as name, direction and error rate, and the scope, failing and healthy names that follow.
+SCOPES = [
+    ("alone", [], "isolated", "", ""), ("calm", [("a", "upstream", 0.01), ("b", "downstream", 0.0)], "isolated", "", "a,b"), ("fed", [("a", "upstream", 0.5), ("b", "downstream", 0.005)], "upstream", "a", "b"),
+    ("feeds", [("c", "downstream", 0.2), ("d", "downstream", 0.011)], "downstream", "c,d", ""), ("amid", [("a", "upstream", 0.3), ("c", "downstream", 0.2)], "cascading", "a,c", ""),
+]
+#: Blocks of packed telemetry: kind, bytes before and after.
+BLOCKS = [("spans", 1000, 250), ("spans", 3000, 750), ("logs", 500, 100), ("logs_cold", 0, 0)]
+
+
+def error_type_cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(m,) for m, _ in MESSAGES], "message string").select("message", redact.error_type(F.col("message")).alias("error_type"))
+
+
+def error_breakdown_cases(spark: SparkSession) -> DataFrame:
+    """One service's messages, as per cent of each kind."""
+    logs = spark.createDataFrame([(datetime.fromisoformat(CAME), "s", "ERROR", m) for m, _ in MESSAGES], "timestamp timestamp_ntz, service string, level string, message string")
+    found = context.error_breakdown(logs)
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c not in ("service", "messages")})
+
+
+def scope_cases(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(s, c) for s, c, *_ in SCOPES], "service string, correlations array<struct<service:string,direction:string,error_rate:double>>")
+    return incidents.scope(rows).select("service", "scope", F.array_join("failing_deps", ",").alias("failing"), F.array_join("healthy_deps", ",").alias("healthy"))
+
+
+def block_cases(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(k, a, b, b / a if a else None) for k, a, b in BLOCKS], "data_type string, original_size long, compressed_size long, compression_ratio double")
+    found = tiering.block_stats(rows)
+    return found.withColumns({c: F.round(c, 6) for c in ("avg_ratio", "saved_percent")})
+
+
+def _percent(kinds: tuple[str, ...], within: bool = True) -> str:
+    found = sum((t in kinds) == within for _, t in MESSAGES)
+    return f"round(CAST({100 * found}.0 / {len(MESSAGES)} AS DOUBLE), 6)"
+
+
+_FOUR = ("timeout", "connection_error", "server_error", "validation_error")
+_SHARES = ", ".join(f"{_percent((k,))} AS {n}" for k, n in zip(_FOUR, ("timeout", "connection_error", "server_error_5xx", "client_error_4xx"), strict=True))
+#: Queries over literal rows that hold every case, and the rows that they give, as SQL.
+CASES = {
+    "error_type_cases": (error_type_cases, f"SELECT * FROM (VALUES {', '.join(f'({_quoted(m)}, {_quoted(t)})' for m, t in MESSAGES)}) v(message, error_type)"),
+    "error_breakdown_cases": (error_breakdown_cases, f"SELECT 's' AS service, CAST({len(MESSAGES)} AS BIGINT) AS messages, {_SHARES}, {_percent(_FOUR, False)} AS other"),
+    "scope_cases": (scope_cases, f"SELECT * FROM (VALUES {', '.join(f'({_quoted(s)}, {_quoted(k)}, {_quoted(f)}, {_quoted(h)})' for s, _, k, f, h in SCOPES)}) v(service, scope, failing, healthy)"),
+    "block_cases": (
+        block_cases,
+        f"""SELECT data_type, count(*) AS blocks, CAST(sum(a) AS BIGINT) AS original, CAST(sum(b) AS BIGINT) AS compressed, round(avg(CASE WHEN a > 0 THEN b / a END), 6) AS avg_ratio,
+          round(CASE WHEN sum(a) > 0 THEN (1 - sum(b) / sum(a)) * 100 ELSE 0 END, 6) AS saved_percent FROM (VALUES {', '.join(f"('{k}', {a}, {b})" for k, a, b in BLOCKS)}) v(data_type, a, b) GROUP BY ROLLUP (data_type)""",
+    ),
+}

@@ -22,6 +22,6 @@ INCIDENTS = _table(
     duration_seconds=T.IntegerType(), applied_fix=T.StringType(), fix_succeeded=T.BooleanType(), time_to_resolve_seconds=T.IntegerType(),
 )
 #: What sources read: a payload, where it was sent, what sent it, and when it came.
-RAW = _table(body=T.StringType(), path=T.StringType(), user_agent=T.StringType(), content_type=T.StringType(), received_at=T.TimestampNTZType())
+RAW = _table(body=T.StringType(), path=T.StringType(), sender=T.StringType(), content_type=T.StringType(), received_at=T.TimestampNTZType())
 
 TABLES = {"spans": SPANS, "logs": LOGS, "metrics": METRICS}

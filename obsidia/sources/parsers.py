@@ -2,7 +2,8 @@
 
 Each parser takes rows of schemas.RAW and gives rows of one core table, by expressions alone, so batches and streams share it. What a
 payload leaves out is its default; where it has no time of its own, received_at stands. Field names are matched in their case. A
-payload that is no JSON of the expected shape gives no rows; rejects() has those.
+payload that is no JSON of the expected shape gives no rows; rejects() has those. No payload fails a batch: a number or a time out of
+range is null or its default, and of a key that comes again the last counts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsidia import schemas
+from obsidia.functions.maps import deduped, last_wins
 
 
 def NOW() -> Column:
@@ -30,22 +32,27 @@ def at(parsed: Column) -> Column:
     return F.coalesce(parsed.cast("timestamp_ntz"), NOW())
 
 
-def seconds(c: Column) -> Column:
-    return F.when(c > 0, F.timestamp_micros((c * 1_000_000).cast("long")))
+#: Microseconds of the years 1 to 9999: what is outside is no time.
+FIRST, LAST = -62_135_596_800_000_000, 253_402_300_799_999_999
+
+
+def micros(c: Column) -> Column:
+    return F.when(c.between(FIRST, LAST), F.timestamp_micros(c))
 
 
 def millis(c: Column) -> Column:
-    return F.timestamp_micros(c * 1000)
+    return micros(F.try_multiply(c, F.lit(1000).cast("long")))
 
 
-def micros(c: Column) -> Column:
-    return F.timestamp_micros(c)
+def seconds(c: Column) -> Column:
+    """Whole seconds of a number."""
+    return micros(F.try_multiply(c.try_cast("long"), F.lit(1_000_000).cast("long")))
 
 
 def nanos(c: Column) -> Column:
     """Nanoseconds since the epoch in a string that may end in something else."""
     whole = F.regexp_extract(c, r"^-?\d+", 0).try_cast("decimal(20,0)")
-    return F.timestamp_micros(F.floor(whole / 1000).cast("long"))
+    return micros(F.floor(whole / 1000).cast("long"))
 
 
 def iso(c: Column) -> Column:
@@ -103,7 +110,7 @@ def _attribute(attributes: Column, key: str) -> Column:
 
 def _attributes(attributes: Column) -> Column:
     value = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
-    return F.map_from_entries(F.transform(F.filter(attributes, lambda a: a["key"].isNotNull()), lambda a: F.struct(a["key"].alias("key"), value(a["value"]).alias("value"))))
+    return last_wins(F.transform(attributes, lambda a: F.struct(a["key"].alias("key"), value(a["value"]).alias("value"))))
 
 
 def otlp_status(code: Column) -> Column:
@@ -129,20 +136,38 @@ def otlp_logs(raw: DataFrame) -> DataFrame:
 
 
 def otlp_metrics(raw: DataFrame) -> DataFrame:
-    """Points of gauges and sums."""
-    point = f"struct<timeUnixNano:string,asDouble:double,asInt:string,attributes:array<{_value('')}>>"
-    p = parsed(raw, f"struct<resourceMetrics:array<struct<resource:struct<attributes:array<{_value('')}>>,scopeMetrics:array<struct<metrics:array<struct<name:string,gauge:struct<dataPoints:array<{point}>>,sum:struct<dataPoints:array<{point}>>>>>>>>>")
+    """Points of gauges and sums; of histograms and summaries the count and the sum, and of summaries each quantile."""
+    head = f"timeUnixNano:string,attributes:array<{_value('')}>"
+    point = f"struct<{head},asDouble:double,asInt:string>"
+    spread = f"struct<{head},count:string,sum:double,quantileValues:array<struct<quantile:double,value:double>>>"
+    metric = f"struct<name:string,gauge:struct<dataPoints:array<{point}>>,sum:struct<dataPoints:array<{point}>>,histogram:struct<dataPoints:array<{spread}>>,summary:struct<dataPoints:array<{spread}>>>"
+    p = parsed(raw, f"struct<resourceMetrics:array<struct<resource:struct<attributes:array<{_value('')}>>,scopeMetrics:array<struct<metrics:array<{metric}>>>>>>")
     r = p.select("received_at", F.explode("p.resourceMetrics").alias("r")).select("received_at", "r", F.explode("r.scopeMetrics").alias("s")).select("received_at", "r", F.explode("s.metrics").alias("m"))
-    none = F.array().cast(f"array<{point}>")
-    r = r.select("received_at", "r", "m", F.explode(F.concat(F.coalesce("m.gauge.dataPoints", none), F.coalesce("m.sum.dataPoints", none))).alias("x"))
-    return metrics(r, at(nanos(F.col("x.timeUnixNano"))), text(_attribute(F.col("r.resource.attributes"), "service.name"), "unknown"), F.col("m.name"), F.coalesce("x.asDouble", F.col("x.asInt").try_cast("double")), _attributes(F.col("x.attributes")))
+    row = f"struct<name:string,{head},value:double,quantile:string>"
+
+    def made(x: Column, suffix: str, value: Column, quantile: Column | None = None) -> Column:
+        return F.struct(F.concat(F.col("m.name"), F.lit(suffix)).alias("name"), x["timeUnixNano"].alias("timeUnixNano"), x["attributes"].alias("attributes"), value.cast("double").alias("value"), (F.lit(None) if quantile is None else quantile).cast("string").alias("quantile")).cast(row)
+
+    def numbers(points: str) -> Column:
+        return F.coalesce(F.transform(points, lambda x: made(x, "", F.coalesce(x["asDouble"], x["asInt"].try_cast("double")))), F.array().cast(f"array<{row}>"))
+
+    def spreads(points: str) -> Column:
+        both = lambda x: F.filter(F.array(made(x, "_count", x["count"].try_cast("double")), made(x, "_sum", x["sum"])), lambda y: y["value"].isNotNull())
+        quantiles = lambda x: F.coalesce(F.transform(x["quantileValues"], lambda q: made(x, "", q["value"], q["quantile"])), F.array().cast(f"array<{row}>"))
+        return F.coalesce(F.flatten(F.transform(points, lambda x: F.concat(both(x), quantiles(x)))), F.array().cast(f"array<{row}>"))
+
+    rows = F.concat(numbers("m.gauge.dataPoints"), numbers("m.sum.dataPoints"), spreads("m.histogram.dataPoints"), spreads("m.summary.dataPoints"))
+    r = r.select("received_at", "r", F.explode(rows).alias("x"))
+    own = _attributes(F.col("x.attributes"))
+    of = F.when(F.col("x.quantile").isNotNull(), F.map_concat(F.coalesce(own, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.create_map(F.lit("quantile"), F.col("x.quantile")))).otherwise(own)
+    return metrics(r, at(nanos(F.col("x.timeUnixNano"))), text(_attribute(F.col("r.resource.attributes"), "service.name"), "unknown"), F.col("x.name"), F.col("x.value"), of)
 
 
 def prometheus(raw: DataFrame) -> DataFrame:
     """The public text exposition format: name{labels} value [milliseconds]; comments are skipped."""
     head = r'^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{.*\})?\s+(\S+)(?:\s+(-?\d+))?$'
     x = lines(raw).where("NOT startswith(line, '#')").withColumns({k: F.regexp_extract("line", head, i) for i, k in enumerate(("name", "labels", "value", "ms"), 1)}).where("name <> ''")
-    labels = F.map_from_entries(F.transform(F.regexp_extract_all("labels", F.lit(r'[a-zA-Z_][a-zA-Z0-9_]*="(?:[^"\\]|\\.)*"'), F.lit(0)), lambda s: F.struct(F.substring_index(s, "=", 1).alias("key"), F.regexp_extract(s, r'="((?:[^"\\]|\\.)*)"', 1).alias("value"))))
+    labels = last_wins(F.transform(F.regexp_extract_all("labels", F.lit(r'[a-zA-Z_][a-zA-Z0-9_]*="(?:[^"\\]|\\.)*"'), F.lit(0)), lambda s: F.struct(F.substring_index(s, "=", 1).alias("key"), F.regexp_extract(s, r'="((?:[^"\\]|\\.)*)"', 1).alias("value"))))
     x = x.withColumn("labels", labels).withColumn("number", F.col("value").try_cast("double")).where("number IS NOT NULL")
     return metrics(x, at(millis(F.nullif(F.col("ms"), F.lit("")).try_cast("long"))), text(F.coalesce(F.col("labels")["service"], F.col("labels")["job"]), "unknown"), F.col("name"), F.col("number"), F.col("labels"))
 
@@ -150,13 +175,13 @@ def prometheus(raw: DataFrame) -> DataFrame:
 def _colon_tags(list_of: Column) -> Column:
     """key:value strings; those without a colon are dropped."""
     split = F.transform(F.filter(list_of, lambda t: t.contains(":")), lambda t: F.split(t, ":", 2))
-    return F.map_from_entries(F.transform(split, lambda s: F.struct(s[0].alias("key"), s[1].alias("value"))))
+    return last_wins(F.transform(split, lambda s: F.struct(s[0].alias("key"), s[1].alias("value"))))
 
 
 def datadog_series(raw: DataFrame) -> DataFrame:
     p = parsed(raw, "struct<series:array<struct<metric:string,points:array<array<double>>,host:string,tags:array<string>>>>")
     s = p.select("received_at", F.explode("p.series").alias("s")).select("received_at", "s", F.explode("s.points").alias("x")).where("size(x) >= 2")
-    return metrics(s, at(F.timestamp_seconds(F.col("x")[0].cast("long"))), F.col("s.host"), F.col("s.metric"), F.col("x")[1], _colon_tags(F.col("s.tags")))
+    return metrics(s, at(seconds(F.col("x")[0])), F.col("s.host"), F.col("s.metric"), F.col("x")[1], _colon_tags(F.col("s.tags")))
 
 
 def datadog_logs(raw: DataFrame) -> DataFrame:
@@ -178,13 +203,13 @@ def jaeger(raw: DataFrame) -> DataFrame:
 
 def zipkin(raw: DataFrame) -> DataFrame:
     p = one_or_many(raw, "struct<traceId:string,id:string,parentId:string,name:string,timestamp:bigint,duration:bigint,localEndpoint:struct<serviceName:string>,tags:map<string,string>>")
-    bad = F.coalesce(F.col("p.tags")["error"], F.lit("")) != ""
-    return spans(p, timestamp=at(micros(F.col("p.timestamp"))), trace_id=F.col("p.traceId"), span_id=F.col("p.id"), parent_span_id=F.nullif(F.col("p.parentId"), F.lit("")), service=text("p.localEndpoint.serviceName", "unknown"), operation=F.col("p.name"), duration_us=F.coalesce("p.duration", F.lit(0)), status=F.when(bad, "ERROR").otherwise("OK"), tags=F.col("p.tags"))
+    bad = F.coalesce(deduped(F.col("p.tags"))["error"], F.lit("")) != ""
+    return spans(p, timestamp=at(micros(F.col("p.timestamp"))), trace_id=F.col("p.traceId"), span_id=F.col("p.id"), parent_span_id=F.nullif(F.col("p.parentId"), F.lit("")), service=text("p.localEndpoint.serviceName", "unknown"), operation=F.col("p.name"), duration_us=F.coalesce("p.duration", F.lit(0)), status=F.when(bad, "ERROR").otherwise("OK"), tags=deduped(F.col("p.tags")))
 
 
 def loki(raw: DataFrame) -> DataFrame:
     p = parsed(raw, "struct<streams:array<struct<stream:map<string,string>,values:array<array<string>>>>>")
-    s = p.select("received_at", F.explode("p.streams").alias("s")).select("received_at", F.col("s.stream").alias("t"), F.explode("s.values").alias("v")).where("size(v) >= 2")
+    s = p.select("received_at", F.explode("p.streams").alias("s")).select("received_at", deduped(F.col("s.stream")).alias("t"), F.explode("s.values").alias("v")).where("size(v) >= 2")
     first = lambda *keys: F.coalesce(*[F.nullif(F.col("t")[k], F.lit("")) for k in keys])
     return logs(s, at(nanos(F.col("v")[0])), F.coalesce(first("service", "job", "app"), F.lit("unknown")), F.coalesce(first("level", "severity"), F.lit("info")), F.col("v")[1], F.col("t"))
 
@@ -193,12 +218,13 @@ def splunk_hec(raw: DataFrame) -> DataFrame:
     """event is a string, or an object with a message, or any other JSON."""
     p = one_or_many(raw, "struct<time:double,host:string,source:string,sourcetype:string,event:string>")
     message = F.coalesce(F.get_json_object(F.when(F.startswith("p.event", F.lit("{")), F.col("p.event")), "$.message"), F.col("p.event"))
-    return logs(p, at(F.when(F.col("p.time") > 0, F.timestamp_seconds(F.col("p.time").cast("long")))), F.col("p.source"), F.lit("info"), message, tags(host=F.coalesce("p.host", F.lit("")), sourcetype=F.coalesce("p.sourcetype", F.lit(""))))
+    return logs(p, at(F.when(F.col("p.time") > 0, seconds(F.col("p.time")))), F.col("p.source"), F.lit("info"), message, tags(host=F.coalesce("p.host", F.lit("")), sourcetype=F.coalesce("p.sourcetype", F.lit(""))))
 
 
 def elasticsearch_bulk(raw: DataFrame) -> DataFrame:
-    """Lines in pairs of which the first, the action, is skipped."""
-    numbered = raw.select("received_at", F.posexplode(F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    """Lines in pairs of which the first, the action, is skipped. A delete has no document, so its line, an object of that one key, is no pair."""
+    alone = lambda x: F.trim(x).rlike(r'^\{\s*"delete"\s*:\s*\{[^{}]*\}\s*\}$')
+    numbered = raw.select("received_at", F.posexplode(F.filter(F.split("body", "\n"), lambda x: (F.trim(x) != "") & ~alone(x))).alias("pos", "line"))
     body = numbered.where("pos % 2 = 1").where(F.try_parse_json("line").isNotNull() & F.startswith(F.ltrim("line"), F.lit("{")))
     get = lambda k: F.get_json_object("line", f"$.{k}")
     return logs(body, NOW(), text(get("service"), "elasticsearch"), text(get("level"), "info"), F.coalesce(get("message"), get("log"), F.col("line")))
@@ -208,7 +234,7 @@ def influx(raw: DataFrame) -> DataFrame:
     """measurement[,tags] fields [nanoseconds]; a row for each numeric field."""
     x = lines(raw).where("NOT startswith(line, '#')").withColumn("w", F.split("line", r"\s+")).where("size(w) >= 2")
     x = x.withColumns({"head": F.split(F.col("w")[0], ","), "ns": F.get("w", F.lit(2))})
-    pairs = lambda list_of: F.map_from_entries(F.transform(F.filter(list_of, lambda t: t.contains("=")), lambda t: F.struct(F.split(t, "=", 2)[0].alias("key"), F.split(t, "=", 2)[1].alias("value"))))
+    pairs = lambda list_of: last_wins(F.transform(F.filter(list_of, lambda t: t.contains("=")), lambda t: F.struct(F.split(t, "=", 2)[0].alias("key"), F.split(t, "=", 2)[1].alias("value"))))
     x = x.select("received_at", "ns", F.col("head")[0].alias("m"), pairs(F.expr("slice(head, 2, size(head))")).alias("t"), F.explode(pairs(F.split(F.col("w")[1], ","))).alias("k", "v"))
     x = x.withColumn("number", F.regexp_replace("v", "[iu]$", "").try_cast("double")).where("number IS NOT NULL")
     return metrics(x, at(nanos(F.col("ns"))), text(F.col("t")["host"], "influxdb"), F.concat_ws("_", "m", "k"), F.col("number"), F.col("t"))
@@ -216,7 +242,7 @@ def influx(raw: DataFrame) -> DataFrame:
 
 def graphite(raw: DataFrame) -> DataFrame:
     x = lines(raw).withColumn("w", F.split("line", r"\s+")).where("size(w) >= 2").withColumn("number", F.col("w")[1].try_cast("double")).where("number IS NOT NULL")
-    return metrics(x, at(F.timestamp_seconds(F.get("w", F.lit(2)).try_cast("long"))), F.lit("graphite"), F.col("w")[0], F.col("number"))
+    return metrics(x, at(seconds(F.get("w", F.lit(2)).try_cast("long"))), F.lit("graphite"), F.col("w")[0], F.col("number"))
 
 
 def statsd(raw: DataFrame) -> DataFrame:
@@ -242,17 +268,17 @@ def syslog(raw: DataFrame) -> DataFrame:
 
 def newrelic_logs(raw: DataFrame) -> DataFrame:
     p = one_or_many(raw, "struct<message:string,timestamp:bigint,attributes:map<string,string>>")
-    return logs(p, at(millis(F.col("p.timestamp"))), F.lit("newrelic"), F.lit("info"), F.col("p.message"), F.col("p.attributes"))
+    return logs(p, at(millis(F.col("p.timestamp"))), F.lit("newrelic"), F.lit("info"), F.col("p.message"), deduped(F.col("p.attributes")))
 
 
 def newrelic_metrics(raw: DataFrame) -> DataFrame:
     p = one_or_many(raw, "struct<metrics:array<struct<name:string,type:string,value:double,timestamp:bigint,attributes:map<string,string>>>>").select("received_at", F.explode("p.metrics").alias("m"))
-    return metrics(p, at(millis(F.col("m.timestamp"))), F.lit("newrelic"), F.col("m.name"), F.col("m.value"), F.col("m.attributes"))
+    return metrics(p, at(millis(F.col("m.timestamp"))), F.lit("newrelic"), F.col("m.name"), F.col("m.value"), deduped(F.col("m.attributes")))
 
 
 def newrelic_traces(raw: DataFrame) -> DataFrame:
     p = one_or_many(raw, "struct<spans:array<struct<`trace.id`:string,id:string,name:string,timestamp:bigint,`duration.ms`:double,attributes:map<string,string>>>>").select("received_at", F.explode("p.spans").alias("s"))
-    return spans(p, timestamp=at(millis(F.col("s.timestamp"))), trace_id=F.col("s.`trace.id`"), span_id=F.col("s.id"), service=F.lit("newrelic"), operation=F.col("s.name"), duration_us=F.col("s.`duration.ms`").cast("long") * 1000, status=F.lit("OK"), tags=F.col("s.attributes"))
+    return spans(p, timestamp=at(millis(F.col("s.timestamp"))), trace_id=F.col("s.`trace.id`"), span_id=F.col("s.id"), service=F.lit("newrelic"), operation=F.col("s.name"), duration_us=F.try_multiply(F.col("s.`duration.ms`").try_cast("long"), F.lit(1000).cast("long")), status=F.lit("OK"), tags=deduped(F.col("s.attributes")))
 
 
 def _objects(raw: DataFrame) -> DataFrame:
@@ -279,7 +305,7 @@ def xray(raw: DataFrame) -> DataFrame:
     p = parsed(raw, "struct<TraceSegmentDocuments:array<string>>").select("received_at", F.explode("p.TraceSegmentDocuments").alias("d"))
     s = p.withColumn("s", F.from_json("d", "struct<trace_id:string,id:string,name:string,start_time:double,end_time:double,fault:boolean,error:boolean>")).where("s.id IS NOT NULL OR s.trace_id IS NOT NULL")
     bad = F.coalesce("s.fault", F.lit(False)) | F.coalesce("s.error", F.lit(False))
-    return spans(s, timestamp=at(F.timestamp_seconds(F.col("s.start_time").cast("long"))), trace_id=F.col("s.trace_id"), span_id=F.col("s.id"), service=F.col("s.name"), operation=F.col("s.name"), duration_us=((F.col("s.end_time") - F.col("s.start_time")) * 1_000_000).cast("long"), status=F.when(bad, "ERROR").otherwise("OK"))
+    return spans(s, timestamp=at(seconds(F.col("s.start_time"))), trace_id=F.col("s.trace_id"), span_id=F.col("s.id"), service=F.col("s.name"), operation=F.col("s.name"), duration_us=((F.col("s.end_time") - F.col("s.start_time")) * 1_000_000).try_cast("long"), status=F.when(bad, "ERROR").otherwise("OK"))
 
 
 def cloudwatch(raw: DataFrame) -> DataFrame:
@@ -324,7 +350,7 @@ def signalfx(raw: DataFrame) -> DataFrame:
     p = parsed(raw, f"struct<gauge:{point},counter:{point}>")
     none = F.array().cast(point)
     x = p.select("received_at", F.explode(F.concat(F.coalesce("p.gauge", none), F.coalesce("p.counter", none))).alias("x"))
-    return metrics(x, at(millis(F.col("x.timestamp"))), F.lit("signalfx"), F.col("x.metric"), F.col("x.value"), F.col("x.dimensions"))
+    return metrics(x, at(millis(F.col("x.timestamp"))), F.lit("signalfx"), F.col("x.metric"), F.col("x.value"), deduped(F.col("x.dimensions")))
 
 
 def logstash(raw: DataFrame) -> DataFrame:
@@ -343,12 +369,12 @@ def sumologic(raw: DataFrame) -> DataFrame:
     return objects.unionByName(plain)
 
 
-def _has(key: str) -> Column:
-    return F.array_contains(F.json_object_keys(F.when(F.try_parse_json("body").isNotNull(), F.col("body"))), key)
-
-
 def _generic(raw: DataFrame) -> DataFrame:
-    return raw.where("startswith(ltrim(body), '{')").withColumns({"log": F.coalesce(_has("message"), F.lit(False)), "metric": F.coalesce(_has("value"), F.lit(False))}).withColumn("p", F.from_json("body", "struct<level:string,message:string,service:string,name:string,value:double>"))
+    """Payloads that are one object, with which of the two keys it has."""
+    keys = F.coalesce(F.json_object_keys(F.when(F.try_parse_json("body").isNotNull(), F.col("body"))), F.array().cast("array<string>"))
+    has = F.get(F.transform(F.array(keys), lambda k: F.struct(F.array_contains(k, "message").alias("log"), F.array_contains(k, "value").alias("metric"))), F.lit(0))
+    objects = raw.where("startswith(ltrim(body), '{')").withColumn("has", has)
+    return objects.select("*", "has.*").withColumn("p", F.from_json("body", "struct<level:string,message:string,service:string,name:string,value:double>"))
 
 
 def json_logs(raw: DataFrame) -> DataFrame:

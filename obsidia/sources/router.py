@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsidia import schemas
 from obsidia.sources.parsers import FORMATS
 
-# Paths that belong to one format, as vendors' agents send to them.
+# Paths that belong to one format, as vendors' senders use them.
 ROUTES = {
     "/v1/traces": "otlp", "/v1/logs": "otlp_logs", "/v1/metrics": "otlp_metrics",
     "/api/v1/prom/write": "prometheus", "/api/v1/write": "prometheus", "/prometheus/api/v1/write": "prometheus",
@@ -27,50 +29,67 @@ ROUTES = {
 PREFIXES = {"/1/events/": "honeycomb", "/1/batch/": "honeycomb", "/receiver/v1/http/": "sumologic"}
 
 
-def _holds(key: str) -> Column:
-    keys = F.json_object_keys(F.when(F.startswith("body", F.lit("{")) & F.try_parse_json("body").isNotNull(), F.col("body")))
-    return F.coalesce(F.array_contains(keys, key), F.lit(False))
+def detected() -> Column:
+    """The format of a payload that no route names: by path, then sender, then content type, then what the JSON holds."""
+    path, sender, kind = (F.coalesce(c, F.lit("")) for c in ("path", "sender", "content_type"))
 
+    def by_body(body: Column) -> Column:
+        """body: the payload, if it is JSON. It is parsed once, for its keys."""
+        keys = F.json_object_keys(F.when(F.startswith(body, F.lit("{")), body))
+        first = F.get_json_object(F.when(F.startswith(body, F.lit("[")), body), "$[0].localEndpoint")
+        held = [("resourceSpans", "otlp"), ("series", "datadog"), ("data", "jaeger"), ("streams", "loki")]
+        named = F.get(F.transform(F.array(keys), lambda k: reduce(lambda out, x: out.when(F.array_contains(k, x[0]), x[1]), held, F)), F.lit(0))
+        return F.coalesce(named, F.when(first.isNotNull(), "zipkin"), F.lit("json"))
 
-def detected() -> Column:
-    """The format of a payload that no route names: by path, then agent, then content type, then what the JSON holds."""
-    path, agent, kind = (F.coalesce(c, F.lit("")) for c in ("path", "user_agent", "content_type"))
-    first = F.get_json_object(F.when(F.startswith("body", F.lit("[")) & F.try_parse_json("body").isNotNull(), F.col("body")), "$[0].localEndpoint")
     rules = [
         (path.contains("/otlp") | path.contains("/v1/traces"), "otlp"),
         (path.contains("/prometheus") | path.contains("/metrics"), "prometheus"),
-        (path.contains("/datadog") | agent.contains("datadog"), "datadog"),
-        (path.contains("/jaeger") | agent.contains("jaeger"), "jaeger"),
-        (path.contains("/zipkin") | agent.contains("zipkin"), "zipkin"),
+        (path.contains("/datadog") | sender.contains("datadog"), "datadog"),
+        (path.contains("/jaeger") | sender.contains("jaeger"), "jaeger"),
+        (path.contains("/zipkin") | sender.contains("zipkin"), "zipkin"),
         (path.contains("/loki"), "loki"),
         (kind.contains("application/x-protobuf"), "otlp"),
-        (_holds("resourceSpans"), "otlp"),
-        (_holds("series"), "datadog"),
-        (_holds("data"), "jaeger"),
-        (_holds("streams"), "loki"),
-        (first.isNotNull(), "zipkin"),
     ]
-    return reduce(lambda out, rule: out.when(*rule), rules, F).otherwise("json")
+    whole = F.when(F.try_parse_json("body").isNotNull(), F.col("body"))
+    from_body = F.get(F.transform(F.array(whole), by_body), F.lit(0))
+    return reduce(lambda out, rule: out.when(*rule), rules, F).otherwise(from_body)
 
 
 def routed(raw: DataFrame) -> DataFrame:
-    """Adds format."""
+    """Adds format; rows that have one already keep it."""
+    if "format" in raw.columns:
+        return raw
     path = F.coalesce("path", F.lit(""))
     exact = F.create_map(*[F.lit(x) for pair in ROUTES.items() for x in pair])[path]
     by_prefix = reduce(lambda out, pair: out.when(path.startswith(pair[0]), pair[1]), PREFIXES.items(), F)
     return raw.withColumn("format", F.coalesce(exact, by_prefix, detected()))
 
 
-def core(raw: DataFrame, table: str) -> DataFrame:
-    """All rows of one core table that payloads of any format hold."""
+def core(raw: DataFrame, table: str, formats: Collection[str] | None = None) -> DataFrame:
+    """All rows of one core table that payloads of any format hold, or of the formats that are known to be there.
+
+    Each format's parser reads its own share. Where raw is more than a few files, route it once, keep that (persist or write it by
+    format) and name the formats that it holds, as present() does: then no share is detected or read twice.
+    """
     named = routed(raw)
-    parts = [parse(named.where(F.col("format") == name)) for name, tables in FORMATS.items() for t, parse in tables.items() if t == table]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [parse(named.where(F.col("format") == name)) for name, tables in FORMATS.items() for t, parse in tables.items() if t == table and (formats is None or name in formats)]
+    nothing = raw.sparkSession.createDataFrame([], schemas.TABLES[table])
+    return reduce(DataFrame.unionByName, parts) if parts else nothing
+
+
+def present(routed: DataFrame) -> list[str]:
+    """The formats that payloads have: a list no longer than that of the formats."""
+    return sorted(r.format for r in routed.select("format").distinct().collect())
 
 
 LINE_FORMATS = ("prometheus", "influx", "graphite", "statsd", "syslog", "dynatrace_metrics", "elasticsearch", "sumologic")
 
 
+def rejected() -> Column:
+    """Of a routed payload, whether it should be JSON and is not."""
+    return ~F.col("format").isin(*LINE_FORMATS) & F.try_parse_json("body").isNull()
+
+
 def rejects(raw: DataFrame) -> DataFrame:
     """Payloads of JSON formats that are no JSON. Formats of lines skip bad lines instead."""
-    return routed(raw).where(~F.col("format").isin(*LINE_FORMATS) & F.try_parse_json("body").isNull())
+    return routed(raw).where(rejected())

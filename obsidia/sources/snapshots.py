@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsidia.functions.maps import last_wins
 from obsidia.functions.redact import redact_env
 
 # Reasons of normal events that still matter, and how many events and minutes are looked at.
@@ -14,23 +15,16 @@ REASONS = ("Unhealthy", "BackOff", "Failed", "OOMKilling", "Evicted")
 EVENTS, MINUTES = 10, 15
 
 
-def _as_map(pairs: Column) -> Column:
-    """Keys and values as a map; of a key that comes again the last counts."""
-    text = F.array().cast("array<string>")
-    one = lambda p: F.map_from_arrays(F.array(p["key"]), F.array(p["value"]))
-    return F.aggregate(pairs, F.map_from_arrays(text, text), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), one(p)))
-
-
 def properties(text: Column, between: str = "=") -> Column:
     """Lines of key and value as a map; of a key that comes again the last counts, other lines are skipped."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.contains(between))
-    return _as_map(F.transform(lines, lambda x: F.struct(F.substring_index(x, between, 1).alias("key"), F.substr(x, F.length(F.substring_index(x, between, 1)) + 2).alias("value"))))
+    return last_wins(F.transform(lines, lambda x: F.struct(F.substring_index(x, between, 1).alias("key"), F.substr(x, F.length(F.substring_index(x, between, 1)) + 2).alias("value"))))
 
 
 def stats(text: Column) -> Column:
     """Lines "STAT key value" as a map; of a key that comes again the last counts."""
     found = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), r"\s+", 3)), lambda p: (F.size(p) == 3) & (p[0] == "STAT"))
-    return _as_map(F.transform(found, lambda p: F.struct(p[1].alias("key"), p[2].alias("value"))))
+    return last_wins(F.transform(found, lambda p: F.struct(p[1].alias("key"), p[2].alias("value"))))
 
 
 def _long(m: Column, key: str) -> Column:
@@ -108,7 +102,7 @@ def workloads(df: DataFrame, text: str = "text") -> DataFrame:
     """
     c = F.get("x.spec.template.spec.containers", F.lit(0))
     named = F.filter(c["env"], lambda e: F.coalesce(e["name"], F.lit("")) != "")
-    env = _as_map(F.transform(named, lambda e: F.struct(e["name"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))
+    env = last_wins(F.transform(named, lambda e: F.struct(e["name"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))
     count = lambda path: F.coalesce(path, F.lit(0))
     return _items(df, _WORKLOAD, text).select(
         "x.kind", "x.metadata.name", "x.metadata.namespace", count("x.spec.replicas").alias("replicas"),
@@ -203,7 +197,7 @@ def inspected(df: DataFrame, text: str = "text") -> DataFrame:
     limit = F.col("x.HostConfig.Memory")
     return x.select(
         F.substring("x.Id", 1, 12).alias("id"), F.ltrim(F.col("x.Name"), F.lit("/")).alias("name"), F.coalesce("x.State.RestartCount", "x.RestartCount", F.lit(0)).alias("restarts"), F.col("x.State.Health.Status").alias("health"),
-        F.try_to_timestamp("x.State.StartedAt").cast("timestamp_ntz").alias("started"), F.when(limit > 0, bytes_text(limit)).alias("memory_limit"), redact_env(_as_map(pairs)).alias("env"),
+        F.try_to_timestamp("x.State.StartedAt").cast("timestamp_ntz").alias("started"), F.when(limit > 0, bytes_text(limit)).alias("memory_limit"), redact_env(last_wins(pairs)).alias("env"),
     )
 
 

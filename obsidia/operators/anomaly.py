@@ -1,30 +1,34 @@
 """Anomalies against a moving baseline of each service.
 
 Health is taken in cycles. A service's first cycle seeds its averages, and each cycle, that one and anomalous ones too, moves them.
-A cycle is compared with the averages before it moves them. One fold over a service's cycles in order of time carries the averages,
-the count and when each kind of anomaly last fired. The fold's state is a struct; the cycles of one service, one row each, are what
-a task gathers, so their number is bounded by the span of time that is looked at and not by the spans behind them.
+A cycle is compared with the averages before it moves them. A moved average is a factor times the average before plus something, so
+cycles are folded in chunks whose start need not be known, the chunks' factors are folded once a service, and each cycle's average
+follows from its chunk's start. What fires is then one fold over what is beyond its bounds. No fold copies more than a chunk or what fired.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsidia.operators.health import errors, ratio
+from obsidia.operators.health import errors, percentile_table, ratio
 
 # Fixed values of detection.
 ALPHA, LEAST_CYCLES, FACTOR, DROP = 0.1, 5, 3.0, 0.5
 ERROR_FLOOR, LATENCY_FLOOR, COOLDOWN_SECONDS = 0.01, 100.0, 300
 KINDS = ("error_spike", "latency_spike", "traffic_drop")
+#: Cycles that one fold takes.
+CHUNK = 128
+_VALUES = ("error_rate", "p99_ms", "per_minute")
 
 
 def cycles(spans: DataFrame, length: str = "10 seconds", minutes: float = 1 / 6) -> DataFrame:
     """service, t, error_rate, p99_ms and per_minute in windows of one length, one after the other."""
-    grouped = spans.groupBy("service", F.window("timestamp", length).alias("w")).agg(F.count("*").alias("n"), errors().alias("e"), (F.percentile("duration_us", 0.99) / 1000).alias("p99_ms"))
-    return grouped.select("service", F.col("w.start").alias("t"), ratio(F.col("e"), F.col("n")).alias("error_rate"), "p99_ms", (F.col("n") / minutes).alias("per_minute"))
+    timed = spans.withColumn("w", F.window("timestamp", length))
+    grouped = percentile_table(timed, ["service", "w"], {"p99_ms": (0.99, "n")}, {"n": F.count("*"), "e": errors()})
+    return grouped.select("service", F.col("w.start").alias("t"), ratio(F.col("e"), F.col("n")).alias("error_rate"), F.col("p99_ms"), (F.col("n") / minutes).alias("per_minute"))
 
 
 def severity(value: Column, threshold: Column) -> Column:
@@ -32,57 +36,72 @@ def severity(value: Column, threshold: Column) -> Column:
     return F.when(times > 5, "critical").when(times > 3, "high").when(times > 2, "medium").otherwise("low")
 
 
-_STATE = "struct<count:int,e:double,p:double,r:double,fired:array<timestamp_ntz>,out:array<struct<t:timestamp_ntz,count:int,e:double,p:double,r:double,x:struct<t:timestamp_ntz,error_rate:double,p99_ms:double,per_minute:double>,fires:array<boolean>>>>"
+def _chunked(rows: Column) -> Column:
+    """For each cycle of a chunk its values and, for each value, the factor and the addend that give the average before it from the chunk's start."""
+    line = ", ".join(f"{v}:struct<a:double,b:double>" for v in _VALUES)
+    cycle = "struct<t:timestamp_ntz,n:bigint,error_rate:double,p99_ms:double,per_minute:double>"
+    state = f"struct<now:struct<{line}>,out:array<struct<x:{cycle},before:struct<{line}>>>>"
+
+    def step(s: Column, x: Column) -> Column:
+        moved = [F.struct(F.when(x[v].isNull(), s["now"][v]["a"]).otherwise(s["now"][v]["a"] * (1 - ALPHA)).alias("a"), F.when(x[v].isNull(), s["now"][v]["b"]).otherwise(s["now"][v]["b"] * (1 - ALPHA) + x[v] * ALPHA).alias("b")).alias(v) for v in _VALUES]
+        return F.struct(F.struct(*moved).alias("now"), F.concat(s["out"], F.array(F.struct(x.alias("x"), s["now"].alias("before")))).alias("out")).cast(state)
+
+    none = F.struct(*[F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).alias(v) for v in _VALUES])
+    return F.aggregate(rows, F.struct(none.alias("now"), F.array().alias("out")).cast(state), step)
 
 
-def _fold(history: Column, cooldown: int) -> Column:
-    """For each cycle: the averages before it, its values, and which anomalies it fires."""
+def _averages(cycle: DataFrame) -> DataFrame:
+    """service, t, n (from 1), the cycle's values, and as avg_ the averages before it."""
+    number = F.row_number().over(Window.partitionBy("service").orderBy("t")).cast("long")
+    clean = cycle.select("service", F.col("t").cast("timestamp_ntz").alias("t"), *[F.col(v).cast("double").alias(v) for v in _VALUES]).withColumn("n", number)
+    chunks = clean.groupBy("service", F.expr(f"(n - 1) DIV {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("t", "n", *_VALUES))).alias("rows"))
+    chunks = chunks.withColumn("f", _chunked(F.col("rows"))).select("service", "chunk", "f.now", "f.out", F.col("rows")[0].alias("first"))
+    line = ", ".join(f"{v}:double" for v in _VALUES)
+    state = f"struct<now:struct<{line}>,starts:array<struct<chunk:bigint,{line}>>>"
 
     def step(s: Column, x: Column) -> Column:
-        first = s["count"] == 0
-        e, p, r = (F.when(first, x[k]).otherwise(s[a]) for a, k in (("e", "error_rate"), ("p", "p99_ms"), ("r", "per_minute")))
-        count = F.when(first, F.lit(1)).otherwise(s["count"])
-        ready = count >= LEAST_CYCLES
-        over = [
-            ready & (e > 0) & (x["error_rate"] > F.greatest(e * FACTOR, F.lit(ERROR_FLOOR))),
-            ready & (p > 0) & (x["p99_ms"] > F.greatest(p * FACTOR, F.lit(LATENCY_FLOOR))),
-            ready & (r > 0) & (x["per_minute"] / r < DROP),
-        ]
-        calm = [F.get(s["fired"], F.lit(i)).isNull() | (F.get(s["fired"], F.lit(i)) <= x["t"] - F.expr(f"INTERVAL {cooldown} SECONDS")) for i in range(3)]
-        fires = [F.coalesce(o & c, F.lit(False)) for o, c in zip(over, calm, strict=True)]
-        move = lambda a, k: F.coalesce(a * (1 - ALPHA) + x[k] * ALPHA, a)
-        seen = F.struct(x["t"].alias("t"), count.alias("count"), e.alias("e"), p.alias("p"), r.alias("r"), x.alias("x"), F.array(*fires).alias("fires"))
-        last = F.array(*[F.when(f, x["t"]).otherwise(F.get(s["fired"], F.lit(i))) for i, f in enumerate(fires)])
-        return F.struct((count + 1).alias("count"), move(e, "error_rate").alias("e"), move(p, "p99_ms").alias("p"), move(r, "per_minute").alias("r"), last.alias("fired"), F.concat(s["out"], F.array(seen)).alias("out")).cast(_STATE)
-
-    none = F.lit(None).cast("timestamp_ntz")
-    nothing = F.lit(None).cast("double")
-    start = F.struct(F.lit(0).alias("count"), nothing.alias("e"), nothing.alias("p"), nothing.alias("r"), F.array(none, none, none).alias("fired"), F.array().alias("out")).cast(_STATE)
-    return F.aggregate(history, start, step, lambda s: s["out"])
-
-
-def _folded(cycle: DataFrame, cooldown: int) -> DataFrame:
-    x = F.struct(F.col("t").cast("timestamp_ntz").alias("t"), F.col("error_rate").cast("double").alias("error_rate"), F.col("p99_ms").cast("double").alias("p99_ms"), F.col("per_minute").cast("double").alias("per_minute"))
-    by_service = cycle.groupBy("service").agg(F.sort_array(F.collect_list(x)).alias("history"))
-    return by_service.select("service", F.explode(_fold(F.col("history"), cooldown)).alias("c"))
+        """Where a chunk starts: the first with its first cycle, the others where the one before ends."""
+        start = [F.when(x["chunk"] == 0, x["first"][v]).otherwise(s["now"][v]) for v in _VALUES]
+        after = [(a * x["now"][v]["a"] + x["now"][v]["b"]).alias(v) for a, v in zip(start, _VALUES, strict=True)]
+        row = F.struct(x["chunk"].alias("chunk"), *[a.alias(v) for a, v in zip(start, _VALUES, strict=True)])
+        return F.struct(F.struct(*after).alias("now"), F.concat(s["starts"], F.array(row)).alias("starts")).cast(state)
+
+    nothing = F.struct(F.struct(*[F.lit(None).cast("double").alias(v) for v in _VALUES]).alias("now"), F.array().alias("starts")).cast(state)
+    carried = chunks.groupBy("service").agg(F.sort_array(F.collect_list(F.struct("chunk", "now", "first"))).alias("ends"))  # one a chunk
+    carried = carried.select("service", F.explode(F.aggregate("ends", nothing, step)["starts"]).alias("s")).select("service", "s.chunk", F.col("s").alias("start"))
+    each = chunks.join(carried, ["service", "chunk"]).select("service", "start", F.explode("out").alias("o"))
+    return each.select("service", "o.x.*", *[(F.col(f"start.{v}") * F.col(f"o.before.{v}.a") + F.col(f"o.before.{v}.b")).alias(f"avg_{v}") for v in _VALUES])
 
 
 def baselines(cycle: DataFrame) -> DataFrame:
     """service, t, count and the averages that the cycle at t is compared with."""
-    return _folded(cycle, COOLDOWN_SECONDS).select("service", "c.t", "c.count", F.col("c.e").alias("avg_error_rate"), F.col("c.p").alias("avg_p99_ms"), F.col("c.r").alias("avg_per_minute"))
+    return _averages(cycle).select("service", "t", F.col("n").cast("int").alias("count"), *[f"avg_{v}" for v in _VALUES])
 
 
 def anomalies(cycle: DataFrame, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
     """service, anomaly_type, severity, value, threshold and detected_at. A kind that fired is quiet for the cooldown."""
-    c = _folded(cycle, cooldown)
-    error = F.greatest(F.col("c.e") * FACTOR, F.lit(ERROR_FLOOR))
-    latency = F.greatest(F.col("c.p") * FACTOR, F.lit(LATENCY_FLOOR))
-    value = [F.col("c.x.error_rate"), F.col("c.x.p99_ms"), F.col("c.x.per_minute") / F.nullif(F.col("c.r"), F.lit(0.0))]
-    bound = [error, latency, F.lit(DROP)]
-    level = [severity(value[0], error), severity(value[1], latency), F.lit("medium")]
-    each = F.array(*[F.struct(F.lit(k).alias("anomaly_type"), s.alias("severity"), v.alias("value"), b.alias("threshold"), F.get("c.fires", F.lit(i)).alias("fires")) for i, (k, s, v, b) in enumerate(zip(KINDS, level, value, bound, strict=True))])
-    found = c.select("service", F.col("c.t").alias("detected_at"), F.explode(each).alias("a")).where("a.fires")
-    return found.select("service", "a.anomaly_type", "a.severity", "a.value", "a.threshold", "detected_at")
+    e, p, r = (F.col(f"avg_{v}") for v in _VALUES)
+    error, latency = F.greatest(e * FACTOR, F.lit(ERROR_FLOOR)), F.greatest(p * FACTOR, F.lit(LATENCY_FLOOR))
+    share = F.col("per_minute") / F.nullif(r, F.lit(0.0))
+    kinds = [
+        ("error_spike", F.col("error_rate"), error, severity(F.col("error_rate"), error), (e > 0) & (F.col("error_rate") > error)),
+        ("latency_spike", F.col("p99_ms"), latency, severity(F.col("p99_ms"), latency), (p > 0) & (F.col("p99_ms") > latency)),
+        ("traffic_drop", share, F.lit(DROP), F.lit("medium"), (r > 0) & (share < DROP)),
+    ]
+    each = F.array(*[F.struct(F.lit(k).alias("anomaly_type"), F.struct("t", v.alias("value"), b.alias("threshold"), s.alias("severity")).alias("x"), over.alias("over")) for k, v, b, s, over in kinds])
+    beyond = _averages(cycle).where(F.col("n") >= LEAST_CYCLES).select("service", F.explode(each).alias("a")).where("a.over")
+    one = "struct<t:timestamp_ntz,value:double,threshold:double,severity:string>"
+    state = f"struct<quiet:timestamp_ntz,out:array<{one}>>"
+
+    def step(s: Column, x: Column) -> Column:
+        fires = s["quiet"].isNull() | (s["quiet"] <= x["t"])
+        fired = F.struct((x["t"] + F.expr(f"INTERVAL {cooldown} SECONDS")).alias("quiet"), F.concat(s["out"], F.array(x)).alias("out")).cast(state)
+        return F.when(fires, fired).otherwise(s)
+
+    nothing = F.struct(F.lit(None).cast("timestamp_ntz").alias("quiet"), F.array().alias("out")).cast(state)
+    found = beyond.groupBy("service", "a.anomaly_type").agg(F.sort_array(F.collect_list(F.col("a.x").cast(one))).alias("xs"))
+    found = found.select("service", "anomaly_type", F.explode(F.aggregate("xs", nothing, step)["out"]).alias("x"))
+    return found.select("service", "anomaly_type", "x.severity", "x.value", "x.threshold", F.col("x.t").alias("detected_at"))
 
 
 def active(found: DataFrame, as_of: datetime, seconds: int = COOLDOWN_SECONDS) -> DataFrame:

@@ -58,7 +58,7 @@ def failing_traces(spans: DataFrame, limit: int = TRACES) -> DataFrame:
 
 def endpoints(spans: DataFrame, limit: int = ENDPOINTS) -> DataFrame:
     """Each service's operations with errors, by error ratio; paths are redacted after the limit, so two may look alike."""
-    grouped = spans.groupBy("service", "operation").agg(F.count("*").alias("total"), health.errors().alias("errors"), *health.percentiles(99)).where("errors > 0")
+    grouped = health.latency(spans, ["service", "operation"], 99).where("errors > 0")
     rated = grouped.withColumn("error_rate", health.ratio(F.col("errors"), F.col("total")))
     place = F.row_number().over(Window.partitionBy("service").orderBy(F.desc("error_rate"), "operation"))
     return rated.withColumn("place", place).where(F.col("place") <= limit).withColumn("operation", redact.redact_path(F.col("operation")))
@@ -74,21 +74,25 @@ def bundles(anomalies: DataFrame, spans: DataFrame, logs: DataFrame, history: Da
     """A row an anomaly with all its evidence: metrics, breakdown, logs, traces, endpoints, correlations, trend, scope, fingerprint, confidence.
 
     anomalies: service, anomaly_type, severity, value, threshold, detected_at. Parts without rows are empty, or null where they are one value.
+    The last third of the lookback is the present: it is compared with three lookbacks before the lookback, and for the trend with the
+    rest of it. Both slices are written or cached by the caller where they are read from far: each is read for several parts.
     """
+    now = lookback // 3
     services = anomalies.select("service").distinct()
     near_logs = health.within(logs, as_of, lookback).join(services, "service", "left_semi")
     near_spans = health.within(spans, as_of, lookback)
     own = near_spans.join(services, "service", "left_semi")
     c = topology.correlations(near_spans, services).select(F.col("of").alias("service"), F.struct("service", "direction", "error_rate").alias("c"))
     linked = c.groupBy("service").agg(F.sort_array(F.collect_list("c")).alias("correlations"))  # ten at most
-    metrics = health.current_and_baseline(spans, as_of).join(services, "service", "left_semi")
+    around = topology.healthy_around(near_spans, services).withColumnRenamed("of", "service")
+    metrics = health.current_and_baseline(spans, as_of, now, 4 * lookback, lookback).join(services, "service", "left_semi")
     one = metrics.select("service", F.col("current_error_rate").alias("error_rate"), F.col("baseline_error_rate").alias("error_rate_baseline"), F.col("current_p99_ms").alias("p99_ms"), F.col("baseline_p99_ms").alias("p99_ms_baseline"))
     breakdown = error_breakdown(near_logs).select("service", F.struct("timeout", "connection_error", "server_error_5xx", "client_error_4xx", "other").alias("error_breakdown"))
-    trend = health.error_trend(spans, as_of).select("service", F.struct("recent_rate", "earlier_rate", "peak_rate", "trend").alias("trend"))
+    trend = health.error_trend(spans, as_of, now, lookback).join(services, "service", "left_semi").select("service", F.struct("recent_rate", "earlier_rate", "peak_rate", "trend").alias("trend"))
     out = anomalies
-    for part in (linked, one, breakdown, _nested(log_templates(near_logs), "logs"), _nested(failing_traces(own), "traces"), _nested(endpoints(own).select("service", "place", "operation", "total", "errors", "error_rate", "p99_ms"), "endpoints"), trend):
+    for part in (linked, around, one, breakdown, _nested(log_templates(near_logs), "logs"), _nested(failing_traces(own), "traces"), _nested(endpoints(own).select("service", "place", "operation", "total", "errors", "error_rate", "p99_ms"), "endpoints"), trend):
         out = out.join(part, "service", "left")
-    out = incidents.scope(out).withColumn("namespace", redact.namespace(F.col("service")))
+    out = incidents.scope(out).drop("neighbours").withColumn("namespace", redact.namespace(F.col("service")))
     named = F.coalesce("correlations", F.array().cast("array<struct<service:string,direction:string,error_rate:double>>"))
     out = out.withColumn("fingerprint", incidents.fingerprint(F.col("service"), F.col("anomaly_type"), named))
     return incidents.matched(out, history)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ERROR_LEVELS = ("ERROR", "WARN", "FATAL")
@@ -33,19 +33,50 @@ def within(df: DataFrame, as_of: datetime | None, seconds: int, until: int = 0,
     return df.where((F.col(column) > low) & (F.col(column) <= high))
 
 
+def percentile_table(df: DataFrame, keys: list[str], of: dict[str, tuple[float, str]], sums: dict[str, Column], value: str = "duration_us") -> DataFrame:
+    """A row a group: keys, the sums, and percentiles of value in thousandths, exact and interpolated between neighbours.
+
+    sums: aggregates that add up. of: by name the share and which of the sums counts the rows. Rows are counted by group and value
+    first, so no task holds a group's raw values; their ranks are running sums over the different values, which can spill.
+    """
+    counted = df.groupBy(*keys, value).agg(*[c.alias(k) for k, c in sums.items()])
+    there = F.col(value).isNotNull()
+    weights = sorted({w for _, w in of.values()})
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    n = {w: F.when(there, F.col(w)).otherwise(0) for w in weights}
+    ranked = counted.select("*", *[F.sum(n[w]).over(upto).alias(f"_upto_{w}") for w in weights])
+    ranked = ranked.select("*", *[F.max(f"_upto_{w}").over(group).alias(f"_all_{w}") for w in weights])
+    place = {name: share * (F.col(f"_all_{w}") - 1) for name, (share, w) in of.items()}
+
+    def at(name: str, rank: Column) -> Column:
+        return F.min(F.when(there & (F.col(f"_upto_{of[name][1]}") > rank), F.col(value)))
+
+    ends = [f(name, r).alias(f"_{k}_{name}") for name in of for f, k, r in ((at, "low", F.floor(place[name])), (at, "high", F.ceil(place[name])))]
+    parts = [F.max(place[name] - F.floor(place[name])).alias(f"_part_{name}") for name in of]
+    grouped = ranked.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in sums], *ends, *parts)
+    found = [((F.col(f"_low_{name}") + F.col(f"_part_{name}") * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))) / 1000).alias(name) for name in of]
+    return grouped.select(*keys, *sums, *found)
+
+
+def _percentiles(*of: int, weight: str = "total") -> dict[str, tuple[float, str]]:
+    return {f"p{p}_ms": (p / 100, weight) for p in of}
+
+
+def latency(spans: DataFrame, keys: list[str], *of: int) -> DataFrame:
+    """A row a group: keys, total, errors and the percentiles pN_ms of durations."""
+    return percentile_table(spans, keys, _percentiles(*of), {"total": F.count("*"), "errors": errors()})
+
+
 def service_health(spans: DataFrame, as_of: datetime | None = None, seconds: int = 300) -> DataFrame:
     """A row a service: spans, errors, error_rate, p50_ms, p99_ms, per_minute. Percentiles interpolate between neighbours."""
-    grouped = within(spans, as_of, seconds).groupBy("service").agg(F.count("*").alias("total"), errors().alias("errors"), *percentiles(50, 99))
+    grouped = latency(within(spans, as_of, seconds), ["service"], 50, 99)
     return grouped.withColumn("error_rate", ratio(F.col("errors"), F.col("total"))).withColumn("per_minute", F.col("total") / (seconds / 60))
 
 
-def percentiles(*of: int) -> list[Column]:
-    return [(F.expr(f"percentile(duration_us, {p / 100})") / 1000).alias(f"p{p}_ms") for p in of]
-
-
 def sliding_health(spans: DataFrame, window: str = "5 minutes", slide: str = "10 seconds") -> DataFrame:
     """service_health in each sliding window. Windows are closed at their start and open at their end."""
-    grouped = spans.groupBy(F.window("timestamp", window, slide).alias("w"), "service").agg(F.count("*").alias("total"), errors().alias("errors"), *percentiles(50, 99))
+    grouped = latency(spans.withColumn("w", F.window("timestamp", window, slide)), ["w", "service"], 50, 99)
     return grouped.select(F.col("w.start").alias("window_start"), "service", "total", "errors", ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p50_ms", "p99_ms")
 
 
@@ -63,7 +94,7 @@ def slow_operations(spans: DataFrame, limit: int = 10) -> DataFrame:
 def affected_endpoints(spans: DataFrame, service: str | None = None, limit: int = 10) -> DataFrame:
     """Operations with errors, by error ratio."""
     found = spans.where(F.col("service") == service) if service else spans
-    grouped = found.groupBy("operation").agg(F.count("*").alias("total"), errors().alias("errors"), *percentiles(99)).where("errors > 0")
+    grouped = latency(found, ["operation"], 99).where("errors > 0")
     return grouped.withColumn("error_rate", ratio(F.col("errors"), F.col("total"))).orderBy(F.desc("error_rate"), "operation").limit(limit)
 
 
@@ -74,13 +105,13 @@ def current_and_baseline(spans: DataFrame, as_of: datetime, current: int = 300,
     now = F.col("timestamp") > ago(current)
     base = (F.col("timestamp") > ago(since)) & (F.col("timestamp") < ago(until))
 
-    def of(part: Column, name: str, minutes: float) -> list[Column]:
-        n, bad = F.sum(part.cast("long")), F.sum((part & failed()).cast("long"))
-        p99 = F.coalesce(F.percentile(F.when(part, F.col("duration_us")), 0.99) / 1000, F.lit(0.0))
-        return [n.alias(f"{name}_total"), ratio(bad, n).alias(f"{name}_error_rate"), p99.alias(f"{name}_p99_ms"), (n / minutes).alias(f"{name}_per_minute")]
-
     found = spans.where((F.col("timestamp") > ago(max(current, since))) & (F.col("timestamp") <= at))
-    return found.groupBy("service").agg(*of(now, "current", current / 60), *of(base, "baseline", (since - until) / 60))
+    sums, minutes = {}, {"current": current / 60, "baseline": (since - until) / 60}
+    for name, part in (("current", now), ("baseline", base)):
+        sums |= {f"{name}_total": F.sum(part.cast("long")), f"{name}_errors": F.sum((part & failed()).cast("long"))}
+    grouped = percentile_table(found, ["service"], {f"{name}_p99_ms": (0.99, f"{name}_total") for name in minutes}, sums)
+    of = lambda name: [f"{name}_total", ratio(F.col(f"{name}_errors"), F.col(f"{name}_total")).alias(f"{name}_error_rate"), F.coalesce(f"{name}_p99_ms", F.lit(0.0)).alias(f"{name}_p99_ms"), (F.col(f"{name}_total") / minutes[name]).alias(f"{name}_per_minute")]
+    return grouped.select("service", *of("current"), *of("baseline"))
 
 
 def error_trend(spans: DataFrame, as_of: datetime, recent: int = 300, before: int = 900) -> DataFrame:

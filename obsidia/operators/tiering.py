@@ -1,11 +1,17 @@
 """Hot, warm and cold storage of the core tables. Every tier is Parquet, keeps all columns and can be queried.
 
-A table's folder is partitioned by tier and date. Ageing rewrites whole dates with a denser codec and drops the old partition; rows of
-a date that are not old enough yet stay. A row's move is decided by its timestamp and as_of alone.
+A table's folder is partitioned by tier and date. Ageing reads the files that hold rows which are due, and those alone, writes their rows
+anew with a denser codec, and drops the files; a row's move is decided by its timestamp and as_of alone. Files that come in meanwhile
+are not touched.
+
+A move is a note in the folder _moves, which names the files that it adds and drops; it takes effect when the note is there, at once for
+readers through read(). What it names is then put in place, and what a failure left undone is done by the next run. One run at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,33 +49,113 @@ def append(df: DataFrame, path: str) -> None:
     dated.repartition("date", F.pmod(F.xxhash64("service"), F.lit(16))).sortWithinPartitions("date", "service", "timestamp").write.mode("append").partitionBy("tier", "date").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    here = jvm.Path(path.rstrip("/"))
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return jvm, fs, fs.makeQualified(here)
+
+
+def _listed(fs, folder) -> list[str]:
+    """All data files below a folder."""
+    if not fs.exists(folder):
+        return []
+    found, files = fs.listFiles(folder, True), []
+    while found.hasNext():
+        name = found.next().getPath()
+        if not name.getName().startswith(("_", ".")):
+            files.append(name.toString())
+    return files
+
+
+def _moves(spark: SparkSession, path: str) -> list[dict]:
+    """Moves that have taken effect and are not all in place."""
+    jvm, fs, here = _files(spark, path)
+    folder = jvm.Path(here, "_moves")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().toString() for f in fs.listStatus(folder) if not f.getPath().getName().startswith(".")]
+    return [json.loads("\n".join(r.value for r in spark.read.text(n, wholetext=True).collect())) for n in sorted(names)]  # each names its own files
+
+
+def _settle(spark: SparkSession, path: str) -> None:
+    """Puts moves in place that have taken effect, and drops what others left behind."""
+    jvm, fs, here = _files(spark, path)
+    for move in _moves(spark, path):
+        for name in move["add"]:
+            staged, to = jvm.Path(here, f"_staged/{move['id']}/{name}"), jvm.Path(here, name)
+            fs.mkdirs(to.getParent())
+            if fs.exists(staged) and not fs.rename(staged, to):
+                raise RuntimeError(f"{staged} could not be put in place")
+        for name in move["drop"]:
+            fs.delete(jvm.Path(name), False)
+        fs.delete(jvm.Path(here, f"_moves/{move['id']}"), False)
+    fs.delete(jvm.Path(here, "_staged"), True)
+
+
+def due(spark: SparkSession, path: str, as_of: datetime, plan: str | None = None) -> list[str]:
+    """The files with a row that is in another tier by now or that the plan does not keep. Dates that can't be due are not read."""
+    latest = [(F.col("tier") == t) & (F.col("date") <= F.to_date(_at(as_of, s))) for t, s in (("hot", WARM_AFTER), ("warm", COLD_AFTER))]
+    old = F.col("date") <= F.to_date(_at(as_of, retention_days(plan) * 86400))
+    rows = spark.read.parquet(path).where(latest[0] | latest[1] | old).withColumn("file", F.col("_metadata.file_path"))
+    kept = F.col("timestamp") >= _at(as_of, retention_days(plan) * 86400)
+    moved = assigned(rows.withColumnRenamed("tier", "was"), as_of).where((F.col("was") != F.col("tier")) | ~kept)
+    return sorted(r.file for r in moved.select("file").distinct().collect())  # names of files, not rows
+
+
 def run(spark: SparkSession, path: str, as_of: datetime, plan: str | None = None) -> DataFrame:
     """Moves what has aged, drops what the plan does not keep, and returns tier, rows and bytes of what the table then has.
 
-    Partitions are written beside the table and swapped in whole, so a run that fails leaves the table as it was.
+    A run that fails leaves the table as it was, or with a move that the next run puts in place.
     """
-    staged = f"{path.rstrip('/')}__staged"
-    now = retained(assigned(read(spark, path).drop("tier"), as_of), as_of, plan).withColumn("date", F.to_date("timestamp"))
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    here, there = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged))
-    fs = here.getFileSystem(conf)
-    fs.delete(there, True)
+    _settle(spark, path)
+    files = due(spark, path, as_of, plan)
+    if not files:
+        return sizes(spark, path)
+    jvm, fs, here = _files(spark, path)
+    name = uuid.uuid4().hex
+    staged = jvm.Path(here, f"_staged/{name}")
+    rows = spark.read.option("basePath", here.toString()).parquet(*files)
+    now = retained(assigned(rows.drop("tier"), as_of), as_of, plan).withColumn("date", F.to_date("timestamp"))
     for tier, (codec, level) in CODECS.items():
         writer = now.where(F.col("tier") == tier).repartition("date", F.pmod(F.xxhash64("service"), F.lit(16))).sortWithinPartitions("date", "service", "timestamp").write
         writer = writer.option("compression", codec)
         writer = writer.option("parquet.compression.codec.zstd.level", level) if level else writer
-        writer.mode("append").partitionBy("tier", "date").parquet(staged)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__old")
-    fs.delete(old, True)
-    if not (fs.rename(here, old) and fs.rename(there, here)):
-        raise RuntimeError(f"{path} could not be replaced")
-    fs.delete(old, True)
+        writer.mode("append").partitionBy("tier", "date").parquet(staged.toString())
+    add = [f[len(fs.makeQualified(staged).toString()) + 1 :] for f in _listed(fs, staged)]
+    note, hidden = jvm.Path(here, f"_moves/{name}"), jvm.Path(here, f"_moves/.{name}")
+    out = fs.create(hidden, True)
+    out.write(bytearray(json.dumps({"id": name, "add": add, "drop": files}).encode()))
+    out.close()
+    if not fs.rename(hidden, note):
+        raise RuntimeError(f"{note} could not be written")
+    _settle(spark, path)
     return sizes(spark, path)
 
 
+def _all(spark: SparkSession, path: str) -> DataFrame:
+    """The table's rows, with moves that have taken effect and are not in place yet."""
+    moves = _moves(spark, path)
+    if not moves:
+        return spark.read.parquet(path)
+    _, fs, here = _files(spark, path)
+    base, gone = here.toString(), {f for m in moves for f in m["drop"]}
+    dropped = {f.replace("file:///", "file:/") for f in gone}
+    parts = [spark.read.option("basePath", base).parquet(*stay)] if (stay := [f for f in _listed(fs, here) if f.replace("file:///", "file:/") not in dropped and "/_staged/" not in f and "/_moves/" not in f]) else []
+    for m in moves:
+        folder = f"{base}/_staged/{m['id']}"
+        there = [f"{folder}/{a}" for a in m["add"] if f"{base}/{a}" not in stay]
+        parts += [spark.read.option("basePath", folder).parquet(*there)] if there else []
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def read(spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """All tiers of a table. A span of time also prunes dates."""
-    df = spark.read.parquet(path)
+    df = _all(spark, path)
     for bound, sign in ((start, ">="), (end, "<")):
         if bound is not None:
             t = F.lit(bound).cast("timestamp_ntz")

@@ -6,7 +6,7 @@ adaptive execution, as nothing stands between the join and its exchanges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsidia.operators.health import errors, ratio
@@ -46,8 +46,6 @@ def upstream(spans: DataFrame, service: str, limit: int = 5) -> DataFrame:
 
 def correlations(spans: DataFrame, services: DataFrame, limit: int = 5) -> DataFrame:
     """downstream and upstream of many services from one join: of, service, direction, total, errors, error_rate, avg_ms."""
-    from pyspark.sql import Window
-
     both = calls(spans).where("caller <> callee")
     down = both.select(F.col("caller").alias("of"), F.col("callee").alias("service"), F.lit("downstream").alias("direction"), F.col("callee_status").alias("status"), "callee_us")
     up = both.select(F.col("callee").alias("of"), F.col("caller").alias("service"), F.lit("upstream").alias("direction"), F.col("caller_status").alias("status"), "callee_us")
@@ -64,3 +62,14 @@ def healthy_neighbours(spans: DataFrame, service: str, limit: int = 10) -> DataF
     up = both.where(F.col("callee") == service).groupBy(F.col("caller").alias("service")).agg(F.count("*").alias("n"), errors("caller_status").alias("e"))
     rates = down.unionByName(up).select("service", (F.col("e") / F.nullif(F.col("n"), F.lit(0))).alias("error_rate")).distinct()
     return rates.where("error_rate IS NULL OR error_rate < 0.01").orderBy("service", "error_rate").limit(limit)
+
+
+def healthy_around(spans: DataFrame, services: DataFrame, limit: int = 10) -> DataFrame:
+    """healthy_neighbours of many services from one join: of, and neighbours in order of their names."""
+    both = calls(spans).where("caller <> callee")
+    down = both.select(F.col("caller").alias("of"), F.col("callee").alias("service"), F.lit("down").alias("side"), F.col("callee_status").alias("status"))
+    up = both.select(F.col("callee").alias("of"), F.col("caller").alias("service"), F.lit("up").alias("side"), F.col("caller_status").alias("status"))
+    rates = down.unionByName(up).groupBy("of", "service", "side").agg((errors() / F.count("*")).alias("error_rate")).where("error_rate < 0.01")
+    named = rates.select("of", "service").distinct().join(services.select(F.col("service").alias("of")).distinct(), "of")
+    place = F.row_number().over(Window.partitionBy("of").orderBy("service"))
+    return named.withColumn("place", place).where(F.col("place") <= limit).groupBy("of").agg(F.sort_array(F.collect_list("service")).alias("neighbours"))

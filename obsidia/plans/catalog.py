@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Other names that questions use for the core columns, as SQL over the core table.
+# Other names that questions use for the core columns, as SQL over the core table; levels as numbers, for thresholds.
+LEVEL_ID = "CASE upper(level) WHEN 'DEBUG' THEN 1 WHEN 'INFO' THEN 2 WHEN 'WARN' THEN 3 WHEN 'WARNING' THEN 3 WHEN 'ERROR' THEN 4 WHEN 'FATAL' THEN 5 WHEN 'CRITICAL' THEN 5 ELSE 0 END"
 ALIASES = {
     "spans": {
         "service_id": "service", "operation_id": "operation", "name": "operation", "endpoint": "operation", "latency": "duration_us / 1000",
         "latency_ms": "duration_us / 1000", "parent_service": "service", "has_error": "upper(status) = 'ERROR'", "status_code": "CASE WHEN upper(status) = 'ERROR' THEN 500 ELSE 200 END",
     },
-    "logs": {"severity": "level", "level_id": "level"},
-    "metrics": {"metric_name": "name"},
+    "logs": {"service_id": "service", "severity": "level", "level_id": LEVEL_ID},
+    "metrics": {"service_id": "service", "metric_name": "name"},
 }
-#: Words in a question, and the columns whose values answer it: table, column, how many.
+# Words in a question, and the columns whose values answer it: table, column, how many.
 TOPICS = [
     (("service",), [("spans", "service", 20), ("logs", "service", 20)]),
     (("level", "severity", "log"), [("logs", "level", 10)]),
@@ -97,7 +98,8 @@ def ensure_columns(df: DataFrame, wanted: T.StructType) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name not in df.columns])
 
 
-def printed(df: DataFrame, limit: int | None = None) -> str:
-    """Rows with a header, parted by tabs, for a terminal."""
-    rows = (df.limit(limit) if limit else df).collect()
-    return "\n".join("\t".join("NULL" if v is None else str(v) for v in r) for r in [df.columns, *rows])
+def printed(df: DataFrame, limit: int = 1000) -> str:
+    """Rows with a header, parted by tabs, for a terminal; of more than limit rows the rest is named, not shown."""
+    rows = df.limit(limit + 1).collect()
+    lines = ["\t".join("NULL" if v is None else str(v) for v in r) for r in [df.columns, *rows[:limit]]]
+    return "\n".join(lines + ["..."] * (len(rows) > limit))

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, and their SQL.
 
-The driver's events span a month, so windows are a day here where an agent's are minutes; the functions take either.
+The driver's events span a month, so windows are days here where they would be minutes in use; the functions take either.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from obsidia import views
 from obsidia.functions import redact
 from obsidia.operators import anomaly, context, health, incidents, tiering, topology
-from obsidia.plans import catalog
+from obsidia.plans import catalog, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86400
@@ -60,7 +60,7 @@ def service_health_recent(spans: DataFrame) -> DataFrame:
 
 @query(f"SELECT service, {_sql_p(50)}, {_sql_p(95)}, {_sql_p(99)} FROM spans_events GROUP BY service", "spans_events")
 def latency_percentiles(spans: DataFrame) -> DataFrame:
-    return _r(spans.groupBy("service").agg(*health.percentiles(50, 95, 99)), "p50_ms", "p95_ms", "p99_ms")
+    return _r(health.latency(spans, ["service"], 50, 95, 99).drop("total", "errors"), "p50_ms", "p95_ms", "p99_ms")
 
 
 @query(f"SELECT service, round(100.0 * count(*) FILTER ({FAILED}) / count(*), 2) AS error_percent FROM spans_events GROUP BY service", "spans_events")
@@ -261,16 +261,6 @@ _queries["ema_baseline"] = ema_baseline
 _sql["ema_baseline"] = _with_cycles("SELECT service, t, CAST(n AS INTEGER) AS count, round(ae, 6) AS avg_error_rate, round(ap, 6) AS avg_p99_ms, round(ar, 6) AS avg_per_minute FROM f")
 
 
-def _uneven(spans: DataFrame) -> DataFrame:
-    """The driver's days are alike, so every ninth day of a service loses most of its spans and gets slow and failing ones."""
-    odd = F.pmod(F.dayofmonth("timestamp") + F.substring("service", 5, 1).cast("int"), F.lit(9)) == 0
-    kept = spans.where(~odd | (F.col("span_id").cast("long") % 4 == 0))
-    return kept.withColumns({"status": F.when(odd & (F.col("operation") != "click"), "ERROR").otherwise(F.col("status")), "duration_us": F.when(odd, F.col("duration_us") * 40).otherwise(F.col("duration_us"))})
-
-
-_ODD = "((day(timestamp) + CAST(substr(service, 5, 1) AS INTEGER)) % 9 = 0)"
-_UNEVEN = f"""(SELECT * REPLACE (CASE WHEN {_ODD} AND operation <> 'click' THEN 'ERROR' ELSE status END AS status, CASE WHEN {_ODD} THEN duration_us * 40 ELSE duration_us END AS duration_us)
-  FROM spans_events WHERE NOT {_ODD} OR CAST(span_id AS BIGINT) % 4 = 0)"""
 _ANOMALIES = """SELECT service, anomaly_type, CASE WHEN anomaly_type = 'traffic_drop' THEN 'medium' WHEN value / threshold > 5 THEN 'critical' WHEN value / threshold > 3 THEN 'high' WHEN value / threshold > 2 THEN 'medium' ELSE 'low' END AS severity,
   round(value, 6) AS value, round(threshold, 6) AS threshold, t AS detected_at FROM (
   SELECT service, t, 'error_spike' AS anomaly_type, e AS value, greatest(3 * ae, 0.01) AS threshold FROM f WHERE n >= 5 AND ae > 0 AND e > greatest(3 * ae, 0.01)
@@ -278,16 +268,8 @@ _ANOMALIES = """SELECT service, anomaly_type, CASE WHEN anomaly_type = 'traffic_
   UNION ALL SELECT service, t, 'traffic_drop', r / ar, 0.5 FROM f WHERE n >= 5 AND ar > 0 AND r / ar < 0.5)"""
 
 
-def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(anomaly.anomalies(_cycles(_uneven(views.load(spark, sf_dir, "spans_events")))), "value", "threshold")
-
-
-_queries["anomalies"] = anomalies
-_sql["anomalies"] = _with_cycles(_ANOMALIES).replace("FROM spans_events GROUP BY 1, 2", f"FROM {_UNEVEN} GROUP BY 1, 2")
-
-
 def anomalies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detector over all spans as they are."""
+    """Cycles of a day over all spans."""
     return _r(anomaly.anomalies(_cycles(views.load(spark, sf_dir, "spans_events"))), "value", "threshold")
 
 
@@ -295,12 +277,32 @@ _queries["anomalies_whole"] = anomalies_whole
 _sql["anomalies_whole"] = _with_cycles(_ANOMALIES)
 
 
+_HOURS = f"""{views.oracle('spans_events').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_CYCLES.replace("date_trunc('day', timestamp)", "date_trunc('hour', timestamp)").replace("1440.0", "60.0")},
+o AS ({_ANOMALIES}),
+x AS (SELECT a.service, a.anomaly_type, a.detected_at AS t, min(b.detected_at) AS next FROM o a LEFT JOIN o b ON a.service = b.service AND a.anomaly_type = b.anomaly_type AND b.detected_at >= a.detected_at + INTERVAL 6 HOUR GROUP BY ALL),
+g AS (SELECT service, anomaly_type, min(t) AS t FROM x GROUP BY ALL UNION ALL SELECT x.service, x.anomaly_type, x.next FROM g JOIN x ON g.service = x.service AND g.anomaly_type = x.anomaly_type AND g.t = x.t WHERE x.next IS NOT NULL)
+SELECT o.* FROM o JOIN g ON o.service = g.service AND o.anomaly_type = g.anomaly_type AND o.detected_at = g.t"""
+
+
+def _hourly(spans: DataFrame) -> DataFrame:
+    return anomaly.anomalies(anomaly.cycles(spans, "1 hour", 60), 6 * 3600)
+
+
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of an hour over all spans, and six hours of quiet after each anomaly of a kind."""
+    return _r(_hourly(views.load(spark, sf_dir, "spans_events")), "value", "threshold")
+
+
+_queries["anomalies"] = anomalies
+_sql["anomalies"] = _HOURS
+
+
 def active_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.active(anomalies(spark, sf_dir), AS_OF, 7 * DAY)
+    return anomaly.active(anomalies(spark, sf_dir), AS_OF, DAY)
 
 
 _queries["active_anomalies"] = active_anomalies
-_sql["active_anomalies"] = f"SELECT * FROM ({_sql['anomalies']}) WHERE detected_at > TIMESTAMP '2024-01-23' AND detected_at <= TIMESTAMP '2024-01-30'"
+_sql["active_anomalies"] = f"SELECT * FROM ({_HOURS}) WHERE detected_at > TIMESTAMP '2024-01-29' AND detected_at <= TIMESTAMP '2024-01-30'"
 
 
 def _correlated(spans: DataFrame) -> DataFrame:
@@ -367,17 +369,8 @@ _sql["time_to_resolve"] = f"{_WITH_INCIDENTS} SELECT fingerprint, CAST(floor(coa
 _sql["incident_lookup"] = f"{_WITH_INCIDENTS} SELECT fingerprint, place, id, timestamp, fix_succeeded FROM ({_PLACED})"
 
 
-@query("SELECT service, name, count(*) AS points, string_agg(CAST(round(value, 2) AS VARCHAR), ',' ORDER BY timestamp, value) AS series FROM (SELECT service, name, timestamp, value FROM metrics_events WHERE timestamp < TIMESTAMP '2024-01-02') GROUP BY service, name", "metrics_events")
-def series_points(metrics: DataFrame) -> DataFrame:
-    """A day's points of each series, in order of time."""
-    day = metrics.where("timestamp < TIMESTAMP_NTZ '2024-01-02 00:00:00'")
-    points = F.sort_array(F.collect_list(F.struct("timestamp", "value")))
-    listed = F.array_join(F.transform(points, lambda p: F.round(p["value"], 2).cast("string")), ",")
-    return day.groupBy("service", "name").agg(F.count("*").alias("points"), listed.alias("series"))
-
-
 @query("SELECT service, name, date_trunc('day', timestamp) AS day, count(*) AS points, string_agg(CAST(round(value, 2) AS VARCHAR), ',' ORDER BY timestamp, value) AS series FROM metrics_events GROUP BY 1, 2, 3", "metrics_events")
-def series_points_by_day(metrics: DataFrame) -> DataFrame:
+def series_points(metrics: DataFrame) -> DataFrame:
     """All points of each series, in order of time: a row a day, so no group holds more than a day."""
     points = F.sort_array(F.collect_list(F.struct("timestamp", "value")))
     listed = F.array_join(F.transform(points, lambda p: F.round(p["value"], 2).cast("string")), ",")
@@ -415,6 +408,19 @@ def hot_extract(spans: DataFrame) -> DataFrame:
     return spans.where("timestamp >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND timestamp < TIMESTAMP_NTZ '2024-01-11 00:00:00'")
 
 
+_EXTRACT = "WHERE timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-11'"
+
+
+@query(f"SELECT timestamp, service, level, message, tags FROM logs_events {_EXTRACT}", "logs_events")
+def hot_extract_logs(logs: DataFrame) -> DataFrame:
+    return logs.where("timestamp >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND timestamp < TIMESTAMP_NTZ '2024-01-11 00:00:00'")
+
+
+@query(f"SELECT timestamp, service, name, value, tags FROM metrics_events {_EXTRACT}", "metrics_events")
+def hot_extract_metrics(metrics: DataFrame) -> DataFrame:
+    return metrics.where("timestamp >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND timestamp < TIMESTAMP_NTZ '2024-01-11 00:00:00'")
+
+
 @query("SELECT date_trunc('day', timestamp) AS day, count(*) AS rows FROM spans_events WHERE timestamp >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY GROUP BY 1", "spans_events")
 def retention_filter(spans: DataFrame) -> DataFrame:
     kept = tiering.retained(spans, datetime(2024, 2, 15), "FREE")
@@ -446,9 +452,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for each active anomaly, as JSON."""
-    spans = _uneven(views.load(spark, sf_dir, "spans_events"))
-    history = _history(spark, sf_dir)
-    made = context.bundles(active_anomalies(spark, sf_dir), spans, views.load(spark, sf_dir, "logs_events"), history, AS_OF, 7 * DAY)
+    made = context.bundles(active_anomalies(spark, sf_dir), views.load(spark, sf_dir, "spans_events"), views.load(spark, sf_dir, "logs_events"), _history(spark, sf_dir), AS_OF, 3 * DAY)
     return context.payloads(made).select("service", "payload", "bytes")
 
 
@@ -458,7 +462,7 @@ def parse_generic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     body = F.to_json(F.struct(F.col("event_type").alias("name"), "value", F.concat(F.lit("svc-"), F.col("user_id") % 8).alias("service")))
-    raw = events.select(body.alias("body"), F.lit("/ingest").alias("path"), F.lit("").alias("user_agent"), F.lit("application/json").alias("content_type"), F.col("ts").cast("timestamp_ntz").alias("received_at"))
+    raw = events.select(body.alias("body"), F.lit("/ingest").alias("path"), F.lit("").alias("sender"), F.lit("application/json").alias("content_type"), F.col("ts").cast("timestamp_ntz").alias("received_at"))
     return router.core(raw, "metrics").groupBy("service", "name").agg(F.count("*").alias("points"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -467,6 +471,22 @@ for _f in (summary, bundles, parse_generic_json):
 _sql["parse_generic_json"] = "SELECT 'svc-' || (user_id % 8) AS service, event_type AS name, count(*) AS points, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
+for _name, (_query, _rows) in samples.CASES.items():
+    _queries[_name] = (lambda f: lambda spark, sf_dir: f(spark))(_query)
+    _sql[_name] = _rows
+
+
+def _parse(name: str) -> Query:
+    return lambda spark, sf_dir: samples.parsed(spark, name)
+
+
+for _name in samples.SAMPLES:
+    _queries[f"parse_{_name}"] = _parse(_name)
+    _sql[f"parse_{_name}"] = samples.rows_sql(_name)
+_queries["detect_format"] = lambda spark, sf_dir: samples.detected(spark)
+_sql["detect_format"] = samples.detected_sql()
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -28,21 +28,52 @@ def payloads(spark: SparkSession, path: str, files_per_trigger: int = 100) -> Da
     return spark.readStream.schema(schemas.RAW).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+def broker(spark: SparkSession, servers: str, topic: str, rows_per_trigger: int = 100_000) -> DataFrame:
+    """Raw payloads from a Kafka topic: the value is the payload, headers name path, sender and content type. Needs Spark's Kafka package."""
+    read = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    return from_records(read.option("maxOffsetsPerTrigger", rows_per_trigger).option("includeHeaders", "true").load())
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """RAW rows of a broker's records: value, headers (array of key and value) and timestamp."""
+    header = lambda k: F.get(F.filter("headers", lambda h: h["key"] == k), F.lit(0))["value"].cast("string")
+    return records.select(F.col("value").cast("string").alias("body"), header("path").alias("path"), header("sender").alias("sender"), header("content_type").alias("content_type"), F.col("timestamp").cast("timestamp_ntz").alias("received_at"))
+
+
 def ingest(raw: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Payloads to the three core tables' hot tier, a micro-batch at a time. A batch is parsed once a table and read once."""
+    """Payloads to the three core tables' hot tier, a micro-batch at a time. A batch is read and its formats are told once, and each payload is parsed as its format alone.
+
+    root/counts gets a row a batch and format with its payloads and how many are rejects.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        named = router.routed(batch).persist()
         try:
+            formats = router.present(named)
             for table in schemas.TABLES:
-                rows = router.core(batch, table)
+                rows = router.core(named, table, formats)
                 tiering.append(rows.withColumn("timestamp", F.coalesce("timestamp", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))), f"{root}/{table}")
+            counts = named.groupBy("format").agg(F.count("*").alias("payloads"), F.count(F.when(router.rejected(), 1)).alias("rejects"))
+            counts.select(F.lit(number).cast("long").alias("batch"), "format", "payloads", "rejects").coalesce(1).write.mode("append").parquet(f"{root}/counts")
         finally:
-            batch.unpersist()
+            named.unpersist()
 
     return raw.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
 
+def ingest_stats(spark: SparkSession, root: str) -> DataFrame:
+    """format, payloads, rejects and batches of all that ingest() took; a batch that ran twice counts once."""
+    counts = spark.read.parquet(f"{root}/counts").groupBy("batch", "format").agg(F.max("payloads").alias("payloads"), F.max("rejects").alias("rejects"))
+    return counts.groupBy("format").agg(F.sum("payloads").alias("payloads"), F.sum("rejects").alias("rejects"), F.count("*").alias("batches"))
+
+
+def stream_cycles(spans: DataFrame, length: str = "10 seconds", minutes: float = 1 / 6, watermark: str = WATERMARK) -> DataFrame:
+    """What detect() reads, from a stream of spans: service, t, error_rate, p99_ms and per_minute of each closed window. p99 is approximate."""
+    grouped = spans.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", length).alias("w"), "service")
+    out = grouped.agg(F.count("*").alias("total"), errors().alias("errors"), (F.percentile_approx("duration_us", 0.99, 10_000) / 1000).alias("p99_ms"))
+    return out.select("service", F.col("w.start").alias("t"), ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p99_ms", (F.col("total") / minutes).alias("per_minute"))
+
+
 def windowed_health(spans: DataFrame, window: str = "5 minutes", slide: str = "10 seconds", watermark: str = WATERMARK) -> DataFrame:
     """Counts, errors and percentiles in sliding windows, put out when a window is closed. timestamp must be a TIMESTAMP."""
     grouped = spans.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", window, slide).alias("w"), "service")

@@ -184,3 +184,119 @@ def test_catalog(spark):
     assert catalog.printed(spans.select("service")).split("\n") == ["service", "svc"]
     assert catalog.columns(tables, spark).count() == len(schemas.SPANS) + len(schemas.LOGS)
     assert catalog.ensure_columns(spans, schemas.LOGS).columns[-2:] == ["level", "message"]
+
+
+def tiered(spark, path, hours):
+    rows = [(T0 - timedelta(hours=h), f"s{h % 3}", float(h)) for h in hours]
+    tiering.append(spark.createDataFrame(rows, "timestamp timestamp_ntz, service string, value double"), path)
+
+
+def values(spark, path):
+    return sorted(r.value for r in tiering.read(spark, path).collect())
+
+
+def test_rows_that_come_in_during_a_move_stay(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    tiered(spark, path, [0, 5, 300])
+    settle, calls = tiering._settle, []
+
+    def late(*a):
+        if calls:  # the move has taken effect and is not in place yet
+            assert values(spark, path) == [0.0, 5.0, 300.0]
+            tiered(spark, path, [6])
+            assert values(spark, path) == [0.0, 5.0, 6.0, 300.0]
+        calls.append(a)
+        settle(*a)
+
+    monkeypatch.setattr(tiering, "_settle", late)
+    tiering.run(spark, path, T0, "ENTERPRISE")
+    assert values(spark, path) == [0.0, 5.0, 6.0, 300.0]
+    monkeypatch.setattr(tiering, "_settle", settle)
+    assert {r.tier: r.rows for r in tiering.run(spark, path, T0, "ENTERPRISE").collect()} == {"hot": 1, "warm": 2, "cold": 1}
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_move_that_fails_loses_nothing(spark, tmp_path, monkeypatch, when):
+    """Stopped before the move takes effect the table is as it was; after that, it reads as moved, and the next run puts it in place."""
+    path = str(tmp_path / "t")
+    tiered(spark, path, [0, 5, 300])
+    settle, calls = tiering._settle, []
+
+    def failing(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("stopped")
+        settle(*a)
+
+    if when == "after":
+        monkeypatch.setattr(tiering, "_settle", failing)
+    else:
+        monkeypatch.setattr(tiering, "_listed", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        tiering.run(spark, path, T0, "ENTERPRISE")
+    monkeypatch.undo()
+    assert values(spark, path) == [0.0, 5.0, 300.0]
+    tiers = {r.tier for r in tiering.read(spark, path).collect()}
+    assert tiers == ({"hot"} if when == "before" else {"hot", "warm", "cold"})
+    assert {r.tier: r.rows for r in tiering.run(spark, path, T0, "ENTERPRISE").collect()} == {"hot": 1, "warm": 1, "cold": 1}
+    assert values(spark, path) == [0.0, 5.0, 300.0]
+    assert tiering.due(spark, path, T0, "ENTERPRISE") == []
+
+
+def test_percentiles_of_any_groups(spark):
+    """Exact and interpolated, as by numpy, over repeated, null and single values."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 3}", None if i % 17 == 0 else int(rng.integers(0, 50)) * 7, i % 2 == 0) for i in range(400)] + [("one", 5, True), ("none", None, False)]
+    df = spark.createDataFrame(rows, "g string, duration_us long, even boolean")
+    sums = {"n": F.count("*"), "evens": F.sum(F.col("even").cast("long"))}
+    found = {r.g: r for r in health.percentile_table(df, ["g"], {"p50": (0.5, "n"), "p99": (0.99, "n"), "e90": (0.9, "evens")}, sums).collect()}
+    for g, r in found.items():
+        every = [v for k, v, _ in rows if k == g and v is not None]
+        even = [v for k, v, e in rows if k == g and v is not None and e]
+        for name, values, p in (("p50", every, 50), ("p99", every, 99), ("e90", even, 90)):
+            assert (r[name] is None) == (not values) and (not values or abs(r[name] - np.percentile(values, p) / 1000) < 1e-9)
+        assert r.n == sum(k == g for k, *_ in rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 128])
+def test_chunks_of_cycles_do_not_matter(spark, monkeypatch, chunk):
+    monkeypatch.setattr(anomaly, "CHUNK", chunk)
+    rows = CYCLES
+    found = anomaly.anomalies(spark.createDataFrame(rows, "service string, t timestamp_ntz, error_rate double, p99_ms double, per_minute double")).collect()
+    assert sorted((r.service, r.anomaly_type, r.severity, r.detected_at) for r in found) == by_hand(rows)
+
+
+def test_bundles_follow_the_lookback(spark):
+    """Healthy neighbours where nothing is correlated, metrics and trend over the lookback, confidence from history."""
+    now = T0
+    rows = [(now - timedelta(minutes=m), "t", f"p{m}", None, "web", "GET", 1000, "ERROR" if m < 20 else "OK", None) for m in range(1, 300, 3)]
+    rows += [(now - timedelta(minutes=m), "t", f"c{m}", f"p{m}", "store", "read", 500, "OK", None) for m in range(1, 300, 3)]
+    spans = spark.createDataFrame(rows, schemas.SPANS)
+    found = spark.createDataFrame([("web", "error_spike", "high", 0.5, 0.1, now)], "service string, anomaly_type string, severity string, value double, threshold double, detected_at timestamp_ntz")
+    logs = spark.createDataFrame([], schemas.LOGS)
+    past = spark.createDataFrame([("1", redact.short_hash(F.lit("web|error_spike|")), now)][:0], "id string, fingerprint string, timestamp timestamp_ntz").select("*", F.lit(True).alias("fix_succeeded"))
+    print_of = found.select(redact.short_hash(F.concat_ws("|", F.col("service"), F.col("anomaly_type"), F.lit(""))).alias("f")).first().f
+    past = past.unionByName(spark.createDataFrame([("1", print_of, now, True), ("2", print_of, now - timedelta(days=1), False)], "id string, fingerprint string, timestamp timestamp_ntz, fix_succeeded boolean"))
+    (row,) = context.bundles(found, spans, logs, past, now, 3600).collect()
+    assert row.scope == "isolated" and row.healthy_deps == ["store"] and row.fingerprint == print_of
+    assert row.confidence == pytest.approx(0.5 + 0.2 + 0.1)
+    assert row.trend.trend == "worsening" and row.trend.earlier_rate == 0.0 and row.error_rate == 1.0 and row.error_rate_baseline == 0.0
+
+
+def test_broker_records(spark):
+    from obsidia.streaming import pipelines
+
+    records = spark.createDataFrame([(bytearray(b"{}"), [("path", bytearray(b"/syslog")), ("sender", bytearray(b"x"))], T0)], "value binary, headers array<struct<key:string,value:binary>>, timestamp timestamp")
+    (row,) = pipelines.from_records(records).collect()
+    assert (row.body, row.path, row.sender, row.content_type) == ("{}", "/syslog", "x", None)
+
+
+def test_thresholds_of_levels(spark):
+    catalog.register({"logs": spark.createDataFrame([("a", "Warn"), ("b", "fatal"), ("c", "info"), ("d", "odd")], "service string, level string")})
+    assert [r.service_id for r in catalog.run_sql(spark, "SELECT service_id FROM logs WHERE level_id >= 3 ORDER BY 1").collect()] == ["a", "b"]
+
+
+def test_printed_names_what_it_leaves_out(spark):
+    assert catalog.printed(spark.range(5), 2) == "id\n0\n1\n..." and catalog.printed(spark.range(2), 2) == "id\n0\n1"

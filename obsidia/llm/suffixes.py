@@ -9,9 +9,10 @@ side is a maximal repeat within the part's reach, and all its occurrences are pu
 
 What to cut needs less: an occurrence within a longer one that is known adds nothing, so it is left out there.
 
-An anchor with more occurrences than a fair share of a partition is not put into one task: its windows are counted by a 128-bit
-hash with partial sums before the shuffle, and only windows that occur once go back to their documents. Its maximal repeats are
-told by the same hashes: the windows of one anchor that occur at exactly the same of its places are one repeat.
+Equal texts are one text with a number of rows. A part with more than PART_ROWS occurrences is split by how far windows reach to the
+left: those that reach between a and b bytes share the a bytes before the anchor and what b leaves to the right of it, so the bytes
+there part it further, until each part has few enough different surroundings. At the end of this a and b are next to each other and
+all of a part are one and the same window. Each such part goes through the same scan, with each of its surroundings once.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsidia.llm import common
@@ -30,8 +31,13 @@ from obsidia.llm import common
 #: Bytes that are hashed in one go; a longer text is taken in overlapping parts.
 SEGMENT = 1 << 20
 _PLACE = np.uint64(24)
-_KEY = ["row_id", "row_hash"]
+#: Two hashes of a text: texts that are equal in both are equal.
+_KEY = ["k1", "k2"]
 _NO_ID = -(1 << 63)
+#: Occurrences, or different surroundings of an anchor, that one task scans together: some 30 MB with their surroundings.
+PART_ROWS = 32_768
+#: Hashes of texts that a task remembers, so that copies give their anchors once.
+SEEN = 100_000
 
 
 class Rolling:
@@ -146,6 +152,30 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((first, p))
 
 
+class Nearest:
+    """Common prefixes of strings in order, and of any two of them by the least between them."""
+
+    def __init__(self, strings: list[bytes]):
+        self.order = sorted(range(len(strings)), key=strings.__getitem__)
+        self.rank = np.empty(len(strings), np.int64)
+        self.rank[self.order] = np.arange(len(strings))
+        ahead = np.array([common_prefix(strings[a], strings[b]) for a, b in zip(self.order, self.order[1:], strict=False)], np.int64)
+        self.ahead, self.levels = ahead, [ahead]
+        while (half := 1 << len(self.levels) - 1) * 2 <= len(ahead):
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def between(self, ranks: np.ndarray) -> np.ndarray:
+        """The common prefix of each two neighbours of ascending ranks."""
+        low, high = ranks[:-1], ranks[1:]
+        level = np.frexp(high - low)[1] - 1
+        out = np.empty(len(low), np.int64)
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.levels[k][low[at]], self.levels[k][high[at] - (1 << int(k))])
+        return out
+
+
 def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len: int, starts: list[tuple] | None = None, whole: bool = False) -> Iterator[tuple[list[int], list[int], int, int]]:
     """Maximal repeats in one part of the array: contexts to put out, all that have it, and how far it goes left and right of the anchor.
 
@@ -164,203 +194,265 @@ def repeats_of(contexts: list[tuple[bytes, bytes]], counts: list[int], min_len:
             if starts is None:
                 reach[j] = len(left)
             yield [j], [j], len(left), len(right)
-    order = sorted(range(len(contexts)), key=lambda j: contexts[j][1])
-    ahead = [common_prefix(contexts[a][1], contexts[b][1]) for a, b in zip(order, order[1:], strict=False)]
-    rank = {j: i for i, j in enumerate(order)}
-    for first, last, right in intervals(ahead):
-        rows = sorted(order[first : last + 1], key=lambda j: contexts[j][0])
-        behind = [common_prefix(contexts[a][0], contexts[b][0]) for a, b in zip(rows, rows[1:], strict=False)]
-        for a, b, left in intervals(behind):
+    if len(contexts) < 2:
+        return
+    after, before = Nearest([c[1] for c in contexts]), Nearest([c[0] for c in contexts])
+    order = np.array(after.order)
+    for first, last, right in intervals(after.ahead.tolist()):
+        ranks = np.sort(before.rank[order[first : last + 1]])
+        behind = before.between(ranks)
+        if behind.max(initial=0) + right < min_len:
+            continue
+        rows = [before.order[r] for r in ranks.tolist()]
+        for a, b, left in intervals(behind.tolist()):
             if left + right < min_len:
                 continue
+            alike = rows[a : b + 1]
             if whole:
-                ends = min(rows[a : b + 1], key=rank.__getitem__), max(rows[a : b + 1], key=rank.__getitem__)
-                if common_prefix(*(contexts[j][1] for j in ends)) == right:  # else a node below has the same contexts and reaches further
-                    yield rows[a : b + 1], rows[a : b + 1], left, right
+                ends = after.rank[alike]
+                if after.between(np.array([ends.min(), ends.max()]))[0] == right:  # else a node below has the same contexts and reaches further
+                    yield alike, alike, left, right
                 continue
-            spared = None if starts is None else min(rows[a : b + 1], key=starts.__getitem__)
-            if further := [j for j in rows[a : b + 1] if reach[j] < left and j != spared]:
+            spared = None if starts is None else min(alike, key=starts.__getitem__)
+            if further := [j for j in alike if reach[j] < left and j != spared]:
                 for j in further:
                     reach[j] = left
-                yield further, rows[a : b + 1], left, right
+                yield further, alike, left, right
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """A row's key is its id and its text's hash. Rows that are equal in both share a key and are still two occurrences."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    row = [F.struct(*[F.col(c) for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]).alias("row")] if whole else []
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"), *row)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, list[Column]]:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    row_id = F.col(f"`{id_col}`").cast("long")
+    return text, [row_id.alias("doc_id"), F.coalesce(row_id, F.lit(_NO_ID)).alias("row_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
 def _utf8(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+_OUT = [("repeat_id", pa.int64()), ("length", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("starts", pa.list_(pa.int32()))]
+
+
 class Repeats:
-    """The repeated passages of a table. With keep_first, the first occurrence of each, by row id, text hash and place, is not one of its spans."""
+    """The repeated passages of a table. With keep_first, the first occurrence of each, by row id, text hashes and place, is not one of its spans."""
 
     def __init__(self, docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, keep_first: bool = False):
         if min_len < 8:
             raise ValueError("min_len must be 8 or more")
         spark = docs.sparkSession
-        self.min_len, self.gram, self.keep_first = min_len, min_len // 4, keep_first
-        n = common.partitions(spark)
+        self.min_len, self.gram, self.keep_first, self.parts_of = min_len, min_len // 4, keep_first, PART_ROWS
         common.small_batches(spark)
-        rows = _rows(docs, id_col, text_col, whole)
-        self.rows = rows.repartition(n, *_KEY)  # both joins with the texts use this one exchange
+        text, keys = _keyed(docs, id_col, text_col)
+        row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]).alias("row")] if whole else []
+        self.rows = docs.select(*keys, *row)
+        self.texts = docs.select(*keys, text.alias("text")).groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("row_id").alias("first_id"))
         gram = self.gram
 
         def anchors_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[int, int]] = set()
             for batch in batches:
                 key = [batch.column(c).to_numpy() for c in _KEY]
-                for text, h, place, first, last in anchors_of(_utf8(batch), min_len, gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[0][text]), pa.array(key[1][text]), *(pa.array(x, pa.int32()) for x in (place, first, last))], ["h", *_KEY, "place", "first", "last"])
-
-        anchors = common.written(rows.select(*_KEY, "text").mapInArrow(anchors_in, "h long, row_id long, row_hash long, place int, first int, last int"), "anchors")
-        found = common.written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-        total = found.agg(F.sum("n")).first()[0] or 0
-        fair = max(256, -(-total // n))
-        self.hot = total > 0 and found.where(F.col("n") > fair).limit(1).count() > 0
-        there = anchors.join(found.select("h", (F.col("n") > fair).alias("hot")), "h")
-        place = F.struct("place", "first", "last", "h", "hot")
-        self.places = common.written(there.groupBy(*_KEY).agg(F.collect_set(place).alias("places")), "places")  # a document's own, bounded by its length: once for all rows that share its key
-        common.small_batches(spark)
+                fresh = []
+                for i, k in enumerate(zip(*(k.tolist() for k in key), strict=True)):
+                    if k not in seen:
+                        seen.add(k)
+                        fresh.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                fresh = np.array(fresh, np.int64)
+                for text, h, place, *_ in anchors_of(_utf8(batch.take(pa.array(fresh))), min_len, gram):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(k[fresh[text]]) for k in key), pa.array(place, pa.int32())], ["h", *_KEY, "place"])
+
+        anchors = common.written(docs.select(*keys[2:], text.alias("text")).mapInArrow(anchors_in, "h long, k1 long, k2 long, place int"), "anchors")
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in (*_KEY, "place") for f in (F.min, F.max)]
+        twice = F.expr("min_k1 <> max_k1 OR min_k2 <> max_k2 OR min_place <> max_place")  # copies of one text are one occurrence
+        found = counted = common.written(anchors.groupBy("h").agg(F.count("*").alias("n"), *ends).where("n > 1").where(twice).select("h", "n"), "repeated")
+        many = found.where(F.col("n") > self.parts_of).select("h")
+        self.hot = not many.isEmpty()
+        split = F.lit(False).alias("hot")
+        if self.hot:
+            many = common.written(anchors.join(many, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") > self.parts_of).select("h", F.lit(True).alias("many")), "many")
+            self.hot = not many.isEmpty()
+            found, split = found.join(many, "h", "left"), F.coalesce("many", F.lit(False)).alias("hot")
+        there = anchors.join(found.select("h", split), "h")
+        self.places = common.written(there.groupBy(*_KEY).agg(F.collect_set(F.struct("place", "h", "hot")).alias("places")), "places")  # a text's own, bounded by its length
+        for done in (anchors, counted):
+            common.discard(done)
 
     def _with_text(self) -> DataFrame:
-        """The same columns of rows as in apply: else Spark would not use one exchange for both."""
-        return self.rows.join(self.places.hint("shuffle_hash"), _KEY)
+        """All columns of texts, as in apply: else Spark would not use one exchange for both."""
+        return self.texts.join(self.places.hint("shuffle_hash"), _KEY)
 
     def parts(self) -> DataFrame:
-        """repeat_id, length, row_id, row_hash, starts: a row for each maximal repeat in each document, with all its starts there.
+        """repeat_id, length, doc_id, row_id, starts: a row for each maximal repeat in each row of the table, with all its starts there.
 
-        All occurrences of each, also within longer repeats and of anchors that no one task takes. Maximal within the anchor's reach.
+        All occurrences of each, also within longer repeats. Maximal within the part's reach. Rows of equal texts are a repeat of
+        their whole text besides.
         """
         found = self._scanned(True)
-        return found.unionByName(self._hot_parts()) if self.hot else found
+        copied = self.texts.where(f"copies > 1 AND octet_length(text) >= {self.min_len}").select(F.col("k1").alias("repeat_id"), F.octet_length("text").cast("long").alias("length"), *_KEY, F.array(F.lit(0)).alias("starts"))
+        return self.rows.join(found.unionByName(copied), _KEY).select("repeat_id", "length", "doc_id", "row_id", "starts")
 
-    def _scanned(self, everything: bool) -> DataFrame:
-        """The repeats of anchors that one task takes: with everything all occurrences, else those that decide what to cut."""
-        min_len, gram, keep_first = self.min_len, self.gram, self.keep_first
+    def _contexts(self, hot: bool) -> DataFrame:
+        """h, k1, k2, first_id, at, before and after: a row for each anchor of a text and what surrounds it, with all its places there."""
+        min_len, gram = self.min_len, self.gram
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        names = ["h", *_KEY, "first_id", "at", "before", "after"]
 
         def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def flushed() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names)
+
             for batch in batches:
-                out: list[list] = [[] for _ in range(6)]
-                for row_id, row_hash, text, places in zip(*(batch.column(c).to_pylist() for c in _KEY), _utf8(batch), batch.column("places").to_pylist(), strict=True):
+                out: list[list] = [[] for _ in names]
+                for k1, k2, first_id, text, places in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "first_id")), _utf8(batch), batch.column("places").to_pylist(), strict=True):
                     own: dict[tuple, list[int]] = {}
                     for p in places:
-                        if not p["hot"]:
+                        if p["hot"] == hot:
                             at = p["place"]
                             own.setdefault((p["h"], text[max(0, at - min_len + gram) : at][::-1], text[at : at + min_len]), []).append(at)
                     for (h, before, after), at in own.items():
-                        for o, x in zip(out, (h, row_id, row_hash, at, before, after), strict=True):
+                        for o, x in zip(out, (h, k1, k2, first_id, at, before, after), strict=True):
                             o.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()), strict=True)], ["h", *_KEY, "at", "before", "after"])
+                        if len(out[0]) >= 4096:
+                            yield flushed()
+                            out = [[] for _ in names]
+                yield flushed()
+
+        joined = self._with_text()
+        joined = joined.where(F.exists("places", lambda p: p["hot"])) if hot else joined
+        return joined.mapInArrow(contexts, "h long, k1 long, k2 long, first_id long, at array<int>, before binary, after binary")
+
+    def _scanned(self, everything: bool) -> DataFrame:
+        """repeat_id, length, k1, k2, starts: with everything all occurrences of each repeat, else those that decide what to cut."""
+        min_len, keep = self.min_len, self.keep_first and not everything
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for table in common.by_key(batches, "h"):
                 groups: dict[tuple[bytes, bytes], list[tuple]] = {}
-                for before, after, *where in zip(*(table.column(c).to_pylist() for c in ("before", "after", *_KEY, "at")), strict=True):
+                for before, after, *where in zip(*(table.column(c).to_pylist() for c in ("before", "after", *_KEY, "first_id", "at")), strict=True):
                     groups.setdefault((before, after), []).append(where)
-                contexts = list(groups)
-                where = list(groups.values())
-                first = [min((row_id, row_hash, min(at)) for row_id, row_hash, at in w) for w in where]
-                for found, alike, left, right in repeats_of(contexts, [sum(len(at) for _, _, at in w) for w in where], min_len, first if keep_first and not everything else None, everything):
-                    before, after = contexts[found[0]]
-                    name = xxhash.xxh64_intdigest(before[:left][::-1] + after[:right]) - (1 << 63)
-                    kept = min(first[j] for j in alike) if keep_first and not everything else None
+                contexts, where = list(groups), list(groups.values())
+                first = [min((first_id, k1, k2, min(at)) for k1, k2, first_id, at in w) for w in where]
+                for found, alike, left, right in repeats_of(contexts, [sum(len(at) for *_, at in w) for w in where], min_len, first if keep else None, everything):
+                    name = _name(contexts[found[0]], left, right)
+                    kept = min(first[j] for j in alike) if keep else None
                     for j in found:
-                        out += [(name, left + right, row_id, row_hash, [x - left for x in at if (row_id, row_hash, x) != kept]) for row_id, row_hash, at in where[j]]
+                        out += [(name, left + right, k1, k2, [x - left for x in at if (first_id, k1, k2, x) != kept]) for k1, k2, first_id, at in where[j]]
                         if len(out) >= 8192:
-                            yield _batch(out)
+                            yield _batch(out, _OUT)
                             out = []
-            yield _batch(out)
-
-        def _batch(out: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["repeat_id", "length", *_KEY, "starts"])
+            yield _batch(out, _OUT)
 
         n = common.partitions(self.rows.sparkSession)
-        suffixes = self._with_text().mapInArrow(contexts, "h long, row_id long, row_hash long, at array<int>, before binary, after binary")
-        return suffixes.repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, row_id long, row_hash long, starts array<int>")
+        found = self._contexts(False).repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, k1 long, k2 long, starts array<int>")
+        return found.unionByName(self._scanned_apart(everything)) if self.hot else found
 
-    def _hot_windows(self) -> DataFrame:
-        """h, w1, w2, row_id, row_hash, place, start: the windows of anchors that no one task takes, by their two hashes."""
-        min_len = self.min_len
+    def _split(self) -> DataFrame:
+        """The surroundings of anchors that are too many for one scan, in parts: part, ctx, k1, k2, first_id, place, before and after.
 
-        def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rolls = rolling(1), rolling(2)
-            for batch in batches:
-                for row_id, row_hash, text, places in zip(*(batch.column(c).to_pylist() for c in _KEY), _utf8(batch), batch.column("places").to_pylist(), strict=True):
-                    for p in places:
-                        if p["hot"]:
-                            for lo in range(p["first"], p["last"] + 1, SEGMENT // 2):
-                                hi = min(p["last"], lo + SEGMENT // 2 - 1)
-                                data = np.frombuffer(text, np.uint8, hi - lo + min_len, lo)
-                                w = [pa.array(r.of(r.prefix(data), min_len).view(np.int64)) for r in rolls]
-                                m = len(w[0])
-                                same = (pa.array(np.full(m, x)) for x in (p["h"], row_id, row_hash, p["place"]))
-                                yield pa.RecordBatch.from_arrays([*w, *same, pa.array(np.arange(lo, hi + 1))], ["w1", "w2", "h", *_KEY, "place", "start"])
-
-        return self._with_text().where(F.exists("places", lambda p: p["hot"])).mapInArrow(windows, "w1 long, w2 long, h long, row_id long, row_hash long, place long, start long")
-
-    def _hot_parts(self) -> DataFrame:
-        """parts of anchors that no one task takes: windows of one anchor with the same set of places, told by its size and sum of hashes, are one repeat."""
-        where = F.xxhash64(*_KEY, "place").cast("decimal(20,0)")
-        windows = common.written(self._hot_windows(), "windows")
-        counted = windows.groupBy("h", "w1", "w2").agg(F.count("*").alias("n"), F.sum(where).alias("places"), F.sum(F.hash(*_KEY, "place").cast("long")).alias("more"), F.min(F.col("start") - F.col("place")).alias("offset")).where("n > 1")
-        repeats = counted.groupBy("h", "n", "places", "more").agg(F.min("offset").alias("offset"), F.max("offset").alias("last"), F.min_by(F.struct("w1", "w2"), "offset").alias("w"))
-        size = (F.col("last") - F.col("offset") + self.min_len).alias("length")
-        repeats = repeats.select("h", F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2"), F.xxhash64("w.w1", "w.w2", size).alias("repeat_id"), size)
-        return windows.join(repeats, ["h", "w1", "w2"]).groupBy("repeat_id", "length", *_KEY).agg(F.sort_array(F.collect_set(F.col("start").cast("int"))).alias("starts"))
-
-    def _hot(self) -> DataFrame:
-        """Of anchors that no one task takes: their windows' first and last starts, and as kind 2 the windows that stay: that occur once, or first."""
-        own = self.places.select(*_KEY, F.explode("places").alias("p")).where("p.hot").select(*_KEY, F.lit(1).alias("kind"), (F.col("p.last") - F.col("p.first") + 1).cast("long").alias("length"), F.array(F.col("p.first")).alias("starts"))
-        counted = self._hot_windows().groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "start")).alias("at"))
-        once = counted.where(F.lit(True) if self.keep_first else F.col("n") == 1).select("at.row_id", "at.row_hash", F.lit(2).alias("kind"), F.lit(1).cast("long").alias("length"), F.array(F.col("at.start").cast("int")).alias("starts"))
-        return own.unionByName(once)
+        A part is what windows share that reach from a to b - 1 bytes left of the anchor; ctx tells its surroundings apart, cut to what
+        such windows cover. What occurs once in a part is in no repeat there and goes.
+        """
+        min_len, top = self.min_len, self.min_len - self.gram + 1
+        one = self._contexts(True).select("h", *_KEY, "first_id", F.explode("at").alias("place"), "before", "after", F.lit(0).alias("a"), F.lit(top).alias("b"))
+        level, done = common.written(one, "surroundings"), []
+        while True:
+            half = F.expr("array(struct(a, (a + b) DIV 2 AS b), struct((a + b) DIV 2 AS a, b))")
+            cut = level.select("h", *_KEY, "first_id", "place", "before", "after", F.explode(half).alias("r")).select("*", "r.a", "r.b").drop("r")
+            cut = cut.where(f"a < b AND length(before) >= a AND length(after) >= {min_len} - b + 1")
+            part = F.expr(f"xxhash64(h, a, b, substring(before, 1, a), substring(after, 1, {min_len} - b + 1))")
+            cut = cut.withColumns({"part": part, "before": F.expr("substring(before, 1, b - 1)"), "after": F.expr(f"substring(after, 1, {min_len} - a)")})
+            cut = common.written(cut.withColumn("ctx", F.xxhash64("part", "before", "after")), "surroundings")
+            common.discard(level)
+            sizes = cut.groupBy("part", "ctx").agg(F.count("*").alias("n")).groupBy("part").agg(F.count("*").alias("different"), F.sum("n").alias("n")).where("n > 1")
+            sizes = common.written(sizes.select("part", (F.col("different") > self.parts_of).alias("many")), "sizes")
+            sized = cut.join(sizes, "part")
+            done.append(sized.where("NOT many").select("part", "ctx", *_KEY, "first_id", "place", "before", "after"))
+            if sizes.where("many").isEmpty():
+                break
+            level = common.written(sized.where("many").select("h", *_KEY, "first_id", "place", "before", "after", "a", "b"), "surroundings")
+        out = done[0]
+        for d in done[1:]:
+            out = out.unionByName(d)
+        return out
+
+    def _scanned_apart(self, everything: bool) -> DataFrame:
+        """_scanned for anchors that are too many for one scan: each part's surroundings are scanned once each, then joined to where they occur."""
+        min_len, keep = self.min_len, self.keep_first and not everything
+        where = common.written(self._split(), "split")
+        first = F.min(F.struct("first_id", *_KEY, "place")).alias("first")
+        contexts = where.groupBy("part", "ctx", "before", "after").agg(F.count("*").alias("n"), first)
+        out_kinds = [("part", pa.int64()), ("ctx", pa.int64()), ("repeat_id", pa.int64()), ("length", pa.int64()), ("left", pa.int32()), *((f"kept_{c}", pa.int64()) for c in ("first_id", *_KEY, "place"))]
+
+        def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            for table in common.by_key(batches, "part"):
+                contexts = list(zip(*(table.column(c).to_pylist() for c in ("before", "after")), strict=True))
+                part, ctx, n, first = (table.column(c).to_pylist() for c in ("part", "ctx", "n", "first"))
+                first = [tuple(x.values()) for x in first]
+                for found, alike, left, right in repeats_of(contexts, n, min_len, first if keep else None, everything):
+                    name = _name(contexts[found[0]], left, right)
+                    kept = min(first[j] for j in alike) if keep else (None,) * 4
+                    out += [(part[j], ctx[j], name, left + right, left, *kept) for j in found]
+                    if len(out) >= 8192:
+                        yield _batch(out, out_kinds)
+                        out = []
+            yield _batch(out, out_kinds)
+
+        n = common.partitions(self.rows.sparkSession)
+        schema = "part long, ctx long, repeat_id long, length long, left int, kept_first_id long, kept_k1 long, kept_k2 long, kept_place long"
+        found = contexts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(scan, schema)
+        there = where.join(found, ["part", "ctx"]).where("NOT (first_id <=> kept_first_id AND k1 <=> kept_k1 AND k2 <=> kept_k2 AND place <=> kept_place)")
+        return there.groupBy("repeat_id", "length", *_KEY).agg(F.collect_set((F.col("place") - F.col("left")).cast("int")).alias("starts"))
 
     def apply(self, fields: str, digest) -> DataFrame:
-        """digest(text, spans) of each row, as fields after doc_id. spans: the covered bytes' maximal runs, as an array of starts and ends."""
-        found = self._scanned(False).select(*_KEY, F.lit(0).alias("kind"), "length", "starts")
-        if self.hot:
-            found = found.unionByName(self._hot())
-        per_row = found.groupBy(*_KEY).agg(F.collect_set(F.struct("kind", "length", "starts")).alias("found"))  # a document's own, once for all rows that share its key
-        min_len = self.min_len
+        """doc_id and digest(text, spans) of each row, as fields. spans: the covered bytes' maximal runs, as an array of starts and ends.
+
+        A text that several rows have is covered in all of them, or in all but those of its smallest id with keep_first, if it has min_len bytes.
+        """
+        per_text = self._scanned(False).groupBy(*_KEY).agg(F.collect_set(F.struct("length", "starts")).alias("found"))  # a text's own
+        min_len, keep_first = self.min_len, self.keep_first
+        columns = [f.split() for f in fields.split(", ")]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [digest(text, runs(len(text), found or [], min_len)) for text, found in zip(_utf8(batch), batch.column("found").to_pylist(), strict=True)]
-                columns = {k: [r[k] for r in rows] for k in rows[0]} if rows else {}
-                if rows:
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns, **({"row": batch.column("row")} if whole else {})})
+                if not batch.num_rows:
+                    continue
+                own, copied = [], []
+                for text, copies, found in zip(_utf8(batch), *(batch.column(c).to_pylist() for c in ("copies", "found")), strict=True):
+                    spans = runs(len(text), found or [])
+                    all_of = np.array([[0, len(text)]]) if copies > 1 and len(text) >= min_len else spans
+                    own.append(digest(text, spans if keep_first else all_of))
+                    copied.append(digest(text, all_of) if keep_first and copies > 1 else dict.fromkeys(own[-1]))
+                yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in (*_KEY, "first_id")}, **{f"{p}_{c}": [r[c] for r in of] for p, of in (("own", own), ("copy", copied)) for c, _ in columns}}, schema)
+
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        schema = pa.schema([(c, pa.int64()) for c in (*_KEY, "first_id")] + [(f"{p}_{c}", kinds[k]) for p in ("own", "copy") for c, k in columns])
+        joined = self.texts.join(per_text.hint("shuffle_hash"), _KEY, "left")
+        digests = joined.mapInArrow(run, "k1 long, k2 long, first_id long, " + ", ".join(f"{p}_{c} {k}" for p in ("own", "copy") for c, k in columns))
+        out = [F.when(F.col("row_id") > F.col("first_id"), F.col(f"copy_{c}")).otherwise(F.col(f"own_{c}")).alias(c) if keep_first else F.col(f"own_{c}").alias(c) for c, _ in columns]
+        return self.rows.join(digests, _KEY).select("doc_id", *out, *(["row"] if "row" in self.rows.columns else []))
+
 
-        whole = "row" in self.rows.columns
-        kind = f", row {self.rows.schema['row'].dataType.simpleString()}" if whole else ""
-        doc_id = F.nullif(F.col("row_id"), F.lit(_NO_ID)).alias("doc_id")
-        joined = self.rows.join(per_row.hint("shuffle_hash"), _KEY, "left").select(doc_id, "text", "found", *["row"] * whole)
-        return joined.mapInArrow(run, f"doc_id long, {fields}{kind}")
+def _name(context: tuple[bytes, bytes], left: int, right: int) -> int:
+    before, after = context
+    return xxhash.xxh64_intdigest(before[:left][::-1] + after[:right]) - (1 << 63)
 
 
-def runs(size: int, found: list[dict], min_len: int) -> np.ndarray:
-    """Starts and ends of the maximal covered runs. Kind 0: covered bytes; 1: starts of windows that are covered but for those of kind 2."""
+def _batch(out: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, kinds, strict=True)], [name for name, _ in kinds])
+
+
+def runs(size: int, found: list[dict]) -> np.ndarray:
+    """Starts and ends of the maximal runs of bytes that what was found covers."""
     edge = np.zeros(size + 1, np.int64)
-    starts = np.zeros(size + 1, np.int64)
     for x in found:
         at = np.array(x["starts"], np.int64)
-        if x["kind"] == 0:
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + x["length"], -1)
-        elif x["kind"] == 1:
-            starts[at[0] : at[0] + x["length"]] = 1
-    for x in found:
-        if x["kind"] == 2:
-            starts[x["starts"]] = 0
-    at = np.flatnonzero(starts)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + min_len, -1)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + x["length"], -1)
     inside = np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8)
     turn = np.flatnonzero(np.diff(inside))
     return turn.reshape(-1, 2)
@@ -399,8 +491,9 @@ def digests(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_co
 def cleaned(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", keep_first: bool = True) -> DataFrame:
     """docs with all their columns, the texts without repeats of min_len bytes or more, and length_col, if there, with the new length.
 
-    With keep_first, of each repeat the occurrence in the row with the smallest id stays, as far as no other repeat takes it: a byte
-    goes if a string of min_len bytes that covers it starts before as well, by row id, text hash and place.
+    With keep_first a byte goes if a string of min_len bytes that covers it starts before as well, by row id (null first), text hashes
+    and place. So whatever goes still stands where such a string starts first, and one copy of each byte stays. Rows that are equal
+    in id and text are both first.
 
     Of a character that lost some of its bytes the rest goes too. Otherwise as dedup; a null text comes back empty.
     """

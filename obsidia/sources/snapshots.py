@@ -79,6 +79,31 @@ def connections(df: DataFrame, kind: str, text: str = "text") -> DataFrame:
     return df.select("*", *[F.coalesce(number(i), F.lit(0).cast("long")).alias(n) for i, n in enumerate(names)])
 
 
+def database(df: DataFrame, hits: str = "hits", size: str = "size", role: str = "role") -> DataFrame:
+    """Adds cache_hit_percent, database_size and replication from a database's answers: a number, a size, and "role | position".
+
+    What an answer does not tell is null; the answers' own columns go.
+    """
+    answered = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    found = {"cache_hit_percent": answered(hits).try_cast("double"), "database_size": answered(size), "replication": F.nullif(F.trim(F.substring_index(answered(role), "|", 1)), F.lit(""))}
+    return df.select(*[c for c in df.columns if c not in (hits, size, role)], *[c.alias(k) for k, c in found.items()])
+
+
+def kubernetes(workloads: DataFrame, pods: DataFrame, autoscalers: DataFrame, services: DataFrame) -> DataFrame:
+    """A row a workload with all that is known of it: its pods, whose names begin with its own, its autoscaler and its service, of one name with it.
+
+    A workload without a namespace is of "default", as are its parts. Without parts: no pods, and null for the others.
+    """
+    placed = lambda df: df.withColumn("namespace", F.coalesce("namespace", F.lit("default")))
+    nested = lambda df, name: placed(df).groupBy("namespace", "name").agg(F.first(F.struct(*[c for c in df.columns if c not in ("namespace", "name")])).alias(name))
+    own = placed(workloads)
+    p = placed(pods).select(F.col("namespace").alias("of"), F.struct(*[c for c in pods.columns if c != "namespace"]).alias("pod"))
+    matched = own.select("namespace", "name").join(p, (F.col("namespace") == F.col("of")) & F.startswith("pod.name", F.concat("name", F.lit("-"))))
+    by_name = matched.groupBy("namespace", "name").agg(F.array_sort(F.collect_list("pod"), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("pods"))  # those of one workload
+    out = own.join(by_name, ["namespace", "name"], "left").withColumn("pods", F.coalesce("pods", F.array()))
+    return out.join(nested(autoscalers, "autoscaler"), ["namespace", "name"], "left").join(nested(services, "service"), ["namespace", "name"], "left")
+
+
 def _items(df: DataFrame, kind: str, text: str) -> DataFrame:
     """A row for each named object of a JSON listing, or for the one object that the text is; other texts give none."""
     one = F.from_json(text, kind)

@@ -120,3 +120,22 @@ def test_for_readers(spark):
     assert [value(spark, snapshots.bytes_text, n, "long") for n in (5, 1536, 3 << 30)] == ["5B", "1.5Ki", "3.0Gi"]
     assert [value(spark, snapshots.duration_text, n, "long") for n in (59, 61, 7300, 200_000)] == ["59s", "1m", "2h", "2d"]
     assert [value(spark, snapshots.store_kind, n) for n in ("user-pg", "MariaDB", "mongo1", "redis", "memcache", "web")] == ["postgres", "mysql", "mongodb", "redis", "memcached", ""]
+
+
+def test_database_answers(spark):
+    rows = [("a", " 99.12\n", " 12 MB\n", " replica | 0/3000"), ("b", "", "x", "primary"), ("c", None, None, None)]
+    got = snapshots.database(spark.createDataFrame(rows, "db string, hits string, size string, role string")).collect()
+    assert [tuple(r) for r in got] == [("a", 99.12, "12 MB", "replica"), ("b", None, "x", "primary"), ("c", None, None, None)]
+
+
+def test_kubernetes_in_one_row(spark):
+    def listing(*items):
+        return captured(spark, json.dumps({"items": list(items)}))
+
+    workloads = snapshots.workloads(listing({"kind": "Deployment", "metadata": {"name": "web", "namespace": "prod"}, "spec": {"replicas": 2}}, {"kind": "StatefulSet", "metadata": {"name": "db"}}))
+    pods = snapshots.pods(listing(*[{"metadata": {"name": n, "namespace": s}, "status": {"phase": "Running"}} for n, s in (("web-b", "prod"), ("web-a", "prod"), ("web-c", "test"), ("website-a", "prod"))]))
+    scalers = snapshots.autoscalers(listing({"metadata": {"name": "web", "namespace": "prod"}, "spec": {"maxReplicas": 9}}))
+    services = snapshots.services(listing({"metadata": {"name": "db"}, "spec": {"type": "ClusterIP"}}))
+    got = {r.name: r for r in snapshots.kubernetes(workloads, pods, scalers, services).collect()}
+    assert [p.name for p in got["web"].pods] == ["web-a", "web-b"] and got["web"].autoscaler.max_replicas == 9 and got["web"].service is None
+    assert got["db"].pods == [] and got["db"].service.type == "ClusterIP" and got["db"].namespace == "default"

@@ -178,7 +178,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def filtered(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that judge() keeps. The measures are written beside the rows, so nothing is joined back."""
+    """The rows of docs, with all their columns, that judge() keeps. The measures are written beside the rows, so nothing is joined back.
+
+    A null text counts as empty, and goes; null, equal and tied ids and repeated rows are judged each by its own text; an empty table
+    gives none.
+    """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     table = _measured(common.written(measures(row, keep=["row"]), "rules"))
     out = table.join(F.broadcast(_scored(table)), "votes").where(~_failed() & (F.col("posterior") >= threshold))

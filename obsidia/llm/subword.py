@@ -230,12 +230,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Sett
     Which ones is decided by a hash of the id. Labels other than 0 and 1 and null ids are left out; an id with several labels counts by
     its largest. Texts come to the driver: their number and length are bounded by the settings.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label).alias("y"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("label_id")).agg(F.max(label).alias("y"))
     known = known.where(~held_out(F.col("label_id"))).withColumn("order", F.xxhash64("label_id"))
-    drawn = [known.where(F.col("y") == y).orderBy("order", "label_id").limit(settings.sample) for y in (0, 1)]
-    ids = drawn[0].unionByName(drawn[1])
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("label_id"), text.alias("text")).where(F.length("text") <= settings.longest).join(F.broadcast(ids), "label_id")  # at most 2 * sample ids
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("label_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where(F.length("text") <= settings.longest)
+    there = known.join(texts.select("label_id"), "label_id", "left_semi")
+    drawn = [there.where(F.col("y") == y).orderBy("order", "label_id").limit(settings.sample) for y in (0, 1)]
+    rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "label_id")  # at most 2 * sample ids
     rows = rows.groupBy("label_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("label_id").limit(2 * settings.sample)
     return [(r.text, int(r.y)) for r in rows.collect()]
 
@@ -267,7 +267,11 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, settings: Settings,
 
 
 def filtered(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that classify() predicts as 1."""
+    """The rows of docs, with all their columns and as they come, that classify() predicts as 1.
+
+    A null text is scored as an empty one. Null and equal ids and repeated rows are scored each by its own text; a null id teaches
+    nothing, of an id with several texts the smallest teaches. Without labels each score is 0.5. An empty table gives none.
+    """
     rows = training_rows(docs, labels, label, settings, id_col, text_col)
     spark = docs.sparkSession
     common.small_batches(spark)

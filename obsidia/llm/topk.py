@@ -5,7 +5,8 @@ Scores of a query in a list count from the list's smallest, so none is negative
 Phase 1 gathers each block's best entries of every list, and takes the k-th best of the totals that these entries must reach.
 Phase 2 sends that bound, parted evenly over the lists, back with the queries: a pair whose score is below it in every list cannot be
 among the k best, so only entries at or above it are collected. Phase 3 resolves what the collected pairs lack exactly.
-Vectors travel as blocks of rows; queries are taken a block at a time, so no table is sent to all and none to the driver.
+Candidates stay where they are, in blocks of rows. Queries, and with the bound what is known of them, lie in files of the shared
+folder; a task reads them block by block beside its candidates. So no candidate is shuffled, nothing is sent to all, and none to the driver.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsidia.llm import common
 
-#: Vectors in a block of candidates and of queries: bounds a tile's memory to a few times their product of doubles.
+#: Vectors in a block of candidates and of queries: bounds a tile's memory to a few times their product of doubles. Lists of a vector's components.
 BLOCK, QUERY_BLOCK, LISTS = 2048, 512, 4
+#: Blocks of candidates that a task holds while it reads the queries once.
+GROUP = 16
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
@@ -63,6 +68,52 @@ def _lists(q: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
         yield (x.astype(float) @ y.astype(float).T).astype(np.int64) if most < 2**53 else x @ y.T
 
 
+def _stored(df: DataFrame, name: str) -> str:
+    path = common.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def _read(path: str) -> Iterator[dict]:
+    """The rows of a table that tasks read for themselves, a few at a time, in order of its files."""
+    fs, folder = pafs.FileSystem.from_uri(path)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=4):
+                    yield from batch.to_pylist()
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The candidates of a task, GROUP blocks at a time."""
+    held = []
+    for batch in batches:
+        for ids, width, values in zip(*(batch.column(c).to_pylist() for c in ("ids", "width", "held")), strict=True):
+            held.append(_matrix(ids, width, values))
+            if len(held) == GROUP:
+                yield held
+                held = []
+    if held:
+        yield held
+
+
+_LEAST = np.iinfo(np.int64).min
+
+
+def _highest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k highest scores, in no order."""
+    k = min(k, scores.shape[1])
+    return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k :]
+
+
+def _best_totals(lists: list[np.ndarray], total: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the totals of what stands highest in one list or another, each once; places that are left over hold the smallest integer."""
+    places = np.sort(np.concatenate([_highest(np.where(own, _LEAST, x), k) for x in lists], axis=1), axis=1)
+    found = np.take_along_axis(np.where(own, _LEAST, total), places, axis=1)
+    found[:, 1:][places[:, 1:] == places[:, :-1]] = _LEAST
+    return np.take_along_axis(found, _highest(found, k), axis=1)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank from 1, vec_id and score of each query's k best candidates of other ids; all, if fewer. Ties go to the smaller id.
 
@@ -71,68 +122,64 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     merged. No queries or no candidates: no rows. Scores must fit in 64 bits. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, BLOCK)
     parts = common.partitions(spark)
-    candidates = common.written(_blocks(scaled(vectors, id_col, vector_col, scale).repartition(parts), BLOCK), "candidates")
-    asked = common.written(_blocks(scaled(queries, id_col, vector_col, scale).coalesce(1 + parts // 8), QUERY_BLOCK).withColumn("qb", F.monotonically_increasing_id()), "queries")
-    common.small_batches(spark, 4)
-    numbers = asked.select("qb").withColumnRenamed("qb", "with_qb")
-
-    def tiles(bounds: DataFrame | None) -> DataFrame:
-        """Each block of candidates with each block of queries: a row a tile, not a pair of vectors."""
-        q = asked.withColumnsRenamed({"ids": "q_ids", "width": "q_width", "held": "q_held"})
-        q = q.join(bounds, "qb") if bounds is not None else q
-        return candidates.join(numbers).repartition(parts, F.col("with_qb"), F.xxhash64("ids")).join(q, F.col("with_qb") == q.qb)
+    with common.batches(spark, BLOCK):
+        candidates = common.written(_blocks(scaled(vectors, id_col, vector_col, scale).repartition(parts), BLOCK), "candidates")
+        blocks = _blocks(scaled(queries, id_col, vector_col, scale).coalesce(1 + parts // 8), QUERY_BLOCK)
+        asked = _stored(blocks.withColumn("qb", F.monotonically_increasing_id()), "queries")
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, q = _matrix(r["q_ids"], r["q_width"], r["q_held"])
-                c_ids, c = _matrix(r["ids"], r["width"], r["held"])
-                own = q_ids[:, None] == c_ids
-                lists = list(_lists(q, c))
-                total = sum(lists)
-                out = []
-                for i in range(len(q_ids)):
-                    near = np.unique(np.concatenate([np.argsort(np.where(own[i], np.iinfo(np.int64).min, x[i]), kind="stable")[::-1][:k] for x in lists]))
-                    near = near[~own[i, near]]
-                    best = np.sort(total[i, near])[::-1][:k]
-                    out.append((r["qb"], i, best.tolist(), [int(x[i].min()) for x in lists]))
-                yield pa.RecordBatch.from_pylist([dict(zip(("qb", "i", "best", "least"), x, strict=True)) for x in out], schema=pa.schema([("qb", pa.int64()), ("i", pa.int32()), ("best", pa.list_(pa.int64())), ("least", pa.list_(pa.int64()))]))
-
-    local = common.written(tiles(None).mapInArrow(gather, "qb long, i int, best array<long>, least array<long>"), "lists")
+        for group in _groups(batches):
+            for r in _read(asked):
+                q_ids, q = _matrix(r["ids"], r["width"], r["held"])
+                best, least = np.zeros((len(q_ids), 0), np.int64), None
+                for c_ids, c in group:
+                    own = q_ids[:, None] == c_ids
+                    lists = list(_lists(q, c))
+                    best = np.concatenate([best, _best_totals(lists, sum(lists), own, k)], axis=1)
+                    best = np.take_along_axis(best, _highest(best, k), axis=1)
+                    low = np.stack([x.min(axis=1) for x in lists], axis=1)
+                    least = low if least is None else np.minimum(least, low)
+                held = [row[row != _LEAST].tolist() for row in best]
+                yield pa.RecordBatch.from_arrays([pa.array([r["qb"]] * len(held)), pa.array(range(len(held)), pa.int32()), pa.array(held, pa.list_(pa.int64())), pa.array(least.tolist(), pa.list_(pa.int64()))], ["qb", "i", "best", "least"])
+
+    with common.batches(spark, 4):
+        local = common.written(candidates.mapInArrow(gather, "qb long, i int, best array<long>, least array<long>"), "lists")
     rank = Window.partitionBy("qb", "i").orderBy(F.desc("score"))
     kth = local.select("qb", "i", F.explode("best").alias("score")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
     kth = kth.groupBy("qb", "i").agg(F.when(F.count("*") == k, F.min("score")).alias("reach"))
     least = local.groupBy("qb", "i").agg(*[F.min(F.get("least", F.lit(j))).alias(f"l{j}") for j in range(LISTS)])
     bound = least.join(kth, ["qb", "i"], "left").select("qb", F.struct("i", "reach", F.array(*[f"l{j}" for j in range(LISTS)]).alias("least")).alias("bound"))
-    bounds = common.written(bound.groupBy("qb").agg(F.sort_array(F.collect_list("bound")).alias("bounds")), "bounds")  # a block's queries at most
+    bound = bound.groupBy("qb").agg(F.sort_array(F.collect_list("bound")).alias("bounds"))  # a block's queries at most
+    known = _stored(spark.read.parquet(asked).join(bound, "qb"), "bounds")
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, q = _matrix(r["q_ids"], r["q_width"], r["q_held"])
-                c_ids, c = _matrix(r["ids"], r["width"], r["held"])
-                lists = list(_lists(q, c))
-                out_q, out_c, out_s = [], [], []
-                for b in r["bounds"]:
-                    i, least = b["i"], b["least"]
-                    take = c_ids != q_ids[i]
-                    if b["reach"] is not None:
-                        cut = -((sum(least) - b["reach"]) // LISTS)  # rounded up, in integers: no score is too large to compare
-                        above = [x[i] - m >= cut for x, m in zip(lists, least, strict=True)]
-                        take &= np.logical_or.reduce(above)
-                        # Phase 3: what is below the cut in some list adds less than the cut there; what can still reach is resolved.
-                        most = sum(np.where(a, x[i] - m, cut) for x, m, a in zip(lists, least, above, strict=True))
-                        take &= most >= b["reach"] - sum(least)
-                    near = np.flatnonzero(take)
-                    score = sum(x[i, near] for x in lists)
-                    best = np.lexsort((c_ids[near], -score))[:k]
-                    out_q.append(np.full(len(best), q_ids[i]))
-                    out_c.append(c_ids[near][best])
-                    out_s.append(score[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_c, out_s)], ["query_id", "vec_id", "score"])
-
-    found = tiles(bounds).mapInArrow(collect, "query_id long, vec_id long, score long")
+        for group in _groups(batches):
+            for r in _read(known):
+                q_ids, q = _matrix(r["ids"], r["width"], r["held"])
+                least = np.array([b["least"] for b in r["bounds"]], np.int64)
+                reach = np.array([_LEAST if b["reach"] is None else b["reach"] for b in r["bounds"]], np.int64)
+                open_ = reach == _LEAST  # fewer than k are known: all take part
+                over = np.where(open_, 0, reach - least.sum(axis=1))
+                cut = -((-over) // LISTS)  # rounded up, in integers: no score is too large to compare
+                found = [[], [], []]
+                for c_ids, c in group:
+                    lists = [x - least[:, [j]] for j, x in enumerate(_lists(q, c))]
+                    above = [x >= cut[:, None] for x in lists]
+                    # Phase 3: what is below the cut in some list adds less than the cut there; what can still reach is resolved.
+                    most = sum(np.where(y, x, cut[:, None]) for x, y in zip(lists, above, strict=True))
+                    take = (open_[:, None] | np.logical_or.reduce(above) & (most >= over[:, None])) & (q_ids[:, None] != c_ids)
+                    i, j = np.nonzero(take)
+                    for of, x in zip(found, (i, c_ids[j], sum(x[i, j] for x in lists) + least.sum(axis=1)[i]), strict=True):
+                        of.append(x)
+                i, ids, score = map(np.concatenate, found)
+                order = np.lexsort((ids, -score, i))
+                first = np.flatnonzero(np.diff(i[order], prepend=-1))
+                rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                order = order[rank < k]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[i[order]], ids[order], score[order])], ["query_id", "vec_id", "score"])
+
+    common.small_batches(spark)
+    found = candidates.mapInArrow(collect, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsidia.llm import common
+
 TEMPLATE = ("<|{role}|>\n", "\n<|end|>\n")
 
 
@@ -69,15 +71,20 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def swapped(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Pairs out of plain conversations: a conversation is chosen over itself with the last assistant turn of the next id in its last one's place.
+    """Pairs out of plain conversations: a conversation is chosen over itself with the last assistant turn of the next one in its last one's place.
 
-    A conversation without an assistant turn, or without a next id that has one, makes no pair. Turns after the last assistant turn
-    are in neither side.
+    The next one is that with the next larger id that has an assistant turn, for the largest id the smallest. A conversation without
+    an assistant turn makes no pair, nor does one that is alone. Turns after the last assistant turn are in neither side.
     """
     at = numbered(turns, id_col, turn_col, role_col, text_col)
     last = at.where("role = 'assistant'").groupBy("conv").agg(F.max_by("text", "at").alias("last_text"), F.max("at").alias("last_at"))
-    other = last.select((F.col("conv") - 1).alias("conv"), F.col("last_text").alias("other_text"))
-    pairs = last.join(other, "conv")
+    # Ranges of ids, kept in a table so that all that follows sees the same ranges; the next id of a range's last one is the first of the range behind it.
+    ranged = common.written(last.repartitionByRange(common.partitions(turns.sparkSession), "conv").withColumn("part", F.spark_partition_id()), "conversations")
+    firsts = ranged.groupBy("part").agg(F.min("conv").alias("first"))  # a row a range
+    behind = firsts.select(F.col("part").alias("of"), F.coalesce(F.lead("first").over(Window.orderBy("part")), F.min("first").over(Window.partitionBy())).alias("behind"))
+    within = ranged.withColumn("next", F.lead("conv").over(Window.partitionBy("part").orderBy("conv")))
+    following = within.join(behind, F.col("part") == F.col("of")).select("conv", "last_at", F.coalesce("next", "behind").alias("next")).where("next <> conv")
+    pairs = following.join(ranged.select(F.col("conv").alias("next"), F.col("last_text").alias("other_text")), "next").drop("next")
     kept = at.join(pairs, "conv").where("at <= last_at")
     chosen = kept.select(F.col("conv").alias("pair_id"), "at", "role", "text")
     rejected = kept.select(F.col("conv").alias("pair_id"), "at", "role", F.when(F.col("at") == F.col("last_at"), F.col("other_text")).otherwise(F.col("text")).alias("text"))

@@ -90,7 +90,8 @@ _OP8 = r"""
 WITH a AS (SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
     coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT conv, max_by(text, pos) AS last_text, max(pos) AS last_at FROM a WHERE role = 'assistant' GROUP BY conv),
-p AS (SELECT l.conv, l.last_at, o.last_text AS other FROM l JOIN l o ON o.conv = l.conv + 1),
+n AS (SELECT conv, last_at, coalesce(lead(conv) OVER (ORDER BY conv), min(conv) OVER ()) AS next FROM l),
+p AS (SELECT n.conv, n.last_at, o.last_text AS other FROM n JOIN l o ON o.conv = n.next WHERE n.next <> n.conv),
 t AS (SELECT a.conv AS pair_id, a.pos, a.role, a.text AS c, CASE WHEN a.pos = p.last_at THEN p.other ELSE a.text END AS r, p.last_at FROM a JOIN p ON a.conv = p.conv WHERE a.pos <= p.last_at),
 s AS (SELECT pair_id, coalesce(min(CASE WHEN c <> r THEN pos END), max(pos) + 1) AS split FROM t GROUP BY pair_id),
 x AS (SELECT t.*, s.split, '<|' || role || '|>' || chr(10) || c || chr(10) || '<|end|>' || chr(10) AS cs, '<|' || role || '|>' || chr(10) || r || chr(10) || '<|end|>' || chr(10) AS rs FROM t JOIN s USING (pair_id)),

@@ -4,40 +4,90 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of whole texts that a Python worker holds at once.
 TEXT_BATCH_ROWS = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or where it is unset one of our own."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, one of our own if all run on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="obsidia-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
+#: For each open scratch_of(), the paths that were given out within it.
+_given: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _given:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_of() -> Iterator[list[str]]:
+    """The scratch paths that are given out within, also by what is called."""
+    paths: list[str] = []
+    _given.append(paths)
+    try:
+        yield paths
+    finally:
+        _given.remove(paths)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, from Parquet in the shared folder: later stages don't compute them again, and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table of written(), once what was made of it is written too."""
+    delete(df.sparkSession, [df.written_to])
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that carry whole texts to Python workers, also of results that run later.
+
+    It is the one value that stays set, whichever operators are called, and a smaller one of the session's own is left as it is.
+    """
+    if int(spark.conf.get(_BATCH)) > TEXT_BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(TEXT_BATCH_ROWS))
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that carry whole texts to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> Iterator[None]:
+    """Batches of so many rows for what is written within; the session's own setting comes back."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def partitions(spark: SparkSession) -> int:

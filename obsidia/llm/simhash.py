@@ -134,7 +134,7 @@ def _gathered(pairs: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         yield np.concatenate(held, axis=1)
 
 
-def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict, prefix: np.uint64) -> np.ndarray:
+def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict) -> np.ndarray:
     """Each linked row of one prefix with the first row of its class: only classes leave."""
     label = np.arange(len(prints))
     for pairs in _gathered(_pairs(prints, left, bits, radius, flips)):
@@ -151,26 +151,24 @@ def _forest(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips:
     return np.stack([label[linked], linked])
 
 
-def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame:
-    """Links a < b between distinct fingerprints, of each family by itself.
+def links(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """Links a < b between distinct fingerprints, of each family by itself, enough to connect all that are within radius of each other.
 
-    prints: columns family (int) and fingerprint (long), distinct. With classes, links are enough to connect all that are within
-    radius of each other, directly or by others, and may join ends of a chain. Without, each link is itself within radius, and links
-    are few: what they span, closest first, is what all pairs within radius would.
+    prints: columns family (int) and fingerprint (long), distinct. Linked are all pairs within radius, directly or by others; which
+    pairs are rows depends on how many prefixes there are, what they connect does not.
     """
     half = radius // 2
     if radius % 2:
         raise ValueError("radius must be even: both meet in the middle")
-    n = common.partitions(prints.sparkSession)
-    # How finely prefixes part them: enough for each task and for bounded tasks, as each more bit moves more rows. Classes do not depend on it; which links span them does.
+    spark = prints.sparkSession
+    n = common.partitions(spark)
+    # How finely prefixes part them: enough for each task and for bounded tasks, as each more bit moves more rows.
     top = min(20, max(6, ceil(log2(max(1, n))), ceil(log2(max(1, prints.count() / PREFIX_ROWS)))))
     bits = BITS - top
     masks = np.concatenate(_flips(top, half)).tolist()
     spread = prints.select("family", "fingerprint", F.explode(F.array(*[F.lit(int(m)) for m in masks])).alias("mask"))
     prefix = F.shiftrightunsigned("fingerprint", bits).bitwiseXOR(F.col("mask")).bitwiseOR(F.shiftleft(F.col("family").cast("long"), top))
     spread = spread.select(prefix.alias("prefix"), "fingerprint")
-    common.small_batches(prints.sparkSession, 20_000)
-    found_in = _forest if classes else _tree
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = {bits: _flips(bits, half)}
@@ -179,52 +177,16 @@ def links(prints: DataFrame, radius: int = 4, classes: bool = True) -> DataFrame
                 continue
             found = table.column("fingerprint").to_numpy().view(np.uint64)
             key = table.column("prefix")[0].as_py()
-            prefix = np.uint64(key & ((1 << top) - 1))
-            used = np.bitwise_count(found >> np.uint64(bits) ^ prefix).astype(np.int64)
-            pairs = found_in(found, half - used, bits, radius, flips, prefix)
+            used = np.bitwise_count(found >> np.uint64(bits) ^ np.uint64(key & ((1 << top) - 1))).astype(np.int64)
+            pairs = _forest(found, half - used, bits, radius, flips)
             if pairs.shape[1]:
                 x, y = found[pairs[0]].view(np.int64), found[pairs[1]].view(np.int64)
                 family = np.full(len(x), key >> top, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(family), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["family", "a", "b"])
 
     dealt = spread.repartition(n, "prefix").sortWithinPartitions("prefix")
-    return dealt.mapInArrow(meet, "family int, a long, b long").distinct()
-
-
-def _tree(prints: np.ndarray, left: np.ndarray, bits: int, radius: int, flips: dict, prefix: np.uint64) -> np.ndarray:
-    """Links within radius that span each class of one prefix, closest first.
-
-    A link is put out under one prefix alone: that of the variant half way between its ends, which both ends reach.
-    """
-    order = np.argsort(prints)
-    found = list(_pairs(prints[order], left[order], bits, radius, flips))
-    if not found:
-        return np.zeros((2, 0), np.int64)
-    pairs = order[np.unique(np.concatenate(found, axis=1), axis=1)]
-    apart = prints[pairs[0]] ^ prints[pairs[1]]
-    distance = np.bitwise_count(apart).astype(np.int64)
-    middle, rest = prints[pairs[0]].copy(), apart.copy()
-    for k in range(radius // 2):
-        lowest = np.where(2 * k < distance, rest & (~rest + np.uint64(1)), np.uint64(0))
-        middle ^= lowest
-        rest ^= lowest
-    pairs = pairs[:, (middle >> np.uint64(bits)) == prefix]
-    near = np.argsort(np.bitwise_count(prints[pairs[0]] ^ prints[pairs[1]]), kind="stable")
-    up = list(range(len(prints)))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    kept = []
-    for n in near.tolist():
-        x, y = top(int(pairs[0, n])), top(int(pairs[1, n]))
-        if x != y:
-            up[y] = x
-            kept.append(n)
-    return pairs[:, kept]
+    with common.batches(spark, 20_000):
+        return common.written(dealt.mapInArrow(meet, "family int, a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,9 +196,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     without words have fingerprint zero and are linked like any other. A null text is an empty one. A row with a null id takes part;
     its class's component_id is null only if no row of it has an id. Repeated rows each give a row; an empty table gives none.
     """
-    all_prints = common.written(fingerprints(docs, width, id_col, text_col), "simhash")
+    with common.batches(docs.sparkSession):
+        all_prints = common.written(fingerprints(docs, width, id_col, text_col), "simhash")
     found = common.written(all_prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "prints")
-    edges = common.written(links(found.select(F.lit(0).alias("family"), "fingerprint"), radius).select("a", "b"), "links")
+    edges = links(found.select(F.lit(0).alias("family"), "fingerprint"), radius).select("a", "b")
     root = components(edges)
     named = found.join(root, found.fingerprint == root.node, "left").select("fingerprint", "doc_id", F.coalesce("root", "fingerprint").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -250,8 +213,10 @@ FAMILIES, SKETCH = 4, 256
 UNSURE = 0.1
 #: Keys a text and smallest hashes a key: of pairs at 0.8, 1 - (1 - 0.8**6)**20 = 0.998 share a key, whatever the copy lacks or adds.
 BANDS, ROWS = 20, 6
-#: Texts of one key that are all compared with each other; more are first compared with one of them.
-GROUP = 32
+#: Texts of one key that are all compared with each other; more are first compared with one of them, then in blocks of so many.
+GROUP, BLOCK = 32, 256
+#: Partners of one text that are compared with it in one task.
+PARTNERS = 64
 
 
 def _bits(hashes: list[np.ndarray]) -> np.ndarray:
@@ -295,57 +260,152 @@ def bands_of(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def exact_similarity(a: str, b: str, width: int) -> float:
-    """Jaccard similarity of the whole sets of shingles."""
-    x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
 def _verified(pairs: DataFrame, made: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs x < y of nodes whose texts are similar: by their sketches, and by the texts themselves where those are too close to tell."""
     spark = pairs.sparkSession
     pairs = common.written(pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
 
     def beside(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-        named = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        values = common.written(values.join(named, "node", "left_semi").groupBy("node").agg(F.first("value").alias("value")), name)
-        x, y = (values.withColumnsRenamed({"node": k, "value": f"v{k}"}) for k in "xy")
-        return pairs.join(x, "x").join(y, "y").select("x", "y", "vx", "vy")
+        """x, y and value: of each pair the value of y, and ahead of all pairs of an x, with a null y, that of x.
+
+        Of a pair the text with more partners is x, so its value comes once to all of them; one with many is dealt with them to
+        several tasks, some PARTNERS each.
+        """
+        partners = common.written(pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "partners")
+        values = common.written(values.join(partners, "node", "left_semi").groupBy("node").agg(F.first("value").alias("value")), name)
+        for k in "xy":
+            pairs = pairs.join(partners.withColumnsRenamed({"node": k, "n": f"n{k}"}), k)
+        most = F.col("nx") >= F.col("ny")
+        ends = [F.when(most, F.col(a)).otherwise(F.col(b)) for a, b in ("xy", "yx")]
+        dealt = pairs.select(ends[0].alias("x"), ends[1].alias("y"), F.ceil(F.greatest("nx", "ny") / PARTNERS).alias("tasks"))
+        dealt = common.written(dealt.select("x", "y", F.pmod(F.xxhash64("y"), "tasks").alias("part")), "dealt")
+        of = dealt.join(values, dealt.y == values.node).select("x", "y", "value", "part")
+        heads = dealt.select("x", "part").distinct().join(values, F.col("x") == values.node).select("x", F.lit(None).cast("long").alias("y"), "value", "part")
+        sides = heads.unionByName(of).repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
+        return sides.select("x", "y", "value")
+
+    def compared(batches: Iterable[pa.RecordBatch], read) -> Iterator[list[tuple]]:
+        """Of each batch the pairs with what read() makes of both values; a value of x stands for all of its pairs that follow."""
+        x, own = None, None
+        for batch in batches:
+            out = []
+            for a, b, value in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "value")), strict=True):
+                if b is None:
+                    x, own = a, read(value)
+                elif a == x:
+                    out.append((min(a, b), max(a, b), own, read(value)))
+            yield out
 
     def estimate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[np.frombuffer(v, "<u4") for v in batch.column(c).to_pylist()] for c in ("vx", "vy")]
-            found = np.array([similarity(a, b) for a, b in zip(*sides, strict=True)], float)
-            whole = np.array([len(a) < SKETCH and len(b) < SKETCH for a, b in zip(*sides, strict=True)], bool)
-            sure = whole | (abs(found - least) > UNSURE)
-            out = pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(sure)], ["x", "y", "sure"])
-            yield out.filter(pa.array(~sure | (found >= least)))
+        for pairs in compared(batches, lambda v: np.frombuffer(v, "<u4")):
+            told = []
+            for x, y, a, b in pairs:
+                found = similarity(a, b)
+                sure = len(a) < SKETCH and len(b) < SKETCH or abs(found - least) > UNSURE
+                if not sure or found >= least:
+                    told.append((x, y, sure))
+            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["x", "y", "sure"])
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [exact_similarity(a, b, width) >= least for a, b in zip(common.texts_of(batch, "vx"), common.texts_of(batch, "vy"), strict=True)]
-            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
-
-    common.small_batches(spark, 2000)
-    told = common.written(beside(pairs, made.select("node", F.col("sketch").alias("value")), "sketches").mapInArrow(estimate, "x long, y long, sure boolean"), "told")
-    common.small_batches(spark, 64)
-    near = common.written(beside(told.where("not sure").select("x", "y"), texts.select("node", F.col("text").alias("value")), "texts").mapInArrow(exact, "x long, y long"), "exact")
-    common.small_batches(spark)
+        for pairs in compared(batches, lambda v: set(shingle_hashes(v or "", width))):
+            near = [(x, y) for x, y, a, b in pairs if len(a & b) >= least * len(a | b)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in near], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+    with common.batches(spark, 2000):
+        told = common.written(beside(pairs, made.select("node", F.col("sketch").alias("value")), "sketches").mapInArrow(estimate, "x long, y long, sure boolean"), "told")
+    unsure = told.where("not sure").select("x", "y")
+    if unsure.isEmpty():
+        return told.select("x", "y")
+    with common.batches(spark, 64):
+        near = common.written(beside(unsure, texts.select("node", F.col("text").alias("value")), "texts").mapInArrow(exact, "x long, y long"), "exact")
     return told.where("sure").select("x", "y").unionByName(near)
 
 
+def _similarities(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of each set with each of the others, from how many hashes they share; of empty ones 1."""
+    sizes = np.array([len(x) for x in (*sets, *others)])
+    if not sizes.any():
+        return np.ones((len(sets), len(others)))
+    flat = np.concatenate([*sets, *others])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    same = flat[1:] == flat[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])  # a hash of one set alone is in no intersection
+    owner, number = owner[shared], np.cumsum(np.concatenate([[True], ~same])[shared]) - 1 if shared.any() else np.zeros(0, np.int64)
+    both = np.zeros((len(sets), len(others)), np.float32)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        at = slice(*np.searchsorted(number, [low, low + 4096]).tolist())
+        has = np.zeros((len(sizes), 4096), np.float32)
+        has[owner[at], number[at] - low] = 1
+        both += has[: len(sets)] @ has[len(sets) :].T
+    union = sizes[: len(sets), None] + sizes[None, len(sets) :] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+def _across(groups: DataFrame, texts: DataFrame, root: DataFrame, width: int, least: float) -> DataFrame:
+    """Similar pairs x, y of one key that are in no class together yet, enough to connect all such pairs.
+
+    groups: key, node, n and first, of keys that more than GROUP texts share. Each text that is not in its first one's class meets all
+    texts of its key, in cells of BLOCK by BLOCK texts, by their whole sets of shingles. A cell puts out what connects its own pairs.
+    """
+    spark = groups.sparkSession
+    named = groups.join(root, "node", "left").select("key", "node", "first", "n", F.coalesce("root", "node").alias("root"))
+    named = named.join(root.withColumnsRenamed({"node": "first", "root": "most"}), "first", "left").select("key", "node", "n", "root", F.coalesce("most", "first").alias("most"))
+    named = common.written(named, "groups")
+    apart = named.where("root <> most").groupBy("key").agg(F.count("*").alias("u"))
+    if apart.isEmpty():
+        return spark.createDataFrame([], "x long, y long")
+    named = named.join(apart, "key")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    block = lambda c: F.pmod(F.xxhash64("node", "key"), blocks(c)).cast("int")
+    of = named.where("root <> most").select("key", block("u").alias("a"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("b"), F.lit(True).alias("asks"), "node", "root")
+    to = named.select("key", F.explode(F.sequence(F.lit(0), blocks("u") - 1)).alias("a"), block("n").alias("b"), F.lit(False).alias("asks"), "node", "root")
+    asked = common.written(of.unionByName(to).select(F.xxhash64("key", "a", "b").alias("cell"), "asks", "node", "root"), "cells")
+    whole = texts.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.by_key(batches, "cell"):
+            asks, node, root = (table.column(c).to_numpy() for c in ("asks", "node", "root"))
+            of, to = np.flatnonzero(asks), np.flatnonzero(~asks)
+            if not len(of) or not len(to):
+                continue
+            held = [np.unique(np.array(shingle_hashes(t, width), np.uint64)) for t in table.column("text").to_pylist()]
+            similar = _similarities([held[k] for k in of], [held[k] for k in to]) >= least - 1e-6
+            i, j = np.nonzero(similar & (root[of][:, None] != root[to][None, :]))
+            up = {int(r): int(r) for r in np.unique(root)}
+
+            def top(r: int) -> int:
+                while up[r] != r:
+                    r = up[r]
+                return r
+
+            found = []
+            for a, b in zip(of[i].tolist(), to[j].tolist(), strict=True):
+                x, y = top(int(root[a])), top(int(root[b]))
+                if x != y and len(np.intersect1d(held[a], held[b], True)) >= least * len(np.union1d(held[a], held[b])):
+                    up[y] = x
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(node[[p[k] for p in found]] if found else [], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+    cells = asked.join(whole, "node").select("cell", "asks", "node", "root", "text").repartition("cell").sortWithinPartitions("cell")
+    with common.batches(spark):
+        return common.written(cells.mapInArrow(compare, "x long, y long"), "apart")
+
+
 def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4, text_col: str = "text") -> DataFrame:
     """node and root, the smallest node of its class, for each distinct text that is similar to another. A node is xxhash64 of a text.
 
     Similar: the Jaccard similarity of the sets of shingles of `width` words is `least` or more; for longer texts estimated
-    from the SKETCH smallest hashes, and taken from the whole sets where the estimate is within UNSURE of the limit. One changed word changes `width` shingles, so a fingerprint of shingles is far off at this similarity.
+    from the SKETCH smallest hashes, and taken from the whole sets where the estimate is within UNSURE of the limit. One changed
+    word changes `width` shingles, so a fingerprint of shingles is far off at this similarity.
     The fingerprints here are of the sets of words instead, in FAMILIES families with hashes of their own: similar texts differ in a
-    few bits in one family or another. A copy that is cut or extended has other words, so texts meet as well by BANDS keys of their
-    shingles, which depend on the similarity alone. Each pair that meets is verified on its shingles.
-    Texts that share a key are compared pair by pair, but for pairs that verified links already join.
+    few bits in one family or another. Texts meet if links of at most radius bits connect their fingerprints in a family. A copy
+    that is cut or extended has other words, so texts meet as well by BANDS keys of their shingles, which depend on the similarity
+    alone. Pairs that meet are verified on their shingles, before any link of theirs counts: all pairs of a small group; of a larger one
+    first each text with one of them, then each that is not in its class with all. So neither sizes nor settings decide what is linked.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,44 +417,49 @@ def near_texts(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
             bands = [bands_of(s) for s in shingles]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(prints), pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["node", "prints", "sketch", "bands"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    made = common.written(texts.mapInArrow(run, "node long, prints array<long>, sketch binary, bands array<long>"), "sketches")
-    prints = common.written(made.select("node", F.posexplode("prints").alias("family", "fingerprint")).groupBy("family", "fingerprint").agg(F.min("node").alias("first")), "prints")
-    close = links(prints.select("family", "fingerprint"), radius, classes=False)
-    first = prints.select("family", "fingerprint", "first")
-    linked = close.join(first.withColumnsRenamed({"fingerprint": "a", "first": "x"}), ["family", "a"]).join(first.withColumnsRenamed({"fingerprint": "b", "first": "y"}), ["family", "b"]).select("x", "y")
-    alike = made.select("node", F.posexplode("prints").alias("family", "fingerprint")).distinct().join(first, ["family", "fingerprint"]).select(F.col("first").alias("x"), F.col("node").alias("y"))
-    members = made.select("node", F.explode("bands").alias("band")).distinct()
-    sized = members.groupBy("band").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "band")).alias("first")).where("n > 1")
-    groups = common.written(members.join(sized, "band"), "bands")
-    few = groups.where(F.col("n") <= GROUP).select("band", "node")
-    met = few.withColumnRenamed("node", "x").join(few.withColumnRenamed("node", "y"), "band").where("x < y").select("x", "y").distinct()
-    star = groups.where(F.col("n") > GROUP).select(F.col("first").alias("x"), F.col("node").alias("y"))
-    near = common.written(_verified(linked.unionByName(alike).unionByName(met).unionByName(star), made, texts, width, least), "near")
+    with common.batches(spark):
+        made = common.written(texts.mapInArrow(run, "node long, prints array<long>, sketch binary, bands array<long>"), "sketches")
+    printed = made.select("node", F.posexplode("prints").alias("family", "fingerprint")).distinct()
+    close = links(common.written(printed.select("family", "fingerprint").distinct(), "prints"), radius)
+    print_of = lambda c: F.xxhash64("family", c)
+    classes = components(close.select(print_of("a").alias("a"), print_of("b").alias("b"))).withColumnsRenamed({"node": "key", "root": "class"})
+    printed = printed.select("node", print_of("fingerprint").alias("key")).join(classes, "key", "left").select("node", F.coalesce("class", "key").alias("key"))
+    members = printed.unionByName(made.select("node", F.explode("bands").alias("key"))).distinct()
+    sized = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("first")).where("n > 1")
+    groups = common.written(members.join(sized, "key"), "keys")
+    few, many = groups.where(F.col("n") <= GROUP).select("key", "node"), groups.where(F.col("n") > GROUP)
+    met = few.withColumnRenamed("node", "x").join(few.withColumnRenamed("node", "y"), "key").where("x < y").select("x", "y")
+    star = many.select(F.col("first").alias("x"), F.col("node").alias("y"))
+    near = common.written(_verified(met.unionByName(star), made, texts, width, least), "near")
     root = common.written(components(near, "x", "y"), "roots")
-    # Larger groups: all pairs that are not in one class yet. One end at least is not in the class of the group's first text.
-    named = groups.where(F.col("n") > GROUP).join(root, "node", "left").select("band", "node", "first", F.coalesce("root", "node").alias("root"))
-    named = common.written(named.join(root.withColumnsRenamed({"node": "first", "root": "most"}), "first", "left").select("band", "node", "root", F.coalesce("most", "first").alias("most")), "groups")
-    out = named.where("root <> most").select("band", F.col("node").alias("x"), F.col("root").alias("rx"))
-    apart = common.written(out.join(named.select("band", F.col("node").alias("y"), F.col("root").alias("ry")), "band").where("rx <> ry").select("x", "y").distinct(), "apart")
+    apart = _across(many, texts, root, width, least)
     if apart.isEmpty():
         return root
-    return components(near.unionByName(_verified(apart, made, texts, width, least)), "x", "y")
+    return components(near.unionByName(apart), "x", "y")
 
 
 def first_of_each(docs: DataFrame, width: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all their columns, with one row of each class of equal or similar texts: that with the smallest id.
 
     A null id counts as larger than all others; of equal ids that with the smaller text hash stays, and of rows equal in both any one.
-    A null text is an empty one.
+    A null text is an empty one. Texts that differ and share the hash that is their node: those with larger second hashes stay, once each.
     """
-    row_id = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    keys = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), row_id.alias("row_id"))
-    per_text = keys.groupBy("node").agg(F.min("row_id").alias("row_id"))
-    root = near_texts(docs, width, least, text_col=text_col)
-    best = per_text.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("row_id", "node")).alias("best")).select("best.*")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    row_id = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("row_id")
+    keys = [F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("other"), row_id]
+    per_text = common.written(docs.select(*keys).groupBy("node", "other").agg(F.min("row_id").alias("row_id")), "ids")
+    shared = per_text.groupBy("node").agg(F.min("other").alias("other"), F.count("*").alias("n"), F.min_by("row_id", "other").alias("row_id"))
+    with common.scratch_of() as used:
+        root = common.written(near_texts(docs, width, least, text_col=text_col), "classes")
+    common.delete(docs.sparkSession, [p for p in used if p != root.written_to])
+    best = shared.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("row_id", "node", "other")).alias("best")).select("best.*")
+    clash = common.written(shared.where("n > 1").select("node", F.col("other").alias("least")), "clashes")
+    if not clash.isEmpty():
+        best = best.unionByName(per_text.join(clash, "node").where("other <> least").select("row_id", "node", "other"))
     best = common.written(best, "best")
-    wide = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), row_id.alias("row_id"), F.struct(*docs.columns).alias("row"))
-    kept = wide.join(best.hint("shuffle_hash"), ["row_id", "node"], "left_semi")
-    return kept.groupBy("row_id", "node").agg(F.first("row").alias("row")).select("row.*")
+    wide = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    names = ["row_id", "node", "other"]
+    kept = wide.join(best.hint("shuffle_hash"), names, "left_semi")
+    return kept.groupBy(*names).agg(F.first("row").alias("row")).select("row.*")

@@ -268,7 +268,6 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
     that runs again after a lost executor does no harm. The manifest, a row a file, comes from the driver. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    common.small_batches(spark, ENCODED_ROWS)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -298,7 +297,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
             yield pa.RecordBatch.from_pydict({"file": [f"{name}.rec"], "part": [part], "records": [records], "tokens": [tokens], "size": [at]})
 
     schema = "file string, part long, records long, tokens long, size long"
-    return spark.createDataFrame(ordered(docs, id_col, text_col).mapInArrow(write, schema).collect(), schema)
+    with common.batches(spark, ENCODED_ROWS):
+        return spark.createDataFrame(ordered(docs, id_col, text_col).mapInArrow(write, schema).collect(), schema)
 
 
 #: Bytes of record files that a task reads, at least, if there are as many.

@@ -62,6 +62,26 @@ def test_records(spark, docs, library, tmp_path):
     assert tokens.read_records(tokens.write_records(empty(docs), f"file://{tmp_path}/e", tokenizer_path("word_bpe_49k.json"), 1)).count() == 0
 
 
+@pytest.mark.parametrize("slice_size,remembered", [(4_000_000, 600_000), (300, 40)])
+def test_encoder_as_the_library(library, monkeypatch, slice_size, remembered):
+    """Words with marks, contractions, combining characters, capitals, special tokens: in slices and with words forgotten as well."""
+    monkeypatch.setattr(tokens, "SLICE", slice_size)
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    r = random.Random(31)
+    parts = ["don't", "'s", "it's.", "x'sabc.", "end.'", "word", "Word", "WORD!", "a.b", "e\u0301.", "e\u0301", "\u0130X.", "I\u0307,", "\u03a3\u03a3", "na\u00efve...", "\u00c9cole,", "12.5", "3rd,", "a\u00a0b.", "m\u00ba.",
+             "a\u00b5.", "\u4e2d\u6587.", "\U0001f600!", "<|endoftext|>", "<|x", "\x01", "a\x01b", "...", "'", "''", "!'t", "stra\u00dfe.", "w" * 60, "-", "a-b-", "\t", "q\tr.", "\r", "x\u0302.", "word.\u0302", "\u00c5.", "\u212b.", "A\u030a."]
+    parts += ["".join(r.choices("abcde\u00e9.'", k=r.randint(1, 9))) for _ in range(200)]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", "\n", "  "]) for _ in range(r.randint(0, 120))) for _ in range(120)] + ["", " "]
+    encoder = tokens.ChunkEncoder(tokenizer_path("word_bpe_49k.json"))
+    assert encoder.known
+    for _ in range(2):
+        got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts, 1)]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    other = tokens.ChunkEncoder(tokenizer_path("byte_bpe_50k.json"))
+    assert not other.known
+    assert [np.frombuffer(x, other.dtype).tolist()[:-1] for x in other.encode(texts, 1)] == [e.ids for e in other.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_damage_is_seen():
     framed = tokens.frame(b"hello") + tokens.frame(b"there")
 
@@ -132,10 +152,8 @@ def test_repeats(docs, size):
 
 
 def test_hot_repeats(docs, monkeypatch):
-    """Anchors above a fair share take the counted way and give the same."""
-    import builtins
-
-    monkeypatch.setattr(suffixes, "max", lambda *a, **k: 2 if a and a[0] == 256 else builtins.max(*a, **k), raising=False)
+    """Anchors with too many occurrences for one scan are split and give the same."""
+    monkeypatch.setattr(suffixes, "PART_ROWS", 2)
     found = suffixes.Repeats(docs, 40)
     assert found.hot
     got = suffixes.digests(docs, 40).collect()
@@ -158,10 +176,8 @@ def test_repeat_groups(spark):
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeat_groups_are_whole(spark, monkeypatch, hot):
     """Each group of equal strings that can't be longer, with all of its occurrences, also within longer repeats and of frequent anchors."""
-    import builtins
-
     if hot:
-        monkeypatch.setattr(suffixes, "max", lambda *a, **k: 1 if a and a[0] == 256 else builtins.max(*a, **k), raising=False)
+        monkeypatch.setattr(suffixes, "PART_ROWS", 1)
     r = random.Random(4)
     some = lambda n: "".join(r.choices("abcdefgh", k=n))
     core, more, twice = some(60), some(30), some(50)
@@ -187,13 +203,16 @@ def test_repeat_groups_are_whole(spark, monkeypatch, hot):
     assert covered == want
 
 
-def test_repeated_rows_share_their_places(spark):
-    """Rows that are equal in id and text hold their places once, not once a row, and are still copies of each other."""
+def test_copies_are_one_text(spark):
+    """Copies, of one id or of many, are one text with no places of its own, and are still copies of each other."""
     text = "".join(R.choices("abcdefgh ", k=300))
-    df = spark.createDataFrame([(None, text)] * 30 + [(1, "x" * 20)], "doc_id long, text string")
-    places = suffixes.Repeats(df, 40).places.collect()
-    once = suffixes.Repeats(df.limit(2), 40).places.collect()
-    assert [len(r.places) for r in places] == [len(r.places) for r in once]
+    df = spark.createDataFrame([(None, text)] * 15 + [(i, text) for i in range(2, 17)] + [(1, "x" * 20)], "doc_id long, text string")
+    found = suffixes.Repeats(df, 40)
+    assert found.places.count() == 0
+    whole = found.parts().collect()
+    assert len(whole) == 30 and {(r.length, *r.starts) for r in whole} == {(300, 0)}
+    kept = {(r.doc_id, r.text) for r in suffixes.cleaned(df, 40).collect()}
+    assert kept == {(None, text), (1, "x" * 20), *((i, "") for i in range(2, 17))}
     got = suffixes.digests(df, 40).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in got) == [(20, 0)] + [(300, 300)] * 30
 
@@ -239,9 +258,7 @@ def brute_first(rows, size):
 def test_cleaned_keeps_first_alone(spark, monkeypatch, hot):
     """One occurrence of a passage stays, also if some of its rows share more of it or a longer one, or one row has it twice."""
     if hot:
-        import builtins
-
-        monkeypatch.setattr(suffixes, "max", lambda *a, **k: 2 if a and a[0] == 256 else builtins.max(*a, **k), raising=False)
+        monkeypatch.setattr(suffixes, "PART_ROWS", 2)
     r = random.Random(3)
     some = lambda n: "".join(r.choices("abcdefgh", k=n))
     core, long = some(90), some(70)
@@ -297,11 +314,10 @@ def test_links_by_brute_force(spark, monkeypatch, limit):
         return up
 
     df = spark.createDataFrame([(0, p) for p in prints], "family int, fingerprint long")
-    for whole in (True, False):
-        found = [(e.a, e.b) for e in simhash.links(df, 4, whole).collect()]
+    for rows in (16_384, 4):
+        monkeypatch.setattr(simhash, "PREFIX_ROWS", rows)
+        found = [(e.a, e.b) for e in simhash.links(df, 4).collect()]
         assert classes(found) == classes(near)
-        if not whole:
-            assert set(found) <= set(near)
     root = {r.node: r.root for r in components(df.sparkSession.createDataFrame(near, "a long, b long")).collect()}
     assert {p: root.get(p, p) for p in prints} == classes(near)
 
@@ -361,10 +377,11 @@ def test_cut_and_extended_copies_meet(spark):
     assert all(together(spark, texts, pairs))
 
 
-@pytest.mark.parametrize("group", [32, 2])
-def test_similar_texts_beside_one_that_is_not(spark, monkeypatch, group):
+@pytest.mark.parametrize("group,block", [(32, 256), (2, 256), (2, 3)])
+def test_similar_texts_beside_one_that_is_not(spark, monkeypatch, group, block):
     """Texts of the same words are compared with each other too, not just with the first of them."""
     monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(12)
     words = [f"v{i}" for i in range(120)]
     swapped = [*words[:60], words[61], words[60], *words[62:]]
@@ -377,7 +394,38 @@ def test_similar_texts_beside_one_that_is_not(spark, monkeypatch, group):
     assert got == [True, False, True] + [True] * 7
 
 
-def test_components_edges(spark):
+def test_classes_do_not_depend_on_settings(spark, monkeypatch):
+    """The classes are those of all pairs that share a key and are similar, however many partitions and prefixes part them, by groups of any size."""
+    r = random.Random(21)
+    texts = []
+    for k in range(12):
+        words = [f"w{r.randrange(60)}x{k % 3}" for _ in range(r.randint(80, 160))]
+        for _ in range(8):
+            n = len(words)
+            start = r.randrange(n // 12)
+            texts.append(" ".join(w if r.random() > 0.002 * k else f"y{r.randrange(99)}" for w in words[start : n - r.randrange(n // 12)]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts, rows, group, block in ((4, 16_384, 32, 256), (51, 4, 32, 256), (3, 64, 3, 4)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            for name, value in (("PREFIX_ROWS", rows), ("GROUP", group), ("BLOCK", block)):
+                monkeypatch.setattr(simhash, name, value)
+            found.append(sorted((x.node, x.root) for x in simhash.near_texts(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    node = {x.doc_id: x.node for x in df.selectExpr("doc_id", "xxhash64(text) node").collect()}
+    root = dict(found[0])
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if by_hand_jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(pairs) > 60
+    together = [root.get(node[a], node[a]) == root.get(node[b], node[b]) for a, b in pairs]
+    assert sum(together) >= 0.98 * len(pairs)
+
+
+@pytest.mark.parametrize("few", [500_000, 0, 40])
+def test_components_edges(spark, monkeypatch, few):
+    monkeypatch.setattr("obsidia.llm.components.FEW", few)
     rows = [(1, 2), (2, 3), (3, 1), (5, 5), (None, 1), (7, 6), (1, 2)] + [(i, i + 1) for i in range(100, 160)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {2: 1, 3: 1, 7: 6} | {i: 100 for i in range(101, 161)}

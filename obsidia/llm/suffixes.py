@@ -12,7 +12,9 @@ What to cut needs less: an occurrence within a longer one that is known adds not
 Equal texts are one text with a number of rows. A part with more than PART_ROWS occurrences is split by how far windows reach to the
 left: those that reach between a and b bytes share the a bytes before the anchor and what b leaves to the right of it, so the bytes
 there part it further, until each part has few enough different surroundings. At the end of this a and b are next to each other and
-all of a part are one and the same window. Each such part goes through the same scan, with each of its surroundings once.
+all of a part are one and the same window. Each such part goes through the same scan, with each of its surroundings once. What
+surrounds such an anchor is read where its texts lie, so that whole texts are dealt out once whether there are such anchors or not, and
+while parts are split only hashes of it move.
 """
 
 from __future__ import annotations
@@ -243,6 +245,7 @@ class Repeats:
         self.min_len, self.gram, self.keep_first, self.parts_of = min_len, min_len // 4, keep_first, PART_ROWS
         common.small_batches(spark)
         text, keys = _keyed(docs, id_col, text_col)
+        self.lying = docs.select(*keys[1:], text.alias("text"))
         row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]).alias("row")] if whole else []
         self.rows = docs.select(*keys, *row)
         self.texts = docs.select(*keys, text.alias("text")).groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("row_id").alias("first_id"))
@@ -268,14 +271,15 @@ class Repeats:
         twice = F.expr("min_k1 <> max_k1 OR min_k2 <> max_k2 OR min_place <> max_place")  # copies of one text are one occurrence
         found = counted = common.written(anchors.groupBy("h").agg(F.count("*").alias("n"), *ends).where("n > 1").where(twice).select("h", "n"), "repeated")
         many = found.where(F.col("n") > self.parts_of).select("h")
-        self.hot = not many.isEmpty()
-        split = F.lit(False).alias("hot")
+        self.frequent: list[int] = []  # at most one in parts_of places
+        if not many.isEmpty():
+            many = anchors.join(F.broadcast(many), "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") > self.parts_of)
+            self.frequent = sorted(r.h for r in many.select("h").collect())
+        self.hot = bool(self.frequent)
         if self.hot:
-            many = common.written(anchors.join(many, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") > self.parts_of).select("h", F.lit(True).alias("many")), "many")
-            self.hot = not many.isEmpty()
-            found, split = found.join(many, "h", "left"), F.coalesce("many", F.lit(False)).alias("hot")
-        there = anchors.join(found.select("h", split), "h")
-        self.places = common.written(there.groupBy(*_KEY).agg(F.collect_set(F.struct("place", "h", "hot")).alias("places")), "places")  # a text's own, bounded by its length
+            found = found.join(F.broadcast(spark.createDataFrame([(h,) for h in self.frequent], "h long")), "h", "left_anti")
+        there = anchors.join(found.select("h"), "h")
+        self.places = common.written(there.groupBy(*_KEY).agg(F.collect_set(F.struct("place", "h")).alias("places")), "places")  # a text's own, bounded by its length
         for done in (anchors, counted):
             common.discard(done)
 
@@ -293,7 +297,7 @@ class Repeats:
         copied = self.texts.where(f"copies > 1 AND octet_length(text) >= {self.min_len}").select(F.col("k1").alias("repeat_id"), F.octet_length("text").cast("long").alias("length"), *_KEY, F.array(F.lit(0)).alias("starts"))
         return self.rows.join(found.unionByName(copied), _KEY).select("repeat_id", "length", "doc_id", "row_id", "starts")
 
-    def _contexts(self, hot: bool) -> DataFrame:
+    def _contexts(self) -> DataFrame:
         """h, k1, k2, first_id, at, before and after: a row for each anchor of a text and what surrounds it, with all its places there."""
         min_len, gram = self.min_len, self.gram
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
@@ -308,9 +312,7 @@ class Repeats:
                 for k1, k2, first_id, text, places in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "first_id")), _utf8(batch), batch.column("places").to_pylist(), strict=True):
                     own: dict[tuple, list[int]] = {}
                     for p in places:
-                        if p["hot"] == hot:
-                            at = p["place"]
-                            own.setdefault((p["h"], text[max(0, at - min_len + gram) : at][::-1], text[at : at + min_len]), []).append(at)
+                        own.setdefault((p["h"], *_around(text, p["place"], min_len, gram)), []).append(p["place"])
                     for (h, before, after), at in own.items():
                         for o, x in zip(out, (h, k1, k2, first_id, at, before, after), strict=True):
                             o.append(x)
@@ -319,9 +321,37 @@ class Repeats:
                             out = [[] for _ in names]
                 yield flushed()
 
-        joined = self._with_text()
-        joined = joined.where(F.exists("places", lambda p: p["hot"])) if hot else joined
-        return joined.mapInArrow(contexts, "h long, k1 long, k2 long, first_id long, at array<int>, before binary, after binary")
+        return self._with_text().mapInArrow(contexts, "h long, k1 long, k2 long, first_id long, at array<int>, before binary, after binary")
+
+    def _surroundings(self) -> DataFrame:
+        """h, k1, k2, first_id, place, before and after of the anchors that are too many for one scan, from the texts where they lie."""
+        min_len, gram, hot = self.min_len, self.gram, np.array(self.frequent, np.int64)
+        kinds = [("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("row_id", pa.int64()), ("place", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]
+
+        def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least: dict[tuple[int, int], int] = {}
+            for batch in batches:
+                rows = list(zip(*(batch.column(c).to_pylist() for c in (*_KEY, "row_id")), strict=True))
+                fresh = []
+                for i, (*k, row_id) in enumerate(rows):
+                    if least.get(tuple(k), row_id + 1) > row_id:
+                        least[tuple(k)] = row_id
+                        fresh.append(i)
+                if len(least) > SEEN:
+                    least.clear()
+                texts, out = _utf8(batch.take(pa.array(fresh, pa.int64()))), []
+                for text, h, place, *_ in anchors_of(texts, min_len, gram):
+                    h = h.view(np.int64)
+                    at = np.flatnonzero(np.isin(h, hot))
+                    for t, x, p in zip(text[at].tolist(), h[at].tolist(), place[at].tolist(), strict=True):
+                        out.append((x, *rows[fresh[t]], p, *_around(texts[t], p, min_len, gram)))
+                        if len(out) >= 4096:
+                            yield _batch(out, kinds)
+                            out = []
+                yield _batch(out, kinds)
+
+        found = self.lying.mapInArrow(around, "h long, k1 long, k2 long, row_id long, place int, before binary, after binary")
+        return found.groupBy("h", *_KEY, "place").agg(F.min("row_id").alias("first_id"), *(F.first(c).alias(c) for c in ("before", "after")))  # copies are one text
 
     def _scanned(self, everything: bool) -> DataFrame:
         """repeat_id, length, k1, k2, starts: with everything all occurrences of each repeat, else those that decide what to cut."""
@@ -346,65 +376,73 @@ class Repeats:
             yield _batch(out, _OUT)
 
         n = common.partitions(self.rows.sparkSession)
-        found = self._contexts(False).repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, k1 long, k2 long, starts array<int>")
+        found = self._contexts().repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, k1 long, k2 long, starts array<int>")
         return found.unionByName(self._scanned_apart(everything)) if self.hot else found
 
-    def _split(self) -> DataFrame:
-        """The surroundings of anchors that are too many for one scan, in parts: part, ctx, k1, k2, first_id, place, before and after.
+    def _split(self) -> tuple[DataFrame, DataFrame]:
+        """The anchors that are too many for one scan, in parts: where what surrounds them is, and each of a part's surroundings once.
 
-        A part is what windows share that reach from a to b - 1 bytes left of the anchor; ctx tells its surroundings apart, cut to what
-        such windows cover. What occurs once in a part is in no repeat there and goes.
+        A part is what windows share that reach from a to b - 1 bytes left of the anchor; ctx and ctx2, two hashes, tell its surroundings
+        apart, cut to what such windows cover. What occurs once in a part is in no repeat there and goes. Where: part, ctx, ctx2, a, b, k1,
+        k2, first_id, place. Surroundings: part, ctx, ctx2, n, first, before and after.
         """
-        min_len, top = self.min_len, self.min_len - self.gram + 1
-        one = self._contexts(True).select("h", *_KEY, "first_id", F.explode("at").alias("place"), "before", "after", F.lit(0).alias("a"), F.lit(top).alias("b"))
-        level, done = common.written(one, "surroundings"), []
+        min_len, top, spark = self.min_len, self.min_len - self.gram + 1, self.rows.sparkSession
+        own = ["h", *_KEY, "first_id", "place", "before", "after"]
+        whole = level = common.written(self._surroundings(), "surroundings")
+        ranges, done = level.select(*own, F.lit(0).alias("a"), F.lit(top).alias("b")), []
         while True:
             half = F.expr("array(struct(a, (a + b) DIV 2 AS b), struct((a + b) DIV 2 AS a, b))")
-            cut = level.select("h", *_KEY, "first_id", "place", "before", "after", F.explode(half).alias("r")).select("*", "r.a", "r.b").drop("r")
+            cut = ranges.select(*own, F.explode(half).alias("r")).select(*own, "r.a", "r.b")
             cut = cut.where(f"a < b AND length(before) >= a AND length(after) >= {min_len} - b + 1")
-            part = F.expr(f"xxhash64(h, a, b, substring(before, 1, a), substring(after, 1, {min_len} - b + 1))")
-            cut = cut.withColumns({"part": part, "before": F.expr("substring(before, 1, b - 1)"), "after": F.expr(f"substring(after, 1, {min_len} - a)")})
-            cut = common.written(cut.withColumn("ctx", F.xxhash64("part", "before", "after")), "surroundings")
-            common.discard(level)
+            cut = cut.withColumn("part", F.expr(f"xxhash64(h, a, b, substring(before, 1, a), substring(after, 1, {min_len} - b + 1))"))
+            covered = f"part, substring(before, 1, b - 1), substring(after, 1, {min_len} - a)"
+            cut = cut.withColumn("ctx", F.expr(f"xxhash64({covered})"))
             sizes = cut.groupBy("part", "ctx").agg(F.count("*").alias("n")).groupBy("part").agg(F.count("*").alias("different"), F.sum("n").alias("n")).where("n > 1")
             sizes = common.written(sizes.select("part", (F.col("different") > self.parts_of).alias("many")), "sizes")
-            sized = cut.join(sizes, "part")
-            done.append(sized.where("NOT many").select("part", "ctx", *_KEY, "first_id", "place", "before", "after"))
-            if sizes.where("many").isEmpty():
+            hashed = cut.select("part", "ctx", F.expr(f"xxhash64(1, {covered})").alias("ctx2"), "a", "b", *_KEY, "first_id", "place")
+            done.append(common.written(hashed.join(sizes.where("NOT many").select("part"), "part"), "split"))
+            many = sizes.where("many").select("part")  # at most one in parts_of rows
+            last = level
+            if split := not many.isEmpty():
+                level = common.written(cut.join(F.broadcast(many), "part").select(*own, "a", "b"), "level")
+                ranges = level
+            if last is not whole:
+                common.discard(last)
+            common.discard(sizes)
+            if not split:
                 break
-            level = common.written(sized.where("many").select("h", *_KEY, "first_id", "place", "before", "after", "a", "b"), "surroundings")
-        out = done[0]
-        for d in done[1:]:
-            out = out.unionByName(d)
-        return out
+        where = spark.read.schema(done[0].schema).parquet(*(d.written_to for d in done))
+        first = F.min(F.struct("first_id", *_KEY, "place")).alias("first")
+        found = where.groupBy("part", "ctx", "ctx2", "a", "b").agg(F.count("*").alias("n"), first)
+        found = found.select("*", *(F.col(f"first.{c}").alias(c) for c in (*_KEY, "place"))).join(whole.select(*_KEY, "place", "before", "after"), [*_KEY, "place"])
+        cut = {"before": F.expr("substring(before, 1, b - 1)"), "after": F.expr(f"substring(after, 1, {min_len} - a)")}
+        return where, found.withColumns(cut).select("part", "ctx", "ctx2", "n", "first", "before", "after")
 
     def _scanned_apart(self, everything: bool) -> DataFrame:
         """_scanned for anchors that are too many for one scan: each part's surroundings are scanned once each, then joined to where they occur."""
         min_len, keep = self.min_len, self.keep_first and not everything
-        where = common.written(self._split(), "split")
-        first = F.min(F.struct("first_id", *_KEY, "place")).alias("first")
-        contexts = where.groupBy("part", "ctx", "before", "after").agg(F.count("*").alias("n"), first)
-        out_kinds = [("part", pa.int64()), ("ctx", pa.int64()), ("repeat_id", pa.int64()), ("length", pa.int64()), ("left", pa.int32()), *((f"kept_{c}", pa.int64()) for c in ("first_id", *_KEY, "place"))]
+        where, contexts = self._split()
+        out_kinds = [("part", pa.int64()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("repeat_id", pa.int64()), ("length", pa.int64()), ("left", pa.int32()), *((f"kept_{c}", pa.int64()) for c in ("first_id", *_KEY, "place"))]
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for table in common.by_key(batches, "part"):
                 contexts = list(zip(*(table.column(c).to_pylist() for c in ("before", "after")), strict=True))
-                part, ctx, n, first = (table.column(c).to_pylist() for c in ("part", "ctx", "n", "first"))
+                part, ctx, ctx2, n, first = (table.column(c).to_pylist() for c in ("part", "ctx", "ctx2", "n", "first"))
                 first = [tuple(x.values()) for x in first]
                 for found, alike, left, right in repeats_of(contexts, n, min_len, first if keep else None, everything):
                     name = _name(contexts[found[0]], left, right)
                     kept = min(first[j] for j in alike) if keep else (None,) * 4
-                    out += [(part[j], ctx[j], name, left + right, left, *kept) for j in found]
+                    out += [(part[j], ctx[j], ctx2[j], name, left + right, left, *kept) for j in found]
                     if len(out) >= 8192:
                         yield _batch(out, out_kinds)
                         out = []
             yield _batch(out, out_kinds)
 
         n = common.partitions(self.rows.sparkSession)
-        schema = "part long, ctx long, repeat_id long, length long, left int, kept_first_id long, kept_k1 long, kept_k2 long, kept_place long"
+        schema = "part long, ctx long, ctx2 long, repeat_id long, length long, left int, kept_first_id long, kept_k1 long, kept_k2 long, kept_place long"
         found = contexts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(scan, schema)
-        there = where.join(found, ["part", "ctx"]).where("NOT (first_id <=> kept_first_id AND k1 <=> kept_k1 AND k2 <=> kept_k2 AND place <=> kept_place)")
+        there = where.join(found, ["part", "ctx", "ctx2"]).where("NOT (first_id <=> kept_first_id AND k1 <=> kept_k1 AND k2 <=> kept_k2 AND place <=> kept_place)")
         return there.groupBy("repeat_id", "length", *_KEY).agg(F.collect_set((F.col("place") - F.col("left")).cast("int")).alias("starts"))
 
     def apply(self, fields: str, digest) -> DataFrame:
@@ -436,6 +474,11 @@ class Repeats:
         return self.rows.join(digests, _KEY).select("doc_id", *out, *(["row"] if "row" in self.rows.columns else []))
 
 
+def _around(text: bytes, at: int, min_len: int, gram: int) -> tuple[bytes, bytes]:
+    """What stands left of an anchor, reversed, and what stands from it on."""
+    return text[max(0, at - min_len + gram) : at][::-1], text[at : at + min_len]
+
+
 def _name(context: tuple[bytes, bytes], left: int, right: int) -> int:
     before, after = context
     return xxhash.xxh64_intdigest(before[:left][::-1] + after[:right]) - (1 << 63)

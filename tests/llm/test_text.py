@@ -160,6 +160,37 @@ def test_hot_repeats(docs, monkeypatch):
     assert sorted(str(tuple(r)) for r in got) == brute_repeats([(i, t.encode()) for i, t in pairs(docs)], 40)
 
 
+def shuffled(spark, make):
+    """Bytes that Spark's exchanges write while make() runs, and what it gives."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        each = context.statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    before, out = written(), make()
+    return written() - before, out
+
+
+def test_hot_repeats_deal_texts_once(spark, monkeypatch):
+    """Whole texts are dealt out as often with anchors that are too many for one scan as without, and the cuts are the same."""
+    r = random.Random(5)
+    some = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = some(90)
+    rows = [(i, some(r.randint(0, 9000)) + passage + some(9000)) for i in range(150)]
+    rows += [(i + 1000, t) for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    df.count()
+    run = lambda: sorted(map(tuple, suffixes.digests(df, 40).collect()))
+    plain, want = shuffled(spark, run)
+    monkeypatch.setattr(suffixes, "PART_ROWS", 100)
+    assert suffixes.Repeats(df, 40).hot
+    hot, got = shuffled(spark, run)
+    assert got == want and all(x[2] >= 90 for x in got)
+    assert hot < 1.2 * plain, (hot, plain)
+
+
 def test_repeat_groups(spark):
     """Maximal repeats with all their occurrences: three texts share a passage and two of them more."""
     core, more = "".join(R.choices("abcdefgh", k=60)), "".join(R.choices("ijkl", k=30))

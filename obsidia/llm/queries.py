@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsidia.llm import chat, common, packing, pieces, rules, simhash, subword, suffixes, tokens, topk
+from obsidia.llm import chat, codes, common, middle, packing, pieces, rules, simhash, subword, suffixes, tokens, topk
 
 #: Appended to each document's ids.
 END_ID = 1
@@ -72,8 +72,16 @@ def op10_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(common.documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(common.documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.with_labels(*codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_records, op2_suffix_dedup, op3_simhash_ball, op4_toxicity, op5_quality, op6_uniform_threshold, op7_concat_cut, op8_preferences, op9_weak_rules, op10_prefix_table)
+    found = (op1_token_records, op2_suffix_dedup, op3_simhash_ball, op4_toxicity, op5_quality, op6_uniform_threshold, op7_concat_cut, op8_preferences, op9_weak_rules, op10_prefix_table, op12_fill_in_middle, op13_vector_codes)
     return {f.__name__: f for f in found}
 
 
@@ -107,5 +115,37 @@ FROM y GROUP BY pair_id
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, list_transform(range(4), lambda i: CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, len(units) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS a, greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
+def _op13() -> str:
+    """A round after the other: each vector's nearest entry of each part, then the entries' floors of means."""
+    far = "list_sum(list_transform(list_zip(v.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    coded = "SELECT v.vec_id, v.label, v.part, min(struct_pack(far := CAST({far} AS BIGINT), entry := b.entry)) AS best FROM v JOIN b{i} b ON v.part = b.part GROUP BY ALL"
+    moved = """m{i} AS MATERIALIZED (SELECT part, entry, list(x ORDER BY d) AS x FROM (SELECT v.part, c.best.entry AS entry, d, CAST(floor(sum(v.x[d]) / count(*)) AS BIGINT) AS x
+        FROM c{i} c JOIN v ON v.vec_id = c.vec_id AND v.part = c.part, range(1, 1 + len(v.x)) t(d) GROUP BY ALL) GROUP BY ALL),
+      b{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m ON m.part = b.part AND m.entry = b.entry)"""
+    steps = [f"c{i} AS MATERIALIZED ({coded.format(far=far, i=i)})" + (f", {moved.format(i=i, n=i + 1)}" if i < 2 else "") for i in range(3)]
+    return f"""
+WITH w AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, label, part, x[part * len(x) // 16 + 1:(part + 1) * len(x) // 16] AS x FROM w, range(16) t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM v QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 64),
+{", ".join(steps)},
+e AS (SELECT vec_id, label, string_agg(lpad(printf('%x', best.entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM c2 GROUP BY ALL),
+k AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, d)) AS h FROM (SELECT part, entry, unnest(x) AS x, unnest(range(len(x))) AS d FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, k.h AS codebooks_sha256 FROM e, k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_uniform_threshold": _OP6, "op8_preferences": _OP8}
+    return {"op6_uniform_threshold": _OP6, "op8_preferences": _OP8, "op12_fill_in_middle": _OP12, "op13_vector_codes": _op13()}

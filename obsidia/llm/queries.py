@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsidia.llm import chat, codes, common, middle, packing, pieces, rules, simhash, subword, suffixes, tokens, topk
+from obsidia.llm import chat, codes, common, languages, middle, packing, pieces, rules, simhash, subword, suffixes, tokens, topk
 
 #: Appended to each document's ids.
 END_ID = 1
@@ -72,6 +72,11 @@ def op10_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(common.documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), digests=True)
 
 
+def op11_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return languages.identify(docs, languages.fit(docs))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(common.documents(spark, sf_dir))
 
@@ -81,7 +86,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_records, op2_suffix_dedup, op3_simhash_ball, op4_toxicity, op5_quality, op6_uniform_threshold, op7_concat_cut, op8_preferences, op9_weak_rules, op10_prefix_table, op12_fill_in_middle, op13_vector_codes)
+    found = (op1_token_records, op2_suffix_dedup, op3_simhash_ball, op4_toxicity, op5_quality, op6_uniform_threshold, op7_concat_cut, op8_preferences, op9_weak_rules, op10_prefix_table, op11_language_crf, op12_fill_in_middle, op13_vector_codes)
     return {f.__name__: f for f in found}
 
 

@@ -71,7 +71,7 @@ class Vocabulary:
         whole = (before[ends] - before[begins] + sizes.astype(np.uint64)) * _PAIR
         rows, buckets = [], []
         hashed = np.zeros(len(flat), np.uint64)
-        for n in range(1, max(self.settings.grams) + 1):
+        for n in range(1, min(len(flat), max(self.settings.grams)) + 1):
             hashed[: len(flat) - n + 1] = hashed[: len(flat) - n + 1] * _BASE + flat[n - 1 :]
             if n in self.settings.grams:
                 there = np.flatnonzero(left >= n)

@@ -384,3 +384,41 @@ def test_training_by_hand(words):
     settings = subword.Settings(words=words, buckets=1 << 10, dim=3, epochs=3, batch=8)
     (got, bias), (want, by_hand_bias) = subword.train(texts, labels, settings), by_hand_train(texts, labels, settings)
     assert np.abs(got - want).max() < 1e-4 and abs(bias - by_hand_bias) < 1e-4
+
+
+def test_words_shorter_than_the_longest_gram():
+    """A worker's first texts may hold one letter alone."""
+    for settings in (subword.TOXICITY, subword.QUALITY):
+        model = subword.train(["a", "b", "a", "b"], [0, 1, 0, 1], settings)
+        alone = subword.Scorer(*model, settings)
+        assert alone.score(["a"])[0] == subword.Scorer(*model, settings).score(["a", "b c", "longer words here"])[0]
+
+
+@pytest.mark.parametrize("settings", [subword.TOXICITY, subword.QUALITY])
+def test_scores_by_hand(settings, monkeypatch):
+    """A text's score by plain loops over its words' features, in all windows, with words forgotten meanwhile."""
+    rng = np.random.default_rng(3)
+    logits, bias = rng.normal(size=settings.buckets).astype(np.float32), -0.3
+    texts = [t or "" for t in ODD + PROSE]
+    vocabulary = subword.Vocabulary(settings)
+
+    def plain(text):
+        words = subword.words_of(text, settings)
+        if not words:
+            return 1 / (1 + np.exp(-bias))
+        own = [vocabulary.grams([w]) for w in words]
+        sums, counts = [sum(float(logits[f]) for f in g[1]) for g in own], [len(g[1]) for g in own]
+        if settings.words:
+            for i, f in enumerate(vocabulary.pairs(np.array([g[0][0] for g in own], np.uint64))):
+                sums[i + 1] += float(logits[f])
+                counts[i + 1] += 1
+        w, n = settings.window or len(words), len(words)
+        step = max(1, settings.window // 2)
+        begins = range(0, max(1, n - w + step), step) if settings.window else [0]
+        z = max(sum(sums[a : a + w]) / max(1, sum(counts[a : a + w])) for a in begins) + bias
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    monkeypatch.setattr(subword, "REMEMBERED", 20)
+    scorer = subword.Scorer(logits, bias, settings)
+    got = np.concatenate([scorer.score(texts[i : i + 7]) for i in range(0, len(texts), 7)])
+    assert np.abs(got - np.array([plain(t) for t in texts])).max() < 1e-6

@@ -186,12 +186,44 @@ def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     return known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~_held_out(F.col("learn_id")))
 
 
+def _first(rows: DataFrame, order: list[Column], most: int, parts: int = 32) -> DataFrame:
+    """Each language's first rows in an order: of each of some parts of a language first, so that no task has a language's rows."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    for keys in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = (rows.withColumn("part", part) if "part" in keys else rows).withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return rows.drop("part")
+
+
+#: Counts of words that a task holds before it puts them out.
+COUNTED = 200_000
+
+
 def lexicons(docs: DataFrame, settings: Settings = SETTINGS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, word and rows: each language's words of lexicon_longest characters at most that most rows hold, ties by word. Over all rows to learn from."""
-    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")), lambda w: (w != "") & (F.length(w) <= settings.lexicon_longest))
-    counted = _learnable(docs, id_col, text_col, lang_col).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("rows"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rows"), "word"))
-    return counted.withColumn("place", place).where(F.col("place") <= settings.lexicon).drop("place")
+    longest = settings.lexicon_longest
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], int] = {}
+
+        def flushed() -> pa.RecordBatch:
+            lang, word = zip(*held, strict=True) if held else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(held.values(), pa.int64())], ["lang", "word", "rows"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), common.texts_of(batch), strict=True):
+                for w in set(words_of(text)):
+                    if len(w) <= longest:
+                        held[lang, w] = held.get((lang, w), 0) + 1
+                if len(held) > COUNTED:
+                    yield flushed()
+                    held.clear()
+        yield flushed()
+
+    common.small_batches(docs.sparkSession)
+    parts = _learnable(docs, id_col, text_col, lang_col).select("lang", "text").mapInArrow(count, "lang string, word string, rows long")
+    counted = parts.groupBy("lang", "word").agg(F.sum("rows").alias("rows"))
+    return _first(counted, [F.desc("rows"), F.col("word")], settings.lexicon)
 
 
 def training_rows(docs: DataFrame, settings: Settings = SETTINGS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
@@ -200,8 +232,7 @@ def training_rows(docs: DataFrame, settings: Settings = SETTINGS, id_col: str =
     Which ones is decided by a hash of the id. Of an id with several rows the least language and text count.
     """
     known = _learnable(docs, id_col, text_col, lang_col).where(F.length("text") <= settings.longest)
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("learn_id"), "learn_id"))
-    drawn = known.groupBy("learn_id").agg(F.min("lang").alias("lang")).withColumn("place", order).where(F.col("place") <= settings.sample).drop("place")
+    drawn = _first(known.groupBy("learn_id").agg(F.min("lang").alias("lang")), [F.xxhash64("learn_id"), F.col("learn_id")], settings.sample)
     rows = known.join(F.broadcast(drawn), ["learn_id", "lang"])  # at most settings.sample ids a language
     rows = rows.groupBy("learn_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "learn_id")
     return [(r.text, r.lang) for r in rows.collect()]

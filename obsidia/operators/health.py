@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,29 +34,52 @@ def within(df: DataFrame, as_of: datetime | None, seconds: int, until: int = 0,
     return df.where((F.col(column) > low) & (F.col(column) <= high))
 
 
+#: Leading bits of a value by which values are put in buckets: no bucket is wider than a thousandth of what it holds.
+_BITS = 10
+
+
+def _leading(value: Column) -> Column:
+    """A bucket of neighbouring values, in their order: how many bits they have and the first of them."""
+    whole = F.floor(F.abs(value)).cast("long")
+    more = F.greatest(F.floor(F.log2(F.greatest(whole, F.lit(1)).cast("double"))).cast("int") + 1 - _BITS, F.lit(0))
+    place = F.shiftleft(more.cast("long"), _BITS + 1) + F.call_function("shiftright", whole, more)
+    return F.when(value < 0, -place - 1).otherwise(place)
+
+
 def percentile_table(df: DataFrame, keys: list[str], of: dict[str, tuple[float, str]], sums: dict[str, Column], value: str = "duration_us") -> DataFrame:
     """A row a group: keys, the sums, and percentiles of value in thousandths, exact and interpolated between neighbours.
 
-    sums: aggregates that add up. of: by name the share and which of the sums counts the rows. Rows are counted by group and value
-    first, so no task holds a group's raw values; their ranks are running sums over the different values, which can spill.
+    sums: aggregates that add up. of: by name the share and which of the sums counts the rows; null where it counts none. Rows are
+    counted by group and value first, then by buckets of values. Running sums over a group's buckets, of which there are a few
+    thousand, tell which bucket holds a rank, and only the values of those are ranked, bucket by bucket. So no task holds a group.
     """
     counted = df.groupBy(*keys, value).agg(*[c.alias(k) for k, c in sums.items()])
     there = F.col(value).isNotNull()
     weights = sorted({w for _, w in of.values()})
+    n = {w: F.when(there, F.coalesce(w, F.lit(0))).otherwise(0) for w in weights}
+    spot = F.coalesce(_leading(F.col(value)), F.lit(-(1 << 62)))
+    counted = counted.withColumn("_spot", spot)
+    buckets = counted.groupBy(*keys, "_spot").agg(*[F.sum(k).alias(k) for k in sums], *[F.sum(n[w]).alias(f"_n_{w}") for w in weights])
     group = Window.partitionBy(*keys)
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    n = {w: F.when(there, F.col(w)).otherwise(0) for w in weights}
-    ranked = counted.select("*", *[F.sum(n[w]).over(upto).alias(f"_upto_{w}") for w in weights])
-    ranked = ranked.select("*", *[F.max(f"_upto_{w}").over(group).alias(f"_all_{w}") for w in weights])
+    upto = group.orderBy("_spot").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = buckets.select(*keys, "_spot", *[F.sum(k).over(group).alias(k) for k in sums], F.row_number().over(group.orderBy("_spot")).alias("_first"),
+        *[(F.sum(f"_n_{w}").over(upto) - F.col(f"_n_{w}")).alias(f"_before_{w}") for w in weights], *[F.col(f"_n_{w}") for w in weights], *[F.sum(f"_n_{w}").over(group).alias(f"_all_{w}") for w in weights])
     place = {name: share * (F.col(f"_all_{w}") - 1) for name, (share, w) in of.items()}
-
-    def at(name: str, rank: Column) -> Column:
-        return F.min(F.when(there & (F.col(f"_upto_{of[name][1]}") > rank), F.col(value)))
-
-    ends = [f(name, r).alias(f"_{k}_{name}") for name in of for f, k, r in ((at, "low", F.floor(place[name])), (at, "high", F.ceil(place[name])))]
-    parts = [F.max(place[name] - F.floor(place[name])).alias(f"_part_{name}") for name in of]
-    grouped = ranked.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in sums], *ends, *parts)
-    found = [((F.col(f"_low_{name}") + F.col(f"_part_{name}") * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))) / 1000).alias(name) for name in of]
+    ends = {(name, k): F.when(F.col(f"_all_{of[name][1]}") > 0, f(place[name])) for name in of for k, f in (("low", F.floor), ("high", F.ceil))}
+
+    def holds(name: str, k: str) -> Column:
+        before, own = F.col(f"_before_{of[name][1]}"), F.col(f"_n_{of[name][1]}")
+        return (ends[name, k] >= before) & (ends[name, k] < before + own)
+
+    # A group's first bucket stays with those that hold a rank: each group gives a row.
+    some = reduce(lambda a, b: a | b, [F.coalesce(holds(*e), F.lit(False)) for e in ends], F.col("_first") == 1)
+    held = ranked.where(some).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_spot").alias("_at"), *[F.col(k).alias(f"_sum_{k}") for k in sums], *[f"_before_{w}" for w in weights], *[x.alias(f"_{k}_{name}") for (name, k), x in ends.items()], *[(place[name] - F.floor(place[name])).alias(f"_part_{name}") for name in of])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_spot") == F.col("_at"))
+    inside = Window.partitionBy(*keys, "_spot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    values = counted.join(held, same).select("*", *[(F.col(f"_before_{w}") + F.sum(n[w]).over(inside)).alias(f"_upto_{w}") for w in weights])
+    at = [F.min(F.when(there & (F.col(f"_upto_{of[name][1]}") > F.col(f"_{k}_{name}")), F.col(value))).alias(f"_{k}_value_{name}") for name, k in ends]
+    grouped = values.groupBy(*keys).agg(*[F.max(f"_sum_{k}").alias(k) for k in sums], *at, *[F.max(f"_part_{name}").alias(f"_part_{name}") for name in of])
+    found = [((F.col(f"_low_value_{name}") + F.col(f"_part_{name}") * (F.col(f"_high_value_{name}") - F.col(f"_low_value_{name}"))) / 1000).alias(name) for name in of]
     return grouped.select(*keys, *sums, *found)
 
 
@@ -75,9 +99,16 @@ def service_health(spans: DataFrame, as_of: datetime | None = None, seconds: int
 
 
 def sliding_health(spans: DataFrame, window: str = "5 minutes", slide: str = "10 seconds") -> DataFrame:
-    """service_health in each sliding window. Windows are closed at their start and open at their end."""
-    grouped = latency(spans.withColumn("w", F.window("timestamp", window, slide)), ["w", "service"], 50, 99)
-    return grouped.select(F.col("w.start").alias("window_start"), "service", "total", "errors", ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p50_ms", "p99_ms")
+    """service_health in each sliding window, a whole number of slides long. Windows are closed at their start and open at their end.
+
+    Rows are counted by slide and value first; only the counts are sent to the windows that the slide is part of.
+    """
+    panes = spans.groupBy(F.window("timestamp", slide)["start"].alias("pane"), "service", "duration_us").agg(F.count("*").alias("total"), errors().alias("errors"))
+    length, step = F.expr(f"INTERVAL '{window}'"), F.expr(f"INTERVAL '{slide}'")
+    first = F.col("pane") - length + step
+    opened = panes.withColumn("window_start", F.explode(F.sequence(first, F.col("pane"), step)))
+    grouped = percentile_table(opened, ["window_start", "service"], _percentiles(50, 99), {"total": F.sum("total"), "errors": F.sum("errors")})
+    return grouped.select("window_start", "service", "total", "errors", ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p50_ms", "p99_ms")
 
 
 def recent_errors(logs: DataFrame, service: str | None = None, limit: int = 20) -> DataFrame:
@@ -129,10 +160,15 @@ def error_trend(spans: DataFrame, as_of: datetime, recent: int = 300, before: in
 
 
 def summary(health: DataFrame, active: DataFrame) -> DataFrame:
-    """One row of JSON: services below and above one error in a hundred, each service's health, and active anomalies."""
+    """One row: how many services are below and above one error in a hundred, each service's health, and active anomalies."""
     services = health.agg(
         F.count(F.when(F.col("error_rate") < 0.01, 1)).alias("healthy"), F.count(F.when(F.col("error_rate") >= 0.01, 1)).alias("degraded"),
         F.sort_array(F.collect_list(F.struct("service", "total", "errors", "error_rate", "p99_ms"))).alias("services"),
     )
     found = active.agg(F.sort_array(F.collect_list(F.struct("service", "anomaly_type", "severity"))).alias("anomalies"))
-    return services.join(F.broadcast(found)).select(F.to_json(F.struct("healthy", "degraded", "services", "anomalies")).alias("payload"))  # one row each
+    return services.join(F.broadcast(found))  # one row each
+
+
+def summary_payload(summary: DataFrame) -> DataFrame:
+    """A summary as JSON."""
+    return summary.select(F.to_json(F.struct("healthy", "degraded", "services", "anomalies")).alias("payload"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsidia.operators import intervals
 from obsidia.operators.health import errors, ratio
 
 
@@ -73,3 +74,34 @@ def healthy_around(spans: DataFrame, services: DataFrame, limit: int = 10) -> Da
     named = rates.select("of", "service").distinct().join(services.select(F.col("service").alias("of")).distinct(), "of")
     place = F.row_number().over(Window.partitionBy("of").orderBy("service"))
     return named.withColumn("place", place).where(F.col("place") <= limit).groupBy("of").agg(F.sort_array(F.collect_list("service")).alias("neighbours"))
+
+
+def around(spans: DataFrame, points: DataFrame, before: int) -> DataFrame:
+    """service, at, other, direction, total, errors and avg_ms: what was called by each point's service, and what called it, in its window.
+
+    points: service and at, each once. A call counts whose caller began in (at - before, at] and whose callee began by then. Callers
+    outside all windows are left out before calls are matched.
+    """
+    buckets = points.select(F.explode(F.sequence(intervals.bucket(intervals.ago(F.col("at"), before), before), intervals.bucket(F.col("at"), before))).alias("_near")).distinct()
+    p = spans.where("span_id IS NOT NULL").select(F.col("span_id").alias("id"), F.col("service").alias("caller"), F.col("status").alias("caller_status"), "timestamp")
+    p = p.withColumn("_near", intervals.bucket(F.col("timestamp"), before)).join(buckets, "_near", "left_semi").drop("_near")
+    c = spans.where("parent_span_id IS NOT NULL").select(F.col("parent_span_id").alias("id"), F.col("service").alias("callee"), F.col("status").alias("callee_status"), F.col("duration_us").alias("callee_us"), F.col("timestamp").alias("callee_at"))
+    both = c.join(p, "id").where("caller <> callee").drop("id")
+    side = lambda own, other, d: F.struct(F.col(own).alias("service"), F.col(other).alias("other"), F.lit(d).alias("direction"), F.col(f"{other}_status").alias("status"))
+    each = both.select("timestamp", "callee_at", "callee_us", F.explode(F.array(side("caller", "callee", "downstream"), side("callee", "caller", "upstream"))).alias("s")).select("timestamp", "callee_at", "callee_us", "s.*")
+    met = intervals.within(each, points.select("service", "at"), before).where("callee_at <= at")
+    return met.groupBy("service", "at", "other", "direction").agg(F.count("*").alias("total"), errors().alias("errors"), (F.avg("callee_us") / 1000).alias("avg_ms"))
+
+
+def correlated(linked: DataFrame, limit: int = 5) -> DataFrame:
+    """Of around(): a point's others by direction with the `limit` highest error ratios, of those the ones over 0.05."""
+    rated = linked.where("errors > 0").withColumn("error_rate", ratio(F.col("errors"), F.col("total")))
+    place = F.row_number().over(Window.partitionBy("service", "at", "direction").orderBy(F.desc("error_rate"), "other"))
+    return rated.withColumn("place", place).where((F.col("place") <= limit) & (F.col("error_rate") > 0.05)).drop("place")
+
+
+def healthy(linked: DataFrame, limit: int = 10) -> DataFrame:
+    """Of around(): service, at and neighbours, the names of others that fail in less than one of a hundred calls in some direction."""
+    named = linked.where(F.col("errors") / F.col("total") < 0.01).select("service", "at", "other").distinct()
+    place = F.row_number().over(Window.partitionBy("service", "at").orderBy("other"))
+    return named.withColumn("place", place).where(F.col("place") <= limit).groupBy("service", "at").agg(F.sort_array(F.collect_list("other")).alias("neighbours"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from obsidia import views
 from obsidia.functions import redact
-from obsidia.operators import anomaly, context, health, incidents, tiering, topology
+from obsidia.operators import anomaly, context, health, incidents, intervals, tiering, topology
 from obsidia.plans import catalog, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,17 +118,18 @@ def upstream_correlation(spans: DataFrame) -> DataFrame:
     return _r(topology.upstream(spans, "supp-1"), "error_rate", "avg_ms")
 
 
+def _healthy_sql(own: str, other: str, status: str) -> str:
+    return f"SELECT {other}.service, count(*) FILTER (upper({status}.status) = 'ERROR') / nullif(count(*), 0) AS error_rate FROM w p JOIN w c ON p.span_id = c.parent_span_id WHERE {own}.service = 'app-staging' AND {other}.service <> 'app-staging' GROUP BY {other}.service"
+
+
 @query(
-    """SELECT service, round(error_rate, 6) AS error_rate FROM (SELECT DISTINCT service, error_rate FROM (
-      SELECT c.service, count(*) FILTER (upper(c.status) = 'ERROR') / nullif(count(*), 0) AS error_rate FROM s p JOIN s c ON p.span_id = c.parent_span_id WHERE p.service = 'cust-1' AND c.service <> 'cust-1' GROUP BY c.service
-      UNION ALL SELECT p.service, count(*) FILTER (upper(p.status) = 'ERROR') / nullif(count(*), 0) FROM s p JOIN s c ON p.span_id = c.parent_span_id WHERE c.service = 'cust-1' AND p.service <> 'cust-1' GROUP BY p.service)
-      WHERE error_rate < 0.01 OR error_rate IS NULL) ORDER BY service LIMIT 10""".replace("FROM s p JOIN s c", "FROM (SELECT *, 'OK' AS x FROM spans_orders) p JOIN (SELECT * REPLACE (CASE WHEN service < 'supp-4' THEN 'OK' ELSE status END AS status) FROM spans_orders) c"),
-    "spans_orders",
+    f"""SELECT service, round(error_rate, 6) AS error_rate FROM (WITH w AS (SELECT * FROM spans_mesh WHERE timestamp > TIMESTAMP '2024-01-19' AND timestamp <= TIMESTAMP '2024-01-21')
+      SELECT DISTINCT service, error_rate FROM ({_healthy_sql("p", "c", "c")} UNION ALL {_healthy_sql("c", "p", "p")}) WHERE error_rate < 0.01 OR error_rate IS NULL) ORDER BY service LIMIT 10""",
+    "spans_mesh",
 )
 def healthy_neighbours(spans: DataFrame) -> DataFrame:
-    """All suppliers fail in the driver's tables, so the first four are taken as healthy."""
-    mended = spans.withColumn("status", F.when(F.col("service").startswith("supp-") & (F.col("service") < "supp-4"), "OK").otherwise(F.col("status")))
-    return _r(topology.healthy_neighbours(mended, "cust-1"), "error_rate")
+    """Around one service, while what it calls fails and what calls it does not."""
+    return _r(topology.healthy_neighbours(health.within(spans, datetime(2024, 1, 21), 2 * DAY), "app-staging"), "error_rate")
 
 
 _NOW, _BASE = "timestamp > TIMESTAMP '2024-01-29'", "timestamp > TIMESTAMP '2024-01-20' AND timestamp < TIMESTAMP '2024-01-27'"
@@ -158,9 +159,9 @@ def error_trend(spans: DataFrame) -> DataFrame:
     return _r(health.error_trend(spans, AS_OF, 5 * DAY, 15 * DAY), "recent_rate", "earlier_rate", "peak_rate")
 
 
-@query(f"SELECT operation, {_HEALTH}, {_sql_p(99)} FROM spans_orders WHERE service LIKE 'cust-%' GROUP BY operation HAVING count(*) FILTER ({FAILED}) > 0 ORDER BY count(*) FILTER ({FAILED}) / count(*) DESC, operation LIMIT 10", "spans_orders")
+@query(f"SELECT operation, {_HEALTH}, {_sql_p(99)} FROM spans_orders GROUP BY operation HAVING count(*) FILTER ({FAILED}) > 0 ORDER BY count(*) FILTER ({FAILED}) / count(*) DESC, operation LIMIT 10", "spans_orders")
 def affected_endpoints(spans: DataFrame) -> DataFrame:
-    return _r(health.affected_endpoints(spans.where("service LIKE 'cust-%'")), "error_rate", "p99_ms")
+    return _r(health.affected_endpoints(spans), "error_rate", "p99_ms")
 
 
 @query(
@@ -177,7 +178,7 @@ def _types_sql(text: str) -> str:
     return f"CASE {cases} ELSE 'unknown' END"
 
 
-@query(f"SELECT {_types_sql('message')} AS error_type, count(*) AS total FROM logs_docs GROUP BY 1", "logs_docs")
+@query(f"SELECT {_types_sql('message')} AS error_type, count(*) AS total FROM logs_mesh GROUP BY 1", "logs_mesh")
 def error_type_class(logs: DataFrame) -> DataFrame:
     return logs.groupBy(redact.error_type(F.col("message")).alias("error_type")).agg(F.count("*").alias("total"))
 
@@ -192,11 +193,11 @@ def _dated(logs: DataFrame) -> DataFrame:
 @query(
     f"""SELECT service, count(*) AS messages, {', '.join(f"round(100.0 * count(*) FILTER (kind = '{k}') / count(*), 6) AS {n}" for n, k in (("timeout", "timeout"), ("connection_error", "connection_error"), ("server_error_5xx", "server_error"), ("client_error_4xx", "validation_error")))},
       round(100.0 * count(*) FILTER (kind NOT IN ('timeout', 'connection_error', 'server_error', 'validation_error')) / count(*), 6) AS other FROM (SELECT service, {_types_sql('message')} AS kind FROM (
-      SELECT *, row_number() OVER (PARTITION BY service ORDER BY timestamp DESC, message) AS place FROM ({_DATED}) WHERE upper(level) IN ('ERROR', 'WARN', 'FATAL')) WHERE place <= 100) GROUP BY service""",
-    "logs_docs",
+      SELECT *, row_number() OVER (PARTITION BY service ORDER BY timestamp DESC, message) AS place FROM logs_mesh WHERE upper(level) IN ('ERROR', 'WARN', 'FATAL')) WHERE place <= 100) GROUP BY service""",
+    "logs_mesh",
 )
 def error_breakdown(logs: DataFrame) -> DataFrame:
-    return _r(context.error_breakdown(_dated(logs)), "timeout", "connection_error", "server_error_5xx", "client_error_4xx", "other")
+    return _r(context.error_breakdown(logs), "timeout", "connection_error", "server_error_5xx", "client_error_4xx", "other")
 
 
 def _re2(rules: list[tuple[str, str]], text: str) -> str:
@@ -320,9 +321,14 @@ z AS (SELECT s.service, coalesce(string_agg(other, ',' ORDER BY other), '') AS n
   FROM (SELECT DISTINCT service FROM spans_orders) s LEFT JOIN (SELECT * FROM y WHERE place <= 5 AND rate > 0.05) y ON y.service = s.service GROUP BY s.service)"""
 
 
-@query(None, "spans_orders")
+@query(None, "spans_mesh")
 def scope_class(spans: DataFrame) -> DataFrame:
-    return incidents.scope(_correlated(spans)).select("service", "scope", F.size("failing_deps").alias("failing"))
+    """Each service on each day: what around it failed, alone, with callers, with callees or with both."""
+    day = F.date_trunc("day", "timestamp").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    points = spans.select("service", day.alias("at")).distinct()
+    c = topology.correlated(topology.around(spans, points, DAY)).groupBy("service", "at").agg(F.sort_array(F.collect_list(F.struct(F.col("other").alias("service"), "direction", "error_rate"))).alias("correlations"))
+    found = incidents.scope(points.join(c, ["service", "at"], "left"))
+    return found.select("service", F.col("at").alias("until"), "scope", F.size("failing_deps").alias("failing"))
 
 
 @query(None, "spans_orders")
@@ -331,7 +337,13 @@ def fingerprint(spans: DataFrame) -> DataFrame:
     return _correlated(spans).select("service", incidents.fingerprint(F.col("service"), F.col("anomaly_type"), c).alias("fingerprint"))
 
 
-_sql["scope_class"] = f"{views.oracle('spans_orders')}{_CORRELATIONS} SELECT service, CASE WHEN up > 0 AND down > 0 THEN 'cascading' WHEN up > 0 THEN 'upstream' WHEN down > 0 THEN 'downstream' ELSE 'isolated' END AS scope, CAST(up + down AS INTEGER) AS failing FROM z"
+_sql["scope_class"] = f"""{views.oracle('spans_mesh')}, p AS (SELECT DISTINCT service, date_trunc('day', timestamp) + INTERVAL 1 DAY AS until FROM spans_mesh),
+q AS (SELECT b.service AS caller, c.service AS callee, b.timestamp AS t, c.timestamp AS u, upper(b.status) = 'ERROR' AS be, upper(c.status) = 'ERROR' AS ce FROM spans_mesh b JOIN spans_mesh c ON b.span_id = c.parent_span_id WHERE b.service <> c.service),
+r AS (SELECT p.service, p.until, o AS other, d, count(*) FILTER (bad) / count(*) AS rate FROM p JOIN (SELECT caller AS service, callee AS o, 'down' AS d, ce AS bad, t, u FROM q UNION ALL SELECT callee, caller, 'up', be, t, u FROM q) z
+  ON z.service = p.service AND t > until - INTERVAL 1 DAY AND t <= until AND u <= until GROUP BY ALL),
+y AS (SELECT * FROM r WHERE rate > 0.05 QUALIFY row_number() OVER (PARTITION BY service, until, d ORDER BY rate DESC, other) <= 5)
+SELECT p.service, p.until, CASE WHEN bool_or(d = 'up') AND bool_or(d = 'down') THEN 'cascading' WHEN bool_or(d = 'up') THEN 'upstream' WHEN bool_or(d = 'down') THEN 'downstream' ELSE 'isolated' END AS scope, CAST(count(d) AS INTEGER) AS failing
+FROM p LEFT JOIN y ON y.service = p.service AND y.until = p.until GROUP BY p.service, p.until"""
 _sql["fingerprint"] = f"{views.oracle('spans_orders')}{_CORRELATIONS} SELECT service, substr(sha256(service || '|error_spike|' || names), 1, 16) AS fingerprint FROM z"
 
 _INCIDENTS = "SELECT CAST(o_orderkey AS {s}) AS id, concat('f', CAST(o_custkey % 50 AS {s})) AS fingerprint, o_orderdate AS timestamp, concat('fix-', o_orderpriority) AS applied_fix, o_orderstatus <> 'F' AS fix_succeeded, CAST(floor(o_totalprice) AS INTEGER) AS time_to_resolve_seconds FROM {t}"
@@ -377,6 +389,17 @@ def series_points(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("service", "name", F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("points"), listed.alias("series"))
 
 
+@query(
+    """SELECT s.span_id, s.service, s.timestamp, m.value, m.timestamp AS measured_at FROM spans_events s ASOF LEFT JOIN
+      (SELECT service, timestamp, max(value) AS value FROM metrics_events WHERE name = 'view' GROUP BY service, timestamp) m ON m.service = s.service AND m.timestamp <= s.timestamp""",
+    "spans_events", "metrics_events",
+)
+def span_metrics(spans: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Each span with the last value of its service's metric by then."""
+    states = metrics.where("name = 'view'").select("service", "timestamp", "value")
+    return intervals.as_of(spans.select("span_id", "service", "timestamp"), states, DAY).select("span_id", "service", "timestamp", "state.value", F.col("state.timestamp").alias("measured_at"))
+
+
 @query("SELECT tier, count(*) AS rows, min(timestamp) AS oldest, max(timestamp) AS newest FROM (SELECT timestamp, CASE WHEN timestamp < TIMESTAMP '2024-01-23' THEN 'cold' WHEN timestamp < TIMESTAMP '2024-01-29 23:00:00' THEN 'warm' ELSE 'hot' END AS tier FROM spans_events) GROUP BY tier", "spans_events")
 def tier_assign(spans: DataFrame) -> DataFrame:
     return tiering.assigned(spans, AS_OF).groupBy("tier").agg(F.count("*").alias("rows"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
@@ -445,15 +468,105 @@ def compat_sql(spans: DataFrame) -> DataFrame:
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The health summary as one JSON payload."""
+    """The health summary as columns: how many services are healthy and degraded, each service's health, and active anomalies."""
+    made = health.summary(health.service_health(views.load(spark, sf_dir, "spans_mesh"), datetime(2024, 1, 26), DAY), anomaly.active(_spells(spark, sf_dir), datetime(2024, 1, 26), DAY))
+    services = F.transform("services", lambda s: F.concat_ws(" ", s["service"], s["total"], s["errors"], F.round(s["error_rate"], 6), F.round(s["p99_ms"], 3)))
+    found = F.transform("anomalies", lambda a: F.concat_ws(" ", a["service"], a["anomaly_type"], a["severity"]))
+    return made.select("healthy", "degraded", F.array_join(services, ";").alias("services"), F.array_join(found, ";").alias("anomalies"))
+
+
+def summary_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health summary as it is sent: one JSON payload."""
     spans = views.load(spark, sf_dir, "spans_events")
-    return health.summary(health.service_health(spans, AS_OF, DAY), active_anomalies(spark, sf_dir))
+    return health.summary_payload(health.summary(health.service_health(spans, AS_OF, DAY), active_anomalies(spark, sf_dir)))
+
+
+def _spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of all requests, in cycles of six hours."""
+    return anomaly.anomalies(anomaly.cycles(views.load(spark, sf_dir, "spans_mesh"), "6 hours", 360), 6 * 3600)
+
+
+_LOOKBACK, _CYCLE = 18 * 3600, 6 * 3600
+
+
+def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    past = views.load(spark, sf_dir, "incidents_mesh").withColumn("fingerprint", redact.short_hash(F.concat_ws("|", "service", "anomaly_type", "failing")))
+    spans, logs, infra = (views.load(spark, sf_dir, f"{n}_mesh") for n in ("spans", "logs", "infra"))
+    return context.bundles(_spells(spark, sf_dir), spans, logs, past, None, _LOOKBACK, _CYCLE, infra)
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence for each active anomaly, as JSON."""
-    made = context.bundles(active_anomalies(spark, sf_dir), views.load(spark, sf_dir, "spans_events"), views.load(spark, sf_dir, "logs_events"), _history(spark, sf_dir), AS_OF, 3 * DAY)
-    return context.payloads(made).select("service", "payload", "bytes")
+    """Evidence for every anomaly of all requests, each at its own time, as columns."""
+    b = _bundles(spark, sf_dir)
+    listed = lambda c, *fields: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[f(x) for f in fields])), ";"), F.lit("")).alias(c)
+    of = lambda k, places=None: (lambda x: x[k] if places is None else F.round(x[k], places))
+    kinds = ("timeout", "connection_error", "server_error_5xx", "client_error_4xx", "other")
+    return b.select(
+        "service", "anomaly_type", "severity", "detected_at", *[F.round(c, 6).alias(c) for c in ("value", "threshold", "error_rate", "error_rate_baseline", "p99_ms", "p99_ms_baseline", "per_minute", "per_minute_baseline")],
+        *[F.round(f"error_breakdown.{k}", 6).alias(k) for k in kinds], listed("logs", of("hash"), of("level"), of("count")), listed("traces", of("operation"), of("max_ms", 3), of("status"), of("error_type"), of("count")),
+        listed("endpoints", of("operation"), of("total"), of("errors"), of("error_rate", 6), of("p99_ms", 3)), listed("correlations", of("service"), of("direction"), of("error_rate", 6)),
+        *[F.round(f"trend.{k}_rate", 6).alias(f"{k}_rate") for k in ("recent", "earlier", "peak")], F.col("trend.trend").alias("trend"), "scope", F.array_join(F.sort_array("healthy_deps"), ",").alias("healthy_deps"),
+        F.array_join("failing_deps", ",").alias("failing_deps"), "namespace", "fingerprint", "matches", F.round("confidence", 6).alias("confidence"), F.col("infra.replicas").alias("replicas"), F.col("infra.memory_percent").alias("memory_percent"),
+    )
+
+
+def bundle_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence as it is sent: JSON."""
+    return context.payloads(_bundles(spark, sf_dir)).select("service", "payload", "bytes")
+
+
+_SPELLS = (
+    f"{views.oracle('spans_mesh', 'logs_mesh', 'infra_mesh', 'incidents_mesh').replace('WITH ', 'WITH RECURSIVE ', 1)}, "
+    + _CYCLES.replace("date_trunc('day', timestamp)", "time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '2024-01-01')").replace("1440.0", "360.0").replace("FROM spans_events", "FROM spans_mesh")
+    + f""", o AS ({_ANOMALIES}),
+x AS (SELECT a.service, a.anomaly_type, a.detected_at AS t, min(b.detected_at) AS next FROM o a LEFT JOIN o b ON a.service = b.service AND a.anomaly_type = b.anomaly_type AND b.detected_at >= a.detected_at + INTERVAL 6 HOUR GROUP BY ALL),
+g AS (SELECT service, anomaly_type, min(t) AS t FROM x GROUP BY ALL UNION ALL SELECT x.service, x.anomaly_type, x.next FROM g JOIN x ON g.service = x.service AND g.anomaly_type = x.anomaly_type AND g.t = x.t WHERE x.next IS NOT NULL),
+a AS MATERIALIZED (SELECT o.*, o.detected_at + INTERVAL 6 HOUR AS seen FROM o JOIN g ON o.service = g.service AND o.anomaly_type = g.anomaly_type AND o.detected_at = g.t),
+s AS MATERIALIZED (SELECT * FROM spans_mesh)"""
+)
+_BAD_LEVEL = "upper(level) IN ('ERROR', 'WARN', 'FATAL')"
+_BUNDLES = f"""{_SPELLS},
+p AS MATERIALIZED (SELECT DISTINCT service, seen FROM a),
+m AS (SELECT p.service, p.seen, {', '.join(f"count(*) FILTER ({part}) AS {k}n, count(*) FILTER ({part} AND {FAILED}) AS {k}e, quantile_cont(duration_us, 0.99) FILTER ({part}) / 1000 AS {k}p"
+    for k, part in (("n", "timestamp > seen - INTERVAL 6 HOUR"), ("l", "timestamp > seen - INTERVAL 18 HOUR"), ("b", "timestamp < seen - INTERVAL 18 HOUR")))}
+  FROM p JOIN s ON s.service = p.service AND timestamp > seen - INTERVAL 72 HOUR AND timestamp <= seen GROUP BY ALL),
+m2 AS (SELECT *, ln - nn AS en, le - ne AS ee, CASE WHEN nn > 0 THEN ne / nn ELSE 0 END AS recent, CASE WHEN ln - nn > 0 THEN (le - ne) / (ln - nn) ELSE 0 END AS earlier FROM m),
+w AS (SELECT p.service, p.seen, l.timestamp, l.level, l.message, row_number() OVER (PARTITION BY p.service, p.seen ORDER BY timestamp DESC, message) AS place FROM p JOIN logs_mesh l ON l.service = p.service AND timestamp > seen - INTERVAL 18 HOUR AND timestamp <= seen WHERE {_BAD_LEVEL}),
+k AS (SELECT service, seen, {', '.join(f"round(100.0 * count(*) FILTER (kind = '{k}') / count(*), 6) AS {n}" for n, k in (("timeout", "timeout"), ("connection_error", "connection_error"), ("server_error_5xx", "server_error"), ("client_error_4xx", "validation_error")))},
+  round(100.0 * count(*) FILTER (kind NOT IN ('timeout', 'connection_error', 'server_error', 'validation_error')) / count(*), 6) AS other FROM (SELECT service, seen, {_types_sql('message')} AS kind FROM w WHERE place <= 100) GROUP BY ALL),
+t AS (SELECT service, seen, string_agg(substr(sha256(template), 1, 16) || ' ' || level || ' ' || n, ';' ORDER BY first) AS logs FROM (SELECT service, seen, template, arg_min(level, place) AS level, count(*) AS n, min(place) AS first
+  FROM (SELECT *, {_re2([*redact.PATTERNS, redact.UUID, redact.NUMERIC_ID], 'message')} AS template FROM w WHERE place <= 40) GROUP BY service, seen, template QUALIFY row_number() OVER (PARTITION BY service, seen ORDER BY min(place)) <= 20) GROUP BY ALL),
+f1 AS (SELECT p.service, p.seen, s.*, {_re2(redact.PATH, 'operation')} AS op, row_number() OVER (PARTITION BY p.service, p.seen ORDER BY timestamp DESC, operation, duration_us DESC, span_id) AS place FROM p JOIN s ON s.service = p.service AND timestamp > seen - INTERVAL 18 HOUR AND timestamp <= seen WHERE {FAILED}),
+f2 AS (SELECT service, seen, op, max(duration_us) / 1000 AS ms, arg_min(status, place) AS status, arg_min(CASE WHEN contains(coalesce(tags, ''), 'error') OR contains(coalesce(tags, ''), 'exception') THEN 'exception' WHEN contains(coalesce(tags, ''), 'timeout') THEN 'timeout' ELSE '' END, place) AS kind, count(*) AS n, min(place) AS first
+  FROM f1 WHERE place <= 60 GROUP BY service, seen, op QUALIFY row_number() OVER (PARTITION BY service, seen ORDER BY min(place)) <= 30),
+tr AS (SELECT service, seen, string_agg(op || ' ' || round(ms, 3) || ' ' || status || ' ' || kind || ' ' || n, ';' ORDER BY first) AS traces FROM f2 GROUP BY ALL),
+e1 AS (SELECT p.service, p.seen, operation, count(*) AS n, count(*) FILTER ({FAILED}) AS e, quantile_cont(duration_us, 0.99) / 1000 AS ms FROM p JOIN s ON s.service = p.service AND timestamp > seen - INTERVAL 18 HOUR AND timestamp <= seen GROUP BY ALL HAVING count(*) FILTER ({FAILED}) > 0),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY service, seen ORDER BY e / n DESC, operation) AS place FROM e1 QUALIFY place <= 10),
+ep AS (SELECT service, seen, string_agg({_re2(redact.PATH, 'operation')} || ' ' || n || ' ' || e || ' ' || round(e / n, 6) || ' ' || round(ms, 3), ';' ORDER BY place) AS endpoints FROM e2 GROUP BY ALL),
+q AS (SELECT b.service AS caller, c.service AS callee, b.timestamp AS t, c.timestamp AS u, upper(b.status) = 'ERROR' AS be, upper(c.status) = 'ERROR' AS ce FROM s b JOIN s c ON b.span_id = c.parent_span_id WHERE b.service <> c.service),
+r AS (SELECT p.service, p.seen, o AS other, d AS direction, count(*) AS n, count(*) FILTER (bad) AS e FROM p JOIN (SELECT caller AS service, callee AS o, 'downstream' AS d, ce AS bad, t, u FROM q UNION ALL SELECT callee, caller, 'upstream', be, t, u FROM q) z
+  ON z.service = p.service AND t > seen - INTERVAL 18 HOUR AND t <= seen AND u <= seen GROUP BY ALL),
+cr AS (SELECT *, e / n AS rate FROM r WHERE e > 0 QUALIFY row_number() OVER (PARTITION BY service, seen, direction ORDER BY e / n DESC, other) <= 5),
+cs AS (SELECT service, seen, string_agg(other || ' ' || direction || ' ' || round(rate, 6), ';' ORDER BY other, direction) AS correlations, count(*) AS n, count(*) FILTER (direction = 'upstream') AS up, count(*) FILTER (direction = 'downstream') AS down,
+  string_agg(other, ',' ORDER BY direction DESC, other) AS failing, string_agg(other, ',' ORDER BY other) AS names FROM cr WHERE rate > 0.05 GROUP BY ALL),
+h AS (SELECT service, seen, string_agg(other, ',' ORDER BY other) AS healthy FROM (SELECT DISTINCT service, seen, other FROM r WHERE e / n < 0.01) GROUP BY ALL),
+b AS (SELECT a.*, m2.* EXCLUDE (service, seen), k.* EXCLUDE (service, seen), t.logs, tr.traces, ep.endpoints, cs.correlations, cs.up, cs.down, cs.failing, h.healthy, substr(sha256(a.service || '|' || a.anomaly_type || '|' || coalesce(cs.names, '')), 1, 16) AS fingerprint
+  FROM a LEFT JOIN m2 USING (service, seen) LEFT JOIN k USING (service, seen) LEFT JOIN t USING (service, seen) LEFT JOIN tr USING (service, seen) LEFT JOIN ep USING (service, seen) LEFT JOIN cs USING (service, seen) LEFT JOIN h USING (service, seen)),
+i AS (SELECT *, substr(sha256(service || '|' || anomaly_type || '|' || failing), 1, 16) AS fingerprint FROM incidents_mesh),
+c1 AS (SELECT b.service, b.anomaly_type, b.seen, i.fix_succeeded AS ok, row_number() OVER (PARTITION BY b.service, b.anomaly_type, b.seen ORDER BY i.timestamp DESC, i.id) AS place FROM b JOIN i ON i.fingerprint = b.fingerprint AND i.timestamp <= b.seen QUALIFY place <= 10),
+cf AS (SELECT service, anomaly_type, seen, count(*) AS matches, least(1.0, count(*) FILTER (ok) / count(*) + least(count(*) / 10, 0.2) + CASE WHEN bool_or(ok AND place = 1) THEN 0.1 ELSE 0 END) AS confidence FROM c1 GROUP BY ALL),
+n AS (SELECT service, timestamp, arg_max(replicas, event_id) AS replicas, arg_max(memory_percent, event_id) AS memory_percent FROM infra_mesh GROUP BY ALL)
+SELECT b.service, b.anomaly_type, b.severity, b.detected_at, b.value, b.threshold, round(recent, 6) AS error_rate, round(CASE WHEN bn > 0 THEN be / bn ELSE 0 END, 6) AS error_rate_baseline, round(coalesce(np, 0), 6) AS p99_ms, round(coalesce(bp, 0), 6) AS p99_ms_baseline,
+  round(nn / 360.0, 6) AS per_minute, round(bn / 3240.0, 6) AS per_minute_baseline, timeout, connection_error, server_error_5xx, client_error_4xx, other, coalesce(logs, '') AS logs, coalesce(traces, '') AS traces, coalesce(endpoints, '') AS endpoints, coalesce(correlations, '') AS correlations,
+  CASE WHEN ln > 0 THEN round(recent, 6) END AS recent_rate, CASE WHEN ln > 0 THEN round(earlier, 6) END AS earlier_rate, CASE WHEN ln > 0 THEN round(greatest(recent, earlier), 6) END AS peak_rate,
+  CASE WHEN ln = 0 THEN NULL WHEN en = 0 OR nn = 0 THEN 'unknown' WHEN recent - earlier > 0.01 THEN 'worsening' WHEN recent - earlier < -0.01 THEN 'improving' ELSE 'stable' END AS trend,
+  CASE WHEN up > 0 AND down > 0 THEN 'cascading' WHEN up > 0 THEN 'upstream' WHEN down > 0 THEN 'downstream' ELSE 'isolated' END AS scope, CASE WHEN correlations IS NULL THEN coalesce(healthy, '') ELSE '' END AS healthy_deps, coalesce(failing, '') AS failing_deps,
+  CASE WHEN contains(b.service, '-prod') THEN 'production' WHEN contains(b.service, '-staging') THEN 'staging' ELSE 'default' END AS namespace, fingerprint, coalesce(matches, 0) AS matches, round(coalesce(confidence, 0), 6) AS confidence, n.replicas, n.memory_percent
+FROM (SELECT b.*, cf.matches, cf.confidence FROM b LEFT JOIN cf ON cf.service = b.service AND cf.anomaly_type = b.anomaly_type AND cf.seen = b.seen) b ASOF LEFT JOIN n ON n.service = b.service AND n.timestamp <= b.seen"""
+_SUMMARY = f"""{_SPELLS},
+v AS (SELECT service, count(*) AS n, count(*) FILTER ({FAILED}) AS e, quantile_cont(duration_us, 0.99) / 1000 AS p FROM s WHERE timestamp > TIMESTAMP '2024-01-25' AND timestamp <= TIMESTAMP '2024-01-26' GROUP BY service)
+SELECT count(*) FILTER (e / n < 0.01) AS healthy, count(*) FILTER (e / n >= 0.01) AS degraded, string_agg(service || ' ' || n || ' ' || e || ' ' || round(e / n, 6) || ' ' || round(p, 3), ';' ORDER BY service) AS services,
+  (SELECT coalesce(string_agg(service || ' ' || anomaly_type || ' ' || severity, ';' ORDER BY service, anomaly_type, severity), '') FROM a WHERE detected_at > TIMESTAMP '2024-01-25' AND detected_at <= TIMESTAMP '2024-01-26') AS anomalies FROM v"""
 
 
 def parse_generic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,8 +579,10 @@ def parse_generic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.core(raw, "metrics").groupBy("service", "name").agg(F.count("*").alias("points"), F.round(F.sum("value"), 4).alias("total"))
 
 
-for _f in (summary, bundles, parse_generic_json):
+for _f in (summary, summary_payload, bundles, bundle_payloads, parse_generic_json):
     _queries[_f.__name__] = _f
+_sql["summary"] = _SUMMARY
+_sql["bundles"] = _BUNDLES
 _sql["parse_generic_json"] = "SELECT 'svc-' || (user_id % 8) AS service, event_type AS name, count(*) AS points, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 

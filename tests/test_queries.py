@@ -16,7 +16,7 @@ def test_as_duckdb(spark, sf_dir, name):
 
 
 def test_bundles_are_small_and_redacted(spark, sf_dir):
-    rows = registry.queries()["bundles"](spark, sf_dir).collect()
+    rows = registry.queries()["bundle_payloads"](spark, sf_dir).collect()
     for r in rows:
         found = json.loads(r.payload)
         assert r.bytes < 50_000
@@ -25,7 +25,7 @@ def test_bundles_are_small_and_redacted(spark, sf_dir):
 
 
 def test_summary(spark, sf_dir):
-    (row,) = registry.queries()["summary"](spark, sf_dir).collect()
+    (row,) = registry.queries()["summary_payload"](spark, sf_dir).collect()
     found = json.loads(row.payload)
     assert found["healthy"] + found["degraded"] == len(found["services"])
 
@@ -43,3 +43,20 @@ def test_series_and_detector_take_the_whole_table(spark, sf_dir):
     assert sum(r.points for r in days) == events
     assert all(len(r.series.split(",")) == r.points for r in days)
     assert {"anomalies", "anomalies_whole"} <= set(SQL)
+
+
+def test_evidence_is_of_each_anomalys_time(spark, sf_dir):
+    """Two anomalies of one service have different evidence, and all scopes, healthy neighbours and matches occur."""
+    rows = registry.queries()["bundles"](spark, sf_dir).collect()
+    assert {r.scope for r in rows} == {"isolated", "upstream", "downstream", "cascading"}
+    assert any(r.healthy_deps for r in rows) and any(r.matches for r in rows) and any(r.replicas for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.service, {})[r.detected_at] = (r.error_rate, r.p99_ms, r.logs, r.endpoints)
+    for held in by.values():
+        assert len(set(held.values())) > len(held) // 2
+
+
+def test_evidence_joins_by_keys(spark, sf_dir):
+    plan = registry.queries()["bundles"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

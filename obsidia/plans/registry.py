@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from obsidia import views
 from obsidia.functions import redact
-from obsidia.operators import anomaly, context, health, incidents, intervals, tiering, topology
+from obsidia.operators import anomaly, context, health, incidents, intervals, templates, tiering, topology
 from obsidia.plans import catalog, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +222,42 @@ def log_templates(logs: DataFrame) -> DataFrame:
     return context.log_templates(_dated(logs)).drop("template")
 
 
+def _mined_sql() -> str:
+    """The rounds of merging one after the other, over messages of fewer tokens than the limit."""
+    agree = "len(list_filter(list_zip(l.shape, t.top.shape), lambda x: x[1] = x[2] AND x[1] <> '<*>'))"
+    steps = ["l0 AS (SELECT shape, count(*) AS n, struct_pack(a := len(shape), b := shape[1]) AS leaf FROM w GROUP BY ALL)"]
+    for i in range(4):
+        steps.append(f"c{i} AS MATERIALIZED (SELECT l.*, t.top.shape AS leader, l.shape = t.top.shape OR {agree} >= 0.5 * len(l.shape) AS joins FROM l{i} l JOIN (SELECT leaf, max(struct_pack(n := n, shape := shape)) AS top FROM l{i} GROUP BY leaf) t ON l.leaf = t.leaf)")
+        steps.append(f"l{i + 1} AS (SELECT shape, n, leaf FROM c{i} WHERE NOT joins)")
+    members = " UNION ALL ".join([f"SELECT shape, n, leader FROM c{i} WHERE joins" for i in range(4)] + ["SELECT shape, n, shape FROM l4"])
+    return f"""w AS (SELECT list_transform(string_split(message, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') OR length(t) > 64 OR t = '<*>' THEN '<*>' ELSE t END) AS shape FROM logs_mesh WHERE message IS NOT NULL),
+      {", ".join(steps)}, g AS (SELECT * FROM ({members})), k AS (SELECT leader FROM g GROUP BY leader HAVING sum(n) >= 5),
+      p AS (SELECT leader, i, CASE WHEN count(DISTINCT shape[i]) = 1 THEN min(shape[i]) ELSE '<*>' END AS token FROM g, range(1, 65) t(i) WHERE i <= len(shape) AND leader IN (SELECT leader FROM k) GROUP BY ALL),
+      y AS (SELECT leader, string_agg(token, ' ' ORDER BY i) AS template FROM p GROUP BY leader)
+      SELECT coalesce(template, '<*>') AS template, substr(sha256(coalesce(template, '<*>')), 1, 16) AS template_id, CAST(sum(n) AS BIGINT) AS messages FROM g LEFT JOIN y ON g.leader = y.leader GROUP BY ALL"""
+
+
+@query(None, "logs_mesh")
+def mined_templates(logs: DataFrame) -> DataFrame:
+    """The templates of all messages that services sent."""
+    found, _ = templates.mine(logs)
+    return found.select(F.array_join("template", " ").alias("template"), "template_id", "messages")
+
+
+_sql["mined_templates"] = f"{views.oracle('logs_mesh')}, {_mined_sql()}"
+
+
+@query("SELECT 'mesh' AS source, event_id AS id, sha256(message) AS message_sha256 FROM logs_mesh UNION ALL SELECT 'docs', doc_id, sha256(message) FROM logs_docs", "logs_mesh", "logs_docs")
+def template_round_trip(logs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every message, and every document as one, put together again from its template and variables."""
+    out = None
+    for name, rows in (("mesh", logs.select(F.col("event_id").alias("id"), "message")), ("docs", docs.select(F.col("doc_id").alias("id"), "message"))):
+        found, shapes = templates.mine(rows)
+        again = templates.decode(templates.encode(rows, shapes), found).select(F.lit(name).alias("source"), "id", F.sha2("message", 256).alias("message_sha256"))
+        out = again if out is None else out.unionByName(again)
+    return out
+
+
 def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", redact.redact_path(F.col("url")).alias("path"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from obsidia import views
 from obsidia.functions import redact
-from obsidia.operators import anomaly, context, health, incidents, intervals, templates, tiering, topology
+from obsidia.operators import anomaly, context, events, health, incidents, intervals, templates, tiering, topology
 from obsidia.plans import catalog, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +258,37 @@ def template_round_trip(logs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+@query(
+    """SELECT path, kind, count(*) AS occurrences FROM (SELECT regexp_replace(regexp_replace(t.fullkey, '\\[\\d+\\]', '[*]', 'g'), '\\."kind of"', '[''kind of'']', 'g') AS path,
+      CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'integer' END AS kind
+      FROM (SELECT body::JSON AS j FROM events_json WHERE json_valid(body)) e, json_tree(e.j) t) GROUP BY ALL""",
+    "events_json",
+)
+def event_paths(rows: DataFrame) -> DataFrame:
+    """Every path in all events, with its kinds."""
+    return events.paths(rows)
+
+
+@query(
+    """SELECT event_id, CAST(j->>'$.cents' AS BIGINT) AS cents, j->>'$.user."kind of"' AS type, CAST(j->>'$.user.vip' AS BOOLEAN) AS vip, CAST(j->>'$.share' AS DOUBLE) AS share, j->>'$.ref' AS ref, json_array_length(j, '$.items') AS items,
+      CAST(json_extract_string(j, '$.items[0].n') AS BIGINT) AS first_n, NOT json_valid(body) OR coalesce(json_type(j, '$.note') = 'NULL', false) AS in_rest FROM (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM events_json)""",
+    "events_json",
+)
+def event_columns(rows: DataFrame) -> DataFrame:
+    """All events by the columns that their schema has."""
+    found = events.shred(rows, events.discover(rows))
+    return found.select(
+        "event_id", "typed.cents", F.col("typed.user.`kind of`").alias("type"), "typed.user.vip", F.col("typed.share").cast("double").alias("share"), F.expr("variant_get(typed.ref, '$', 'string')").alias("ref"),
+        F.when(F.col("typed.items").isNotNull(), F.size("typed.items")).cast("long").alias("items"), F.get("typed.items", F.lit(0))["n"].alias("first_n"), F.col("rest").isNotNull().alias("in_rest"),
+    )
+
+
+@query("SELECT event_id, sha256(body) AS body_sha256 FROM events_json", "events_json")
+def event_round_trip(rows: DataFrame) -> DataFrame:
+    """Every event, put together again from its columns."""
+    return events.restore(events.shred(rows, events.discover(rows))).select("event_id", F.sha2("body", 256).alias("body_sha256"))
+
+
 def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", redact.redact_path(F.col("url")).alias("path"))

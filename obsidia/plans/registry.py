@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from obsidia import views
 from obsidia.functions import redact
 from obsidia.operators import anomaly, context, events, health, incidents, intervals, templates, tiering, topology
-from obsidia.plans import catalog, samples
+from obsidia.plans import catalog, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86400
@@ -653,20 +653,15 @@ _sql["bundles"] = _BUNDLES
 _sql["parse_generic_json"] = "SELECT 'svc-' || (user_id % 8) AS service, event_type AS name, count(*) AS points, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
-for _name, (_query, _rows) in samples.CASES.items():
-    _queries[_name] = (lambda f: lambda spark, sf_dir: f(spark))(_query)
-    _sql[_name] = _rows
-
-
 def _parse(name: str) -> Query:
-    return lambda spark, sf_dir: samples.parsed(spark, name)
+    return lambda spark, sf_dir: payloads.parsed(spark, sf_dir, name)
 
 
-for _name in samples.SAMPLES:
+for _name in payloads.PAYLOADS:
     _queries[f"parse_{_name}"] = _parse(_name)
-    _sql[f"parse_{_name}"] = samples.rows_sql(_name)
-_queries["detect_format"] = lambda spark, sf_dir: samples.detected(spark)
-_sql["detect_format"] = samples.detected_sql()
+    _sql[f"parse_{_name}"] = payloads.rows_sql(_name)
+_queries["detect_format"] = payloads.detected
+_sql["detect_format"] = payloads.detected_sql()
 
 
 def queries() -> dict[str, Query]:

@@ -19,8 +19,13 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, from Parquet in the shared folder: parts of a result that need them read them, and a lost executor loses nothing."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    to = path(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)

@@ -72,6 +72,11 @@ def parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.withColumn("p", F.from_json("body", schema)).where("p IS NOT NULL")
 
 
+def whole_json(body: Column) -> Column:
+    """Whether all of a text is one JSON value: parsers stop at its end, so a text of several would look like its first."""
+    return F.try_parse_json(F.concat(F.lit('{"a":'), body, F.lit("}"))).isNotNull()
+
+
 def one_or_many(raw: DataFrame, element: str) -> DataFrame:
     """A payload that is an object or an array of them, as a row p for each."""
     return raw.withColumn("p", F.explode(F.from_json("body", f"array<{element}>"))).where("p IS NOT NULL")
@@ -361,7 +366,7 @@ def logstash(raw: DataFrame) -> DataFrame:
 
 def sumologic(raw: DataFrame) -> DataFrame:
     """A JSON array of objects, or lines as they are."""
-    array = F.startswith(F.ltrim("body"), F.lit("[")) & F.try_parse_json("body").isNotNull()
+    array = F.startswith(F.ltrim("body"), F.lit("[")) & whole_json(F.col("body"))
     many = _objects(raw.where(array))
     get = lambda k: F.get_json_object("e", f"$.{k}")
     objects = logs(many, NOW(), text(get("_source"), "sumologic"), text(get("level"), "info"), F.coalesce(get("message"), F.col("e")))

@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsidia import schemas
-from obsidia.sources.parsers import FORMATS
+from obsidia import schemas, shared
+from obsidia.sources.parsers import FORMATS, whole_json
 
-# Paths that belong to one format, as vendors' senders use them.
+# Paths that belong to one format, as vendors' senders use them; /td-agent is the path of a fluentd distribution of that name.
 ROUTES = {
     "/v1/traces": "otlp", "/v1/logs": "otlp_logs", "/v1/metrics": "otlp_metrics",
     "/api/v1/prom/write": "prometheus", "/api/v1/write": "prometheus", "/prometheus/api/v1/write": "prometheus",
@@ -65,13 +65,24 @@ def routed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("format", F.coalesce(exact, by_prefix, detected()))
 
 
+def kept(raw: DataFrame) -> DataFrame:
+    """Payloads with their formats, each told once, in a folder a format of the shared folder: a parser then reads its own and no others."""
+    path = shared.path(raw.sparkSession, "payloads")
+    named = routed(raw)
+    named.write.partitionBy("format").parquet(path)
+    return raw.sparkSession.read.schema(named.schema).parquet(path)
+
+
 def core(raw: DataFrame, table: str, formats: Collection[str] | None = None) -> DataFrame:
     """All rows of one core table that payloads of any format hold, or of the formats that are known to be there.
 
-    Each format's parser reads its own share. Where raw is more than a few files, route it once, keep that (persist or write it by
-    format) and name the formats that it holds, as present() does: then no share is detected or read twice.
+    Where the formats are not known, payloads are read once, and kept by their formats; only the parsers of formats that are there
+    are asked. A stream has no end at which to tell what there is: all parsers of the table read it, so ingest() does this by micro-batch.
     """
     named = routed(raw)
+    if formats is None and not raw.isStreaming:
+        named = kept(raw)
+        formats = present(named)
     parts = [parse(named.where(F.col("format") == name)) for name, tables in FORMATS.items() for t, parse in tables.items() if t == table and (formats is None or name in formats)]
     nothing = raw.sparkSession.createDataFrame([], schemas.TABLES[table])
     return reduce(DataFrame.unionByName, parts) if parts else nothing
@@ -87,7 +98,7 @@ LINE_FORMATS = ("prometheus", "influx", "graphite", "statsd", "syslog", "dynatra
 
 def rejected() -> Column:
     """Of a routed payload, whether it should be JSON and is not."""
-    return ~F.col("format").isin(*LINE_FORMATS) & F.try_parse_json("body").isNull()
+    return ~F.col("format").isin(*LINE_FORMATS) & ~F.coalesce(whole_json(F.col("body")), F.lit(False))
 
 
 def rejects(raw: DataFrame) -> DataFrame:

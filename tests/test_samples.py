@@ -1,7 +1,4 @@
-"""A payload of each format with the rows that it holds, for queries that parse them and the SQL that these are compared with.
-
-Payloads are written by hand from the formats' public descriptions, and the rows from the payloads.
-"""
+"""A payload of each format by hand, from the formats' public descriptions, with the rows that it holds, through the router."""
 
 from __future__ import annotations
 
@@ -9,13 +6,12 @@ import json
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pytest
 
 from obsidia import schemas
-from obsidia.functions import redact
-from obsidia.operators import context, incidents, tiering
+from obsidia.plans.payloads import shown
 from obsidia.sources import router
+from tests.oracle import plain
 
 #: When the payloads came, and the time that stands in them, in the units that formats use.
 CAME, TIME = "2024-05-01 12:00:00", "2024-01-01 00:00:00"
@@ -86,114 +82,12 @@ SAMPLES: dict[str, tuple[str, str, str, Any, str, list[tuple]]] = {
     "json_metrics": ("/", "", "", {"value": 3, "name": "n"}, "metrics", [(CAME, "unknown", "n", 3.0, None)]),
 }
 
-#: Payloads that no route names, and the format that their path, sender, content type or body tells.
-UNNAMED: list[tuple[str | None, str | None, str | None, str, str]] = [
-    ("/x/otlp", "", "", "{}", "otlp"), ("/x/metrics", "", "", "{}", "prometheus"), ("/x/datadog", "", "", "{}", "datadog"), ("/", "datadog-agent/7", "", "{}", "datadog"), ("/x/jaeger", "", "", "{}", "jaeger"),
-    ("/", "jaeger", "", "{}", "jaeger"), ("/x/zipkin", "", "", "{}", "zipkin"), ("/x/loki", "", "", "{}", "loki"), ("/", "", "application/x-protobuf", "", "otlp"), (None, None, None, '{"resourceSpans":[]}', "otlp"),
-    ("/", "", "", '{"series":[]}', "datadog"), ("/", "", "", '{"data":[]}', "jaeger"), ("/", "", "", '{"streams":[]}', "loki"), ("/", "", "", '[{"localEndpoint":{}}]', "zipkin"), ("/", "", "", '{"data":1,"series":2}', "datadog"),
-    ("/", "", "", '{"a":1}', "json"), ("/", "", "", "{bad", "json"), ("/metrics", "datadog", "", '{"streams":[]}', "prometheus"),
-]
-
-COLUMNS = {table: [f.name for f in schema] for table, schema in schemas.TABLES.items()}
-
-
-def _raw(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    came = datetime.fromisoformat(CAME)
-    return spark.createDataFrame([(b, p, s, c, came) for p, s, c, b in rows], schemas.RAW)
-
-
-def _text(body: Any) -> str:
-    return body if isinstance(body, str) else json.dumps(body, separators=(",", ":"))
-
-
-def parsed(spark: SparkSession, name: str) -> DataFrame:
-    """The rows of one sample, through the router, with tags as text."""
-    path, sender, kind, body, table, _ = SAMPLES[name]
-    rows = router.core(_raw(spark, [(path, sender, kind, _text(body))]), table)
-    return shown(rows)
-
-
-def shown(rows: DataFrame) -> DataFrame:
-    pairs = F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return rows.withColumn("tags", F.array_join(pairs, ","))
-
-
-def detected(spark: SparkSession) -> DataFrame:
-    """The payloads that no route names, each with its format."""
-    return router.routed(_raw(spark, [(p, s, c, b) for p, s, c, b, _ in UNNAMED])).select("path", "sender", "content_type", "body", "format")
-
-
-def _quoted(value: Any) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
-
-
-_KINDS = {"timestamp": "TIMESTAMP", "value": "DOUBLE", "duration_us": "BIGINT"}
-
-
-def rows_sql(name: str) -> str:
-    *_, table, rows = SAMPLES[name]
-    columns = COLUMNS[table]
-    values = ", ".join(f"({', '.join(map(_quoted, r))})" for r in rows)
-    cast = ", ".join(f"CAST({c} AS {_KINDS.get(c, 'VARCHAR')}) AS {c}" for c in columns)
-    return f"SELECT {cast} FROM (VALUES {values}) v({', '.join(columns)})"
-
-
-def detected_sql() -> str:
-    return f"SELECT * FROM (VALUES {', '.join(f'({', '.join(map(_quoted, (p, s, c, b, f)))})' for p, s, c, b, f in UNNAMED)}) v(path, sender, content_type, body, format)"
-
-
-#: Messages and the type of error that each tells.
-MESSAGES = [
-    ("upstream Timed Out after 3 s", "timeout"), ("context deadline exceeded", "timeout"), ("dial: connection refused", "connection_error"), ("read: Connection reset by peer", "connection_error"), ("lookup x: no such host", "dns_error"),
-    ("bad certificate", "tls_error"), ("container OOM killed", "memory_error"), ("SQL state 42P01", "database_error"), ("403 Forbidden", "auth_error"), ("too many requests", "rate_limit"), ("HTTP 500", "server_error"), ("malformed body", "validation_error"),
-    ("it broke", "unknown"), ("timeout while the database was locked", "timeout"),
-]
-#: Services with what is correlated with them, as name, direction and error rate, and the scope, failing and healthy names that follow.
-SCOPES = [
-    ("alone", [], "isolated", "", ""), ("calm", [("a", "upstream", 0.01), ("b", "downstream", 0.0)], "isolated", "", "a,b"), ("fed", [("a", "upstream", 0.5), ("b", "downstream", 0.005)], "upstream", "a", "b"),
-    ("feeds", [("c", "downstream", 0.2), ("d", "downstream", 0.011)], "downstream", "c,d", ""), ("amid", [("a", "upstream", 0.3), ("c", "downstream", 0.2)], "cascading", "a,c", ""),
-]
-#: Blocks of packed telemetry: kind, bytes before and after.
-BLOCKS = [("spans", 1000, 250), ("spans", 3000, 750), ("logs", 500, 100), ("logs_cold", 0, 0)]
-
-
-def error_type_cases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m,) for m, _ in MESSAGES], "message string").select("message", redact.error_type(F.col("message")).alias("error_type"))
-
-
-def error_breakdown_cases(spark: SparkSession) -> DataFrame:
-    """One service's messages, as per cent of each kind."""
-    logs = spark.createDataFrame([(datetime.fromisoformat(CAME), "s", "ERROR", m) for m, _ in MESSAGES], "timestamp timestamp_ntz, service string, level string, message string")
-    found = context.error_breakdown(logs)
-    return found.withColumns({c: F.round(c, 6) for c in found.columns if c not in ("service", "messages")})
-
-
-def scope_cases(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(s, c) for s, c, *_ in SCOPES], "service string, correlations array<struct<service:string,direction:string,error_rate:double>>")
-    return incidents.scope(rows).select("service", "scope", F.array_join("failing_deps", ",").alias("failing"), F.array_join("healthy_deps", ",").alias("healthy"))
-
-
-def block_cases(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(k, a, b, b / a if a else None) for k, a, b in BLOCKS], "data_type string, original_size long, compressed_size long, compression_ratio double")
-    found = tiering.block_stats(rows)
-    return found.withColumns({c: F.round(c, 6) for c in ("avg_ratio", "saved_percent")})
-
-
-def _percent(kinds: tuple[str, ...], within: bool = True) -> str:
-    found = sum((t in kinds) == within for _, t in MESSAGES)
-    return f"round(CAST({100 * found}.0 / {len(MESSAGES)} AS DOUBLE), 6)"
-
 
-_FOUR = ("timeout", "connection_error", "server_error", "validation_error")
-_SHARES = ", ".join(f"{_percent((k,))} AS {n}" for k, n in zip(_FOUR, ("timeout", "connection_error", "server_error_5xx", "client_error_4xx"), strict=True))
-#: Queries over literal rows that hold every case, and the rows that they give, as SQL.
-CASES = {
-    "error_type_cases": (error_type_cases, f"SELECT * FROM (VALUES {', '.join(f'({_quoted(m)}, {_quoted(t)})' for m, t in MESSAGES)}) v(message, error_type)"),
-    "error_breakdown_cases": (error_breakdown_cases, f"SELECT 's' AS service, CAST({len(MESSAGES)} AS BIGINT) AS messages, {_SHARES}, {_percent(_FOUR, False)} AS other"),
-    "scope_cases": (scope_cases, f"SELECT * FROM (VALUES {', '.join(f'({_quoted(s)}, {_quoted(k)}, {_quoted(f)}, {_quoted(h)})' for s, _, k, f, h in SCOPES)}) v(service, scope, failing, healthy)"),
-    "block_cases": (
-        block_cases,
-        f"""SELECT data_type, count(*) AS blocks, CAST(sum(a) AS BIGINT) AS original, CAST(sum(b) AS BIGINT) AS compressed, round(avg(CASE WHEN a > 0 THEN b / a END), 6) AS avg_ratio,
-          round(CASE WHEN sum(a) > 0 THEN (1 - sum(b) / sum(a)) * 100 ELSE 0 END, 6) AS saved_percent FROM (VALUES {', '.join(f"('{k}', {a}, {b})" for k, a, b in BLOCKS)}) v(data_type, a, b) GROUP BY ROLLUP (data_type)""",
-    ),
-}
+@pytest.mark.parametrize("name", sorted(SAMPLES))
+def test_sample(spark, name):
+    path, sender, kind, body, table, rows = SAMPLES[name]
+    text = body if isinstance(body, str) else json.dumps(body, separators=(",", ":"))
+    raw = spark.createDataFrame([(text, path, sender, kind, datetime.fromisoformat(CAME))], schemas.RAW)
+    found = shown(router.core(raw, table)).select(*COLUMNS[table]).collect()
+    want = [tuple(datetime.fromisoformat(v) if c == "timestamp" else v for c, v in zip(COLUMNS[table], r, strict=True)) for r in rows]
+    assert sorted(repr(tuple(map(plain, r))) for r in found) == sorted(repr(tuple(map(plain, r))) for r in want)

@@ -57,8 +57,8 @@ GOLDEN = {
 }
 
 
-def raw(spark, *bodies, path="/", agent="", kind=""):
-    return spark.createDataFrame([(b if isinstance(b, str) else json.dumps(b, separators=(",", ":")), path, agent, kind, CAME) for b in bodies], schemas.RAW)
+def raw(spark, *bodies, path="/", sender="", kind=""):
+    return spark.createDataFrame([(b if isinstance(b, str) else json.dumps(b, separators=(",", ":")), path, sender, kind, CAME) for b in bodies], schemas.RAW)
 
 
 @pytest.mark.parametrize("name", sorted(GOLDEN))
@@ -85,11 +85,11 @@ def test_all_formats_have_a_golden_payload():
 def test_router(spark):
     rows = [
         ("/v1/traces", "", "", "{}", "otlp"), ("/api/v2/series", "", "", "{}", "datadog"), ("/loki/api/v1/push", "", "", "{}", "loki"), ("/1/batch/x", "", "", "[]", "honeycomb"),
-        ("/x/metrics", "", "", "{}", "prometheus"), ("/", "datadog-agent", "", "{}", "datadog"), ("/", "", "application/x-protobuf", "", "otlp"), ("/", "", "", '{"series":[]}', "datadog"),
+        ("/x/metrics", "", "", "{}", "prometheus"), ("/", "datadogpy/0.49", "", "{}", "datadog"), ("/", "", "application/x-protobuf", "", "otlp"), ("/", "", "", '{"series":[]}', "datadog"),
         ("/", "", "", '{"data":[]}', "jaeger"), ("/", "", "", '{"streams":[]}', "loki"), ("/", "", "", '[{"localEndpoint":{}}]', "zipkin"), ("/", "", "", '{"a":1}', "json"), ("/", "", "", "{bad", "json"),
         (None, None, None, '{"resourceSpans":[]}', "otlp"), ("/services/collector", "", "", "{}", "splunk_hec"),
     ]
-    df = spark.createDataFrame([(b, p, a, k, CAME) for p, a, k, b, _ in rows], schemas.RAW)
+    df = spark.createDataFrame([(b, p, s, k, CAME) for p, s, k, b, _ in rows], schemas.RAW)
     assert [r.format for r in router.routed(df).collect()] == [r[-1] for r in rows]
 
 

@@ -13,6 +13,8 @@ from obsidia.plans.payloads import shown
 from obsidia.sources import router
 from tests.oracle import plain
 
+COLUMNS = {k: [f.name for f in v] for k, v in schemas.TABLES.items()}
+
 #: When the payloads came, and the time that stands in them, in the units that formats use.
 CAME, TIME = "2024-05-01 12:00:00", "2024-01-01 00:00:00"
 S, MS, US, NS = 1704067200, 1704067200000, 1704067200000000, "1704067200000000000"

@@ -6,6 +6,9 @@ are not touched.
 
 A move is a note in the folder _moves, which names the files that it adds and drops; it takes effect when the note is there, at once for
 readers through read(). What it names is then put in place, and what a failure left undone is done by the next run. One run at a time.
+
+A named batch of new rows is such a note too, so it is there as a whole or not at all; when its files are in place the note goes to the
+folder _batches, and a batch that has a note in either folder is not written again.
 """
 
 from __future__ import annotations
@@ -43,10 +46,79 @@ def retained(df: DataFrame, as_of: datetime, plan: str | None = None) -> DataFra
     return df.where(F.col("timestamp") >= _at(as_of, retention_days(plan) * 86400))
 
 
+def _write(rows: DataFrame, path: str, codec: str | None = None, level: str | None = None) -> None:
+    """Rows with tier and date, ranged by date, service and time: a busy service's day is as many files as it has rows for, and footers skip by both."""
+    ranged = rows.repartitionByRange("date", "service", "timestamp").sortWithinPartitions("date", "service", "timestamp")
+    writer = ranged.write.mode("append").partitionBy("tier", "date")
+    for option, value in (("compression", codec), ("parquet.compression.codec.zstd.level", level)):
+        writer = writer.option(option, value) if value else writer
+    writer.parquet(path)
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumns({"tier": F.lit("hot"), "date": F.to_date("timestamp")})
+
+
 def append(df: DataFrame, path: str) -> None:
     """New rows, to the hot tier; sorted within files, so that footers skip by service and time."""
-    dated = df.withColumns({"tier": F.lit("hot"), "date": F.to_date("timestamp")})
-    dated.repartition("date", F.pmod(F.xxhash64("service"), F.lit(16))).sortWithinPartitions("date", "service", "timestamp").write.mode("append").partitionBy("tier", "date").parquet(path)
+    _write(_dated(df), path)
+
+
+def append_once(df: DataFrame, path: str, source: str, number: int, remembered: int = 100) -> None:
+    """append() for batch `number` of a source: a batch that was written before, by a run that failed after it, is not written again.
+
+    Of a source's batches the notes of the last `remembered` are kept: no source repeats what is longer ago.
+    """
+    jvm, fs, here = _files(df.sparkSession, path)
+    name = f"{source}-{number:012d}"
+    if not fs.exists(jvm.Path(here, f"_batches/{name}")) and not fs.exists(jvm.Path(here, f"_moves/{name}")):
+        folder = jvm.Path(here, f"_incoming/{name}")
+        fs.delete(folder, True)  # what a run that failed left there
+        _write(_dated(df), folder.toString())
+        add = [f[len(fs.makeQualified(folder).toString()) + 1 :] for f in _listed(fs, folder)]
+        _note(jvm, fs, here, {"id": name, "from": f"_incoming/{name}", "batch": True, "add": add, "drop": []})
+    _settle_one(jvm, fs, here, name, df.sparkSession)
+    for old in fs.listStatus(jvm.Path(here, "_batches")):
+        said = old.getPath().getName()
+        if said.startswith(f"{source}-") and said[len(source) + 1 :].isdigit() and int(said[len(source) + 1 :]) < number - remembered:
+            fs.delete(old.getPath(), False)
+
+
+def _note(jvm, fs, here, move: dict) -> None:
+    """Makes a move take effect."""
+    note, hidden = jvm.Path(here, f"_moves/{move['id']}"), jvm.Path(here, f"_moves/.{move['id']}")
+    out = fs.create(hidden, True)
+    out.write(bytearray(json.dumps(move).encode()))
+    out.close()
+    if not fs.rename(hidden, note):
+        raise RuntimeError(f"{note} could not be written")
+
+
+def _settle_one(jvm, fs, here, name: str, spark: SparkSession) -> None:
+    note = jvm.Path(here, f"_moves/{name}")
+    if fs.exists(note):
+        _place(jvm, fs, here, json.loads("\n".join(r.value for r in spark.read.text(note.toString(), wholetext=True).collect())))
+
+
+def _place(jvm, fs, here, move: dict) -> None:
+    """Puts a move that has taken effect in place; another that does so at the same time does no harm."""
+    folder = move.get("from", f"_staged/{move['id']}")
+    for name in move["add"]:
+        staged, to = jvm.Path(here, f"{folder}/{name}"), jvm.Path(here, name)
+        fs.mkdirs(to.getParent())
+        if fs.exists(staged) and not fs.rename(staged, to) and not fs.exists(to):
+            raise RuntimeError(f"{staged} could not be put in place")
+    for name in move["drop"]:
+        fs.delete(jvm.Path(name), False)
+    note = jvm.Path(here, f"_moves/{move['id']}")
+    if move.get("batch"):
+        done = jvm.Path(here, f"_batches/{move['id']}")
+        fs.mkdirs(done.getParent())
+        if not fs.rename(note, done) and not fs.exists(done):
+            raise RuntimeError(f"{note} could not be put away")
+        fs.delete(jvm.Path(here, folder), True)
+    else:
+        fs.delete(note, False)
 
 
 def _files(spark: SparkSession, path: str):
@@ -83,14 +155,7 @@ def _settle(spark: SparkSession, path: str) -> None:
     """Puts moves in place that have taken effect, and drops what others left behind."""
     jvm, fs, here = _files(spark, path)
     for move in _moves(spark, path):
-        for name in move["add"]:
-            staged, to = jvm.Path(here, f"_staged/{move['id']}/{name}"), jvm.Path(here, name)
-            fs.mkdirs(to.getParent())
-            if fs.exists(staged) and not fs.rename(staged, to):
-                raise RuntimeError(f"{staged} could not be put in place")
-        for name in move["drop"]:
-            fs.delete(jvm.Path(name), False)
-        fs.delete(jvm.Path(here, f"_moves/{move['id']}"), False)
+        _place(jvm, fs, here, move)
     fs.delete(jvm.Path(here, "_staged"), True)
 
 
@@ -119,17 +184,9 @@ def run(spark: SparkSession, path: str, as_of: datetime, plan: str | None = None
     rows = spark.read.option("basePath", here.toString()).parquet(*files)
     now = retained(assigned(rows.drop("tier"), as_of), as_of, plan).withColumn("date", F.to_date("timestamp"))
     for tier, (codec, level) in CODECS.items():
-        writer = now.where(F.col("tier") == tier).repartition("date", F.pmod(F.xxhash64("service"), F.lit(16))).sortWithinPartitions("date", "service", "timestamp").write
-        writer = writer.option("compression", codec)
-        writer = writer.option("parquet.compression.codec.zstd.level", level) if level else writer
-        writer.mode("append").partitionBy("tier", "date").parquet(staged.toString())
+        _write(now.where(F.col("tier") == tier), staged.toString(), codec, level)
     add = [f[len(fs.makeQualified(staged).toString()) + 1 :] for f in _listed(fs, staged)]
-    note, hidden = jvm.Path(here, f"_moves/{name}"), jvm.Path(here, f"_moves/.{name}")
-    out = fs.create(hidden, True)
-    out.write(bytearray(json.dumps({"id": name, "add": add, "drop": files}).encode()))
-    out.close()
-    if not fs.rename(hidden, note):
-        raise RuntimeError(f"{note} could not be written")
+    _note(jvm, fs, here, {"id": name, "add": add, "drop": files})
     _settle(spark, path)
     return sizes(spark, path)
 
@@ -142,9 +199,9 @@ def _all(spark: SparkSession, path: str) -> DataFrame:
     _, fs, here = _files(spark, path)
     base, gone = here.toString(), {f for m in moves for f in m["drop"]}
     dropped = {f.replace("file:///", "file:/") for f in gone}
-    parts = [spark.read.option("basePath", base).parquet(*stay)] if (stay := [f for f in _listed(fs, here) if f.replace("file:///", "file:/") not in dropped and "/_staged/" not in f and "/_moves/" not in f]) else []
+    parts = [spark.read.option("basePath", base).parquet(*stay)] if (stay := [f for f in _listed(fs, here) if f.replace("file:///", "file:/") not in dropped and not any(f"/{x}/" in f for x in ("_staged", "_moves", "_incoming", "_batches"))]) else []
     for m in moves:
-        folder = f"{base}/_staged/{m['id']}"
+        folder = f"{base}/{m.get('from', f'_staged/{m["id"]}')}"
         there = [f"{folder}/{a}" for a in m["add"] if f"{base}/{a}" not in stay]
         parts += [spark.read.option("basePath", folder).parquet(*there)] if there else []
     out = parts[0]

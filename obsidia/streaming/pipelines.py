@@ -6,7 +6,9 @@ where it stopped. Rows later than the watermark are left out of windows that are
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
@@ -40,31 +42,34 @@ def from_records(records: DataFrame) -> DataFrame:
     return records.select(F.col("value").cast("string").alias("body"), header("path").alias("path"), header("sender").alias("sender"), header("content_type").alias("content_type"), F.col("timestamp").cast("timestamp_ntz").alias("received_at"))
 
 
-def ingest(raw: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Payloads to the three core tables' hot tier, a micro-batch at a time. A batch is read and its formats are told once, and each payload is parsed as its format alone.
+def take(batch: DataFrame, number: int, root: str, source: str) -> None:
+    """One micro-batch of payloads to the three core tables' hot tier, each table once, however often the batch is run.
 
-    root/counts gets a row a batch and format with its payloads and how many are rejects.
+    The batch is read and its formats are told once, and each payload is parsed as its format alone. A payload without a time of
+    receipt was received now. root/counts has the batch's payloads by format, how many are rejects and how many had no time.
     """
+    timed = batch.withColumn("_undated", F.col("received_at").isNull()).withColumn("received_at", F.coalesce("received_at", F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")))
+    named = router.routed(timed).persist()
+    try:
+        formats = router.present(named)
+        for table in schemas.TABLES:
+            tiering.append_once(router.core(named, table, formats), f"{root}/{table}", source, number)
+        counts = named.groupBy("format").agg(F.count("*").alias("payloads"), F.count(F.when(router.rejected(), 1)).alias("rejects"), F.count(F.when(F.col("_undated"), 1)).alias("undated"))
+        counts.select(F.lit(number).cast("long").alias("batch"), "*").coalesce(1).write.mode("overwrite").parquet(f"{root}/counts/run={source}-{number}")
+    finally:
+        named.unpersist()
 
-    def append(batch: DataFrame, number: int) -> None:
-        named = router.routed(batch).persist()
-        try:
-            formats = router.present(named)
-            for table in schemas.TABLES:
-                rows = router.core(named, table, formats)
-                tiering.append(rows.withColumn("timestamp", F.coalesce("timestamp", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))), f"{root}/{table}")
-            counts = named.groupBy("format").agg(F.count("*").alias("payloads"), F.count(F.when(router.rejected(), 1)).alias("rejects"))
-            counts.select(F.lit(number).cast("long").alias("batch"), "format", "payloads", "rejects").coalesce(1).write.mode("append").parquet(f"{root}/counts")
-        finally:
-            named.unpersist()
 
-    return raw.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+def ingest(raw: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Payloads to the core tables, a micro-batch at a time. A batch that Spark runs again, as it does after a failure, changes nothing that it has done."""
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]  # batches are numbered by checkpoint
+    return raw.writeStream.foreachBatch(lambda batch, number: take(batch, number, root, source)).option("checkpointLocation", checkpoint)
 
 
 def ingest_stats(spark: SparkSession, root: str) -> DataFrame:
-    """format, payloads, rejects and batches of all that ingest() took; a batch that ran twice counts once."""
-    counts = spark.read.parquet(f"{root}/counts").groupBy("batch", "format").agg(F.max("payloads").alias("payloads"), F.max("rejects").alias("rejects"))
-    return counts.groupBy("format").agg(F.sum("payloads").alias("payloads"), F.sum("rejects").alias("rejects"), F.count("*").alias("batches"))
+    """format, payloads, rejects, undated and batches of all that ingest() took."""
+    counts = spark.read.parquet(f"{root}/counts")
+    return counts.groupBy("format").agg(F.sum("payloads").alias("payloads"), F.sum("rejects").alias("rejects"), F.sum("undated").alias("undated"), F.count("*").alias("batches"))
 
 
 def stream_cycles(spans: DataFrame, length: str = "10 seconds", minutes: float = 1 / 6, watermark: str = WATERMARK) -> DataFrame:

@@ -31,6 +31,26 @@ def cycles(spans: DataFrame, length: str = "10 seconds", minutes: float = 1 / 6)
     return grouped.select("service", F.col("w.start").alias("t"), ratio(F.col("e"), F.col("n")).alias("error_rate"), F.col("p99_ms"), (F.col("n") / minutes).alias("per_minute"))
 
 
+#: Cycles of silence after which a service counts as gone and has no more of them.
+PATIENCE = 30
+
+
+def filled(cycle: DataFrame, length: int, until: datetime | None = None, patience: int = PATIENCE) -> DataFrame:
+    """The cycles, and for each service those in which it sent nothing, of no requests a minute and without the other values.
+
+    length: seconds of a cycle. A service's silence begins after its first cycle and counts for `patience` cycles in a row at most.
+    After its last cycle it counts in cycles that have ended by `until`, which None leaves out.
+    """
+    step, t = F.expr(f"INTERVAL {length} SECONDS"), F.col("t").cast("timestamp_ntz")
+    clean = cycle.withColumn("t", t)
+    end = F.lit(until).cast("timestamp_ntz") if until else F.lit(None).cast("timestamp_ntz")
+    following = F.coalesce(F.lead("t").over(Window.partitionBy("service").orderBy("t")), F.greatest(end, F.col("t") + step))
+    last = F.least(following - step, F.col("t") + F.expr(f"INTERVAL {length * patience} SECONDS"))
+    gaps = clean.select("service", "t", last.alias("last")).where((F.col("last") >= F.col("t") + step) & F.col("last").isNotNull())
+    silent = gaps.select("service", F.explode(F.sequence(F.col("t") + step, F.col("last"), step)).alias("t"))
+    return clean.unionByName(silent.withColumn("per_minute", F.lit(0.0)), allowMissingColumns=True)
+
+
 def severity(value: Column, threshold: Column) -> Column:
     times = value / threshold
     return F.when(times > 5, "critical").when(times > 3, "high").when(times > 2, "medium").otherwise("low")

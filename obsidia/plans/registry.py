@@ -365,6 +365,27 @@ _queries["anomalies"] = anomalies
 _sql["anomalies"] = _HOURS
 
 
+_SILENT = f"""{views.oracle('spans_events').replace('WITH ', 'WITH RECURSIVE ', 1)},
+k AS (SELECT service, date_trunc('hour', timestamp) AS t, count(*) FILTER ({FAILED}) / count(*) AS e, quantile_cont(duration_us, 0.99) / 1000 AS p, count(*) / 60.0::DOUBLE AS r FROM spans_events GROUP BY 1, 2),
+h AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY service ORDER BY t), greatest(TIMESTAMP '2024-01-31', t + INTERVAL 1 HOUR)) AS next FROM k),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY service ORDER BY t) AS n FROM (SELECT service, t, e, p, r FROM k UNION ALL
+  SELECT service, t + INTERVAL 1 HOUR * i, NULL, NULL, 0.0 FROM h, range(1, 31) g(i) WHERE t + INTERVAL 1 HOUR * i < next)),
+f AS (SELECT service, t, n, e, p, r, e AS ae, p AS ap, r AS ar FROM c WHERE n = 1
+  UNION ALL SELECT c.service, c.t, c.n, c.e, c.p, c.r, CASE WHEN f.e IS NULL THEN f.ae ELSE f.ae * 0.9 + f.e * 0.1 END, CASE WHEN f.p IS NULL THEN f.ap ELSE f.ap * 0.9 + f.p * 0.1 END, f.ar * 0.9 + f.r * 0.1 FROM f JOIN c ON c.service = f.service AND c.n = f.n + 1),
+o AS ({_ANOMALIES}),
+{_HOURS[_HOURS.index("x AS ("):]}"""
+
+
+def silent_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As anomalies, and the hours in which a service sends nothing count as cycles without requests."""
+    cycles = anomaly.filled(anomaly.cycles(views.load(spark, sf_dir, "spans_events"), "1 hour", 60), 3600, datetime(2024, 1, 31))
+    return _r(anomaly.anomalies(cycles, 6 * 3600), "value", "threshold")
+
+
+_queries["silent_anomalies"] = silent_anomalies
+_sql["silent_anomalies"] = _SILENT
+
+
 def active_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.active(anomalies(spark, sf_dir), AS_OF, DAY)
 

@@ -89,41 +89,81 @@ def windowed_health(spans: DataFrame, window: str = "5 minutes", slide: str = "1
 _FOUND = T.StructType([T.StructField("service", T.StringType()), T.StructField("anomaly_type", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("detected_at", T.TimestampType())])
 
 
+_VALUES = ("error_rate", "p99_ms", "per_minute")
+
+
 class Detector(StatefulProcessor):
-    """anomaly.anomalies on a stream of cycles: a service's averages, its count and when each kind last fired are its state."""
+    """anomaly.anomalies on a stream of cycles: a service's averages, its count, when each kind last fired, its last cycle and its silence are its state.
+
+    With a length, cycles in which a service sends nothing are told by timers of event time, as anomaly.filled() does for a table.
+    """
+
+    def __init__(self, length: int | None = None, patience: int = anomaly.PATIENCE):
+        self.length, self.patience = length, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         kinds = [T.StructField(k, T.DoubleType()) for k in ("e", "p", "r")]
         fired = [T.StructField(f"f{i}", T.DoubleType()) for i in range(3)]
-        self.state = handle.getValueState("baseline", T.StructType([T.StructField("count", T.LongType()), *kinds, *fired]))
+        self.state = handle.getValueState("baseline", T.StructType([T.StructField("count", T.LongType()), *kinds, *fired, T.StructField("last", T.DoubleType()), T.StructField("silent", T.LongType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def _load(self) -> None:
         held = self.state.get()
-        count, avg, fired = (held[0], list(held[1:4]), list(held[4:7])) if held is not None else (0, [0.0] * 3, [float("-inf")] * 3)
-        out = []
-        for x in pd.concat(rows).sort_values("t").itertuples():
-            now = [float(x.error_rate), float(x.p99_ms), float(x.per_minute)]
-            if not count:
-                avg, count = list(now), 1
-            t = x.t.timestamp()
-            bounds = [max(avg[0] * anomaly.FACTOR, anomaly.ERROR_FLOOR), max(avg[1] * anomaly.FACTOR, anomaly.LATENCY_FLOOR), anomaly.DROP]
-            values = [now[0], now[1], now[2] / avg[2] if avg[2] > 0 else 1.0]
-            for i, kind in enumerate(anomaly.KINDS):
-                over = values[i] < bounds[i] if i == 2 else values[i] > bounds[i]
-                if count >= anomaly.LEAST_CYCLES and avg[i] > 0 and over and fired[i] <= t - anomaly.COOLDOWN_SECONDS:
-                    fired[i] = t
-                    times = values[i] / bounds[i]
-                    level = "medium" if i == 2 else "critical" if times > 5 else "high" if times > 3 else "medium" if times > 2 else "low"
-                    out.append((key[0], kind, level, values[i], bounds[i], x.t))
-            avg = [a * (1 - anomaly.ALPHA) + v * anomaly.ALPHA for a, v in zip(avg, now, strict=True)]
-            count += 1
-        self.state.update((count, *avg, *fired))
-        yield pd.DataFrame(out, columns=_FOUND.names)
+        self.count, self.avg, self.fired, self.last, self.silent = (held[0], list(held[1:4]), list(held[4:7]), held[7], held[8]) if held is not None else (0, [0.0] * 3, [float("-inf")] * 3, float("nan"), 0)
+
+    def _cycle(self, t: float, now: list[float | None]) -> Iterator[tuple]:
+        """One cycle: what fires, before the averages move. A value that is missing fires nothing and moves nothing."""
+        if not self.count:
+            self.avg, self.count = [0.0 if v is None else v for v in now], 1
+        avg, fired = self.avg, self.fired
+        bounds = [max(avg[0] * anomaly.FACTOR, anomaly.ERROR_FLOOR), max(avg[1] * anomaly.FACTOR, anomaly.LATENCY_FLOOR), anomaly.DROP]
+        values = [now[0], now[1], now[2] / avg[2] if avg[2] > 0 and now[2] is not None else None]
+        for i, kind in enumerate(anomaly.KINDS):
+            over = values[i] is not None and (values[i] < bounds[i] if i == 2 else values[i] > bounds[i])
+            if self.count >= anomaly.LEAST_CYCLES and avg[i] > 0 and over and fired[i] <= t - anomaly.COOLDOWN_SECONDS:
+                fired[i] = t
+                times = values[i] / bounds[i]
+                level = "medium" if i == 2 else "critical" if times > 5 else "high" if times > 3 else "medium" if times > 2 else "low"
+                yield kind, level, values[i], bounds[i], pd.Timestamp(t, unit="s")
+        self.avg = [a if v is None else a * (1 - anomaly.ALPHA) + v * anomaly.ALPHA for a, v in zip(avg, now, strict=True)]
+        self.count += 1
+
+    def _silence(self, until: float) -> Iterator[tuple]:
+        """The cycles after the last one that start before `until`, and in which nothing came."""
+        while self.length and self.count and self.silent < self.patience and self.last + self.length < until:
+            self.last, self.silent = self.last + self.length, self.silent + 1
+            yield from self._cycle(self.last, [None, None, 0.0])
+
+    def _done(self, key: Any, out: list[tuple]) -> pd.DataFrame:
+        self.state.update((self.count, *self.avg, *self.fired, self.last, self.silent))
+        if self.length and self.silent < self.patience:
+            self.handle.registerTimer(int((self.last + 2 * self.length) * 1000))  # when the next cycle has ended
+        return pd.DataFrame([(key[0], *x) for x in out], columns=_FOUND.names)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        self._load()
+        cycles = pd.concat(rows).sort_values("t")
+        at = cycles["t"].to_numpy("datetime64[us]").astype("int64") / 1e6
+        values = cycles[list(_VALUES)].to_numpy(float)
+        out: list[tuple] = []
+        for t, row in zip(at.tolist(), values.tolist(), strict=True):
+            out += self._silence(t)
+            self.last, self.silent = t, 0
+            out += self._cycle(t, [None if v != v else v for v in row])
+        yield self._done(key, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self._load()
+        out = list(self._silence(timerValues.getCurrentWatermarkInMs() / 1000 - self.length + 1e-6))  # cycles that have ended by the watermark
+        yield self._done(key, out)
 
     def close(self) -> None:
         pass
 
 
-def detect(cycles: DataFrame) -> DataFrame:
-    """Anomalies of a stream of cycles: service, t, error_rate, p99_ms, per_minute. Needs the RocksDB state store."""
-    return cycles.groupBy("service").transformWithStateInPandas(Detector(), outputStructType=_FOUND, outputMode="Append", timeMode="None")
+def detect(cycles: DataFrame, length: int | None = None, patience: int = anomaly.PATIENCE) -> DataFrame:
+    """Anomalies of a stream of cycles: service, t, error_rate, p99_ms, per_minute. Needs the RocksDB state store.
+
+    With a length, the seconds of a cycle, services that fall silent raise drops of traffic too; the stream must have a watermark on t.
+    """
+    return cycles.groupBy("service").transformWithStateInPandas(Detector(length, patience), outputStructType=_FOUND, outputMode="Append", timeMode="EventTime" if length else "None")

@@ -9,6 +9,9 @@ side is a maximal repeat within the part's reach, and all its occurrences are pu
 
 What to cut needs less: an occurrence within a longer one that is known adds nothing, so it is left out there.
 
+One scan serves two lengths: the anchor of the first min_len bytes of a longer string stands in it, so what surrounds anchors is taken
+min_len to the left and the longer length, the reach, to the right, and each repeat of either length lies within that.
+
 Equal texts are one text with a number of rows. A part with more than PART_ROWS occurrences is split by how far windows reach to the
 left: those that reach between a and b bytes share the a bytes before the anchor and what b leaves to the right of it, so the bytes
 there part it further, until each part has few enough different surroundings. At the end of this a and b are next to each other and
@@ -238,11 +241,14 @@ _OUT = [("repeat_id", pa.int64()), ("length", pa.int64()), ("k1", pa.int64()), (
 class Repeats:
     """The repeated passages of a table. With keep_first, the first occurrence of each, by row id, text hashes and place, is not one of its spans."""
 
-    def __init__(self, docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, keep_first: bool = False):
+    def __init__(self, docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, keep_first: bool = False, reach: int | None = None):
         if min_len < 8:
             raise ValueError("min_len must be 8 or more")
         spark = docs.sparkSession
         self.min_len, self.gram, self.keep_first, self.parts_of = min_len, min_len // 4, keep_first, PART_ROWS
+        #: The lengths of repeats that are told, longest first.
+        self.lengths = sorted({reach or min_len, min_len}, reverse=True)
+        self.reach = self.lengths[0]
         common.small_batches(spark)
         text, keys = _keyed(docs, id_col, text_col)
         self.lying = docs.select(*keys[1:], text.alias("text"))
@@ -299,7 +305,7 @@ class Repeats:
 
     def _contexts(self) -> DataFrame:
         """h, k1, k2, first_id, at, before and after: a row for each anchor of a text and what surrounds it, with all its places there."""
-        min_len, gram = self.min_len, self.gram
+        min_len, gram, reach = self.min_len, self.gram, self.reach
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
         names = ["h", *_KEY, "first_id", "at", "before", "after"]
 
@@ -312,7 +318,7 @@ class Repeats:
                 for k1, k2, first_id, text, places in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "first_id")), _utf8(batch), batch.column("places").to_pylist(), strict=True):
                     own: dict[tuple, list[int]] = {}
                     for p in places:
-                        own.setdefault((p["h"], *_around(text, p["place"], min_len, gram)), []).append(p["place"])
+                        own.setdefault((p["h"], *_around(text, p["place"], min_len, gram, reach)), []).append(p["place"])
                     for (h, before, after), at in own.items():
                         for o, x in zip(out, (h, k1, k2, first_id, at, before, after), strict=True):
                             o.append(x)
@@ -325,7 +331,7 @@ class Repeats:
 
     def _surroundings(self) -> DataFrame:
         """h, k1, k2, first_id, place, before and after of the anchors that are too many for one scan, from the texts where they lie."""
-        min_len, gram, hot = self.min_len, self.gram, np.array(self.frequent, np.int64)
+        min_len, gram, reach, hot = self.min_len, self.gram, self.reach, np.array(self.frequent, np.int64)
         kinds = [("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("row_id", pa.int64()), ("place", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]
 
         def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +350,7 @@ class Repeats:
                     h = h.view(np.int64)
                     at = np.flatnonzero(np.isin(h, hot))
                     for t, x, p in zip(text[at].tolist(), h[at].tolist(), place[at].tolist(), strict=True):
-                        out.append((x, *rows[fresh[t]], p, *_around(texts[t], p, min_len, gram)))
+                        out.append((x, *rows[fresh[t]], p, *_around(texts[t], p, min_len, gram, reach)))
                         if len(out) >= 4096:
                             yield _batch(out, kinds)
                             out = []
@@ -377,18 +383,23 @@ class Repeats:
 
         n = common.partitions(self.rows.sparkSession)
         found = self._contexts().repartition(n, "h").sortWithinPartitions("h").mapInArrow(scan, "repeat_id long, length long, k1 long, k2 long, starts array<int>")
-        return found.unionByName(self._scanned_apart(everything)) if self.hot else found
+        if not self.hot:
+            return found
+        whole = common.written(self._surroundings(), "surroundings")
+        for length in self.lengths:
+            found = found.unionByName(self._scanned_apart(whole, length, everything))
+        return found
 
-    def _split(self) -> tuple[DataFrame, DataFrame]:
-        """The anchors that are too many for one scan, in parts: where what surrounds them is, and each of a part's surroundings once.
+    def _split(self, whole: DataFrame, min_len: int) -> tuple[DataFrame, DataFrame]:
+        """The anchors that are too many for one scan, in parts for windows of min_len bytes: where what surrounds them is, and each of a part's surroundings once.
 
         A part is what windows share that reach from a to b - 1 bytes left of the anchor; ctx and ctx2, two hashes, tell its surroundings
         apart, cut to what such windows cover. What occurs once in a part is in no repeat there and goes. Where: part, ctx, ctx2, a, b, k1,
         k2, first_id, place. Surroundings: part, ctx, ctx2, n, first, before and after.
         """
-        min_len, top, spark = self.min_len, self.min_len - self.gram + 1, self.rows.sparkSession
+        top, spark = self.min_len - self.gram + 1, self.rows.sparkSession
         own = ["h", *_KEY, "first_id", "place", "before", "after"]
-        whole = level = common.written(self._surroundings(), "surroundings")
+        level = whole
         ranges, done = level.select(*own, F.lit(0).alias("a"), F.lit(top).alias("b")), []
         while True:
             half = F.expr("array(struct(a, (a + b) DIV 2 AS b), struct((a + b) DIV 2 AS a, b))")
@@ -418,10 +429,10 @@ class Repeats:
         cut = {"before": F.expr("substring(before, 1, b - 1)"), "after": F.expr(f"substring(after, 1, {min_len} - a)")}
         return where, found.withColumns(cut).select("part", "ctx", "ctx2", "n", "first", "before", "after")
 
-    def _scanned_apart(self, everything: bool) -> DataFrame:
+    def _scanned_apart(self, whole: DataFrame, min_len: int, everything: bool) -> DataFrame:
         """_scanned for anchors that are too many for one scan: each part's surroundings are scanned once each, then joined to where they occur."""
-        min_len, keep = self.min_len, self.keep_first and not everything
-        where, contexts = self._split()
+        keep = self.keep_first and not everything
+        where, contexts = self._split(whole, min_len)
         out_kinds = [("part", pa.int64()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("repeat_id", pa.int64()), ("length", pa.int64()), ("left", pa.int32()), *((f"kept_{c}", pa.int64()) for c in ("first_id", *_KEY, "place"))]
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,12 +457,12 @@ class Repeats:
         return there.groupBy("repeat_id", "length", *_KEY).agg(F.collect_set((F.col("place") - F.col("left")).cast("int")).alias("starts"))
 
     def apply(self, fields: str, digest) -> DataFrame:
-        """doc_id and digest(text, spans) of each row, as fields. spans: the covered bytes' maximal runs, as an array of starts and ends.
+        """doc_id and digest(text, spans) of each row, as fields. spans: for each of the lengths the covered bytes' maximal runs, as an array of starts and ends.
 
         A text that several rows have is covered in all of them, or in all but those of its smallest id with keep_first, if it has min_len bytes.
         """
         per_text = self._scanned(False).groupBy(*_KEY).agg(F.collect_set(F.struct("length", "starts")).alias("found"))  # a text's own
-        min_len, keep_first = self.min_len, self.keep_first
+        lengths, keep_first = self.lengths, self.keep_first
         columns = [f.split() for f in fields.split(", ")]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,10 +471,10 @@ class Repeats:
                     continue
                 own, copied = [], []
                 for text, copies, found in zip(_utf8(batch), *(batch.column(c).to_pylist() for c in ("copies", "found")), strict=True):
-                    spans = runs(len(text), found or [])
-                    all_of = np.array([[0, len(text)]]) if copies > 1 and len(text) >= min_len else spans
-                    own.append(digest(text, spans if keep_first else all_of))
-                    copied.append(digest(text, all_of) if keep_first and copies > 1 else dict.fromkeys(own[-1]))
+                    spans = [runs(len(text), [x for x in found or [] if x["length"] >= n]) for n in lengths]
+                    all_of = [np.array([[0, len(text)]]) if copies > 1 and len(text) >= n else of for n, of in zip(lengths, spans, strict=True)]
+                    own.append(digest(text, *(spans if keep_first else all_of)))
+                    copied.append(digest(text, *all_of) if keep_first and copies > 1 else dict.fromkeys(own[-1]))
                 yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in (*_KEY, "first_id")}, **{f"{p}_{c}": [r[c] for r in of] for p, of in (("own", own), ("copy", copied)) for c, _ in columns}}, schema)
 
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -474,9 +485,9 @@ class Repeats:
         return self.rows.join(digests, _KEY).select("doc_id", *out, *(["row"] if "row" in self.rows.columns else []))
 
 
-def _around(text: bytes, at: int, min_len: int, gram: int) -> tuple[bytes, bytes]:
+def _around(text: bytes, at: int, min_len: int, gram: int, reach: int) -> tuple[bytes, bytes]:
     """What stands left of an anchor, reversed, and what stands from it on."""
-    return text[max(0, at - min_len + gram) : at][::-1], text[at : at + min_len]
+    return text[max(0, at - min_len + gram) : at][::-1], text[at : at + reach]
 
 
 def _name(context: tuple[bytes, bytes], left: int, right: int) -> int:
@@ -521,14 +532,22 @@ def dedup(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col:
     return Repeats(docs, min_len, id_col, text_col).apply("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string", digest)
 
 
-def digests(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """dedup without the kept bytes themselves, which then never leave the Python worker."""
+def digests(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", shorter: int | None = None) -> DataFrame:
+    """dedup without the kept bytes themselves, which then never leave the Python worker.
 
-    def digest(text: bytes, spans: np.ndarray) -> dict:
+    With `shorter`, a smaller length, also n_repeated and n_repeated_spans: the bytes, and their maximal runs, that repeats of that
+    length or more cover. They stay, and come out of the same scan.
+    """
+
+    def digest(text: bytes, spans: np.ndarray, more: np.ndarray | None = None) -> dict:
         kept = without(text, spans) if len(spans) else text
-        return {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        out = {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        return out if more is None else out | {"n_repeated": int((more[:, 1] - more[:, 0]).sum()), "n_repeated_spans": len(more)}
 
-    return Repeats(docs, min_len, id_col, text_col).apply("n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
+    if shorter is not None and not 8 <= shorter < min_len:
+        raise ValueError("shorter must be below min_len and 8 or more")
+    found = Repeats(docs, shorter or min_len, id_col, text_col, reach=min_len)
+    return found.apply("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_repeated long, n_repeated_spans long" if shorter else ""), digest)
 
 
 def cleaned(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", keep_first: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import ast
 import hashlib
 import os
 import random
@@ -160,6 +161,34 @@ def test_hot_repeats(docs, monkeypatch):
     assert sorted(str(tuple(r)) for r in got) == brute_repeats([(i, t.encode()) for i, t in pairs(docs)], 40)
 
 
+def overlapping(spark):
+    """Texts that share passages about as long as both lengths, many of them by frequent anchors, and by parts of each other."""
+    r = random.Random(9)
+    some = lambda n: "".join(r.choices("abcdé ", k=n))
+    base = some(120)
+    rows = [(i, some(r.randint(0, 60)) + base[r.randint(0, 60) : r.randint(60, 120)] + some(r.randint(0, 60))) for i in range(60)]
+    rows += [(100 + i, base[: r.randint(30, 90)] * r.randint(1, 3) + some(20)) for i in range(20)] + [(200, base), (201, base), (202, base[:30]), (203, base[:30]), (None, None), (204, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("rows", [suffixes.PART_ROWS, 40, 8, 2])
+@pytest.mark.parametrize("shorter", [24, 39, 8])
+def test_two_lengths_of_one_scan(spark, docs, monkeypatch, rows, shorter):
+    monkeypatch.setattr(suffixes, "PART_ROWS", rows)
+    for df in (overlapping(spark), docs):
+        texts = [(i, t.encode()) for i, t in pairs(df)]
+        got = suffixes.digests(df, 40, shorter=shorter).collect()
+        assert sorted(str(tuple(r)[:5]) for r in got) == brute_repeats(texts, 40)
+        want = sorted((str(i), n, gone, spans) for i, n, gone, spans in ((x[0], *x[1:4]) for x in map(ast.literal_eval, brute_repeats(texts, shorter))))
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_repeated, r.n_repeated_spans) for r in got) == want
+
+
+def test_lengths_that_can_not_be(docs):
+    for shorter in (40, 50, 7):
+        with pytest.raises(ValueError):
+            suffixes.digests(docs, 40, shorter=shorter)
+
+
 def shuffled(spark, make):
     """Bytes that Spark's exchanges write while make() runs, and what it gives."""
     context = spark.sparkContext._jsc.sc()

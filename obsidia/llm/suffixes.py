@@ -27,6 +27,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -277,13 +279,14 @@ class Repeats:
         twice = F.expr("min_k1 <> max_k1 OR min_k2 <> max_k2 OR min_place <> max_place")  # copies of one text are one occurrence
         found = counted = common.written(anchors.groupBy("h").agg(F.count("*").alias("n"), *ends).where("n > 1").where(twice).select("h", "n"), "repeated")
         many = found.where(F.col("n") > self.parts_of).select("h")
-        self.frequent: list[int] = []  # at most one in parts_of places
+        self.hot = False
         if not many.isEmpty():
-            many = anchors.join(F.broadcast(many), "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") > self.parts_of)
-            self.frequent = sorted(r.h for r in many.select("h").collect())
-        self.hot = bool(self.frequent)
+            many = anchors.join(many, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") > self.parts_of)
+            #: Anchors that are too many for one scan, in the shared folder: at most one in parts_of places.
+            self.frequent = common.written(many.select("h"), "frequent")
+            self.hot = not self.frequent.isEmpty()
         if self.hot:
-            found = found.join(F.broadcast(spark.createDataFrame([(h,) for h in self.frequent], "h long")), "h", "left_anti")
+            found = found.join(self.frequent, "h", "left_anti")
         there = anchors.join(found.select("h"), "h")
         self.places = common.written(there.groupBy(*_KEY).agg(F.collect_set(F.struct("place", "h")).alias("places")), "places")  # a text's own, bounded by its length
         for done in (anchors, counted):
@@ -331,11 +334,12 @@ class Repeats:
 
     def _surroundings(self) -> DataFrame:
         """h, k1, k2, first_id, place, before and after of the anchors that are too many for one scan, from the texts where they lie."""
-        min_len, gram, reach, hot = self.min_len, self.gram, self.reach, np.array(self.frequent, np.int64)
+        min_len, gram, reach, frequent = self.min_len, self.gram, self.reach, self.frequent.written_to
         kinds = [("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("row_id", pa.int64()), ("place", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]
 
         def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least: dict[tuple[int, int], int] = {}
+            hot = _column(frequent, "h")
             for batch in batches:
                 rows = list(zip(*(batch.column(c).to_pylist() for c in (*_KEY, "row_id")), strict=True))
                 fresh = []
@@ -348,7 +352,7 @@ class Repeats:
                 texts, out = _utf8(batch.take(pa.array(fresh, pa.int64()))), []
                 for text, h, place, *_ in anchors_of(texts, min_len, gram):
                     h = h.view(np.int64)
-                    at = np.flatnonzero(np.isin(h, hot))
+                    at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
                     for t, x, p in zip(text[at].tolist(), h[at].tolist(), place[at].tolist(), strict=True):
                         out.append((x, *rows[fresh[t]], p, *_around(texts[t], p, min_len, gram, reach)))
                         if len(out) >= 4096:
@@ -415,7 +419,7 @@ class Repeats:
             many = sizes.where("many").select("part")  # at most one in parts_of rows
             last = level
             if split := not many.isEmpty():
-                level = common.written(cut.join(F.broadcast(many), "part").select(*own, "a", "b"), "level")
+                level = common.written(cut.join(many, "part").select(*own, "a", "b"), "level")
                 ranges = level
             if last is not whole:
                 common.discard(last)
@@ -485,6 +489,17 @@ class Repeats:
         return self.rows.join(digests, _KEY).select("doc_id", *out, *(["row"] if "row" in self.rows.columns else []))
 
 
+def _column(path: str, name: str) -> np.ndarray:
+    """A column of a table that a task reads for itself, sorted."""
+    fs, folder = pafs.FileSystem.from_uri(path)
+    parts = []
+    for info in fs.get_file_info(pafs.FileSelector(folder)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                parts.append(pq.read_table(f, columns=[name]).column(name).to_numpy())
+    return np.sort(np.concatenate(parts))
+
+
 def _around(text: bytes, at: int, min_len: int, gram: int, reach: int) -> tuple[bytes, bytes]:
     """What stands left of an anchor, reversed, and what stands from it on."""
     return text[max(0, at - min_len + gram) : at][::-1], text[at : at + reach]

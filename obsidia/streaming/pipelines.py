@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -72,18 +72,53 @@ def ingest_stats(spark: SparkSession, root: str) -> DataFrame:
     return counts.groupBy("format").agg(F.sum("payloads").alias("payloads"), F.sum("rejects").alias("rejects"), F.sum("undated").alias("undated"), F.count("*").alias("batches"))
 
 
+def _by_value(spans: DataFrame, length: str, watermark: str) -> DataFrame:
+    """w, service, duration_us, n and e: the spans of each closed window, counted by value."""
+    grouped = spans.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", length).alias("w"), "service", "duration_us")
+    return grouped.agg(F.count("*").alias("n"), errors().alias("e"))
+
+
+def _ms(share: float) -> Column:
+    """An exact percentile of counted values, in thousandths."""
+    return F.percentile("duration_us", share, F.col("n")) / 1000
+
+
 def stream_cycles(spans: DataFrame, length: str = "10 seconds", minutes: float = 1 / 6, watermark: str = WATERMARK) -> DataFrame:
-    """What detect() reads, from a stream of spans: service, t, error_rate, p99_ms and per_minute of each closed window. p99 is approximate."""
-    grouped = spans.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", length).alias("w"), "service")
-    out = grouped.agg(F.count("*").alias("total"), errors().alias("errors"), (F.percentile_approx("duration_us", 0.99, 10_000) / 1000).alias("p99_ms"))
-    return out.select("service", F.col("w.start").alias("t"), ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p99_ms", (F.col("total") / minutes).alias("per_minute"))
+    """What detect() reads, from a stream of spans: service, t, error_rate, p99_ms and per_minute of each closed window, as anomaly.cycles() gives them.
+
+    Spans are counted by window and value first, and a window's counts go on to its percentile when it is closed; closed_at is its last
+    moment, by which what follows knows how far time has come.
+    """
+    out = _by_value(spans, length, watermark).groupBy("w", "service").agg(F.sum("n").alias("total"), F.sum("e").alias("errors"), _ms(0.99).alias("p99_ms"))
+    return out.select("service", F.col("w.start").alias("t"), ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p99_ms", (F.col("total") / minutes).alias("per_minute"), F.window_time("w").alias("closed_at"))
 
 
 def windowed_health(spans: DataFrame, window: str = "5 minutes", slide: str = "10 seconds", watermark: str = WATERMARK) -> DataFrame:
-    """Counts, errors and percentiles in sliding windows, put out when a window is closed. timestamp must be a TIMESTAMP."""
-    grouped = spans.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", window, slide).alias("w"), "service")
-    out = grouped.agg(F.count("*").alias("total"), errors().alias("errors"), (F.percentile_approx("duration_us", 0.5, 10_000) / 1000).alias("p50_ms"), (F.percentile_approx("duration_us", 0.99, 10_000) / 1000).alias("p99_ms"))
-    return out.select(F.col("w.start").alias("window_start"), "service", "total", "errors", ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p50_ms", "p99_ms")
+    """health.sliding_health on a stream: counts, errors and exact percentiles in sliding windows, put out when a window is closed.
+
+    A window is a whole number of slides, and spans are counted by slide and value before they go to the windows. timestamp must be a TIMESTAMP.
+    """
+    panes = _by_value(spans, slide, watermark)
+    out = panes.groupBy(F.window(F.window_time("w"), window, slide).alias("of"), "service").agg(F.sum("n").alias("total"), F.sum("e").alias("errors"), _ms(0.5).alias("p50_ms"), _ms(0.99).alias("p99_ms"))
+    return out.select(F.col("of.start").alias("window_start"), "service", "total", "errors", ratio(F.col("errors"), F.col("total")).alias("error_rate"), "p50_ms", "p99_ms")
+
+
+def stream_calls(spans: DataFrame, apart: str = "10 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """topology.calls on a stream: a row a matched child, with called_at, its time. Either may come first.
+
+    A child and its parent begin at most `apart` from each other; each is kept until the other can't come any more. timestamp must be a TIMESTAMP.
+    """
+    timed = spans.withWatermark("timestamp", watermark)
+    p = timed.where("span_id IS NOT NULL").select(F.col("span_id").alias("id"), F.col("service").alias("caller"), F.col("status").alias("caller_status"), F.col("timestamp").alias("caller_at"))
+    c = timed.where("parent_span_id IS NOT NULL").select(F.col("parent_span_id").alias("of"), F.col("service").alias("callee"), F.col("status").alias("callee_status"), F.col("duration_us").alias("callee_us"), F.col("timestamp").alias("called_at"))
+    near = F.expr(f"of = id AND called_at >= caller_at - INTERVAL {apart} AND called_at <= caller_at + INTERVAL {apart}")
+    return c.join(p, near).select("caller", "caller_status", "callee", "callee_status", "callee_us", "called_at")
+
+
+def stream_edges(spans: DataFrame, window: str = "1 hour", apart: str = "10 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """Calls and failed calls between different services in windows of one length, put out when a window is closed."""
+    grouped = stream_calls(spans, apart, watermark).where("caller <> callee").groupBy(F.window("called_at", window).alias("w"), "caller", "callee")
+    return grouped.agg(F.count("*").alias("calls"), errors("callee_status").alias("errors")).select(F.col("w.start").alias("window_start"), "caller", "callee", "calls", "errors")
 
 
 _FOUND = T.StructType([T.StructField("service", T.StringType()), T.StructField("anomaly_type", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("detected_at", T.TimestampType())])

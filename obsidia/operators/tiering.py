@@ -15,8 +15,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,7 +171,7 @@ def due(spark: SparkSession, path: str, as_of: datetime, plan: str | None = None
     rows = spark.read.parquet(path).where(latest[0] | latest[1] | old).withColumn("file", F.col("_metadata.file_path"))
     kept = F.col("timestamp") >= _at(as_of, retention_days(plan) * 86400)
     moved = assigned(rows.withColumnRenamed("tier", "was"), as_of).where((F.col("was") != F.col("tier")) | ~kept)
-    return sorted(r.file for r in moved.select("file").distinct().collect())  # names of files, not rows
+    return sorted(unquote(r.file) for r in moved.select("file").distinct().collect())  # names of files, not rows; Spark gives them quoted
 
 
 def run(spark: SparkSession, path: str, as_of: datetime, plan: str | None = None) -> DataFrame:
@@ -221,10 +226,46 @@ def read(spark: SparkSession, path: str, start: datetime | None = None, end: dat
 
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
-    """tier, rows and the bytes of its files."""
-    files = spark.read.parquet(path).select("tier", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-    by_file = files.groupBy("tier", "file").agg(F.count("*").alias("rows"), F.max("size").alias("size"))
-    return by_file.groupBy("tier").agg(F.sum("rows").alias("rows"), F.sum("size").alias("bytes"))
+    """tier, rows and the bytes of its files, from their footers."""
+    return footers(spark, path).groupBy("tier").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
+_FOOTER = "tier string, file string, rows long, bytes long, packed long, unpacked long, oldest timestamp_ntz, newest timestamp_ntz"
+
+
+def footers(spark: SparkSession, path: str, column: str = "timestamp") -> DataFrame:
+    """A row a file: tier, file, rows, bytes, bytes of its columns packed and unpacked, and the oldest and newest of a column.
+
+    From the files' footers, which tasks read, a file each; no page of data is. Where a footer has no bounds, as of empty files and of
+    columns that are all null, they are null. Files of a move that is not in place yet are not among them.
+    """
+    named = spark.read.parquet(path).select("tier", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()  # no column of data: rows are counted by footers
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for tier, file, size in zip(*(batch.column(c).to_pylist() for c in ("tier", "file", "bytes")), strict=True):
+                fs, at = pafs.FileSystem.from_uri(file)
+                with fs.open_input_file(at) as f:
+                    meta = pq.read_metadata(f)
+                groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+                columns = [g.column(i) for g in groups for i in range(g.num_columns)]
+                stats = [c.statistics for c in columns if c.path_in_schema == column and c.statistics is not None and c.statistics.has_min_max]
+                bounds = (min(x.min for x in stats), max(x.max for x in stats)) if stats and isinstance(stats[0].min, datetime) else (None, None)
+                out.append((tier, file, meta.num_rows, size, sum(c.total_compressed_size for c in columns), sum(c.total_uncompressed_size for c in columns), *bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(_KINDS), _KINDS.values(), strict=True)], list(_KINDS))
+
+    return named.mapInArrow(read, _FOOTER)
+
+
+_KINDS = {"tier": pa.string(), "file": pa.string(), "rows": pa.int64(), "bytes": pa.int64(), "packed": pa.int64(), "unpacked": pa.int64(), "oldest": pa.timestamp("us"), "newest": pa.timestamp("us")}
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """tier, files, rows, bytes, packed, unpacked, saved_percent, oldest and newest of a table, from its files' footers."""
+    sums = [F.sum(c).alias(c) for c in ("rows", "bytes", "packed", "unpacked")]
+    grouped = footers(spark, path).groupBy("tier").agg(F.count("*").alias("files"), *sums, F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+    return grouped.withColumn("saved_percent", F.when(F.col("unpacked") > 0, (1 - F.col("packed") / F.col("unpacked")) * 100).otherwise(0.0))
 
 
 def tier_stats(tables: dict[str, DataFrame]) -> DataFrame:

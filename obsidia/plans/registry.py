@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsidia import views
+from obsidia import shared, views
 from obsidia.functions import redact
 from obsidia.operators import anomaly, context, events, health, incidents, intervals, templates, tiering, topology
 from obsidia.plans import catalog, payloads
@@ -501,6 +501,19 @@ def tier_stats(spans: DataFrame, logs: DataFrame, metrics: DataFrame) -> DataFra
     return tiering.tier_stats({k: tiering.assigned(v, AS_OF) for k, v in (("spans", spans), ("logs", logs), ("metrics", metrics))})
 
 
+def stored_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans written to storage and aged: what the files of each tier say of themselves."""
+    path = shared.path(spark, "spans")
+    tiering.append(views.load(spark, sf_dir, "spans_events"), path)
+    tiering.run(spark, path, AS_OF)
+    return tiering.stored(spark, path).select("tier", "rows", "oldest", "newest", ((F.col("packed") > 0) & (F.col("packed") <= F.col("bytes")) & (F.col("packed") < F.col("unpacked"))).alias("smaller"))
+
+
+_queries["stored_tiers"] = stored_tiers
+_sql["stored_tiers"] = f"""{views.oracle('spans_events')} SELECT tier, count(*) AS rows, min(timestamp) AS oldest, max(timestamp) AS newest, true AS smaller FROM (
+  SELECT timestamp, CASE WHEN timestamp < TIMESTAMP '2024-01-23' THEN 'cold' WHEN timestamp < TIMESTAMP '2024-01-29 23:00:00' THEN 'warm' ELSE 'hot' END AS tier FROM spans_events) GROUP BY tier"""
+
+
 @query("SELECT data_type, count(*) AS blocks, CAST(sum(b) AS BIGINT) AS original, CAST(sum(a) AS BIGINT) AS compressed, round(avg(b / a), 6) AS avg_ratio, round((1 - sum(a) / sum(b)) * 100, 6) AS saved_percent FROM (SELECT operation AS data_type, duration_us + 10 AS b, 5 + duration_us // 4 AS a FROM spans_events) GROUP BY ROLLUP (data_type)", "spans_events")
 def block_stats(spans: DataFrame) -> DataFrame:
     """Blocks of known sizes, made from spans."""

@@ -110,3 +110,20 @@ def test_a_busy_service_is_many_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len([f for f in os.listdir(tmp_path / "t" / "tier=hot" / "date=2024-01-05") if f.endswith(".parquet")]) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_footers(spark, tmp_path):
+    """Rows, bytes and bounds of each file are those of its rows, without their pages."""
+    rows = [(T0 - timedelta(hours=3 * h), f"s{h % 3}", None if h == 5 else float(h)) for h in range(200)]
+    tiering.append(spark.createDataFrame(rows, "timestamp timestamp_ntz, service string, value double"), str(tmp_path / "t t"))
+    tiering.run(spark, str(tmp_path / "t t"), T0)
+    whole = tiering.read(spark, str(tmp_path / "t t"))
+    got = {r.tier: r for r in tiering.stored(spark, str(tmp_path / "t t")).collect()}
+    for tier in ("hot", "warm", "cold"):
+        own = sorted(r.timestamp for r in whole.where(f"tier = '{tier}'").collect())
+        assert (got[tier].rows, got[tier].oldest, got[tier].newest) == (len(own), own[0], own[-1])
+        files = [p for p in (tmp_path / "t t" / f"tier={tier}").rglob("*.parquet")]
+        assert (got[tier].files, got[tier].bytes) == (len(files), sum(p.stat().st_size for p in files))
+        assert 0 < got[tier].packed < got[tier].bytes
+    values = tiering.footers(spark, str(tmp_path / "t t"), "service").collect()
+    assert all(r.rows > 0 for r in values)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsidia import schemas
-from obsidia.sources import router
+from obsidia.sources import binary, router
 
 #: What payloads and rows are made of: id, ts, came (when the payload was received), kind, value, usr, svc (null in one of ten), odd, us, msg, dur.
 _EVENTS = """SELECT event_id AS id, ts, ts + INTERVAL 1 HOUR AS came, event_type AS kind, value, user_id AS usr, CASE WHEN event_id % 10 = 7 THEN NULL ELSE concat('svc-', user_id % 8) END AS svc, event_id % 10 AS odd,
@@ -177,3 +177,31 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detected_sql() -> str:
     values = ", ".join(f"({i}, {_quoted(x[-1])})" for i, x in enumerate(UNNAMED))
     return f"SELECT event_id, format FROM events JOIN (VALUES {values}) v(i, format) ON event_id % {len(UNNAMED)} = i"
+
+
+_PROTO_SPANS = """SELECT ts AS timestamp, lpad(lower(hex(event_id DIV 10)), 32, '0') AS trace_id, lpad(lower(hex(event_id)), 16, '0') AS span_id, CASE WHEN event_id % 10 <> 0 THEN lpad(lower(hex(event_id - 1)), 16, '0') END AS parent_span_id,
+  concat('svc-', user_id % 8) AS service, event_type AS operation, CAST(round(value * 1000) AS BIGINT) AS duration_us, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status, map('user', CAST(user_id AS STRING)) AS tags FROM {events}"""
+
+
+def _sent(data: DataFrame, path: str) -> DataFrame:
+    given = {"path": F.lit(path), "content_type": F.lit("application/x-protobuf"), "received_at": F.lit("2024-02-01 00:00:00"), "data": F.col("data")}
+    return data.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.RAW_BINARY])
+
+
+def parse_otlp_proto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as spans in OTLP's binary requests, through the router, back as spans."""
+    spans = spark.sql(_PROTO_SPANS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return shown(router.core(_sent(binary.export_spans(spans), "/v1/traces"), "spans"))
+
+
+def parse_remote_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as samples in packed remote write requests, through the router, back as metrics."""
+    metrics = spark.sql("SELECT ts AS timestamp, concat('svc-', user_id % 8) AS service, event_type AS name, value, map('user', CAST(user_id AS STRING)) AS tags FROM {events}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return shown(router.core(_sent(binary.export_samples(metrics), "/api/v1/write"), "metrics"))
+
+
+BINARY_SQL = {
+    "parse_otlp_proto": """SELECT ts AS timestamp, printf('%032x', event_id // 10) AS trace_id, printf('%016x', event_id) AS span_id, CASE WHEN event_id % 10 <> 0 THEN printf('%016x', event_id - 1) END AS parent_span_id,
+      'svc-' || (user_id % 8) AS service, event_type AS operation, CAST(round(value * 1000) AS BIGINT) AS duration_us, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status, 'user=' || user_id AS tags FROM events""",
+    "parse_remote_write": "SELECT date_trunc('millisecond', ts) AS timestamp, 'svc-' || (user_id % 8) AS service, event_type AS name, value, 'service=svc-' || (user_id % 8) || ',user=' || user_id AS tags FROM events",
+}

@@ -694,6 +694,9 @@ def _parse(name: str) -> Query:
 for _name in payloads.PAYLOADS:
     _queries[f"parse_{_name}"] = _parse(_name)
     _sql[f"parse_{_name}"] = payloads.rows_sql(_name)
+for _f in (payloads.parse_otlp_proto, payloads.parse_remote_write):
+    _queries[_f.__name__] = _f
+_sql |= payloads.BINARY_SQL
 _queries["detect_format"] = payloads.detected
 _sql["detect_format"] = payloads.detected_sql()
 

@@ -23,5 +23,7 @@ INCIDENTS = _table(
 )
 #: What sources read: a payload, where it was sent, what sent it, and when it came.
 RAW = _table(body=T.StringType(), path=T.StringType(), sender=T.StringType(), content_type=T.StringType(), received_at=T.TimestampNTZType())
+#: The same with bodies of bytes beside those of text.
+RAW_BINARY = T.StructType([*RAW.fields, T.StructField("data", T.BinaryType(), True)])
 
 TABLES = {"spans": SPANS, "logs": LOGS, "metrics": METRICS}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsidia import schemas, shared
+from obsidia.sources import binary
 from obsidia.sources.parsers import FORMATS, whole_json
 
 # Paths that belong to one format, as vendors' senders use them; /td-agent is the path of a fluentd distribution of that name.
@@ -62,7 +63,11 @@ def routed(raw: DataFrame) -> DataFrame:
     path = F.coalesce("path", F.lit(""))
     exact = F.create_map(*[F.lit(x) for pair in ROUTES.items() for x in pair])[path]
     by_prefix = reduce(lambda out, pair: out.when(path.startswith(pair[0]), pair[1]), PREFIXES.items(), F)
-    return raw.withColumn("format", F.coalesce(exact, by_prefix, detected()))
+    named = F.coalesce(exact, by_prefix, detected())
+    if "data" in raw.columns:  # bodies of bytes are told by what they are sent as
+        proto = F.col("data").isNotNull() & F.coalesce("content_type", F.lit("")).contains("protobuf")
+        named = F.when(proto & (named == "prometheus"), "remote_write").when(proto & (named == "otlp"), "otlp_proto").otherwise(named)
+    return raw.withColumn("format", named)
 
 
 def kept(raw: DataFrame) -> DataFrame:
@@ -84,6 +89,8 @@ def core(raw: DataFrame, table: str, formats: Collection[str] | None = None) ->
         named = kept(raw)
         formats = present(named)
     parts = [parse(named.where(F.col("format") == name)) for name, tables in FORMATS.items() for t, parse in tables.items() if t == table and (formats is None or name in formats)]
+    if "data" in named.columns:
+        parts += [binary.parse(named.where(F.col("format") == name), name) for name, (t, _) in binary.BINARY.items() if t == table and (formats is None or name in formats)]
     nothing = raw.sparkSession.createDataFrame([], schemas.TABLES[table])
     return reduce(DataFrame.unionByName, parts) if parts else nothing
 
@@ -98,9 +105,11 @@ LINE_FORMATS = ("prometheus", "influx", "graphite", "statsd", "syslog", "dynatra
 
 def rejected() -> Column:
     """Of a routed payload, whether it should be JSON and is not."""
-    return ~F.col("format").isin(*LINE_FORMATS) & ~F.coalesce(whole_json(F.col("body")), F.lit(False))
+    return ~F.col("format").isin(*LINE_FORMATS, *binary.BINARY) & ~F.coalesce(whole_json(F.col("body")), F.lit(False))
 
 
 def rejects(raw: DataFrame) -> DataFrame:
-    """Payloads of JSON formats that are no JSON. Formats of lines skip bad lines instead."""
-    return routed(raw).where(rejected())
+    """Payloads of JSON formats that are no JSON, and of binary ones that are no message. Formats of lines skip bad lines instead."""
+    named = routed(raw)
+    bad = named.where(rejected())
+    return bad.unionByName(binary.broken(named)) if "data" in named.columns else bad

@@ -37,9 +37,10 @@ def broker(spark: SparkSession, servers: str, topic: str, rows_per_trigger: int
 
 
 def from_records(records: DataFrame) -> DataFrame:
-    """RAW rows of a broker's records: value, headers (array of key and value) and timestamp."""
+    """RAW_BINARY rows of a broker's records: value, headers (array of key and value) and timestamp. A value that is sent as protobuf is data and no text."""
     header = lambda k: F.get(F.filter("headers", lambda h: h["key"] == k), F.lit(0))["value"].cast("string")
-    return records.select(F.col("value").cast("string").alias("body"), header("path").alias("path"), header("sender").alias("sender"), header("content_type").alias("content_type"), F.col("timestamp").cast("timestamp_ntz").alias("received_at"))
+    proto = F.coalesce(header("content_type"), F.lit("")).contains("protobuf")
+    return records.select(F.when(~proto, F.col("value").cast("string")).alias("body"), header("path").alias("path"), header("sender").alias("sender"), header("content_type").alias("content_type"), F.col("timestamp").cast("timestamp_ntz").alias("received_at"), F.when(proto, F.col("value")).alias("data"))
 
 
 def take(batch: DataFrame, number: int, root: str, source: str) -> None:
@@ -54,8 +55,9 @@ def take(batch: DataFrame, number: int, root: str, source: str) -> None:
         formats = router.present(named)
         for table in schemas.TABLES:
             tiering.append_once(router.core(named, table, formats), f"{root}/{table}", source, number)
-        counts = named.groupBy("format").agg(F.count("*").alias("payloads"), F.count(F.when(router.rejected(), 1)).alias("rejects"), F.count(F.when(F.col("_undated"), 1)).alias("undated"))
-        counts.select(F.lit(number).cast("long").alias("batch"), "*").coalesce(1).write.mode("overwrite").parquet(f"{root}/counts/run={source}-{number}")
+        counts = named.groupBy("format").agg(F.count("*").alias("payloads"), F.count(F.when(F.col("_undated"), 1)).alias("undated"))
+        bad = router.rejects(named).groupBy("format").agg(F.count("*").alias("rejects"))
+        counts.join(bad, "format", "left").select(F.lit(number).cast("long").alias("batch"), "format", "payloads", F.coalesce("rejects", F.lit(0)).alias("rejects"), "undated").coalesce(1).write.mode("overwrite").parquet(f"{root}/counts/run={source}-{number}")
     finally:
         named.unpersist()
 

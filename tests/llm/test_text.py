@@ -495,3 +495,19 @@ def test_components_edges(spark, monkeypatch, few):
 def test_no_tokenizer_files_in_the_repository():
     for folder, _, names in os.walk(os.path.dirname(os.path.dirname(os.path.dirname(__file__)))):
         assert ".git" in folder or not [n for n in names if n.endswith((".model", ".tiktoken"))]
+
+
+def test_pieces_that_are_forgotten_and_texts_beyond_a_slice(docs, monkeypatch):
+    """With few chunks remembered and short slices, texts come out as the library has them."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "SLICE", 300)
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    r = random.Random(12)
+    texts = [t for _, t in pairs(docs)] + ["".join(r.choices(["a", "b ", "é", " ", "\n", "日本 ", "the ", "7", "  ", "▁", "\t"], k=r.randint(0, 250))) for _ in range(200)] + ["one two " * 200, "x" * 700]
+    path = tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    table = pieces.PrefixTable(path)
+    got = [(n, [int(x) for x in shown.split(b",") if x], plain.removeprefix(b" ").decode("utf-8", "replace")) for n, shown, plain in table.coded(texts)]
+    want = [(len(ids), ids, library.decode(ids)) for ids in map(library.encode, texts)]
+    assert got == want and len(table.known) <= 40

@@ -117,7 +117,7 @@ def redact_pairs(text: Column) -> Column:
 
 def redact_env(env: Column) -> Column:
     """Of a map: values of keys that sound secret, and values of over 20 characters without a space."""
-    secret = ["password", "secret", "token", "key", "credential", "auth"]
+    secret = ["password", "secret", "token", "key", "credential", "auth"]  # fixed values
 
     def value(k: Column, v: Column) -> Column:
         named = reduce(lambda a, b: a | b, [F.lower(k).contains(s) for s in secret])

@@ -98,6 +98,19 @@ def ensure_columns(df: DataFrame, wanted: T.StructType) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name not in df.columns])
 
 
+def ensure_table(spark: SparkSession, name: str, wanted: T.StructType) -> DataFrame:
+    """The table of the session's catalog, made if it is not there, with the columns that it lacks added at its end; rows from before have nulls there."""
+    quoted = ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+    if not spark.catalog.tableExists(quoted):
+        spark.createDataFrame([], wanted).write.format("parquet").saveAsTable(quoted)
+    there = {c.lower() for c in spark.table(quoted).columns}
+    missing = [f for f in wanted if f.name.lower() not in there]
+    if missing:
+        added = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in missing)
+        spark.sql(f"ALTER TABLE {quoted} ADD COLUMNS ({added})")
+    return spark.table(quoted)
+
+
 def printed(df: DataFrame, limit: int = 1000) -> str:
     """Rows with a header, parted by tabs, for a terminal; of more than limit rows the rest is named, not shown."""
     rows = df.limit(limit + 1).collect()

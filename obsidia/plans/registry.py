@@ -469,11 +469,11 @@ _sql["time_to_resolve"] = f"{_WITH_INCIDENTS} SELECT fingerprint, CAST(floor(coa
 _sql["incident_lookup"] = f"{_WITH_INCIDENTS} SELECT fingerprint, place, id, timestamp, fix_succeeded FROM ({_PLACED})"
 
 
-@query("SELECT service, name, date_trunc('day', timestamp) AS day, count(*) AS points, string_agg(CAST(round(value, 2) AS VARCHAR), ',' ORDER BY timestamp, value) AS series FROM metrics_events GROUP BY 1, 2, 3", "metrics_events")
+@query("SELECT service, name, date_trunc('day', timestamp) AS day, count(*) AS points, string_agg(CAST(value AS VARCHAR), ',' ORDER BY timestamp, value) AS series FROM metrics_events GROUP BY 1, 2, 3", "metrics_events")
 def series_points(metrics: DataFrame) -> DataFrame:
     """All points of each series, in order of time: a row a day, so no group holds more than a day."""
     points = F.sort_array(F.collect_list(F.struct("timestamp", "value")))
-    listed = F.array_join(F.transform(points, lambda p: F.round(p["value"], 2).cast("string")), ",")
+    listed = F.array_join(F.transform(points, lambda p: p["value"].cast("string")), ",")
     return metrics.groupBy("service", "name", F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("points"), listed.alias("series"))
 
 
@@ -556,9 +556,9 @@ def distinct_values(spans: DataFrame) -> DataFrame:
     return catalog.distinct_values(spans, "service")
 
 
-@query("SELECT 'spans' AS table, count(*) AS rows FROM spans_events UNION ALL SELECT 'logs', count(*) FROM logs_events", "spans_events", "logs_events")
-def table_counts(spans: DataFrame, logs: DataFrame) -> DataFrame:
-    return catalog.table_counts({"spans": spans, "logs": logs})
+@query("SELECT 'spans' AS table, count(*) AS rows FROM spans_events UNION ALL SELECT 'logs', count(*) FROM logs_events UNION ALL SELECT 'metrics', count(*) FROM metrics_events", "spans_events", "logs_events", "metrics_events")
+def table_counts(spans: DataFrame, logs: DataFrame, metrics: DataFrame) -> DataFrame:
+    return catalog.table_counts({"spans": spans, "logs": logs, "metrics": metrics})
 
 
 @query("SELECT service AS service_id, count(*) AS calls, round(avg(duration_us / 1000), 6) AS latency, count(*) FILTER (upper(status) = 'ERROR') AS bad FROM spans_events GROUP BY service", "spans_events")

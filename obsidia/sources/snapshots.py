@@ -212,6 +212,21 @@ def containers(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def containers_of(containers: DataFrame, service: str) -> DataFrame:
+    """Containers whose name holds the service's, whatever the case."""
+    return containers.where(F.contains(F.lower("name"), F.lit(service.lower())))
+
+
+#: Networks that every host has.
+OWN_NETWORKS = ("bridge", "host", "none")
+
+
+def networks(df: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each network of a listing of names, but those that every host has."""
+    name = F.trim(F.regexp_replace("l", r"^\s+|\s+$", ""))
+    return df.select(F.explode(F.split(text, "\n")).alias("l")).select(name.alias("network")).where((F.col("network") != "") & ~F.col("network").isin(*OWN_NETWORKS))
+
+
 _INSPECTED = "struct<Id:string,Name:string,RestartCount:int,State:struct<Status:string,RestartCount:int,StartedAt:string,Health:struct<Status:string>>,HostConfig:struct<Memory:bigint>,Config:struct<Env:array<string>>>"
 
 
@@ -248,7 +263,7 @@ def quantity(text: Column) -> Column:
 
 
 def store_kind(service: Column) -> Column:
-    """The database or cache that a name speaks of, else an empty string."""
+    """The database or cache that a name speaks of, else an empty string. What names it is fixed, and so is the order."""
     name = F.lower(service)
     return (
         F.when(name.contains("postgres") | name.contains("pg"), "postgres").when(name.contains("mysql") | name.contains("mariadb"), "mysql").when(name.contains("mongo"), "mongodb")

@@ -300,3 +300,15 @@ def test_thresholds_of_levels(spark):
 
 def test_printed_names_what_it_leaves_out(spark):
     assert catalog.printed(spark.range(5), 2) == "id\n0\n1\n..." and catalog.printed(spark.range(2), 2) == "id\n0\n1"
+
+
+def test_tables_are_made_and_grow(spark):
+    name = "grown"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    first = catalog.ensure_table(spark, name, schemas.METRICS)
+    assert first.schema.names == schemas.METRICS.names and first.count() == 0
+    spark.createDataFrame([(T0, "s", "n", 1.0, {"a": "b"})], schemas.METRICS).write.insertInto(name)
+    wider = catalog.ensure_table(spark, name, schemas.LOGS)
+    assert wider.columns == [*schemas.METRICS.names, "level", "message"] and wider.first().message is None and wider.first().value == 1.0
+    assert catalog.ensure_table(spark, name, schemas.LOGS).count() == 1
+    spark.sql(f"DROP TABLE {name}")

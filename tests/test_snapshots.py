@@ -139,3 +139,10 @@ def test_kubernetes_in_one_row(spark):
     got = {r.name: r for r in snapshots.kubernetes(workloads, pods, scalers, services).collect()}
     assert [p.name for p in got["web"].pods] == ["web-a", "web-b"] and got["web"].autoscaler.max_replicas == 9 and got["web"].service is None
     assert got["db"].pods == [] and got["db"].service.type == "ClusterIP" and got["db"].namespace == "default"
+
+
+def test_networks_and_names(spark):
+    df = spark.createDataFrame([("bridge\nhost\n web_net \n\nnone\r\ndb-net\r",), (None,)], "text string")
+    assert sorted(r.network for r in snapshots.networks(df).collect()) == ["db-net", "web_net"]
+    listed = spark.createDataFrame([('{"Names":"prod-Checkout-1","ID":"a"}\n{"Names":"redis","ID":"b"}\nbad\n{"Names":"checkout","ID":"c"}',)], "text string")
+    assert sorted(r.name for r in snapshots.containers_of(snapshots.containers(listed), "checkOUT").collect()) == ["checkout", "prod-Checkout-1"]

@@ -8,6 +8,7 @@ once by point, operation and duration, and metrics, trend and endpoints are sums
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,8 +121,8 @@ def bundles(anomalies: DataFrame, spans: DataFrame, logs: DataFrame, history: Da
     trend with the rest of it. Parts without rows are empty, or null where they are one value. snapshots: service, timestamp and what
     else is known of a service's infrastructure at that time; each anomaly gets the last one before it as infra.
 
-    What several parts read is written to the shared folder once: the anomalies, the counts of spans, the calls around each point and
-    the newest error messages. Only rows in some anomaly's reach are read of each table.
+    What several parts read is written to the shared folder once: the anomalies, the counts of spans, the calls around each point, the
+    newest error messages, and the evidence before it meets the history. Only rows in some anomaly's reach are read of each table.
     """
     at = F.lit(as_of).cast("timestamp_ntz") if as_of else F.col("detected_at").cast("timestamp_ntz") + F.expr(f"INTERVAL {after} SECONDS")
     found = shared.written(anomalies.withColumn("at", at), "anomalies")
@@ -140,18 +141,24 @@ def bundles(anomalies: DataFrame, spans: DataFrame, logs: DataFrame, history: Da
         correlations, topology.healthy(linked), _metrics(counted, lookback), breakdown, _nested(log_templates(messages, keys=_POINT), "logs"),
         _nested(failing_traces(failing, keys=_POINT), "traces"), _nested(_endpoints(counted), "endpoints"),
     ]
-    out = found
-    for part in parts:
-        out = out.join(part, list(_POINT), "left")
+    out = found.join(_together(parts), list(_POINT), "left")
     out = incidents.scope(out).drop("neighbours").withColumn("namespace", redact.namespace(F.col("service")))
     named = F.coalesce("correlations", F.array().cast("array<struct<service:string,direction:string,error_rate:double>>"))
     out = out.withColumn("fingerprint", incidents.fingerprint(F.col("service"), F.col("anomaly_type"), named))
-    out = incidents.matched(out, history, "at")
+    out = incidents.matched(shared.written(out, "evidence"), history, "at")
     if snapshots is not None:
         out = intervals.as_of(out, snapshots.withColumnRenamed("timestamp", "at"), 4 * lookback, time="at", name="infra")
     return out
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """The parts' columns beside each other, a row a point: one grouping of all rows in place of a join for each part."""
+    held = [p.select(*_POINT, F.struct(*[c for c in p.columns if c not in _POINT]).alias(f"_{i}")) for i, p in enumerate(parts)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
+    one = rows.groupBy(*_POINT).agg(*[F.first(f"_{i}", ignorenulls=True).alias(f"_{i}") for i in range(len(parts))])  # each part has a row a point
+    return one.select(*_POINT, *[f"_{i}.{c}" for i, p in enumerate(parts) for c in p.columns if c not in _POINT])
+
+
 def _by(spans: DataFrame, reach: tuple | None) -> DataFrame:
     """Spans that began by the end of a span of time: a callee may have begun before its caller, but not after the point."""
     return spans.where("false") if reach is None else spans.where(F.col("timestamp") <= F.lit(reach[1]).cast("timestamp_ntz"))

@@ -171,8 +171,8 @@ def overlapping(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("rows", [suffixes.PART_ROWS, 40, 8, 2])
-@pytest.mark.parametrize("shorter", [24, 39, 8])
+@pytest.mark.parametrize("rows", [suffixes.PART_ROWS, 8, 2])
+@pytest.mark.parametrize("shorter", [24, 39])
 def test_two_lengths_of_one_scan(spark, docs, monkeypatch, rows, shorter):
     monkeypatch.setattr(suffixes, "PART_ROWS", rows)
     for df in (overlapping(spark), docs):
